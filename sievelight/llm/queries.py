@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from sievelight.llm.packing import op4_curve_packing
+from sievelight.llm.sharding import op1_vector_sharding
 from sievelight.llm.token_counts import op9_token_counts
 
 QUERIES = {
+    "op1_vector_sharding": op1_vector_sharding,
     "op4_curve_packing": op4_curve_packing,
     "op9_token_counts": op9_token_counts,
 }

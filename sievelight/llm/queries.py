@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from sievelight.llm.packing import op4_curve_packing
+from sievelight.llm.quality_rules import op3_quality_divergence
 from sievelight.llm.sharding import op1_vector_sharding
 from sievelight.llm.token_counts import op9_token_counts
 
 QUERIES = {
     "op1_vector_sharding": op1_vector_sharding,
+    "op3_quality_divergence": op3_quality_divergence,
     "op4_curve_packing": op4_curve_packing,
     "op9_token_counts": op9_token_counts,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sievelight.llm.html_extract import op8_crf_extraction
 from sievelight.llm.packing import op4_curve_packing
 from sievelight.llm.quality_rules import op3_quality_divergence
 from sievelight.llm.sharding import op1_vector_sharding
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_vector_sharding": op1_vector_sharding,
     "op3_quality_divergence": op3_quality_divergence,
     "op4_curve_packing": op4_curve_packing,
+    "op8_crf_extraction": op8_crf_extraction,
     "op9_token_counts": op9_token_counts,
 }
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sievelight.llm.html_extract import op8_crf_extraction
+from sievelight.llm.jaccard_join import op10_jaccard_join
 from sievelight.llm.packing import op4_curve_packing
 from sievelight.llm.quality_rules import op3_quality_divergence
 from sievelight.llm.sharding import op1_vector_sharding
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_curve_packing": op4_curve_packing,
     "op8_crf_extraction": op8_crf_extraction,
     "op9_token_counts": op9_token_counts,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sievelight.llm.embedding_dedup import op6_subspace_dedup
 from sievelight.llm.html_extract import op8_crf_extraction
 from sievelight.llm.jaccard_join import op10_jaccard_join
 from sievelight.llm.packing import op4_curve_packing
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_vector_sharding": op1_vector_sharding,
     "op3_quality_divergence": op3_quality_divergence,
     "op4_curve_packing": op4_curve_packing,
+    "op6_subspace_dedup": op6_subspace_dedup,
     "op8_crf_extraction": op8_crf_extraction,
     "op9_token_counts": op9_token_counts,
     "op10_jaccard_join": op10_jaccard_join,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from sievelight.llm.embedding_dedup import op6_subspace_dedup
 from sievelight.llm.html_extract import op8_crf_extraction
 from sievelight.llm.jaccard_join import op10_jaccard_join
+from sievelight.llm.line_dedup import op2_line_chunks
 from sievelight.llm.packing import op4_curve_packing
 from sievelight.llm.quality_rules import op3_quality_divergence
 from sievelight.llm.sharding import op1_vector_sharding
@@ -12,6 +13,7 @@ from sievelight.llm.token_counts import op9_token_counts
 
 QUERIES = {
     "op1_vector_sharding": op1_vector_sharding,
+    "op2_line_chunks": op2_line_chunks,
     "op3_quality_divergence": op3_quality_divergence,
     "op4_curve_packing": op4_curve_packing,
     "op6_subspace_dedup": op6_subspace_dedup,

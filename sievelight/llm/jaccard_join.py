@@ -175,11 +175,12 @@ def _ties(fronts: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def jaccard_join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per row of df: id, n_shingles, component_id, n_links, set_key.
+    """One row per row of df: id, n_shingles, component_id, n_links, group_key, text_hash.
 
     Documents link when den * intersection >= num * union of their sets of width-word shingles (A-Z in lower
     case). component_id is the smallest id reachable by links, itself included; n_links the number of other
-    rows linked directly. A null or wordless text has the empty set and links with nothing. Repeated rows are
+    rows linked directly; group_key names the component (null for the empty set) and text_hash is xxhash64 of
+    the text, so that a caller can pick one row of each component. A null or wordless text has the empty set and links with nothing. Repeated rows are
     copies of each other; a null id takes part and is never a smallest id; ties have no part, as all
     links count. An empty table gives an empty result; other columns aren't read.
     Sets are held as 64-bit numbers (8 bits of length, 56 of hash).
@@ -187,7 +188,7 @@ def jaccard_join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "jaccard")
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
-    fronts = docs.mapInArrow(_sets(width, (num, den)), f"id {kind}, set_key binary, n long, tokens array<long>")
+    fronts = docs.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_sets(width, (num, den)), f"id {kind}, text_hash long, set_key binary, n long, tokens array<long>")
     found = scratch.table(fronts, "fronts")
     filled = found.filter("n > 0")
     classes = scratch.table(filled.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
@@ -238,9 +239,9 @@ def jaccard_join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         root = linked.select("set_key", "root")
     label = classes.select("set_key", "rep", "copies").join(root, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = label.groupBy("root").agg(F.min("rep").alias("component_id"))
-    label = label.join(least, "root").join(total, "set_key", "left").select("set_key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = found.select("id", "n", "set_key").join(label, "set_key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "set_key")
+    label = label.join(least, "root").join(total, "set_key", "left").select("set_key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "root")
+    out = found.select("id", "n", "set_key", "text_hash").join(label, "set_key", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("root").alias("group_key"), "text_hash")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:

@@ -45,11 +45,11 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(term, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
-def measures(df: DataFrame, *, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def measures(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, rows: bool = False) -> DataFrame:
     """Per row: lang, the base counts, char_share and word_share; the words themselves go no further."""
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
     lang = df[lang_col].cast("string")
-    out = df.select(df[id_col].alias("id"), F.when(lang.isin(*COMMON), lang).alias("lang"), text.alias("text"))
+    out = df.select(df[id_col].alias("id"), F.when(lang.isin(*COMMON), lang).alias("lang"), text.alias("text"), *([F.struct(*(df[c] for c in df.columns)).alias("row")] if rows else []))
     out = out.withColumn("trimmed", F.btrim("text", F.lit(WHITE)))
     out = out.withColumn("words", F.when(F.col("trimmed") != "", F.split("trimmed", r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))).drop("trimmed")
     out = out.withColumn("n_words", F.size("words").cast("long"))
@@ -84,7 +84,7 @@ def measures(df: DataFrame, *, id_col: str, text_col: str, lang_col: str) -> Dat
     out = out.withColumn("char_share", _share([n_upper, n_digit, n_stop, n_symbol, F.least(n_wide, F.col("word_chars") - n_upper - n_digit - n_stop - n_symbol)], F.col("word_chars")))
     out = out.withColumn("word_share", F.when(F.col("lang").isNotNull(), _share(by_slot, F.col("n_words"))))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.select("id", "lang", "n_words", "word_chars", F.col("n_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "char_share", "word_share")
+    return out.select("id", "lang", "n_words", "word_chars", F.col("n_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "char_share", "word_share", *(["row"] if rows else []))
 
 
 def references(measured: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def references(measured: DataFrame) -> DataFrame:
     return own.unionByName(whole)
 
 
-def quality_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: bool = False) -> DataFrame:
     """One row per row of df: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
 
     A null text counts as empty (no words: base_failed). A null or unknown language is compared with the
@@ -108,9 +108,10 @@ def quality_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     reference: distances are null and the base rules alone decide. Repeated rows get equal verdicts; an
     empty table gives an empty result; other columns aren't read. Each row is measured by itself, in one
     narrow pass; only sums per language are shuffled.
+    rows: adds row, a struct of df's columns, which spares a join where the verdict is put to use.
     """
     scratch = Scratch(df.sparkSession, "quality")
-    measured = scratch.table(measures(df, id_col=id_col, text_col=text_col, lang_col=lang_col), "measured")
+    measured = scratch.table(measures(df, id_col=id_col, text_col=text_col, lang_col=lang_col, rows=rows), "measured")
     refs = F.broadcast(references(measured))
     out = measured.join(refs, measured["lang"].eqNullSafe(refs["lang"]), "left").drop(refs["lang"])
     out = out.withColumn("char_distance", F.when(F.col("ref_chars")[0].isNotNull() & (F.col("word_chars") >= CHAR_LEAST), js_distance(F.col("char_share"), F.col("ref_chars"))))
@@ -118,7 +119,7 @@ def quality_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     far = F.coalesce(F.col("char_distance") > CHAR_LIMIT + CHAR_SLACK / F.sqrt(F.greatest("word_chars", F.lit(1))), F.lit(False)) | F.coalesce(
         F.col("word_distance") > WORD_LIMIT + WORD_SLACK / F.sqrt(F.greatest("n_words", F.lit(1))), F.lit(False)
     )
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", (~F.col("base_failed") & ~far).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", (~F.col("base_failed") & ~far).alias("kept"), *(["row"] if rows else []))
 
 
 def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

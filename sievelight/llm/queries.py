@@ -8,6 +8,7 @@ from sievelight.llm.jaccard_join import op10_jaccard_join
 from sievelight.llm.line_dedup import op2_line_chunks
 from sievelight.llm.packing import op4_curve_packing
 from sievelight.llm.quality_rules import op3_quality_divergence
+from sievelight.llm.sentencepieces import op5_shared_prefix_pieces
 from sievelight.llm.sharding import op1_vector_sharding
 from sievelight.llm.token_counts import op9_token_counts
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_line_chunks": op2_line_chunks,
     "op3_quality_divergence": op3_quality_divergence,
     "op4_curve_packing": op4_curve_packing,
+    "op5_shared_prefix_pieces": op5_shared_prefix_pieces,
     "op6_subspace_dedup": op6_subspace_dedup,
     "op8_crf_extraction": op8_crf_extraction,
     "op9_token_counts": op9_token_counts,

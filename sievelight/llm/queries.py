@@ -6,6 +6,7 @@ from sievelight.llm.embedding_dedup import op6_subspace_dedup
 from sievelight.llm.html_extract import op8_crf_extraction
 from sievelight.llm.jaccard_join import op10_jaccard_join
 from sievelight.llm.line_dedup import op2_line_chunks
+from sievelight.llm.lm_scoring import op7_context_mixing
 from sievelight.llm.packing import op4_curve_packing
 from sievelight.llm.quality_rules import op3_quality_divergence
 from sievelight.llm.sentencepieces import op5_shared_prefix_pieces
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_curve_packing": op4_curve_packing,
     "op5_shared_prefix_pieces": op5_shared_prefix_pieces,
     "op6_subspace_dedup": op6_subspace_dedup,
+    "op7_context_mixing": op7_context_mixing,
     "op8_crf_extraction": op8_crf_extraction,
     "op9_token_counts": op9_token_counts,
     "op10_jaccard_join": op10_jaccard_join,

@@ -1,6 +1,424 @@
-"""Registered queries over the driver's tables, and their SQL."""
+"""Registered queries over the test data, and the same in SQL for DuckDB."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievelight.functions import diagnostics, diffs, features, text
+from sievelight.operators import chunking, embedding, search, store, telemetry
+from sievelight.plans import views
+from sievelight.plans.views import CODE_SQL, ITER_SQL, LOGS_SQL, METRICS_SQL, NL, SCORE_SQL, STEPS_SQL
+from sievelight.sources.readers import issues, sf_table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- retrieval
+
+TOKENS = ["the", "of"]
+QUERY = "The of the"
+_HITS = r"""toks AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS a FROM documents),
+ post AS (SELECT doc_id AS chunk_id, source, unnest(a) AS tok, generate_subscripts(a, 1) AS pos FROM toks),
+ hit AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY pos) AS j FROM post WHERE tok IN ('the', 'of')),
+ run AS (SELECT *, max(CASE WHEN tok = 'the' THEN pos END) OVER w AS p0, max(CASE WHEN tok = 'of' THEN pos END) OVER w AS p1, max(CASE WHEN tok = 'the' THEN j END) OVER w AS j0, max(CASE WHEN tok = 'of' THEN j END) OVER w AS j1
+  FROM hit WINDOW w AS (PARTITION BY chunk_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ fin AS (SELECT chunk_id, source, pos, j, least(p0, p1) AS s, least(j0, j1) AS sj FROM run WHERE p0 IS NOT NULL AND p1 IS NOT NULL),
+ cov AS (SELECT *, lag(s) OVER (PARTITION BY chunk_id ORDER BY pos) AS b FROM fin),
+ scored AS (SELECT chunk_id, source, round(sum(0.1::double / (1 + (pos - s) - (j - sj))), 9) AS score FROM cov WHERE b IS NULL OR b <> s GROUP BY 1, 2),
+ lex AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM (SELECT * FROM scored WHERE {kinds} ORDER BY score DESC, chunk_id LIMIT 50))"""
+
+
+def _hits(kinds: str) -> str:
+    return _HITS.replace("{kinds}", kinds)
+
+
+_NEAR = """dist AS (SELECT vec_id AS chunk_id, label, vec_id % 4 AS snapshot_id, round(list_cosine_distance(embedding::double[], (SELECT embedding::double[] FROM embeddings WHERE vec_id = 0)), 9) AS dist FROM embeddings),
+ near AS (SELECT chunk_id, dist, row_number() OVER (ORDER BY dist, chunk_id) AS rank FROM (SELECT * FROM dist ORDER BY dist, chunk_id LIMIT {limit}))"""
+_FUSED = """fused AS (SELECT coalesce(l.chunk_id, v.chunk_id) AS chunk_id, l.rank AS lexical_rank, v.rank AS vector_rank, v.dist AS dist,
+  coalesce(0.5::double / (60 + l.rank), 0) + coalesce(0.5::double / (60 + v.rank), 0) AS rrf FROM lex l FULL JOIN {near} v ON l.chunk_id = v.chunk_id)"""
+_RISK = "CASE WHEN source = 'src1' THEN 6 WHEN source = 'src2' THEN 5 ELSE 0 END"
+
+
+def _lexical(spark, sf_dir, kinds=None):
+    found = search.lexical_search(views.chunks(spark, sf_dir), QUERY, kinds=kinds, limit=50)
+    return search.ranked(found, F.desc("rank"), F.col("chunk_id")).select("chunk_id", F.col("rank"))
+
+
+@query(f"""WITH {_hits("true")}, {_NEAR.format(limit=60)}, {_FUSED.format(near="near")}, top AS (SELECT * FROM fused ORDER BY round(rrf, 12) DESC, chunk_id LIMIT 20)
+ SELECT t.chunk_id, left(d.text, 200) AS excerpt, d.source AS kind, d.lang, t.dist, t.lexical_rank::bigint AS lexical_rank, t.vector_rank::bigint AS vector_rank, round(t.rrf, 12) AS rrf, ({_RISK})::bigint AS risk_score
+ FROM top t JOIN documents d ON d.doc_id = t.chunk_id""")
+def hybrid_rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: lexical and vector lists, fused, cut, and ordered with risk."""
+    out = search.hybrid_retrieve(views.chunks(spark, sf_dir), views.vectors(spark, sf_dir), QUERY, views.query_vector(spark, sf_dir), top_k=20)
+    return out.select("chunk_id", "excerpt", "kind", "lang", "dist", F.col("lexical_rank").cast("long"), F.col("vector_rank").cast("long"), "rrf", F.col("risk_score").cast("long"))
+
+
+@query(f"WITH {_hits('true')} SELECT chunk_id, score AS rank FROM scored ORDER BY score DESC, chunk_id LIMIT 50")
+def lexical_search(spark, sf_dir):
+    return search.lexical_search(views.chunks(spark, sf_dir), QUERY, limit=50)
+
+
+@query(r"""WITH toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS a FROM documents), post AS (SELECT doc_id, unnest(a) AS tok FROM toks)
+ SELECT tok, count(*) AS n, count(DISTINCT doc_id) AS df FROM post GROUP BY tok""")
+def postings_stats(spark, sf_dir):
+    return search.postings(views.chunks(spark, sf_dir)).groupBy("tok").agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("df"))
+
+
+@query(f"WITH {_NEAR.format(limit=50)} SELECT chunk_id, dist FROM near")
+def vector_topk(spark, sf_dir):
+    return search.vector_search(views.vectors(spark, sf_dir), views.query_vector(spark, sf_dir), limit=50)
+
+
+@query(f"WITH {_NEAR.format(limit=50)} SELECT chunk_id, dist FROM dist WHERE snapshot_id = 1 AND dist <= 0.95 ORDER BY dist, chunk_id LIMIT 50")
+def vector_snapshot_maxdist(spark, sf_dir):
+    return search.vector_search(views.vectors(spark, sf_dir), views.query_vector(spark, sf_dir), snapshot_id=1, model_id="m", max_dist=0.95, limit=50)
+
+
+@query(f"""WITH {_hits("true")}, {_NEAR.format(limit=60)}, {_FUSED.format(near="near")}
+ SELECT chunk_id, lexical_rank::bigint AS lexical_rank, vector_rank::bigint AS vector_rank, round(rrf, 12) AS rrf FROM fused""")
+def rrf_fusion(spark, sf_dir):
+    near = search.ranked(search.vector_search(views.vectors(spark, sf_dir), views.query_vector(spark, sf_dir), limit=60), "dist", "chunk_id")
+    out = search.rrf(_lexical(spark, sf_dir), near.select("chunk_id", "rank"))
+    return out.select("chunk_id", F.col("lexical_rank").cast("long"), F.col("vector_rank").cast("long"), F.round("rrf", 12).alias("rrf"))
+
+
+@query(f"""WITH {_hits("source IN ('src1', 'src2')")}, {_NEAR.format(limit=60)},
+ sub AS (SELECT n.chunk_id, n.dist, row_number() OVER (ORDER BY n.dist, n.chunk_id) AS rank FROM near n JOIN documents d ON d.doc_id = n.chunk_id WHERE d.source IN ('src1', 'src2')),
+ {_FUSED.format(near="sub")}, top AS (SELECT * FROM fused ORDER BY round(rrf, 12) DESC, chunk_id LIMIT 20)
+ SELECT t.chunk_id, t.dist, round(t.rrf, 12) AS rrf, ({_RISK})::bigint AS risk_score FROM top t JOIN documents d ON d.doc_id = t.chunk_id""")
+def vector_kind_postfilter(spark, sf_dir):
+    out = search.hybrid_retrieve(views.chunks(spark, sf_dir), views.vectors(spark, sf_dir), QUERY, views.query_vector(spark, sf_dir), kinds=["src1", "src2"], top_k=20)
+    return out.select("chunk_id", "dist", "rrf", F.col("risk_score").cast("long"))
+
+
+@query(f"""WITH f AS (SELECT doc_id AS chunk_id, ({_RISK})::bigint AS risk_score, lang = 'en' AS code FROM documents)
+ SELECT chunk_id, risk_score, code, row_number() OVER (ORDER BY code DESC, risk_score DESC, chunk_id DESC) AS place FROM f ORDER BY place LIMIT 100""")
+def risk_rerank(spark, sf_dir):
+    tags = F.from_json(F.get_json_object("meta", "$.risk_tags"), "array<string>")
+    items = views.chunks(spark, sf_dir).select("chunk_id", F.col("chunk_id").alias("idx"), features.risk_score(tags).cast("long").alias("risk_score"), F.when(F.col("lang") == "en", "code_slice").otherwise("rule").alias("evidence_type"))
+    top = search.prioritize(items).limit(100)
+    code = F.col("evidence_type").startswith("code")
+    return search.ranked(top, code.desc(), F.desc("risk_score"), F.desc("idx")).select("chunk_id", "risk_score", code.alias("code"), F.col("rank").cast("long").alias("place"))
+
+
+# -- chunks and their features
+
+
+@query("SELECT sha256(text) AS content_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
+def chunk_dedup_hash(spark, sf_dir):
+    return views.chunks(spark, sf_dir).groupBy(text.content_hash(F.col("content")).alias("content_hash")).agg(F.min("chunk_id").alias("first_id"), F.count("*").alias("copies"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, string_split(text, {NL}) AS a0 FROM documents), l1 AS (SELECT doc_id, CASE WHEN a0[len(a0)] = '' THEN a0[1:len(a0) - 1] ELSE a0 END AS a FROM l),
+ p AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS pos, len(a) AS n FROM l1)
+ SELECT 'd' || doc_id AS path, (pos // 4)::bigint AS chunk_index, ((pos // 4) * 4)::bigint AS start_row, least((pos // 4) * 4 + 4, max(n))::bigint AS end_row, md5(string_agg(line, {NL} ORDER BY pos)) AS digest
+ FROM p GROUP BY doc_id, pos // 4 HAVING regexp_matches(string_agg(line, {NL} ORDER BY pos), '\\S')""".replace("\\\\S", "\\S"))
+def line_window_chunks(spark, sf_dir):
+    files = views.chunks(spark, sf_dir).select(F.concat(F.lit("d"), F.col("chunk_id").cast("string")).alias("path"), "content")
+    out = chunking.window_chunks(files, 4)
+    return out.select("path", F.col("chunk_index").cast("long"), F.col("start_row").cast("long"), F.col("end_row").cast("long"), F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+_ANY = lambda marks: " OR ".join(f"contains(content, '{m}')" for m in marks)
+_TAGS = lambda rules: "concat_ws(',', " + ", ".join(f"CASE WHEN {_ANY(marks)} THEN '{tag}' END" for tag, marks in rules) + ")"
+
+
+@query(f"WITH {CODE_SQL} SELECT path, {_TAGS(features.RISK_RULES)} AS tags FROM code")
+def risk_tags(spark, sf_dir):
+    return views.code(spark, sf_dir).select("path", F.array_join(features.risk_tags(F.col("content")), ",").alias("tags"))
+
+
+@query(f"WITH {CODE_SQL} SELECT path, {_TAGS([(a, [a]) for a in features.API_NAMES])} AS tags FROM code")
+def api_tags(spark, sf_dir):
+    return views.code(spark, sf_dir).select("path", F.array_join(features.api_tags(F.col("content")), ",").alias("tags"))
+
+
+@query(f"WITH {CODE_SQL} SELECT path, CASE WHEN k % 7 <> 0 THEN 'pub fn f' || k || '(a: *const u8)' END AS signature FROM code")
+def signature(spark, sf_dir):
+    return views.code(spark, sf_dir).select("path", features.signature(F.col("content")).alias("signature"))
+
+
+@query(f"""WITH {CODE_SQL}, c AS (SELECT path, list_distinct(l) AS x, l FROM (SELECT path, list_filter(regexp_extract_all(content, '\\b([A-Za-z_]\\w*)\\s*\\(', 1), lambda n: n NOT IN ('if', 'fn', 'unsafe', 'let', 'pub')) AS l FROM code))
+ SELECT path, array_to_string(list_sort(x), ',') AS names, len(x)::bigint AS n FROM c""")
+def calls(spark, sf_dir):
+    found = features.calls(F.col("content"))
+    return views.code(spark, sf_dir).select("path", F.array_join(F.sort_array(found), ",").alias("names"), F.size(found).cast("long").alias("n"))
+
+
+@query(f"""WITH {CODE_SQL} SELECT path, CASE WHEN k % 7 = 0 AND k % 3 = 0 THEN 2 WHEN k % 7 = 0 AND k % 5 = 0 THEN 2 ELSE 1 END::bigint AS anchor_line,
+ CASE WHEN k % 7 = 0 AND k % 3 <> 0 AND k % 5 <> 0 THEN 'start' ELSE 'risk' END AS anchor_kind, CASE WHEN k % 7 <> 0 THEN 1 END::bigint AS signature_line FROM code""")
+def patch_boundary(spark, sf_dir):
+    b = features.boundary(F.col("content"))
+    return views.code(spark, sf_dir).select("path", b["anchor_line"].cast("long").alias("anchor_line"), b["anchor_kind"].alias("anchor_kind"), b["signature_line"].cast("long").alias("signature_line"))
+
+
+_COUNT = lambda marks: " + ".join(f"((length(content) - length(replace(content, '{m}', ''))) // {len(m)})" for m in marks)
+
+
+@query(f"WITH {CODE_SQL} SELECT split_part(path, '/', 2) AS module, " + ", ".join(f"sum({_COUNT(m)})::bigint AS {n}" for n, m in features.SAFETY.items()) + " FROM code GROUP BY 1")
+def safety_counts(spark, sf_dir):
+    code = views.code(spark, sf_dir).select(F.split_part("path", F.lit("/"), F.lit(2)).alias("module"), *(c.alias(n) for n, c in features.safety_counts(F.col("content")).items()))
+    return code.groupBy("module").agg(*(F.sum(n).alias(n) for n in features.SAFETY))
+
+
+@query(f"""WITH {CODE_SQL}, l AS (SELECT content, unnest(string_split(content, {NL})) AS line FROM code),
+ a AS (SELECT sum(len(regexp_extract_all(content, '\\bunsafe\\s*\\{{')))::bigint AS unsafe_blocks, sum(len(regexp_extract_all(content, '\\*const\\b|\\*mut\\b|\\bas\\s+\\*const\\b|\\bas\\s+\\*mut\\b')))::bigint AS raw_ptr_count FROM code),
+ b AS (SELECT count(*) AS n, count(*) FILTER (WHERE contains(line, 'unsafe')) AS u FROM l) SELECT unsafe_blocks, round(u * 100.0::double / n, 9) AS unsafe_line_pct, raw_ptr_count FROM a, b""")
+def source_metrics(spark, sf_dir):
+    return telemetry.merged_source_measures(views.code(spark, sf_dir)).withColumn("unsafe_line_pct", F.round("unsafe_line_pct", 9))
+
+
+# -- diagnostics
+
+
+@query(f"""WITH {LOGS_SQL} SELECT event_id, CASE WHEN event_id % 3 = 0 THEN regexp_extract(line, ' (E\\d+): ', 1) END AS error_code,
+ CASE WHEN event_id % 3 < 2 THEN split_part(line, ':', 1) END AS file, CASE WHEN event_id % 3 < 2 THEN event_id END::bigint AS line,
+ CASE event_id % 3 WHEN 0 THEN regexp_extract(line, '(value is .*)', 1) WHEN 1 THEN regexp_extract(line, ':1: (.*)', 1) ELSE line END AS summary FROM logs""")
+def diagnose_parse(spark, sf_dir):
+    found = issues(views.logs(spark, sf_dir), "line")
+    return found.select("event_id", "error_code", "file", F.col("line").cast("long"), "summary")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'apply_fail' WHEN event_id % 13 = 0 THEN 'retrieve_empty' WHEN event_id % 4 = 0 THEN 'timeout' WHEN event_id % 5 = 0 THEN 'test_fail' WHEN event_id % 3 <> 0 THEN 'compile_fail' ELSE 'unknown' END AS kind FROM events""")
+def error_kind(spark, sf_dir):
+    e = F.col("event_id")
+    code = F.when(e % 4 == 0, 124).when(e % 3 == 0, 0).otherwise(101)
+    err = F.when(e % 5 == 0, "thread: Assertion failed: x").otherwise("plain")
+    step = F.when(e % 11 == 0, "patch_apply_failed: x").when(e % 13 == 0, "retrieve_no_results")
+    return sf_table(spark, sf_dir, "events").select("event_id", diagnostics.error_kind(code, err, step).alias("kind"))
+
+
+@query(f"""WITH {LOGS_SQL}, p AS (SELECT event_id, CASE WHEN event_id % 3 < 2 THEN split_part(line, ':', 1) END AS file, CASE WHEN event_id % 3 = 0 THEN regexp_extract(line, ' (E\\d+): ', 1) END AS code FROM logs)
+ SELECT event_id, 'compile_fail|' || coalesce(file, '') || '|' || coalesce(code, '') AS signature, nullif(regexp_extract(file, '^(.*)/[^/]*$', 1), '') AS scope FROM p""")
+def error_signature(spark, sf_dir):
+    found = issues(views.logs(spark, sf_dir), "line")
+    return found.select("event_id", diagnostics.error_signature(F.lit("compile_fail"), F.col("file"), F.col("error_code")).alias("signature"), diagnostics.scope(F.col("file")).alias("scope"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id % 7 WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 9 ELSE 0 END ELSE CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END END::bigint AS passed,
+ CASE event_id % 3 WHEN 0 THEN event_id % 7 + 2 WHEN 1 THEN 9 ELSE 1 END::bigint AS total FROM events""")
+def pass_rate(spark, sf_dir):
+    e = F.col("event_id")
+    out = F.when(e % 3 == 0, F.format_string("x\nTest result: FAILED. %d passed; 2 failed; y", (e % 7).cast("int"))).when(e % 3 == 1, "running 9 tests").otherwise("none")
+    counts = diagnostics.pass_counts(out, F.lit(""), F.when(e % 2 == 0, 0).otherwise(101))
+    return sf_table(spark, sf_dir, "events").select("event_id", counts["passed"].cast("long").alias("passed"), counts["total"].cast("long").alias("total"))
+
+
+# -- telemetry
+
+_PIVOT = ", ".join(f"max(CASE WHEN key = '{k}' THEN v END) AS {k}" for k in views.METRIC_KEYS)
+
+
+@query(f"WITH {METRICS_SQL} SELECT run_id, {_PIVOT} FROM latest GROUP BY 1")
+def metrics_pivot(spark, sf_dir):
+    return telemetry.metrics_pivot(telemetry.latest_metrics(views.metrics(spark, sf_dir)), views.METRIC_KEYS)
+
+
+@query(f"WITH {STEPS_SQL} SELECT run_id, min(seq) AS seq, arg_min(snapshot, seq)::bigint AS snapshot FROM steps WHERE step_name = 'INIT' GROUP BY 1")
+def first_init_step(spark, sf_dir):
+    return telemetry.first_step(views.steps(spark, sf_dir), "INIT").select("run_id", "seq", F.get_json_object("input_json", "$.snapshot_id").cast("long").alias("snapshot"))
+
+
+@query(f"WITH {STEPS_SQL} SELECT run_id, step_name, max(seq) AS seq, arg_max(ms, seq) AS ms FROM steps GROUP BY 1, 2")
+def last_step_by_name(spark, sf_dir):
+    return telemetry.last_steps(views.steps(spark, sf_dir)).select("run_id", "step_name", "seq", "ms")
+
+
+@query(f"""WITH {STEPS_SQL} SELECT run_id, sum(ms)::bigint AS total_ms, coalesce(sum(ms) FILTER (WHERE step_name = 'RETRIEVE'), 0)::bigint AS retrieve_ms, coalesce(sum(ms) FILTER (WHERE step_name = 'GENERATE'), 0)::bigint AS generate_ms,
+ coalesce(sum(ms) FILTER (WHERE step_name = 'EXECUTE'), 0)::bigint AS execute_ms FROM steps GROUP BY 1""")
+def step_durations(spark, sf_dir):
+    return telemetry.step_durations(views.steps(spark, sf_dir))
+
+
+@query(f"WITH {STEPS_SQL} SELECT run_id, coalesce(bool_or(ok) FILTER (WHERE step_name = 'APPLY'), false) AS has_apply, coalesce(bool_or(ok) FILTER (WHERE step_name = 'EXECUTE'), false) AS has_execute FROM steps GROUP BY 1")
+def step_flags(spark, sf_dir):
+    return telemetry.step_flags(views.steps(spark, sf_dir), ["APPLY", "EXECUTE"])
+
+
+@query(f"WITH {CODE_SQL}, t AS (SELECT 'm' || (k % 10) AS run_id, unnest(string_split({_TAGS(features.RISK_RULES)}, ',')) AS tag FROM code) SELECT run_id, tag, count(*) AS n FROM t WHERE tag <> '' GROUP BY 1, 2")
+def tag_frequency(spark, sf_dir):
+    items = views.code(spark, sf_dir).select(F.concat(F.lit("m"), (F.col("k") % 10).cast("string")).alias("run_id"), F.lit("code_slice").alias("evidence_type"), features.risk_tags(F.col("content")).alias("risk_tags"))
+    return telemetry.tag_counts(items)
+
+
+def _runs(spark, sf_dir):
+    return sf_table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("run_id")).agg(F.max("ts").alias("created_at")).withColumn("status", F.lit("STOP"))
+
+
+def _patches(spark, sf_dir):
+    e = sf_table(spark, sf_dir, "events").filter("event_type = 'error' and user_id % 3 = 0")
+    return e.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("file_path"), F.lit("applied").alias("status"))
+
+
+_RUNS = "runs AS (SELECT user_id::varchar AS run_id, max(ts) AS created_at, 'STOP' AS status FROM events GROUP BY 1), patches AS (SELECT user_id::varchar AS run_id, event_id AS seq, 'f' || event_id AS file_path FROM events WHERE event_type = 'error' AND user_id % 3 = 0)"
+
+
+@query(f"WITH {_RUNS} SELECT run_id, created_at FROM runs ORDER BY created_at DESC, run_id LIMIT 25")
+def recent_runs(spark, sf_dir):
+    return telemetry.recent_runs(_runs(spark, sf_dir), 25).select("run_id", "created_at")
+
+
+@query(f"""WITH {STEPS_SQL}, {METRICS_SQL}, {_RUNS}, wide AS (SELECT run_id, {_PIVOT} FROM latest GROUP BY 1),
+ ini AS (SELECT run_id, arg_min(snapshot, seq)::bigint AS snapshot FROM steps WHERE step_name = 'INIT' GROUP BY 1), pc AS (SELECT run_id, count(*) AS n FROM patches GROUP BY 1)
+ SELECT r_name AS project, i.snapshot, n_name AS commit, r.run_id, CASE WHEN mode IN ('baseline', 'enhanced') THEN mode WHEN coalesce(pc.n, 0) > 0 THEN 'enhanced' ELSE 'baseline' END AS mode,
+ CASE WHEN final_status = 'OK' OR primary_error_kind = 'test_fail' THEN 1 ELSE 0 END::bigint AS compile_ok, CASE WHEN final_status = 'OK' THEN 1 ELSE 0 END::bigint AS test_ok, final_status, iteration_count, coalesce(pc.n, 0)::bigint AS patch_rounds, total_ms, primary_error_kind
+ FROM runs r LEFT JOIN ini i USING (run_id) LEFT JOIN nation ON n_nationkey = i.snapshot LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN wide w ON w.run_id = r.run_id LEFT JOIN pc ON pc.run_id = r.run_id""")
+def experiments_report(spark, sf_dir):
+    snapshots = sf_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("snapshot_id"), F.col("n_regionkey").alias("project_id"), F.col("n_name").alias("commit_sha"))
+    projects = sf_table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("project_id"), F.col("r_name").alias("name"))
+    out = telemetry.experiments_report(_runs(spark, sf_dir), views.steps(spark, sf_dir), telemetry.latest_metrics(views.metrics(spark, sf_dir)), _patches(spark, sf_dir), snapshots, projects)
+    return out.select("project", "snapshot", "commit", "run_id", "mode", F.col("compile_ok").cast("long"), F.col("test_ok").cast("long"), "final_status", "iteration_count", F.col("patch_rounds").cast("long"), "total_ms", "primary_error_kind")
+
+
+@query(f"""WITH {STEPS_SQL}, {METRICS_SQL}, {_RUNS}, wide AS (SELECT run_id, {_PIVOT} FROM latest GROUP BY 1),
+ ls AS (SELECT run_id, step_name, arg_max(k, seq) AS k, arg_max(issues, seq) AS issues FROM steps GROUP BY 1, 2), s AS (SELECT run_id, max(CASE WHEN step_name = 'GENERATE' THEN 'f' || k END) AS target,
+  max(CASE WHEN step_name = 'EXECUTE' THEN k END)::bigint AS ec, max(CASE WHEN step_name = 'DIAGNOSE' THEN issues END) AS issues, max(CASE WHEN step_name = 'RETRIEVE' THEN 1 END) AS items FROM ls GROUP BY 1),
+ ns AS (SELECT run_id, count(*) AS n FROM steps GROUP BY 1), pc AS (SELECT run_id, count(*) AS n, arg_min(file_path, seq) AS f FROM patches GROUP BY 1)
+ SELECT r.run_id, ns.n::bigint AS n_steps, coalesce(pc.n, 0)::bigint AS n_patches, coalesce(s.items, 0)::bigint AS evidence_count, coalesce(s.issues, 0)::bigint AS diagnose_issue_count, coalesce(s.target, pc.f, '') AS target_file,
+ CASE WHEN pc.n > 0 THEN 'applied' ELSE '' END AS patch_status, s.ec AS execute_exit_code, coalesce(w.final_status, r.status) AS final_status, w.total_ms
+ FROM runs r LEFT JOIN s ON s.run_id = r.run_id LEFT JOIN ns ON ns.run_id = r.run_id LEFT JOIN pc ON pc.run_id = r.run_id LEFT JOIN wide w ON w.run_id = r.run_id""")
+def run_summary(spark, sf_dir):
+    out = telemetry.run_summary(_runs(spark, sf_dir), views.steps(spark, sf_dir), telemetry.latest_metrics(views.metrics(spark, sf_dir)), _patches(spark, sf_dir))
+    return out.select("run_id", "n_steps", "n_patches", "evidence_count", "diagnose_issue_count", "target_file", "patch_status", F.col("execute_exit_code").cast("long"), "final_status", "total_ms")
+
+
+@query("SELECT event_type, count(value) AS n, min(value) AS min, quantile_disc(value, 0.95) AS p, max(value) AS max FROM events GROUP BY 1")
+def latency_p95(spark, sf_dir):
+    return telemetry.percentile(sf_table(spark, sf_dir, "events"), "value", 0.95, ["event_type"])
+
+
+# -- convergence
+
+
+@query(f"""WITH {ITER_SQL}, s AS (SELECT *, lag(l_linestatus) OVER w AS b, row_number() OVER w AS rn FROM it WINDOW w AS (PARTITION BY run_id ORDER BY iter)), g AS (SELECT *, sum(CASE WHEN rn > 1 AND b = l_linestatus THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY iter) AS island FROM s)
+ SELECT run_id, iter::bigint AS iter, row_number() OVER (PARTITION BY run_id, island ORDER BY iter) - 1 AS streak FROM g""")
+def no_progress_streak(spark, sf_dir):
+    return telemetry.no_progress(views.iterations(spark, sf_dir), "l_linestatus").select("run_id", F.col("iter").cast("long"), "streak")
+
+
+def _scored(spark, sf_dir):
+    score = telemetry.score(F.col("blocks"), F.col("pct"), F.col("ptrs"), F.col("rate"), F.col("failed"))
+    return views.iterations(spark, sf_dir).withColumn("score", score)
+
+
+@query(f"""WITH {ITER_SQL}, s AS (SELECT run_id, iter, {SCORE_SQL} FROM it), o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY a, b, c, d, iter) AS place FROM s),
+ m AS (SELECT run_id, iter, min(place) OVER (PARTITION BY run_id ORDER BY iter ROWS UNBOUNDED PRECEDING) AS best FROM o) SELECT m.run_id, m.iter::bigint AS iter, o.iter::bigint AS best_iter, (m.iter - o.iter)::bigint AS stale FROM m JOIN o ON o.run_id = m.run_id AND o.place = m.best""")
+def running_best(spark, sf_dir):
+    return telemetry.running_best(_scored(spark, sf_dir)).select("run_id", F.col("iter").cast("long"), F.col("best_iter").cast("long"), "stale")
+
+
+@query(f"WITH {ITER_SQL}, s AS (SELECT run_id, iter, {SCORE_SQL} FROM it) SELECT run_id, iter::bigint AS iter FROM s QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY a, b, c, d, iter) = 1")
+def argmin_score(spark, sf_dir):
+    return telemetry.best(_scored(spark, sf_dir)).select("run_id", F.col("iter").cast("long"))
+
+
+# -- store
+
+
+@query("SELECT doc_id AS chunk_id, source AS kind, lang FROM documents WHERE doc_id % 4 = 2 ORDER BY chunk_id LIMIT 50 OFFSET 10")
+def paged_list(spark, sf_dir):
+    own = views.chunks(spark, sf_dir).filter("snapshot_id = 2").select("chunk_id", "kind", "lang")
+    return store.page(own, "chunk_id", limit=50, offset=10)
+
+
+@query("SELECT doc_id AS chunk_id, left(text, 200) AS excerpt FROM documents WHERE source IN ('src1', 'src3')")
+def kind_filter(spark, sf_dir):
+    return search.kind_filter(views.chunks(spark, sf_dir), ["src1", "src3"]).select("chunk_id", text.excerpt(F.col("content")).alias("excerpt"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
+def fk_orphans(spark, sf_dir):
+    parents = sf_table(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'")
+    return store.orphans(sf_table(spark, sf_dir, "orders"), parents, "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def unique_violations(spark, sf_dir):
+    return store.repeated(sf_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"])
+
+
+@query("""WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey <> 1), c AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT * FROM n)), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT * FROM c))
+ SELECT 'nation' AS name, count(*) AS n FROM n UNION ALL SELECT 'customer', count(*) FROM c UNION ALL SELECT 'orders', count(*) FROM o""")
+def cascade_delete(spark, sf_dir):
+    t = lambda n: sf_table(spark, sf_dir, n)
+    _, nation, customer, orders = store.cascade_delete([(t("region"), "r_regionkey", None), (t("nation"), "n_nationkey", "n_regionkey"), (t("customer"), "c_custkey", "c_nationkey"), (t("orders"), "o_orderkey", "o_custkey")], [1])
+    count = lambda df, name: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    return count(nation, "nation").union(count(customer, "customer")).union(count(orders, "orders"))
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_id >= 100 GROUP BY 1, 2 UNION ALL SELECT user_id, event_type, event_id, value FROM (SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_id < 100 GROUP BY 1, 2) s WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id >= 100 AND e.user_id = s.user_id AND e.event_type = s.event_type)")
+def upsert_latest(spark, sf_dir):
+    events = sf_table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    keys = ["user_id", "event_type"]
+    stored = store.upsert_latest(events.limit(0), events.filter("event_id < 100"), keys, "event_id")
+    return store.upsert_latest(stored, events.filter("event_id >= 100"), keys, "event_id")
+
+
+@query("SELECT c_nationkey::bigint AS k, 'stored' AS origin FROM customer WHERE c_custkey <= 20 GROUP BY 1 UNION ALL SELECT s_nationkey, 'new' FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey <= 20) GROUP BY 1")
+def insert_ignore(spark, sf_dir):
+    stored = sf_table(spark, sf_dir, "customer").filter("c_custkey <= 20").select(F.col("c_nationkey").cast("long").alias("k"), F.lit("stored").alias("origin")).distinct()
+    rows = sf_table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("k"), F.lit("new").alias("origin"))
+    return store.insert_ignore(stored, rows, ["k"])
+
+
+@query("SELECT doc_id % 2 = 0 AS accepted, count(*) AS n FROM (SELECT min(doc_id) AS doc_id FROM documents WHERE doc_id % 2 = 0 GROUP BY source, lang, sha256(text)) GROUP BY 1 UNION ALL SELECT false, count(*) FROM documents WHERE doc_id % 2 <> 0")
+def insert_chunks(spark, sf_dir):
+    docs = views.chunks(spark, sf_dir).drop("chunk_id").withColumn("even", F.monotonically_increasing_id())
+    ids = views.chunks(spark, sf_dir).select(F.lit(7).cast("long").alias("snapshot_id"), "kind", "lang", "content", F.when(F.col("chunk_id") % 2 == 0, F.col("meta")).otherwise("{}").alias("meta"))
+    stored = ids.limit(0).withColumns({"content_hash": F.lit("").cast("string"), "chunk_id": F.lit(0).cast("long")})
+    new, refused = store.insert_chunks(stored, docs.limit(1).select(F.lit(7).cast("long").alias("snapshot_id")), ids)
+    return new.agg(F.lit(True).alias("accepted"), F.count("*").alias("n")).union(refused.filter("reason = 'meta_file'").agg(F.lit(False), F.count("*")))
+
+
+# -- diffs
+
+_VIOLATION = "CASE c_custkey % 9 WHEN 1 THEN 'missing_file_header' WHEN 2 THEN 'multi_file_patch' WHEN 3 THEN 'target_file_mismatch' WHEN 4 THEN 'multi_hunk' WHEN 5 THEN 'missing_hunk_header' WHEN 6 THEN 'outside_boundary' WHEN 7 THEN 'no_changes' WHEN 8 THEN 'signature_changed' END"
+
+
+@query(f"SELECT c_custkey AS id, {_VIOLATION} AS violation, true AS only_hunks FROM customer".replace("true AS only_hunks", "c_custkey % 9 <> 5 OR true AS only_hunks"))
+def diff_constraints(spark, sf_dir):
+    d = F.col("diff")
+    found = diffs.violation(d, F.lit("f.rs"), F.lit("pub fn keep()"), F.lit(1), F.lit(20))
+    return views.diffs(spark, sf_dir).select("id", found.alias("violation"), diffs.only_hunks(d).alias("only_hunks"))
+
+
+# -- embedding
+
+
+@query()
+def stub_embedding(spark, sf_dir):
+    """Mersenne Twister vectors of the documents: no SQL has them; tested against the generator."""
+    out = embedding.embed(views.chunks(spark, sf_dir), "stub", {"dimension": 16}, model_id="stub-16")
+    return out.select("chunk_id", "model_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
+# -- extensions
+
+
+@query("SELECT n_regionkey::bigint AS region, c_mktsegment AS segment, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ROLLUP (n_regionkey, c_mktsegment)")
+def ext_rollup(spark, sf_dir):
+    joined = sf_table(spark, sf_dir, "customer").join(sf_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.rollup(F.col("n_regionkey").cast("long").alias("region"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_nationkey::bigint AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def ext_intersect(spark, sf_dir):
+    k = lambda t, c: sf_table(spark, sf_dir, t).select(F.col(c).cast("long").alias("k"))
+    return k("customer", "c_nationkey").intersect(k("supplier", "s_nationkey"))

@@ -1,8 +1,11 @@
 """Operator 10, n-gram Jaccard join with set-relation skipping.
 
 1. Texts become shingle sets; equal sets are one class.
-2. Candidate groups: two sets that link share a token among the first |x| - ceil(t|x|) + 1 in any one order
-   of tokens. The order is long shingles first, with those found at the front of very many sets put last.
+2. Sieve: of the e(n) front tokens of a set, in one order of all tokens, at most D(n) are missing from the
+   front of a set it links with (see missing()). A set with more tokens than that at no other set's front
+   links with nothing. The order is long shingles first, which are seldom shared.
+   Candidate groups: two sets that link share a token among the first |x| - ceil(t|x|) + 1 in any one order
+   of tokens. For this order, tokens found at the front of very many sets are put last.
    Sets sharing a front token and of near sizes are tied to one of them, a line per token and not a pair
    each, and connected components of these ties are the groups.
 3. Inside a group, index lists are sorted by set size, so that the blocks outside a set's size range are
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm.components import components
@@ -26,12 +29,31 @@ from sievelight.llm.shingles import set_key, shingle_sets
 
 #: Sets whose front holds a token from which the token is put last in the order.
 FREQUENT = 128
+#: Times that sets without a partner are taken out.
+ROUNDS = 2
 #: Rows of a table of frequent tokens up to which it is broadcast (8 bytes each).
 BROADCAST_ROWS = 2_000_000
 #: Sets and tokens of a group that one task takes; larger groups are dealt as pairs of chunks.
 GROUP_SETS, GROUP_TOKENS = 1500, 3_000_000
 
 
+def front_size(n: int, num: int, den: int) -> int:
+    """Front tokens kept of a set of n."""
+    return -(-2 * (den - num) * n // num) + 16
+
+
+def missing(n: Column, num: int, den: int) -> Column:
+    """D(n): front tokens of a set of n that can be missing from the front of a set y it links with.
+
+    These are in x only, or in y but behind its front: |x\\y| + |y\\x| + max(0, e(|x|) - e(|y|)). With
+    Jaccard similarity t or more the first two are (1-t)/(1+t) (|x|+|y|) at most; all is linear in |y|, so
+    the most is at an end of [t|x|, |x|/t]. Two more for the rounding of e.
+    """
+    t = num / den
+    f = 2 * (1 - t) / t
+    return F.floor(n * F.lit(max((1 - t) / t, (1 - t) * (1 + f))) + F.lit(2.0 + 1e-6))
+
+
 def overlaps_join(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each set in order of size: (its number, the numbers of linked sets of which it is the later one).
 
@@ -81,7 +103,7 @@ def overlaps_join(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int)
 
 
 def _sets(width: int, front: tuple[int, int] | None):
-    """Rows (…, text) to (…, set_key, n, tokens): the first 2p + 16 tokens for front=(num, den), else all as bytes."""
+    """Rows (…, text) to (…, set_key, n, tokens): the front tokens for front=(num, den), else all as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,8 +121,7 @@ def _sets(width: int, front: tuple[int, int] | None):
                 keys.append(set_key(s))
                 sizes.append(len(s))
                 if front:
-                    p = len(s) - -(-front[0] * len(s) // front[1]) + 1 if len(s) else 0
-                    tokens.append(s[: 2 * p + 16].view(np.int64))
+                    tokens.append(s[: front_size(len(s), *front)].view(np.int64))
                 else:
                     tokens.append(s.tobytes())
                 held += len(tokens[-1])
@@ -191,9 +212,18 @@ def jaccard_join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     fronts = docs.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_sets(width, (num, den)), f"id {kind}, text_hash long, set_key binary, n long, tokens array<long>")
     found = scratch.table(fronts, "fronts")
     filled = found.filter("n > 0")
-    classes = scratch.table(filled.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
-    rid = F.conv(F.substring(F.hex("set_key"), 1, 15), 16, 10).cast("long")  # 60 bits; a clash only joins two groups of candidates
-    sets = classes.select("set_key", rid.alias("rid"), "n", "tokens", (F.col("n") - F.ceil(F.col("n") * num / F.lit(den).cast("double") - F.lit(1e-9)) + 1).cast("int").alias("p"))
+    rid = F.conv(F.substring(F.hex("set_key"), 1, 15), 16, 10).cast("long")  # 60 bits of the key
+    classes = scratch.table(filled.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n")), "classes").withColumn("rid", rid)
+    near = filled.select(rid.alias("rid"), "tokens")
+    open_ = classes
+    for round_ in range(ROUNDS):  # what the first round takes out can leave others without partners
+        ends = near.select(F.explode("tokens").alias("t"), "rid").groupBy("t").agg(F.min("rid").alias("rid"), F.max("rid").alias("other"))
+        single = ends.filter("rid = other").groupBy("rid").agg(F.count("*").alias("alone"))
+        open_ = open_.join(single, "rid", "left").filter(F.coalesce("alone", F.lit(0)) <= missing(F.col("n"), num, den)).drop("alone")
+        open_ = scratch.table(open_, f"open-{round_}")
+        near = near.join(open_.select("rid"), "rid", "left_semi")
+    kept = filled.join(open_.select("set_key", "rid"), "set_key").dropDuplicates(["set_key"])
+    sets = scratch.table(kept.select("set_key", "rid", "n", "tokens", (F.col("n") - F.ceil(F.col("n") * num / F.lit(den).cast("double") - F.lit(1e-9)) + 1).cast("int").alias("p")), "sets")
 
     # tokens at the front of very many sets go last in the order
     frequent = scratch.table(sets.select(F.explode(F.slice("tokens", F.lit(1), F.col("p"))).alias("t")).groupBy("t").count().filter(F.col("count") > FREQUENT).select("t"), "frequent")
@@ -207,9 +237,9 @@ def jaccard_join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         last = F.array_intersect("tokens", F.coalesce("hot", F.array().cast("array<long>")))
         front = F.when(whole, F.slice(F.concat("rare", last), F.lit(1), F.col("p"))).when(F.size("rare") >= F.col("p"), F.slice("rare", F.lit(1), F.col("p")))
         sets = scratch.table(sets.select("set_key", "rid", "n", "p", front.alias("front")), "ordered")
-        open_ = sets.filter("front is null")  # too many frequent tokens among those kept: their whole sets decide
-        if open_.limit(1).count():
-            full = _whole_sets(docs, classes.join(open_.select("set_key", "rid", "p"), "set_key"), width)
+        unsure = sets.filter("front is null")  # too many frequent tokens among those kept: their whole sets decide
+        if unsure.limit(1).count():
+            full = _whole_sets(docs, open_.join(unsure.select("set_key", "p"), "set_key"), width)
             tokens = full.mapInArrow(_unpack, "set_key binary, rid long, n long, p int, t long")
             ranked = tokens.join(small(frequent.withColumn("last", F.lit(1))), "t", "left").select("set_key", "rid", "n", "p", F.struct(F.coalesce("last", F.lit(0)).alias("last"), F.when(F.col("t") < 0, 1).otherwise(0).alias("sign"), "t").alias("o"))
             # unsigned order: numbers with the sign bit come after the others
@@ -220,7 +250,7 @@ def jaccard_join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     groups = scratch.table(components(_ties(sets, num, den), scratch), "groups")
 
     # groups of bounded size; k chunks for larger ones
-    member = classes.select("set_key", rid.alias("rid"), "rep", "copies", "n").join(groups, F.col("rid") == F.col("node")).drop("node").withColumnRenamed("component", "grp")
+    member = open_.select("set_key", "rid", "rep", "copies", "n").join(groups, F.col("rid") == F.col("node")).drop("node").withColumnRenamed("component", "grp")
     size = member.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("tokens")).withColumn("k", F.greatest(F.ceil(F.col("m") / GROUP_SETS), F.ceil(F.col("tokens") / GROUP_TOKENS)).cast("int")).select("grp", "k")
     member = scratch.table(member.join(size, "grp"), "members")
     whole_sets = _whole_sets(docs, member, width)

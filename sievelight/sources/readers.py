@@ -31,7 +31,7 @@ def source_files(spark: SparkSession, root: str, suffix: str = "*.rs") -> DataFr
     files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/*", "/")
     path = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
-    return files.select(F.ltrim(F.replace(path, base, F.lit("")), F.lit("/")).alias("path"), F.decode("content", "UTF-8").alias("content"))
+    return files.select(F.ltrim(F.replace(path, base, F.lit("")), F.lit("/")).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:

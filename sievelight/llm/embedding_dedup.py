@@ -111,11 +111,11 @@ def _cells(least: float):
     return run
 
 
-def near_pairs(x: np.ndarray, home: np.ndarray, sides: np.ndarray, block: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of linked vectors of a cell that are near in this block and in none before it."""
+def near_pairs(x: np.ndarray, home: np.ndarray, sides: np.ndarray | None, block: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of linked vectors of a cell that are near in this block and in none before it; with sides, only pairs across them."""
     turned, (blocks, reach) = rotated(x), budgets(x.shape[1], least)
     y = turned[:, blocks[block]]
-    norm, length, both = (y * y).sum(axis=1), np.sqrt((x * x).sum(axis=1)), len(np.unique(sides)) > 1
+    norm, length = (y * y).sum(axis=1), np.sqrt((x * x).sum(axis=1))
     order = np.arange(len(x))
     for lo in range(0, len(x), 512):
         part = slice(lo, lo + 512)
@@ -123,7 +123,7 @@ def near_pairs(x: np.ndarray, home: np.ndarray, sides: np.ndarray, block: int, l
         i, j = np.nonzero(d <= reach[block] + 1e-9)
         i = i + lo
         ok = (order[j] > i) & (home[i] | home[j])
-        if both:
+        if sides is not None:
             ok &= sides[i] != sides[j]
         i, j = i[ok], j[ok]
         for s in range(0, len(i), 65536):
@@ -144,7 +144,7 @@ def _compare(least: float):
 
     def group(rows: list[tuple]) -> Iterator[tuple]:
         (_, dim, block, _, left, right), x = rows[0][:6], np.array([_vector(r[9], r[1]) for r in rows])
-        sides = np.zeros(len(rows), int) if left == right else np.array([r[6] for r in rows])
+        sides = None if left == right else np.array([r[6] for r in rows])
         home, copies = np.array([r[10] for r in rows]), np.array([r[8] for r in rows])
         root, links = list(range(len(rows))), np.zeros(len(rows), np.int64)
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,12 +74,25 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).take(index), b.column(1).take(index), pa.array(place, pa.int32()), pa.array(hashes, pa.binary())], names=["key", "id", "place", "hash"])
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, rest, text) with the text compressed, for the shuffle."""
+    press = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        packed = [None if t is None else press.compress(t.encode()) for t in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["key", "rest", "packed"])
+
+
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rest, text, marks) to (rest, text, n_lines, n_removed_lines, pieces): pieces are the bytes to compare."""
-    kind = pa.list_(pa.struct([("hash", pa.binary()), ("text", pa.string())]))
+    """(rest, packed, marks) to (rest, text, n_lines, n_removed_lines, pieces): pieces are the bytes to compare.
+
+    They are compressed, which gives equal bytes for equal texts and for no others.
+    """
+    kind = pa.list_(pa.struct([("hash", pa.binary()), ("text", pa.binary())]))
+    press, loose = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
     for b in batches:
         texts, n, gone, pieces = [], [], [], []
-        for text, marks in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for packed, marks in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            text = None if packed is None else loose.decompress(packed).decode()
             lines, told = (text.split("\n") if text else []), []
             count = len(lines)
             if marks:
@@ -86,7 +100,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out = set()
                 for m in marks:
                     a, e = (0, count) if m["place"] == WHOLE else own[m["place"]][:2]
-                    told.append({"hash": m["hash"], "text": "\n".join(lines[a:e])})
+                    told.append({"hash": m["hash"], "text": press.compress("\n".join(lines[a:e]).encode())})
                     if not m["first"]:
                         out.update(range(a, e))
                 lines = [x for i, x in enumerate(lines) if i not in out]
@@ -100,14 +114,14 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: row (a struct of df's columns), text without repeated chunks, n_lines, n_removed_lines.
+    """One row per row of df: row (a struct of df's columns but the text), text without repeated chunks, n_lines, n_removed_lines.
 
     A text all of whose lines go becomes empty; a null text stays null and has no lines. The first occurrence
     is that of the smallest id (nulls first), then the earliest place; of repeated rows one counts as first. An
     empty table gives an empty result. df's own columns travel inside row, so no name can clash.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "lines")
-    docs = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"), F.struct(*(df[c] for c in df.columns)).alias("rest"))
+    docs = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"), F.struct(*(df[c] for c in df.columns if c != text_col)).alias("rest"))
     if docs.groupBy("id").count().filter("count > 1 or id is null").limit(1).count():  # ids don't name rows
         docs = scratch.table(docs.withColumn("key", F.monotonically_increasing_id()), "docs")
     else:
@@ -119,9 +133,11 @@ def line_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     marked = found.join(repeated, "hash").select("key", F.struct("place", "hash", F.struct("id", "key", "place").eqNullSafe(F.col("least")).alias("first")).alias("mark"))
     marks = scratch.table(marked.groupBy("key").agg(F.collect_list("mark").alias("marks")), "marks")
 
+    squeezed = docs.select("key", "rest", "text").mapInArrow(_squeeze, f"key {types['key']}, rest {types['rest']}, packed binary")
+
     def rewritten(marks: DataFrame, name: str) -> DataFrame:
-        ready = docs.join(marks, "key", "left").select("rest", "text", "marks")
-        out = ready.mapInArrow(_rewrite, f"rest {types['rest']}, text string, n_lines long, n_removed_lines long, pieces array<struct<hash:binary,text:string>>")
+        ready = squeezed.join(marks, "key", "left").select("rest", "packed", "marks")
+        out = ready.mapInArrow(_rewrite, f"rest {types['rest']}, text string, n_lines long, n_removed_lines long, pieces array<struct<hash:binary,text:binary>>")
         return scratch.table(out, name)
 
     out = rewritten(marks, "rewritten")

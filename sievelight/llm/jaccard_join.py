@@ -33,6 +33,8 @@ FREQUENT = 128
 ROUNDS = 2
 #: Rows of a table of frequent tokens up to which it is broadcast (8 bytes each).
 BROADCAST_ROWS = 2_000_000
+#: Representatives whose texts are fetched by a broadcast (some 80 bytes each), and by a shuffle beyond.
+WANTED_ROWS = 400_000
 #: Sets and tokens of a group that one task takes; larger groups are dealt as pairs of chunks.
 GROUP_SETS, GROUP_TOKENS = 1500, 3_000_000
 
@@ -54,14 +56,13 @@ def missing(n: Column, num: int, den: int) -> Column:
     return F.floor(n * F.lit(max((1 - t) / t, (1 - t) * (1 + f))) + F.lit(2.0 + 1e-6))
 
 
-def overlaps_join(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+def overlaps_join(sets: list[np.ndarray], sides: np.ndarray | None, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each set in order of size: (its number, the numbers of linked sets of which it is the later one).
 
-    Linked: den * intersection >= num * union. Where sides holds two values only pairs across them count.
+    Linked: den * intersection >= num * union. With sides only pairs across them count.
     """
     order = np.argsort([len(s) for s in sets], kind="stable")
     sizes = np.array([len(sets[i]) for i in order], np.int64)
-    both = len(np.unique(sides)) > 1
     m = len(order)
     flat = np.concatenate([sets[i] for i in order])
     owner = np.repeat(np.arange(m), sizes)
@@ -72,7 +73,7 @@ def overlaps_join(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int)
     lists, starts = owner[by_token], np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(df)))])
     own = np.split(token, np.searchsorted(owner, np.arange(1, m)))
     own = [np.sort(t) for t in own]
-    side = sides[order]
+    side = None if sides is None else sides[order]
     rows: dict[int, np.ndarray] = {}
     best, source = np.zeros(m, np.int64), np.full(m, -1)
 
@@ -97,7 +98,7 @@ def overlaps_join(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int)
         lo = int(np.searchsorted(sizes, -(-num * sizes[x] // den)))  # smaller sets can't link: skipped by position
         o = row[lo:x]
         hit = np.flatnonzero(den * o >= num * (sizes[lo:x] + sizes[x] - o)) + lo
-        if both:
+        if side is not None:
             hit = hit[side[hit] != side[x]]
         yield int(order[x]), order[hit]
 
@@ -139,9 +140,8 @@ def _verify(num: int, den: int):
 
     def group(rows: list[tuple]) -> Iterator[tuple]:
         sets = [np.frombuffer(r[6], np.uint64) for r in rows]
-        copies, sides = np.array([r[5] for r in rows]), np.array([r[3] for r in rows])
-        if rows[0][1] == rows[0][2]:
-            sides[:] = 0
+        copies = np.array([r[5] for r in rows])
+        sides = None if rows[0][1] == rows[0][2] else np.array([r[3] for r in rows])
         root, links = list(range(len(rows))), np.zeros(len(rows), np.int64)
 
         def find(i: int) -> int:
@@ -278,6 +278,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """wanted (set_key, rep, …) with the whole set as bytes, made again from the text of the representative."""
     rest = [c for c in wanted.columns if c not in ("set_key", "n", "tokens", "rep")]
     own = wanted.select("rep", F.col("set_key").alias("want"), *rest)
+    if own.limit(WANTED_ROWS + 1).count() <= WANTED_ROWS:  # else both sides are shuffled
+        own = F.broadcast(own)
     text = own.join(docs, own["rep"].eqNullSafe(docs["id"])).select("want", *rest, "text")
     types = {f.name: f.dataType.simpleString() for f in text.schema.fields}
     made = text.mapInArrow(_sets(width, None), ", ".join(f"{c} {types[c]}" for c in ["want", *rest]) + ", set_key binary, n long, tokens binary")

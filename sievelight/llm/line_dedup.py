@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sievelight.llm.scratch import Scratch
 
 #: Lines under the rolling hash, one boundary in how many places, least lines of a chunk, words of a long line.
-WINDOW, EVERY, LEAST_LINES, LONG = 2, 2, 2, 50
+WINDOW, EVERY, LEAST_LINES, LONG = 2, 2, 2, 25
 WHOLE = -1
 _MASK = (1 << 64) - 1
 

@@ -1,7 +1,7 @@
 """Operator 3, quality rules: distribution divergence from language references, DataFrame functions only.
 
 Each document's histograms of character classes and of its language's common words are compared with
-the mean histograms of that language's documents by Jensen-Shannon distance (base 2, 0 to 1). Short
+what is typical of that language's documents by Jensen-Shannon distance (base 2, 0 to 1). Short
 documents have noisy histograms, so the limits widen with the inverse square root of the length, and
 below a minimum length a histogram has no say.
 """
@@ -25,9 +25,11 @@ COMMON = {
 WHITE = " \t\n\x0b\x0c\r"
 #: Character classes besides lower-case and other letters, which are the rest of the words' characters.
 CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "stop": "[.,;:!?'\"()\\-]", "symbol": "[#*$%&|<>]", "wide": "[^\\x00-\\x7F]"}
+#: Good documents that a language's own reference needs.
+REFERENCE_LEAST = 5
 #: Limits of the distances, what 1/sqrt(length) adds, and the least lengths (characters, words).
 CHAR_LIMIT, CHAR_SLACK, CHAR_LEAST = 0.085, 3.0, 100
-WORD_LIMIT, WORD_SLACK, WORD_LEAST = 0.25, 3.0, 50
+WORD_LIMIT, WORD_SLACK, WORD_LEAST = 0.35, 3.0, 50
 
 
 def _share(counts: list[Column], total: Column) -> Column:
@@ -88,23 +90,33 @@ def measures(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, rows:
 
 
 def references(measured: DataFrame) -> DataFrame:
-    """Mean shares of each language's documents that pass the base rules, and of all (lang null): five rows at most."""
+    """Typical shares of each language's documents that pass the base rules, and of all (lang null): five rows at most.
+
+    The median of each share, then over their sum: a minority of odd documents doesn't shift it. Medians are
+    sketches of a fixed size.
+    """
     good = measured.filter(~F.col("base_failed"))
 
-    def mean(col: str, n: int) -> Column:
-        return F.array(*(F.avg(F.col(col)[i]) for i in range(n)))
+    def typical(col: str, n: int) -> list[Column]:
+        return [F.percentile_approx(F.col(col)[i], 0.5, 2000).alias(f"{col}{i}") for i in range(n)]
+
+    def whole(col: str, n: int) -> Column:
+        parts = F.array(*(F.col(f"{col}{i}") for i in range(n)))
+        total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+        return F.when(total > 0, F.transform(parts, lambda x: x / total))
 
-    n_chars, n_words = len(CLASSES) + 1, 13
-    own = good.filter(F.col("lang").isNotNull()).groupBy("lang").agg(mean("char_share", n_chars).alias("ref_chars"), mean("word_share", n_words).alias("ref_words"))
-    whole = good.agg(mean("char_share", n_chars).alias("ref_chars")).select(F.lit(None).cast("string").alias("lang"), "ref_chars", F.lit(None).cast("array<double>").alias("ref_words"))
-    return own.unionByName(whole)
+    chars, words = ("char_share", len(CLASSES) + 1), ("word_share", 13)
+    own = good.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"), *typical(*chars), *typical(*words)).filter(F.col("n") >= REFERENCE_LEAST)
+    own = own.select("lang", whole(*chars).alias("ref_chars"), whole(*words).alias("ref_words"))
+    every = good.agg(*typical(*chars)).select(F.lit(None).cast("string").alias("lang"), whole(*chars).alias("ref_chars"), F.lit(None).cast("array<double>").alias("ref_words"))
+    return own.unionByName(every)
 
 
 def quality_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: bool = False) -> DataFrame:
     """One row per row of df: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
 
-    A null text counts as empty (no words: base_failed). A null or unknown language is compared with the
-    mean over all documents, by characters only. Where no document passes the base rules there is no
+    A null text counts as empty (no words: base_failed). A null or unknown language, and one of fewer than
+    REFERENCE_LEAST good documents, is compared with what is typical of all documents, by characters only. Where no document passes the base rules there is no
     reference: distances are null and the base rules alone decide. Repeated rows get equal verdicts; an
     empty table gives an empty result; other columns aren't read. Each row is measured by itself, in one
     narrow pass; only sums per language are shuffled.
@@ -112,8 +124,10 @@ def quality_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     scratch = Scratch(df.sparkSession, "quality")
     measured = scratch.table(measures(df, id_col=id_col, text_col=text_col, lang_col=lang_col, rows=rows), "measured")
-    refs = F.broadcast(references(measured))
-    out = measured.join(refs, measured["lang"].eqNullSafe(refs["lang"]), "left").drop(refs["lang"])
+    refs = scratch.table(references(measured), "references")
+    own = F.broadcast(refs.filter("lang is not null").select(F.col("lang").alias("of"), F.col("ref_chars").alias("own_chars"), "ref_words"))
+    every = F.broadcast(refs.filter("lang is null").select(F.col("ref_chars").alias("all_chars")))  # one row
+    out = measured.join(own, measured["lang"] == F.col("of"), "left").crossJoin(every).withColumn("ref_chars", F.coalesce("own_chars", "all_chars"))
     out = out.withColumn("char_distance", F.when(F.col("ref_chars")[0].isNotNull() & (F.col("word_chars") >= CHAR_LEAST), js_distance(F.col("char_share"), F.col("ref_chars"))))
     out = out.withColumn("word_distance", F.when(F.col("ref_words")[0].isNotNull() & (F.col("n_words") >= WORD_LEAST), js_distance(F.col("word_share"), F.col("ref_words"))))
     far = F.coalesce(F.col("char_distance") > CHAR_LIMIT + CHAR_SLACK / F.sqrt(F.greatest("word_chars", F.lit(1))), F.lit(False)) | F.coalesce(

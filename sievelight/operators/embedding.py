@@ -61,3 +61,11 @@ def embed(chunks: DataFrame, kind: str, config: dict, *, model_id: str) -> DataF
 def embed_and_upsert(stored: DataFrame, chunks: DataFrame, kind: str, config: dict, *, model_id: str) -> DataFrame:
     """The stored vectors with those of chunks in place of older ones, by (chunk_id, model_id)."""
     return upsert_latest(stored, embed(chunks, kind, config, model_id=model_id), ["chunk_id", "model_id"])
+
+
+def model(models: DataFrame, model_id: str) -> dict:
+    """The registered model of an id, as a dict; an unknown one is an error."""
+    row = models.filter(F.col("model_id") == model_id).limit(1).collect()
+    if not row:
+        raise ValueError("model_not_found")
+    return row[0].asDict()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.functions import diagnostics, diffs, features, text
-from sievelight.operators import chunking, embedding, search, store, telemetry
+from sievelight.operators import chunking, embedding, evidence, search, store, telemetry
 from sievelight.plans import views
 from sievelight.plans.views import CODE_SQL, ITER_SQL, LOGS_SQL, METRICS_SQL, NL, SCORE_SQL, STEPS_SQL
 from sievelight.sources.readers import issues, sf_table
@@ -399,6 +399,27 @@ def diff_constraints(spark, sf_dir):
     return views.diffs(spark, sf_dir).select("id", found.alias("violation"), diffs.only_hunks(d).alias("only_hunks"))
 
 
+@query(f"""SELECT doc_id AS chunk_id, source || '/' AS file, 'code' AS evidence_type, CASE source WHEN 'src1' THEN 'unsafe,raw_ptr' WHEN 'src2' THEN 'manual_mem,unsafe,other' ELSE '' END AS tags, ({_RISK})::bigint AS risk_score FROM documents""")
+def evidence_items(spark, sf_dir):
+    out = evidence.items(views.chunks(spark, sf_dir))
+    return out.select("chunk_id", "file", "evidence_type", F.array_join("risk_tags", ",").alias("tags"), F.col("risk_score").cast("long"))
+
+
+@query("""WITH s AS (SELECT event_id, user_id, CASE event_id % 5 WHEN 0 THEN 'code_slice' WHEN 1 THEN 'replacement_strategy' WHEN 2 THEN 'rust_rule_snippet_x' ELSE 'note' END AS t FROM events)
+ SELECT event_id, user_id FROM s WHERE t IN ('replacement_strategy', 'rust_rule_snippet_x') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 10""")
+def strategies_of_runs(spark, sf_dir):
+    e = F.col("event_id")
+    kind = F.when(e % 5 == 0, "code_slice").when(e % 5 == 1, "replacement_strategy").when(e % 5 == 2, "rust_rule_snippet_x").otherwise("note")
+    rows = sf_table(spark, sf_dir, "events").select("event_id", "user_id", kind.alias("evidence_type"))
+    return evidence.strategies(rows, "event_id", "user_id").select("event_id", "user_id")
+
+
+@query(f"""WITH {CODE_SQL} SELECT path, '--- a/' || path || {NL} || '+++ b/' || path || {NL} || CASE WHEN k % 7 = 0 THEN '@@ -1,1 +1,1 @@' || {NL} || '-// nothing' || {NL} || '+// nothing // patched'
+ ELSE '@@ -2,1 +2,1 @@' || {NL} || '-' || split_part(content, {NL}, 2) || {NL} || '+' || split_part(content, {NL}, 2) || ' // patched' END || {NL} AS diff FROM code""")
+def template_diffs(spark, sf_dir):
+    return views.code(spark, sf_dir).select("path", evidence.template_diff(F.col("path"), F.col("content"), edit=True).alias("diff"))
+
+
 # -- embedding
 
 

@@ -33,7 +33,7 @@ FREQUENT = 128
 ROUNDS = 2
 #: Rows of a table of frequent tokens up to which it is broadcast (8 bytes each).
 BROADCAST_ROWS = 2_000_000
-#: Representatives whose texts are fetched by a broadcast (some 80 bytes each), and by a shuffle beyond.
+#: Sets with candidates (some 80 bytes each) up to which their keys are broadcast; by a shuffle beyond.
 WANTED_ROWS = 400_000
 #: Sets and tokens of a group that one task takes; larger groups are dealt as pairs of chunks.
 GROUP_SETS, GROUP_TOKENS = 1500, 3_000_000
@@ -221,8 +221,8 @@ def jaccard_join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         single = ends.filter("rid = other").groupBy("rid").agg(F.count("*").alias("alone"))
         open_ = open_.join(single, "rid", "left").filter(F.coalesce("alone", F.lit(0)) <= missing(F.col("n"), num, den)).drop("alone")
         open_ = scratch.table(open_, f"open-{round_}")
-        near = near.join(open_.select("rid"), "rid", "left_semi")
-    kept = filled.join(open_.select("set_key", "rid"), "set_key").dropDuplicates(["set_key"])
+        near = near.join(_checked(open_.select("rid")), "rid", "left_semi")
+    kept = filled.join(_checked(open_.select("set_key", "rid")), "set_key").dropDuplicates(["set_key"])
     sets = scratch.table(kept.select("set_key", "rid", "n", "tokens", (F.col("n") - F.ceil(F.col("n") * num / F.lit(den).cast("double") - F.lit(1e-9)) + 1).cast("int").alias("p")), "sets")
 
     # tokens at the front of very many sets go last in the order
@@ -274,12 +274,15 @@ def jaccard_join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("root").alias("group_key"), "text_hash")
 
 
+def _checked(df: DataFrame) -> DataFrame:
+    """df to be broadcast if it has WANTED_ROWS at most; else both sides of a join are shuffled."""
+    return F.broadcast(df) if df.limit(WANTED_ROWS + 1).count() <= WANTED_ROWS else df
+
+
 def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """wanted (set_key, rep, …) with the whole set as bytes, made again from the text of the representative."""
     rest = [c for c in wanted.columns if c not in ("set_key", "n", "tokens", "rep")]
-    own = wanted.select("rep", F.col("set_key").alias("want"), *rest)
-    if own.limit(WANTED_ROWS + 1).count() <= WANTED_ROWS:  # else both sides are shuffled
-        own = F.broadcast(own)
+    own = _checked(wanted.select("rep", F.col("set_key").alias("want"), *rest))
     text = own.join(docs, own["rep"].eqNullSafe(docs["id"])).select("want", *rest, "text")
     types = {f.name: f.dataType.simpleString() for f in text.schema.fields}
     made = text.mapInArrow(_sets(width, None), ", ".join(f"{c} {types[c]}" for c in ["want", *rest]) + ", set_key binary, n long, tokens binary")

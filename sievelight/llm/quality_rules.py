@@ -3,7 +3,9 @@
 Each document's histograms of character classes and of its language's common words are compared with
 what is typical of that language's documents by Jensen-Shannon distance (base 2, 0 to 1). Short
 documents have noisy histograms, so the limits widen with the inverse square root of the length, and
-below a minimum length a histogram has no say.
+below a minimum length a histogram has no say. Every language met has a character reference of its own; a
+document without one is compared with the nearest reference over its ASCII characters, since other letters
+say which language it is and not how good it is.
 """
 
 from __future__ import annotations
@@ -25,8 +27,12 @@ COMMON = {
 WHITE = " \t\n\x0b\x0c\r"
 #: Character classes besides lower-case and other letters, which are the rest of the words' characters.
 CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "stop": "[.,;:!?'\"()\\-]", "symbol": "[#*$%&|<>]", "wide": "[^\\x00-\\x7F]"}
-#: Good documents that a language's own reference needs.
+#: Good documents from which a language's own reference decides alone.
 REFERENCE_LEAST = 5
+#: References (of most documents) among which the nearest is looked for, and those beyond which they aren't broadcast.
+NEAREST_OF, BROADCAST_ROWS = 256, 10_000
+#: Place of "wide" in char_share.
+WIDE = list(CLASSES).index("wide")
 #: Limits of the distances, what 1/sqrt(length) adds, and the least lengths (characters, words).
 CHAR_LIMIT, CHAR_SLACK, CHAR_LEAST = 0.085, 3.0, 100
 WORD_LIMIT, WORD_SLACK, WORD_LEAST = 0.35, 3.0, 50
@@ -51,7 +57,7 @@ def measures(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, rows:
     """Per row: lang, the base counts, char_share and word_share; the words themselves go no further."""
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
     lang = df[lang_col].cast("string")
-    out = df.select(df[id_col].alias("id"), F.when(lang.isin(*COMMON), lang).alias("lang"), text.alias("text"), *([F.struct(*(df[c] for c in df.columns)).alias("row")] if rows else []))
+    out = df.select(df[id_col].alias("id"), lang.alias("lang"), text.alias("text"), *([F.struct(*(df[c] for c in df.columns)).alias("row")] if rows else []))
     out = out.withColumn("trimmed", F.btrim("text", F.lit(WHITE)))
     out = out.withColumn("words", F.when(F.col("trimmed") != "", F.split("trimmed", r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))).drop("trimmed")
     out = out.withColumn("n_words", F.size("words").cast("long"))
@@ -84,16 +90,16 @@ def measures(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, rows:
     by_slot = [F.size(F.filter("common", lambda w, i=i: w == F.get("own", F.lit(i)))).cast("long") for i in range(12)]
     n_upper, n_digit, n_stop, n_symbol, n_wide = (F.col(f"n_{c}") for c in CLASSES)
     out = out.withColumn("char_share", _share([n_upper, n_digit, n_stop, n_symbol, F.least(n_wide, F.col("word_chars") - n_upper - n_digit - n_stop - n_symbol)], F.col("word_chars")))
-    out = out.withColumn("word_share", F.when(F.col("lang").isNotNull(), _share(by_slot, F.col("n_words"))))
+    out = out.withColumn("word_share", F.when(F.col("lang").isin(*COMMON), _share(by_slot, F.col("n_words"))))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.select("id", "lang", "n_words", "word_chars", F.col("n_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "char_share", "word_share", *(["row"] if rows else []))
 
 
 def references(measured: DataFrame) -> DataFrame:
-    """Typical shares of each language's documents that pass the base rules, and of all (lang null): five rows at most.
+    """Typical shares of each language's documents that pass the base rules: lang, n, ref_chars, ref_words (of the four languages).
 
     The median of each share, then over their sum: a minority of odd documents doesn't shift it. Medians are
-    sketches of a fixed size.
+    sketches of a fixed size. One row per language met.
     """
     good = measured.filter(~F.col("base_failed"))
 
@@ -106,33 +112,52 @@ def references(measured: DataFrame) -> DataFrame:
         return F.when(total > 0, F.transform(parts, lambda x: x / total))
 
     chars, words = ("char_share", len(CLASSES) + 1), ("word_share", 13)
-    own = good.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"), *typical(*chars), *typical(*words)).filter(F.col("n") >= REFERENCE_LEAST)
-    own = own.select("lang", whole(*chars).alias("ref_chars"), whole(*words).alias("ref_words"))
-    every = good.agg(*typical(*chars)).select(F.lit(None).cast("string").alias("lang"), whole(*chars).alias("ref_chars"), F.lit(None).cast("array<double>").alias("ref_words"))
-    return own.unionByName(every)
+    own = good.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"), *typical(*chars), *typical(*words))
+    return own.select("lang", "n", whole(*chars).alias("ref_chars"), whole(*words).alias("ref_words"))
+
+
+def _ascii(share: Column) -> Column:
+    """Character shares without the wide ones, over their sum."""
+    return F.transform(F.filter(share, lambda _, i: i != WIDE), lambda x: x / F.greatest(1 - share[WIDE], F.lit(1e-9)))
 
 
 def quality_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: bool = False) -> DataFrame:
     """One row per row of df: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
 
-    A null text counts as empty (no words: base_failed). A null or unknown language, and one of fewer than
-    REFERENCE_LEAST good documents, is compared with what is typical of all documents, by characters only. Where no document passes the base rules there is no
-    reference: distances are null and the base rules alone decide. Repeated rows get equal verdicts; an
-    empty table gives an empty result; other columns aren't read. Each row is measured by itself, in one
-    narrow pass; only sums per language are shuffled.
+    A null text counts as empty (no words: base_failed). Any language of REFERENCE_LEAST good documents is
+    compared with its own reference. A document of null or a rarer language is far only if its ASCII
+    characters are far from those of the nearest reference, and its characters from its language's own, if
+    there is one; mostly non-ASCII text is left to the base rules. char_distance is then the smaller of the
+    two. Where there is no reference, distances are null and the base rules alone decide. Repeated rows get
+    equal verdicts; an empty table gives an empty result; other columns aren't read. Each row is measured by
+    itself, in one narrow pass; only sums per language are shuffled.
     rows: adds row, a struct of df's columns, which spares a join where the verdict is put to use.
     """
     scratch = Scratch(df.sparkSession, "quality")
     measured = scratch.table(measures(df, id_col=id_col, text_col=text_col, lang_col=lang_col, rows=rows), "measured")
-    refs = scratch.table(references(measured), "references")
-    own = F.broadcast(refs.filter("lang is not null").select(F.col("lang").alias("of"), F.col("ref_chars").alias("own_chars"), "ref_words"))
-    every = F.broadcast(refs.filter("lang is null").select(F.col("ref_chars").alias("all_chars")))  # one row
-    out = measured.join(own, measured["lang"] == F.col("of"), "left").crossJoin(every).withColumn("ref_chars", F.coalesce("own_chars", "all_chars"))
-    out = out.withColumn("char_distance", F.when(F.col("ref_chars")[0].isNotNull() & (F.col("word_chars") >= CHAR_LEAST), js_distance(F.col("char_share"), F.col("ref_chars"))))
-    out = out.withColumn("word_distance", F.when(F.col("ref_words")[0].isNotNull() & (F.col("n_words") >= WORD_LEAST), js_distance(F.col("word_share"), F.col("ref_words"))))
-    far = F.coalesce(F.col("char_distance") > CHAR_LIMIT + CHAR_SLACK / F.sqrt(F.greatest("word_chars", F.lit(1))), F.lit(False)) | F.coalesce(
-        F.col("word_distance") > WORD_LIMIT + WORD_SLACK / F.sqrt(F.greatest("n_words", F.lit(1))), F.lit(False)
-    )
+    refs = scratch.table(references(measured), "references").filter("ref_chars is not null")
+    own = refs.select(F.col("lang").alias("of"), "n", "ref_chars", "ref_words")
+    if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        own = F.broadcast(own)
+    most = refs.filter(F.col("n") >= REFERENCE_LEAST).orderBy(F.desc("n"), "lang").limit(NEAREST_OF)
+    every = F.broadcast(most.agg(F.collect_list(_ascii(F.col("ref_chars"))).alias("every")))  # one row
+    out = measured.join(own, measured["lang"] == F.col("of"), "left").crossJoin(every)
+    wide = F.col("char_share")[WIDE]
+    settled = F.coalesce(F.col("n") >= REFERENCE_LEAST, F.lit(False))
+    out = out.withColumn("settled", settled).withColumn("n_ascii", F.col("word_chars") * (1 - wide)).withColumn("plain", _ascii(F.col("char_share")))
+    out = out.withColumn("own_distance", F.when(F.col("ref_chars").isNotNull() & (F.col("word_chars") >= CHAR_LEAST), js_distance(F.col("char_share"), F.col("ref_chars"))))
+    near = F.array_min(F.transform("every", lambda r: js_distance(F.col("plain"), r)))
+    out = out.withColumn("near_distance", F.when(~F.col("settled") & (wide <= 0.5) & (F.col("n_ascii") >= CHAR_LEAST), near))
+    out = out.withColumn("word_distance", F.when(F.col("ref_words")[0].isNotNull() & F.col("settled") & (F.col("n_words") >= WORD_LEAST), js_distance(F.col("word_share"), F.col("ref_words"))))
+
+    def over(distance: str, length: str, limit: float, slack: float) -> Column:
+        return F.col(distance) > limit + slack / F.sqrt(F.greatest(length, F.lit(1)))
+
+    far_own = over("own_distance", "word_chars", CHAR_LIMIT, CHAR_SLACK)
+    far_near = over("near_distance", "n_ascii", CHAR_LIMIT, CHAR_SLACK)
+    far_chars = F.when(F.col("settled"), F.coalesce(far_own, F.lit(False))).otherwise(F.coalesce(far_near, F.lit(False)) & F.coalesce(far_own, F.lit(True)))
+    far = far_chars | F.coalesce(over("word_distance", "n_words", WORD_LIMIT, WORD_SLACK), F.lit(False))
+    out = out.withColumn("char_distance", F.least("own_distance", "near_distance"))
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", (~F.col("base_failed") & ~far).alias("kept"), *(["row"] if rows else []))
 
 

@@ -3,13 +3,16 @@
 A rolling hash over the hashes of neighbouring lines says where a chunk ends, so boundaries depend on the
 lines around them and not on their place: a passage that is moved is cut alike. A line of LONG words or
 more is as long as several and is a chunk of its own. Chunks of two or more lines (or one long line), and
-whole texts, that occur again are removed; the first occurrence, by id and place, stays. Equal hashes only
-name candidates: their bytes are compared before anything is removed.
+whole texts, that occur again are removed; the first occurrence, by id and place, stays. Boundaries need
+some lines to agree, so runs of RUN words or more are found without them: from every line on, and up to every
+line, the least lines that hold RUN words are a window, and the windows that occur again cover just the lines
+of such runs. Equal hashes only name candidates: their bytes are compared before anything is removed.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,6 +25,8 @@ from sievelight.llm.scratch import Scratch
 
 #: Lines under the rolling hash, one boundary in how many places, least lines of a chunk, words of a long line.
 WINDOW, EVERY, LEAST_LINES, LONG = 2, 2, 2, 25
+#: Words from which a run of equal lines is a repeated passage, wherever it lies.
+RUN = 50
 WHOLE = -1
 _MASK = (1 << 64) - 1
 
@@ -48,12 +53,31 @@ def chunks(lines: list[str]) -> list[tuple[int, int, bool]]:
     return [(a, b, sum(w > 0 for w in words[a:b]) >= 2 or sum(words[a:b]) >= LONG) for a, b in out]
 
 
+def windows(lines: list[str]) -> list[tuple[int, int]]:
+    """(first line, line after the last) of the least runs of RUN words from and up to each line that has words.
+
+    The lines of any run of RUN words are covered by the windows inside it: the one from its first line, and
+    those up to the lines after. A single line is a chunk already.
+    """
+    sums = [0]
+    for x in lines:
+        sums.append(sums[-1] + len(x.encode().split()))
+    out = set()
+    for i in range(len(lines)):
+        if sums[i + 1] > sums[i]:
+            if sums[-1] - sums[i] >= RUN:
+                out.add((i, bisect_left(sums, sums[i] + RUN)))
+            if sums[i + 1] >= RUN:
+                out.add((bisect_right(sums, sums[i + 1] - RUN) - 1, i + 1))
+    return sorted((a, e) for a, e in out if e - a > 1)
+
+
 def _digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode(), digest_size=16).digest()
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, text) to a row per removable chunk: key, id, place, hash."""
+    """(key, id, text) to a row per removable chunk and window: key, id, place, hash; windows' places follow those of chunks."""
     for b in batches:
         row, place, hashes = [], [], []
         for i, text in enumerate(b.column(2).to_pylist()):
@@ -66,6 +90,12 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     row.append(i)
                     place.append(k)
                     hashes.append(_digest("\n".join(lines[a:e])))
+            if wide := windows(lines):
+                lined = [_digest(x) for x in lines]
+                for k, (a, e) in enumerate(wide, len(own)):
+                    row.append(i)
+                    place.append(k)
+                    hashes.append(hashlib.blake2b(b"\x01" + b"".join(lined[a:e]), digest_size=16).digest())
             if len(own) > 1 and any(may for *_, may in own):
                 row.append(i)
                 place.append(WHOLE)
@@ -96,10 +126,10 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines, told = (text.split("\n") if text else []), []
             count = len(lines)
             if marks:
-                own = chunks(lines)
+                own = [c[:2] for c in chunks(lines)] + windows(lines)
                 out = set()
                 for m in marks:
-                    a, e = (0, count) if m["place"] == WHOLE else own[m["place"]][:2]
+                    a, e = (0, count) if m["place"] == WHOLE else own[m["place"]]
                     told.append({"hash": m["hash"], "text": press.compress("\n".join(lines[a:e]).encode())})
                     if not m["first"]:
                         out.update(range(a, e))
@@ -114,7 +144,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: row (a struct of df's columns but the text), text without repeated chunks, n_lines, n_removed_lines.
+    """One row per row of df: row (a struct of df's columns but the text), text without repeated chunks and runs of lines, n_lines, n_removed_lines.
 
     A text all of whose lines go becomes empty; a null text stays null and has no lines. The first occurrence
     is that of the smallest id (nulls first), then the earliest place; of repeated rows one counts as first. An

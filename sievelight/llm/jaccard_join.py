@@ -1,142 +1,315 @@
 """Operator 10, n-gram Jaccard join with set-relation skipping.
 
-1. Texts become shingle sets; equal sets are one class.
-2. Sieve: of the e(n) front tokens of a set, in one order of all tokens, at most D(n) are missing from the
-   front of a set it links with (see missing()). A set with more tokens than that at no other set's front
-   links with nothing. The order is long shingles first, which are seldom shared.
-   Candidate groups: two sets that link share a token among the first |x| - ceil(t|x|) + 1 in any one order
-   of tokens. For this order, tokens found at the front of very many sets are put last.
-   Sets sharing a front token and of near sizes are tied to one of them, a line per token and not a pair
-   each, and connected components of these ties are the groups.
-3. Inside a group, index lists are sorted by set size, so that the blocks outside a set's size range are
-   skipped by position; the overlaps of a set are derived from those of the most similar set already done,
-   by the lists of only the tokens in which the two differ. Every overlap is exact.
-Groups over a bound are dealt as pairs of chunks, so no task holds an unbounded group.
+1. Texts become sets of shingles (64-bit numbers); equal sets are one class.
+2. Sieve: a set that links with another shares num/den of its shingles at least with it. Every shingle, four
+   bytes of it, goes once per batch of texts to the bucket of its value; buckets tell the batches which of
+   them others sent too. Sets with fewer such shingles link with nothing.
+3. Candidates: the others' shingles are counted in the same way and put in order, rare ones first. Linked
+   sets share one of the first |x| - ceil(t|x|) + 1 shingles in any one order. Sets that share one and are
+   of near sizes are tied to one of them, a line per shingle and not a pair each; connected components of
+   the ties are the groups.
+4. Inside a group, index lists are sorted by set size, and the blocks of a list outside a set's size range
+   are skipped by position; the overlaps of a set are derived from those of the most similar set already
+   done, by the lists of only the shingles in which the two differ. Every overlap is exact.
+A group over a bound is dealt as pairs of chunks, so no task holds an unbounded group. Nothing is broadcast.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sievelight.llm.components import components
 from sievelight.llm.scratch import Scratch
-from sievelight.llm.shingles import set_key, shingle_sets
+from sievelight.llm.shingles import set_key, shingle_batches
 
-#: Sets whose front holds a token from which the token is put last in the order.
-FREQUENT = 128
-#: Times that sets without a partner are taken out.
-ROUNDS = 2
-#: Rows of a table of frequent tokens up to which it is broadcast (8 bytes each).
-BROADCAST_ROWS = 2_000_000
-#: Sets with candidates (some 80 bytes each) up to which their keys are broadcast; by a shuffle beyond.
-WANTED_ROWS = 400_000
-#: Sets and tokens of a group that one task takes; larger groups are dealt as pairs of chunks.
-GROUP_SETS, GROUP_TOKENS = 1500, 3_000_000
-
-
-def front_size(n: int, num: int, den: int) -> int:
-    """Front tokens kept of a set of n."""
-    return -(-2 * (den - num) * n // num) + 16
-
-
-def missing(n: Column, num: int, den: int) -> Column:
-    """D(n): front tokens of a set of n that can be missing from the front of a set y it links with.
-
-    These are in x only, or in y but behind its front: |x\\y| + |y\\x| + max(0, e(|x|) - e(|y|)). With
-    Jaccard similarity t or more the first two are (1-t)/(1+t) (|x|+|y|) at most; all is linear in |y|, so
-    the most is at an end of [t|x|, |x|/t]. Two more for the rounding of e.
-    """
-    t = num / den
-    f = 2 * (1 - t) / t
-    return F.floor(n * F.lit(max((1 - t) / t, (1 - t) * (1 + f))) + F.lit(2.0 + 1e-6))
+#: Shingles that a bucket gets, about, and the bytes of text that give one.
+BUCKET_TOKENS, TOKEN_BYTES = 2_000_000, 5
+#: Shingles of the sets that are counted together.
+PACK_TOKENS = 250_000
+#: Sets and shingles of a chunk; a task takes two of them.
+GROUP_SETS, GROUP_TOKENS = 600, 400_000
+#: Parts of a shingle's list, and of a group, that are joined apart.
+SALTS = 64
 
 
 def overlaps_join(sets: list[np.ndarray], sides: np.ndarray | None, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set in order of size: (its number, the numbers of linked sets of which it is the later one).
+    """For each set in order of size: (its number, the numbers of the later sets it links with).
 
     Linked: den * intersection >= num * union. With sides only pairs across them count.
     """
     order = np.argsort([len(s) for s in sets], kind="stable")
     sizes = np.array([len(sets[i]) for i in order], np.int64)
     m = len(order)
-    flat = np.concatenate([sets[i] for i in order])
     owner = np.repeat(np.arange(m), sizes)
-    _, token, df = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = df[token] > 1  # a token of one set overlaps nothing
+    _, token, df = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    keep = df[token] > 1  # a shingle of one set overlaps nothing
     token, owner = token[keep], owner[keep]
-    by_token = np.argsort(token, kind="stable")  # lists in order of size, since owner rises
-    lists, starts = owner[by_token], np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(df)))])
-    own = np.split(token, np.searchsorted(owner, np.arange(1, m)))
-    own = [np.sort(t) for t in own]
+    entries = np.sort(token * m + owner)  # the index: list after list, each in order of size
+    owners = (entries % m).astype(np.int32)
+    own = [np.sort(t) for t in np.split(token, np.searchsorted(owner, np.arange(1, m)))]
     side = None if sides is None else sides[order]
+    last = np.searchsorted(sizes * num, sizes * den, side="right")  # larger sets can't link
     rows: dict[int, np.ndarray] = {}
-    best, source = np.zeros(m, np.int64), np.full(m, -1)
-
-    def count(tokens: np.ndarray) -> np.ndarray:
-        if not len(tokens):
-            return np.zeros(m, np.int64)
-        n = starts[tokens + 1] - starts[tokens]
-        at = np.arange(int(n.sum())) + np.repeat(starts[tokens] - (np.cumsum(n) - n), n)
-        return np.bincount(lists[at], minlength=m)
+    best, source, waiting = np.zeros(m, np.int32), np.full(m, -1), np.zeros(m, np.int64)
+
+    def count(tokens: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Of each set from lo to hi, how many of these shingles it has; a list is read from lo's block to hi's."""
+        if hi <= lo or not len(tokens):
+            return np.zeros(max(hi - lo, 0), np.int32)
+        start, end = np.searchsorted(entries, tokens * m + lo), np.searchsorted(entries, tokens * m + hi)
+        n = end - start
+        at = np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+        return np.bincount(owners[at] - lo, minlength=hi - lo).astype(np.int32)
+
+    def release(of: np.ndarray) -> None:
+        np.subtract.at(waiting, of, 1)
+        for k in np.unique(of[waiting[of] == 0]).tolist():
+            del rows[k]
 
     for x in range(m):
-        y = source[x]
+        lo, hi, y = x + 1, int(last[x]), int(source[x])
         if y >= 0 and len(own[x]) + len(own[y]) - 2 * best[x] < len(own[x]):
-            row = rows[y] + count(np.setdiff1d(own[x], own[y], assume_unique=True)) - count(np.setdiff1d(own[y], own[x], assume_unique=True))
+            known = min(int(last[y]), hi)  # rows[y] begins at y + 1
+            gone, more = np.setdiff1d(own[y], own[x], assume_unique=True), np.setdiff1d(own[x], own[y], assume_unique=True)
+            row = rows[y][lo - y - 1 : known - y - 1] + count(more, lo, known) - count(gone, lo, known)
+            row = np.concatenate([row, count(own[x], max(lo, known), hi)])
         else:
-            row = count(own[x])
-        # sets later in the order may derive theirs from this one
-        later = np.flatnonzero(row[x + 1 :] > best[x + 1 :]) + x + 1
-        if len(later):
-            rows[x] = row
-            best[later], source[later] = row[later], x
-        lo = int(np.searchsorted(sizes, -(-num * sizes[x] // den)))  # smaller sets can't link: skipped by position
-        o = row[lo:x]
-        hit = np.flatnonzero(den * o >= num * (sizes[lo:x] + sizes[x] - o)) + lo
+            row = count(own[x], lo, hi)
+        if y >= 0:
+            release(np.array([y]))
+        later = np.flatnonzero(row > best[lo:hi]) + lo
+        if len(later):  # they may derive theirs from this one
+            old = source[later]
+            rows[x], best[later], source[later], waiting[x] = row, row[later - lo], x, len(later)
+            release(old[old >= 0])
+        hit = np.flatnonzero(den * row.astype(np.int64) >= num * (sizes[lo:hi] + sizes[x] - row)) + lo
         if side is not None:
             hit = hit[side[hit] != side[x]]
         yield int(order[x]), order[hit]
 
 
-def _sets(width: int, front: tuple[int, int] | None):
-    """Rows (…, text) to (…, set_key, n, tokens): the front tokens for front=(num, den), else all as bytes."""
+def _press(x: np.ndarray, kind: str = "<u4") -> bytes:
+    return zlib.compress(x.astype(kind).tobytes(), 1)
+
+
+def _loose(b: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.frombuffer(zlib.decompress(b), kind)
+
+
+def _cuts(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the buckets, ranges of the upper half of a shingle, begin and end among sorted shingles."""
+    return np.searchsorted((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+
+
+def _low(tokens: np.ndarray) -> bytes:
+    return tokens.astype(np.uint32).tobytes()
+
+
+def _rows(b: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
+    """Rows as tuples, a few at a time in memory."""
+    for s in range(0, b.num_rows, step):
+        yield from zip(*(c.slice(s, step).to_pylist() for c in b.columns), strict=True)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], width: int = 1) -> Iterator[list[tuple]]:
+    """Rows that agree in the first width columns, as they come."""
+    held: list[tuple] = []
+    for b in batches:
+        for r in _rows(b):
+            if held and held[0][:width] != r[:width]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+_SENT = "bucket int, pack long, counts binary, ones binary, more binary, ids array<{kind}>, text_hash array<long>, keys binary, sizes array<long>, set array<int>, shared array<int>"
+_TOLD = "pack long, told binary, ids array<{kind}>, text_hash array<long>, keys binary, sizes array<long>, set array<int>, shared array<int>"
+
+
+def _send(width: int, buckets: int, kind: pa.DataType):
+    """(id, text_hash, text) to a row about the texts of a batch, and one for each bucket its shingles fall in.
+
+    Shingles of two sets of the batch are told apart (more); of the others (ones) counts says how many
+    each set has, set after set.
+    """
+    names = [c.split()[0] for c in _SENT.split(", ")]
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = TaskContext.get().partitionId() << 32
         for b in batches:
-            row, keys, sizes, tokens = [], [], [], []
-
-            def out(b=b):
-                index = pa.array(row, pa.int64())
-                cols = [b.column(i).take(index) for i in range(b.num_columns - 1)]
-                kind = pa.list_(pa.int64()) if front else pa.binary()
-                return pa.RecordBatch.from_arrays([*cols, pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(tokens, kind)], names=[*b.schema.names[:-1], "set_key", "n", "tokens"])
-
-            held = 0
-            for i, s in shingle_sets(b.column(b.num_columns - 1), width):
-                row.append(i)
-                keys.append(set_key(s))
-                sizes.append(len(s))
-                if front:
-                    tokens.append(s[: front_size(len(s), *front)].view(np.int64))
-                else:
-                    tokens.append(s.tobytes())
-                held += len(tokens[-1])
-                if held > 16 << 20:
-                    yield out()
-                    row, keys, sizes, tokens, held = [], [], [], [], 0
-            if row:
-                yield out()
+            for lo, hi, sizes, flat in shingle_batches(b.column(2), width):
+                ends = np.cumsum(sizes)
+                keys = [set_key(flat[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                number: dict[bytes, int] = {}
+                own = np.array([number.setdefault(k, len(number)) if n else -1 for k, n in zip(keys, sizes.tolist(), strict=True)], np.int64)
+                first = np.zeros(len(own), bool)
+                first[np.unique(own, return_index=True)[1]] = True
+                first &= own >= 0
+                m = len(number)
+                token, owner = flat[np.repeat(first, sizes)], np.repeat(own[first], sizes[first])
+                by = np.argsort(token, kind="stable")
+                token, owner = token[by], owner[by]
+                begin = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+                runs = np.diff(np.append(begin, len(token)))
+                alone = np.repeat(runs == 1, runs)
+                shared = np.bincount(owner[~alone], minlength=m)
+                one, of, more = token[alone], owner[alone], token[begin[runs > 1]]
+                at, at_more = _cuts(one, buckets), _cuts(more, buckets)
+                out: list[tuple] = []
+                for k in range(buckets):
+                    a, e, a2, e2 = at[k], at[k + 1], at_more[k], at_more[k + 1]
+                    if e > a or e2 > a2:
+                        by = np.argsort(of[a:e], kind="stable")
+                        out.append((k, pack, _press(np.bincount(of[a:e], minlength=m)), _low(one[a:e][by]), _low(more[a2:e2]), *[None] * 6))
+                out.append((pack % buckets, pack, None, None, None, b.column(0).slice(lo, hi - lo).to_pylist(), b.column(1).slice(lo, hi - lo).to_pylist(), b"".join(keys), sizes, own, shared))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                pack += 1
+
+    return run
+
+
+def _tell(kind: pa.DataType):
+    """Rows of _send() by bucket to what each batch is told: the shingles of each of its sets that other batches have. The rows about texts go through."""
+    names = [c.split()[0] for c in _TOLD.split(", ")]
+    types = [pa.int64(), pa.binary(), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            out = [(r[1], None, *r[5:]) for r in rows if r[2] is None]
+            rows = [r for r in rows if r[2] is not None]
+            if rows:
+                every = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for r in rows for x in r[3:5]]))
+                twice = np.unique(every[1:][every[1:] == every[:-1]])
+                for r in rows if len(twice) else []:
+                    ones, counts = np.frombuffer(r[3], np.uint32), _loose(r[2])
+                    met = twice[np.minimum(np.searchsorted(twice, ones), len(twice) - 1)] == ones
+                    if met.any():
+                        out.append((r[1], _press(np.bincount(np.repeat(np.arange(len(counts)), counts), met, len(counts))), *[None] * 6))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    return run
+
+
+def _hear(kind: pa.DataType):
+    """Rows of _tell() by batch to (id, text_hash, set_key, n, shared), a row per text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            _, _, ids, hashes, keys, sizes, own, shared = next(r for r in rows if r[1] is None)
+            total = np.array(shared, np.int64)
+            for r in rows:
+                if r[1] is not None:
+                    total += _loose(r[1])
+            own = np.array(own, np.int64)
+            met = np.where(own >= 0, np.append(total, 0)[own], 0)
+            keys = [keys[i : i + 16] for i in range(0, len(keys), 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(hashes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(met)], names=["id", "text_hash", "set_key", "n", "shared"])
+
+    return run
+
+
+def _packs(width: int):
+    """(want, text) to packs of the sets wanted: (pack, keys, sizes, tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, held, n = TaskContext.get().partitionId() << 32, [], 0
+
+        def out() -> pa.RecordBatch:
+            keys, sizes = b"".join(k for k, _ in held), [len(s) for _, s in held]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([pack]), pa.array([keys], pa.binary()), pa.array([sizes], pa.list_(pa.int64())), pa.array([np.concatenate([s for _, s in held]).tobytes()], pa.binary())],
+                names=["pack", "keys", "sizes", "tokens"],
+            )
+
+        for b in batches:
+            want = b.column(0).to_pylist()
+            for lo, _, sizes, flat in shingle_batches(b.column(1), width):
+                for i, (e, size) in enumerate(zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True), lo):
+                    s = flat[e - size : e]
+                    if size and set_key(s) == want[i]:
+                        held.append((want[i], s))
+                        n += size
+                        if n >= PACK_TOKENS:
+                            yield out()
+                            pack, held, n = pack + 1, [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _send_counts(buckets: int):
+    """(pack, tokens) to a row for each bucket: the pack's distinct shingles there, and in how many of its sets each is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for pack, tokens in _rows(b, 1):
+                token, n = np.unique(np.frombuffer(tokens, np.uint64), return_counts=True)
+                at = _cuts(token, buckets)
+                used = [k for k in range(buckets) if at[k + 1] > at[k]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(used, pa.int32()), pa.array([pack] * len(used), pa.int64()), pa.array([_low(token[at[k] : at[k + 1]]) for k in used], pa.binary()), pa.array([_press(n[at[k] : at[k + 1]]) for k in used], pa.binary())],
+                    names=["bucket", "pack", "low", "n"],
+                )
+
+    return run
+
+
+def _tell_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _send_counts() by bucket to (pack, bucket, ranks): eight times the logarithm of the number of sets, 0 for one set."""
+    for rows in _runs(batches):
+        every = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
+        low, at = np.unique(every, return_inverse=True)
+        n = np.bincount(at, np.concatenate([_loose(r[3]) for r in rows]), len(low))
+        rank = np.ceil(np.minimum(8 * np.log2(n), 255)).astype(np.uint8)[at]
+        told, a = [], 0
+        for r in rows:
+            told.append(_press(rank[a : a + len(r[2]) // 4], "u1"))
+            a += len(r[2]) // 4
+        yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array(told, pa.binary())], names=["pack", "bucket", "ranks"])
+
+
+def _fronts(num: int, den: int):
+    """Rows (pack, bucket, ranks, keys, sizes, tokens) by pack to (set_key, n, front, tokens) of the sets that may link.
+
+    front: those of a set's first shingles, rare ones first, that other sets have.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            _, _, _, keys, sizes, tokens = next(r for r in rows if r[2] is None)
+            flat = np.frombuffer(tokens, np.uint64)
+            token, at = np.unique(flat, return_inverse=True)
+            rank = np.concatenate([_loose(r[2], "u1") for r in rows if r[2] is not None])[at]
+            out: list[tuple] = []
+            for i, (e, n) in enumerate(zip(np.cumsum(sizes).tolist(), sizes, strict=True)):
+                s, r = flat[e - n : e], rank[e - n : e]
+                if den * np.count_nonzero(r) >= num * n:
+                    first = np.argsort(r, kind="stable")[: n - -(-num * n // den) + 1]
+                    front = s[first[r[first] > 0]]
+                    if len(front):
+                        out.append((keys[16 * i : 16 * i + 16], n, front.view(np.int64), s.tobytes()))
+            if out:
+                types = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["set_key", "n", "front", "tokens"])
 
     return run
 
 
 def _verify(num: int, den: int):
-    """Sorted rows (grp, left, right, chunk, set_key, copies, tokens) to (grp, set_key, root, links)."""
+    """Sorted rows (grp, left, right, chunk, set_key, copies, tokens) to (set_key, root, links)."""
 
     def group(rows: list[tuple]) -> Iterator[tuple]:
         sets = [np.frombuffer(r[6], np.uint64) for r in rows]
@@ -158,41 +331,37 @@ def _verify(num: int, den: int):
                     if a != b:
                         root[max(a, b)] = min(a, b)
         for i, r in enumerate(rows):
-            yield r[0], r[4], rows[find(i)][4], int(links[i])
+            if links[i]:
+                yield r[4], rows[find(i)][4], int(links[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
         done: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            cols = list(zip(*done, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64())], names=["grp", "set_key", "root", "links"])
+            cols = list(zip(*done, strict=True)) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], names=["set_key", "root", "links"])
 
-        for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                if held and held[0][:3] != r[:3]:
-                    done += group(held)
-                    held = []
-                held.append(r)
+        for rows in _runs(batches, 3):
+            if len(rows) > 1:
+                done += group(rows)
             if len(done) > 10_000:
                 yield out()
                 done = []
-        if held:
-            done += group(held)
-        if done:
-            yield out()
+        yield out()
 
     return run
 
 
 def _ties(fronts: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between sets (rid) that share a front token and whose sizes are in one class or in neighbouring ones."""
+    """Links (a, b) between sets (rid) that share a shingle of their fronts and whose sizes are in one class or in neighbouring ones."""
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + F.lit(1e-9)).cast("int")
-    posts = fronts.select(F.explode("front").alias("t"), "rid", size_class.alias("c"))
-    heads = posts.groupBy("t", "c").agg(F.min("rid").alias("head"), F.max("rid").alias("other"))
-    own = posts.join(heads.filter("head <> other"), ["t", "c"]).select(F.col("rid").alias("a"), F.col("head").alias("b"))
-    near = heads.select("t", (F.col("c") + 1).alias("c"), F.col("head").alias("before")).join(heads, ["t", "c"]).select(F.col("before").alias("a"), F.col("head").alias("b"))
-    return own.union(near).filter("a <> b").distinct()
+    posts = fronts.select(F.explode("front").alias("t"), "rid", size_class.alias("c"), F.pmod("rid", F.lit(SALTS)).cast("int").alias("salt"))
+    some = posts.groupBy("t", "c", "salt").agg(F.min("rid").alias("head"), F.max("rid").alias("other"))
+    heads = some.groupBy("t", "c").agg(F.min("head").alias("first"), F.max("head").alias("last"))
+    own = posts.join(some.filter("head <> other").drop("other"), ["t", "c", "salt"]).select(F.col("rid").alias("a"), F.col("head").alias("b"))
+    across = some.join(heads.filter("first <> last"), ["t", "c"]).select(F.col("head").alias("a"), F.col("first").alias("b"))
+    near = heads.select("t", (F.col("c") + 1).alias("c"), F.col("first").alias("before")).join(heads, ["t", "c"]).select(F.col("before").alias("a"), F.col("first").alias("b"))
+    return own.union(across).union(near).filter("a <> b").distinct()
 
 
 def jaccard_join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -204,106 +373,63 @@ def jaccard_join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     the text, so that a caller can pick one row of each component. A null or wordless text has the empty set and links with nothing. Repeated rows are
     copies of each other; a null id takes part and is never a smallest id; ties have no part, as all
     links count. An empty table gives an empty result; other columns aren't read.
-    Sets are held as 64-bit numbers (8 bits of length, 56 of hash).
+    A table of sets' whole shingles is made only for those that pass the sieve.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "jaccard")
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
-    fronts = docs.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_sets(width, (num, den)), f"id {kind}, text_hash long, set_key binary, n long, tokens array<long>")
-    found = scratch.table(fronts, "fronts")
-    filled = found.filter("n > 0")
+    arrow = to_arrow_type(df.schema[id_col].dataType)
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 + volume // (TOKEN_BYTES * BUCKET_TOKENS)
+    sent = docs.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_send(width, buckets, arrow), _SENT.format(kind=kind))
+    told = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tell(arrow), _TOLD.format(kind=kind))
+    heard = told.repartition("pack").sortWithinPartitions("pack").mapInArrow(_hear(arrow), f"id {kind}, text_hash long, set_key binary, n long, shared long")
+    found = scratch.table(heard, "found")
+
     rid = F.conv(F.substring(F.hex("set_key"), 1, 15), 16, 10).cast("long")  # 60 bits of the key
-    classes = scratch.table(filled.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n")), "classes").withColumn("rid", rid)
-    near = filled.select(rid.alias("rid"), "tokens")
-    open_ = classes
-    for round_ in range(ROUNDS):  # what the first round takes out can leave others without partners
-        ends = near.select(F.explode("tokens").alias("t"), "rid").groupBy("t").agg(F.min("rid").alias("rid"), F.max("rid").alias("other"))
-        single = ends.filter("rid = other").groupBy("rid").agg(F.count("*").alias("alone"))
-        open_ = open_.join(single, "rid", "left").filter(F.coalesce("alone", F.lit(0)) <= missing(F.col("n"), num, den)).drop("alone")
-        open_ = scratch.table(open_, f"open-{round_}")
-        near = near.join(_checked(open_.select("rid")), "rid", "left_semi")
-    kept = filled.join(_checked(open_.select("set_key", "rid")), "set_key").dropDuplicates(["set_key"])
-    sets = scratch.table(kept.select("set_key", "rid", "n", "tokens", (F.col("n") - F.ceil(F.col("n") * num / F.lit(den).cast("double") - F.lit(1e-9)) + 1).cast("int").alias("p")), "sets")
-
-    # tokens at the front of very many sets go last in the order
-    frequent = scratch.table(sets.select(F.explode(F.slice("tokens", F.lit(1), F.col("p"))).alias("t")).groupBy("t").count().filter(F.col("count") > FREQUENT).select("t"), "frequent")
-    many = frequent.count()
-    small = (lambda x: F.broadcast(x)) if many <= BROADCAST_ROWS else (lambda x: x)
-    if many:
-        hot = sets.select("set_key", F.explode("tokens").alias("t")).join(small(frequent), "t").groupBy("set_key").agg(F.collect_list("t").alias("hot"))
-        sets = sets.join(hot, "set_key", "left")
-        sets = sets.withColumn("rare", F.array_except("tokens", F.coalesce("hot", F.array().cast("array<long>"))))
-        whole = F.size("tokens") == F.col("n")
-        last = F.array_intersect("tokens", F.coalesce("hot", F.array().cast("array<long>")))
-        front = F.when(whole, F.slice(F.concat("rare", last), F.lit(1), F.col("p"))).when(F.size("rare") >= F.col("p"), F.slice("rare", F.lit(1), F.col("p")))
-        sets = scratch.table(sets.select("set_key", "rid", "n", "p", front.alias("front")), "ordered")
-        unsure = sets.filter("front is null")  # too many frequent tokens among those kept: their whole sets decide
-        if unsure.limit(1).count():
-            full = _whole_sets(docs, open_.join(unsure.select("set_key", "p"), "set_key"), width)
-            tokens = full.mapInArrow(_unpack, "set_key binary, rid long, n long, p int, t long")
-            ranked = tokens.join(small(frequent.withColumn("last", F.lit(1))), "t", "left").select("set_key", "rid", "n", "p", F.struct(F.coalesce("last", F.lit(0)).alias("last"), F.when(F.col("t") < 0, 1).otherwise(0).alias("sign"), "t").alias("o"))
-            # unsigned order: numbers with the sign bit come after the others
-            late = ranked.groupBy("set_key", "rid", "n", "p").agg(F.sort_array(F.collect_list("o")).alias("o")).select("set_key", "rid", "n", "p", F.transform(F.slice("o", F.lit(1), F.col("p")), lambda x: x["t"]).alias("front"))
-            sets = sets.filter("front is not null").unionByName(late)
-    else:
-        sets = sets.select("set_key", "rid", "n", "p", F.slice("tokens", F.lit(1), F.col("p")).alias("front"))
+    classes = found.filter("n > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.max("shared").alias("shared"))
+    classes = scratch.table(classes, "classes")
+    open_ = classes.filter(F.col("shared") * den >= F.col("n") * num)
+    wanted = open_.select("rep", F.col("set_key").alias("want")).hint("merge")
+    text = docs.join(wanted, wanted["rep"].eqNullSafe(docs["id"])).select("want", "text")
+    packs = scratch.table(text.mapInArrow(_packs(width), "pack long, keys binary, sizes array<long>, tokens binary"), "packs")
+
+    volume = packs.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    buckets = 1 + volume // (8 * BUCKET_TOKENS)
+    counted = packs.select("pack", "tokens").mapInArrow(_send_counts(buckets), "bucket int, pack long, low binary, n binary")
+    ranked = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tell_ranks, "pack long, bucket int, ranks binary")
+    both = packs.withColumn("bucket", F.lit(-1)).withColumn("ranks", F.lit(None).cast("binary")).unionByName(ranked, allowMissingColumns=True)
+    both = both.select("pack", "bucket", "ranks", "keys", "sizes", "tokens").repartition("pack").sortWithinPartitions("pack", "bucket")
+    fronts = both.mapInArrow(_fronts(num, den), "set_key binary, n long, front array<long>, tokens binary")
+    if found.groupBy("id").count().filter("count > 1").limit(1).count():  # an id in several rows may give its set as often
+        fronts = fronts.dropDuplicates(["set_key"])
+    sets = scratch.table(fronts, "sets").withColumn("rid", rid)
+    scratch.drop("packs")
     groups = scratch.table(components(_ties(sets, num, den), scratch), "groups")
 
     # groups of bounded size; k chunks for larger ones
-    member = open_.select("set_key", "rid", "rep", "copies", "n").join(groups, F.col("rid") == F.col("node")).drop("node").withColumnRenamed("component", "grp")
-    size = member.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("tokens")).withColumn("k", F.greatest(F.ceil(F.col("m") / GROUP_SETS), F.ceil(F.col("tokens") / GROUP_TOKENS)).cast("int")).select("grp", "k")
-    member = scratch.table(member.join(size, "grp"), "members")
-    whole_sets = _whole_sets(docs, member, width)
-    chunk = F.pmod(F.xxhash64("set_key"), F.col("k")).cast("int")
-    dealt = whole_sets.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    member = sets.select("set_key", "rid", "n", "tokens").join(groups, F.col("rid") == F.col("node")).select("set_key", "n", "tokens", F.col("component").alias("grp"))
+    member = scratch.table(member, "members")
+    k = F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("int")
+    large = member.groupBy("grp").agg(k.alias("k")).filter("k > 1")
+    large = scratch.table(large.select("grp", "k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "large")
+    dealt = member.join(classes.select("set_key", "copies"), "set_key").withColumn("salt", F.pmod(F.xxhash64("set_key"), F.lit(SALTS)).cast("int"))
+    dealt = dealt.join(large, ["grp", "salt"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "set_key"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select("grp", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "chunk", "set_key", "copies", "tokens")
     dealt = dealt.repartition("grp", "left", "right").sortWithinPartitions("grp", "left", "right", "set_key")
-    linked = scratch.table(dealt.mapInArrow(_verify(num, den), "grp long, set_key binary, root binary, links long"), "linked")
+    linked = scratch.table(dealt.mapInArrow(_verify(num, den), "set_key binary, root binary, links long"), "linked")
+    scratch.drop("sets", "groups", "members", "large")
+
     total = linked.groupBy("set_key").agg(F.sum("links").alias("links"))
-    split = size.filter("k > 1")
-    if split.limit(1).count():
-        wide = linked.join(split, "grp", "left_semi")
-        joined = components(wide.select(F.col("set_key").alias("a"), F.col("root").alias("b")), scratch, "split").select(F.col("node").alias("set_key"), F.col("component").alias("root"))
-        root = linked.join(split, "grp", "left_anti").select("set_key", "root").union(joined)
-    else:
-        root = linked.select("set_key", "root")
-    label = classes.select("set_key", "rep", "copies").join(root, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    joined = components(linked.select(F.col("set_key").alias("a"), F.col("root").alias("b")), scratch, "linked-by")
+    label = classes.select("set_key", "rep", "copies").join(joined.select(F.col("node").alias("set_key"), F.col("component").alias("root")), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = label.groupBy("root").agg(F.min("rep").alias("component_id"))
     label = label.join(least, "root").join(total, "set_key", "left").select("set_key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "root")
     out = found.select("id", "n", "set_key", "text_hash").join(label, "set_key", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("root").alias("group_key"), "text_hash")
 
 
-def _checked(df: DataFrame) -> DataFrame:
-    """df to be broadcast if it has WANTED_ROWS at most; else both sides of a join are shuffled."""
-    return F.broadcast(df) if df.limit(WANTED_ROWS + 1).count() <= WANTED_ROWS else df
-
-
-def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """wanted (set_key, rep, …) with the whole set as bytes, made again from the text of the representative."""
-    rest = [c for c in wanted.columns if c not in ("set_key", "n", "tokens", "rep")]
-    own = _checked(wanted.select("rep", F.col("set_key").alias("want"), *rest))
-    text = own.join(docs, own["rep"].eqNullSafe(docs["id"])).select("want", *rest, "text")
-    types = {f.name: f.dataType.simpleString() for f in text.schema.fields}
-    made = text.mapInArrow(_sets(width, None), ", ".join(f"{c} {types[c]}" for c in ["want", *rest]) + ", set_key binary, n long, tokens binary")
-    made = made.filter("want = set_key").drop("want")
-    return made.dropDuplicates(["set_key"]) if _repeats(docs) else made
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether an id stands in more than one row."""
-    return docs.groupBy("id").count().filter("count > 1").limit(1).count() > 0
-
-
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        at = {n: b.column(b.schema.get_field_index(n)) for n in ("set_key", "rid", "n", "p", "tokens")}
-        for i in range(b.num_rows):
-            t = np.frombuffer(at["tokens"][i].as_py(), np.int64)
-            index = pa.array(np.full(len(t), i))
-            yield pa.RecordBatch.from_arrays([at["set_key"].take(index), at["rid"].take(index), at["n"].take(index), at["p"].take(index), pa.array(t)], names=["set_key", "rid", "n", "p", "t"])
-
-
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, num=90, den=100)
     return joined.select("doc_id", "n_shingles", "component_id", "n_links")

@@ -26,4 +26,56 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The smallest id that links reach from every node: minima spread along links until nothing changes.
+_REACH = """reach(id, least) AS (
+    SELECT id, id FROM node
+    UNION
+    SELECT link.b, reach.least FROM reach JOIN link ON link.a = reach.id AND reach.least < link.b
+)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_subspace_dedup": f"""
+WITH RECURSIVE node AS MATERIALIZED (
+    SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v,
+           label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+           AND list_count(embedding) = len(embedding)
+           AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS sound
+    FROM embeddings
+),
+link AS MATERIALIZED (
+    SELECT p.id AS a, q.id AS b
+    FROM node p JOIN node q ON p.label = q.label AND p.id <> q.id AND len(p.v) = len(q.v)
+    WHERE p.sound AND q.sound AND list_cosine_similarity(p.v, q.v) >= 0.93
+),
+{_REACH}
+SELECT node.id AS vec_id, (SELECT count(*) FROM link WHERE link.a = node.id) AS n_links, min(reach.least) AS component_id,
+       node.id = min(reach.least) AS kept
+FROM node JOIN reach ON reach.id = node.id GROUP BY node.id
+""",
+    "op10_jaccard_join": f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id AS id, list_filter(
+        string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+        lambda w: w <> '') AS w
+    FROM documents
+),
+sets AS MATERIALIZED (
+    SELECT id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+    FROM words
+),
+token AS MATERIALIZED (SELECT id, len(s) AS n, unnest(s) AS t FROM sets),
+link AS MATERIALIZED (
+    SELECT p.id AS a, q.id AS b
+    FROM token p JOIN token q ON p.t = q.t AND p.id <> q.id AND 10 * p.n >= 9 * q.n AND 10 * q.n >= 9 * p.n
+    GROUP BY p.id, q.id, p.n, q.n
+    HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))
+),
+node AS (SELECT id FROM sets),
+{_REACH}
+SELECT sets.id AS doc_id, len(sets.s) AS n_shingles, min(reach.least) AS component_id,
+       (SELECT count(*) FROM link WHERE link.a = sets.id) AS n_links
+FROM sets JOIN reach ON reach.id = sets.id GROUP BY sets.id, sets.s
+""",
+}

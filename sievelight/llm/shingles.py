@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,33 +30,33 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return code, words, counts
 
 
-def shingle_sets(texts: pa.Array, width: int):
-    """Yields (row, sorted distinct shingles) of every text.
+def _mixed(h: np.ndarray, width: int) -> np.ndarray:
+    """The number of the width words from every place on."""
+    m = len(h) - width + 1
+    out = np.zeros(max(m, 0), np.uint64)
+    for k in range(width if m > 0 else 0):
+        out = (out ^ h[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
 
-    A shingle is a uint64: the higher byte falls with its length in bytes, the others are a hash, so in
-    numeric order long, and therefore rare, shingles come first. Texts with fewer words than width have
-    their whole sequence as one; those without a word have the empty set.
+
+def shingle_batches(texts: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Yields (first text, end text, set sizes, the sorted distinct shingles of one text after another).
+
+    A shingle is a 64-bit hash. Texts with fewer words than width have their whole sequence as one; those
+    without a word have the empty set.
     """
     texts = texts.cast(pa.string())
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    for lo, hi in byte_batches(sizes, BATCH_BYTES):
+    bytes_ = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for lo, hi in byte_batches(bytes_, BATCH_BYTES):
         code, words, counts = words_of(texts.slice(lo, hi - lo))
         h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))[code]
-        n = np.fromiter((len(w.encode()) for w in words), np.uint64, len(words))[code]
-        ends = np.cumsum(counts)
-        for i, (a, b) in enumerate(zip(ends - counts, ends, strict=True)):
-            w = min(width, int(b - a))
-            if not w:
-                yield lo + i, np.empty(0, np.uint64)
-                continue
-            m = int(b - a) - w + 1
-            mixed, size = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
-            for k in range(w):
-                mixed = (mixed ^ h[a + k : a + k + m]) * np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(29)
-                size += n[a + k : a + k + m]
-            top = np.uint64(255) - np.minimum(size, np.uint64(255))
-            yield lo + i, np.unique((top << np.uint64(56)) | (mixed >> np.uint64(8)))
+        mixed, ends = _mixed(h, width), np.cumsum(counts)
+        sets = []
+        for n, b in zip(counts.tolist(), ends.tolist(), strict=True):
+            a = b - n
+            sets.append(np.unique(mixed[a : b - width + 1]) if n >= width else _mixed(h[a:b], n) if n else h[:0])
+        yield lo, hi, np.fromiter(map(len, sets), np.int64, len(sets)), np.concatenate(sets)
 
 
 def set_key(tokens: np.ndarray) -> bytes:

@@ -43,12 +43,12 @@ def brute(rows, width, num, den):
     return [(len(s), least[root[i]], sum(i in x for x in links)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("settings", [{}, {"FREQUENT": 1, "GROUP_SETS": 2, "WANTED_ROWS": 0, "BROADCAST_ROWS": 0}, {"ROUNDS": 0}])
+@pytest.mark.parametrize("settings", [{}, {"GROUP_SETS": 2, "BUCKET_TOKENS": 100, "PACK_TOKENS": 50, "SALTS": 3}, {"GROUP_TOKENS": 500}])
 def test_jaccard_join(docs, edge_rows, monkeypatch, settings):
     for k, v in settings.items():
         monkeypatch.setattr(jaccard_join, k, v)
     rows = [(r[0], r[1]) for r in edge_rows]
-    width, num, den = (3, 90, 100) if settings.get("FREQUENT") else (5, 80, 100)
+    width, num, den = (3, 90, 100) if settings.get("SALTS") else (5, 80, 100)
     want = sorted((-1 if r[0] is None else r[0], *x[:1], -1 if x[1] is None else x[1], x[2]) for r, x in zip(rows, brute(rows, width, num, den), strict=True))
     got = jaccard_join.jaccard_join(docs, width=width, num=num, den=den).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id, r.n_links) for r in got) == want

@@ -27,7 +27,7 @@ LONG_BYTES = 1 << 20
 
 #: Where cutting by single spaces and line feeds would not give independent pieces.
 _IRREGULAR = (
-    r"[\x{01}\t\r\x{0b}\x{0c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    r"[\x{00}-\x{08}\t\r\x{0b}\x{0c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
     r"|  | \n|\n |\n\n"
 )
 _SAFE = regex.compile(r"(?<=\S)(?=\s)")

@@ -28,7 +28,7 @@ def rows():
         texts += [" ".join(w), b + " more"]
     texts += [base[0], base[0], base[1], many[0], many[0]]
     texts += [f"{prose(12)}\n{passage}\n{prose(14)}" for _ in range(3)]
-    texts += [None, None, "", " \t\n", "one", "Two WORDS", "a b c", "a  b\n\nc\t\x0bd ", "漢字 ｆ é́ ½ <|endoftext|> x", "word " * 3000, "x" * 5000, "#*$ " * 200, prose(4000)]
+    texts += [None, None, "", " \t\n", "one", "Two WORDS", "a b c", "a  b\n\nc\t\x0bd ", "漢字 ｆ é́ ½ <|endoftext|> x", "\x00a \x02b\x03 \x08c\n\x04d \x1f\x7f e\x01 f", "word " * 3000, "x" * 5000, "#*$ " * 200, prose(4000)]
     out = [(i, t, ["en", "de", None, "xx"][i % 4] if i % 7 == 0 else "en", "s", 0, 5, "k", 1, 2, 3, 4, 0.5) for i, t in enumerate(texts)]
     out += [out[0], out[20], (None, "no id at all " + base[2], "en", "s", 0, 5, "k", 1, 2, 3, 4, 0.5)]
     return out

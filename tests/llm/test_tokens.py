@@ -33,6 +33,16 @@ def test_long_texts_are_cut_at_safe_places(monkeypatch, edge_rows):
     assert found == [library()(t) for t in texts]
 
 
+def test_every_control_character_and_others_in_every_place():
+    path = bpe.tokenizer_path("byte_bpe_50k.json")
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x500 or 0x2000 <= c < 0x2070 or c % 389 == 0)]
+    texts = [f.format(chr(c)) for f in ("{0}", "{0}y z", "x {0} y", "x {0}y", "x y{0}", "x\n{0}y", "x\n{0}", "x\t{0} y", "a{0}b c", "x  {0}z", "{0}{0} a") for c in points]
+    got = [n for _, _, lengths in bpe.count_texts(path, pa.array(texts)) for n in lengths.tolist()]
+    own = [x.tolist() for _, _, ids, n in bpe.encode_texts(path, pa.array(texts)) for x in np.split(ids, np.cumsum(n)[:-1])]
+    want = [e.ids for e in bpe.encoder(path).whole.encode_batch(texts, add_special_tokens=False)]
+    assert got == list(map(len, want)) and own == want
+
+
 def test_counts_with_pieces(unique):
     enc = sentencepieces.encoder(bpe.tokenizer_path(sentencepieces.MODEL))
     got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(unique, tokenizer=bpe.tokenizer_path(sentencepieces.MODEL)).collect()}

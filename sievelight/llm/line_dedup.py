@@ -1,12 +1,17 @@
 """Operator 2, line dedup: content-defined chunks of lines, removed where they repeat anywhere.
 
 A rolling hash over the hashes of neighbouring lines says where a chunk ends, so boundaries depend on the
-lines around them and not on their place: a passage that is moved is cut alike. A line of LONG words or
-more is as long as several and is a chunk of its own. Chunks of two or more lines (or one long line), and
-whole texts, that occur again are removed; the first occurrence, by id and place, stays. Boundaries need
+lines around them and not on their place: a passage that is moved is cut alike. Chunks of two or more lines,
+and whole texts, that occur again are removed; the first occurrence, by id and place, stays. Boundaries need
 some lines to agree, so runs of RUN words or more are found without them: from every line on, and up to every
 line, the least lines that hold RUN words are a window, and the windows that occur again cover just the lines
-of such runs. Equal hashes only name candidates: their bytes are compared before anything is removed.
+of such runs; a line that holds RUN words by itself is a run of one line.
+
+1. Texts are put into compressed packs, which later steps read or shuffle as wholes.
+2. Sieve: every distinct line of a pack, four bytes of its hash, goes to the bucket of its value; buckets tell
+   the packs which lines others have too. Only chunks and windows of such lines go on.
+3. Their hashes are counted, a row per pack and hash; the packs are told which occur again and where first.
+4. Equal hashes only name candidates: their bytes are compared, and those that differ are put back.
 """
 
 from __future__ import annotations
@@ -15,25 +20,38 @@ import hashlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelight.llm.bpe import byte_batches
 from sievelight.llm.scratch import Scratch
 
-#: Lines under the rolling hash, one boundary in how many places, least lines of a chunk, words of a long line.
-WINDOW, EVERY, LEAST_LINES, LONG = 2, 2, 2, 25
+#: Lines under the rolling hash, one boundary in how many places, least lines of a chunk.
+WINDOW, EVERY, LEAST_LINES = 2, 4, 2
 #: Words from which a run of equal lines is a repeated passage, wherever it lies.
 RUN = 50
+#: Bytes of texts of a pack, and of texts whose lines share a bucket.
+PACK_BYTES, BUCKET_BYTES = 4 << 20, 64 << 20
 WHOLE = -1
 _MASK = (1 << 64) - 1
 
 
-def chunks(lines: list[str]) -> list[tuple[int, int, bool]]:
-    """(first line, line after the last, whether it may be removed) of each chunk, in order; they cover all lines."""
-    words = [len(x.encode().split()) for x in lines]
+def _words(lines: list[str]) -> list[int]:
+    return [len(x.encode().split()) for x in lines]
+
+
+def chunks(lines: list[str], words: list[int] | None = None) -> list[tuple[int, int, bool]]:
+    """(first line, line after the last, whether it may be removed) of each chunk, in order; they cover all lines.
+
+    A chunk ends after a line where the rolling hash of the last WINDOW lines says so, once it has LEAST_LINES;
+    a last line that is left alone joins the chunk before it. It may be removed with two lines that have words.
+    """
+    words = words or _words(lines)
     hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
     out: list[tuple[int, int]] = []
     start, rolling = 0, 0
@@ -43,25 +61,23 @@ def chunks(lines: list[str]) -> list[tuple[int, int, bool]]:
         rolling = (rolling * base + hashes[i]) & _MASK
         if i >= WINDOW:
             rolling = (rolling - hashes[i - WINDOW] * drop) & _MASK
-        last = i + 1 == len(lines)
-        cut = i + 1 - start >= LEAST_LINES and (rolling >> 32) % EVERY == 0
-        if last or cut or words[i] >= LONG or words[i + 1] >= LONG:
+        if i + 1 == len(lines) or i + 1 - start >= LEAST_LINES and (rolling >> 32) % EVERY == 0:
             out.append((start, i + 1))
             start = i + 1
-    if len(out) > 1 and out[-1][1] - out[-1][0] == 1 and words[-1] < LONG and not (out[-2][1] - out[-2][0] == 1 and words[out[-2][0]] >= LONG):
+    if len(out) > 1 and out[-1][1] - out[-1][0] == 1:
         out[-2:] = [(out[-2][0], out[-1][1])]
-    return [(a, b, sum(w > 0 for w in words[a:b]) >= 2 or sum(words[a:b]) >= LONG) for a, b in out]
+    return [(a, b, sum(w > 0 for w in words[a:b]) >= 2) for a, b in out]
 
 
-def windows(lines: list[str]) -> list[tuple[int, int]]:
+def windows(lines: list[str], words: list[int] | None = None) -> list[tuple[int, int]]:
     """(first line, line after the last) of the least runs of RUN words from and up to each line that has words.
 
     The lines of any run of RUN words are covered by the windows inside it: the one from its first line, and
-    those up to the lines after. A single line is a chunk already.
+    those up to the lines after.
     """
     sums = [0]
-    for x in lines:
-        sums.append(sums[-1] + len(x.encode().split()))
+    for n in words or _words(lines):
+        sums.append(sums[-1] + n)
     out = set()
     for i in range(len(lines)):
         if sums[i + 1] > sums[i]:
@@ -69,78 +85,161 @@ def windows(lines: list[str]) -> list[tuple[int, int]]:
                 out.add((i, bisect_left(sums, sums[i] + RUN)))
             if sums[i + 1] >= RUN:
                 out.add((bisect_right(sums, sums[i + 1] - RUN) - 1, i + 1))
-    return sorted((a, e) for a, e in out if e - a > 1)
+    return sorted(out)
 
 
-def _digest(text: str) -> bytes:
-    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+def _spans(lines: list[str], words: list[int] | None = None) -> list[tuple[int, int, bool]]:
+    """What may be removed, by place: chunks, then windows that aren't chunks."""
+    words = words or _words(lines)
+    own = chunks(lines, words)
+    known = {(a, e) for a, e, may in own if may}
+    return own + [(a, e, True) for a, e in windows(lines, words) if (a, e) not in known]
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, text) to a row per removable chunk and window: key, id, place, hash; windows' places follow those of chunks."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, rest, text) to (pack, body): the rows as a compressed Arrow stream."""
+    pack = TaskContext.get().partitionId() << 32
     for b in batches:
-        row, place, hashes = [], [], []
-        for i, text in enumerate(b.column(2).to_pylist()):
-            if not text:
-                continue
-            lines = text.split("\n")
-            own = chunks(lines)
-            for k, (a, e, may) in enumerate(own):
-                if may:
-                    row.append(i)
-                    place.append(k)
-                    hashes.append(_digest("\n".join(lines[a:e])))
-            if wide := windows(lines):
-                lined = [_digest(x) for x in lines]
-                for k, (a, e) in enumerate(wide, len(own)):
-                    row.append(i)
-                    place.append(k)
-                    hashes.append(hashlib.blake2b(b"\x01" + b"".join(lined[a:e]), digest_size=16).digest())
-            if len(own) > 1 and any(may for *_, may in own):
-                row.append(i)
-                place.append(WHOLE)
-                hashes.append(_digest("\x00" + text))
-        index = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(index), b.column(1).take(index), pa.array(place, pa.int32()), pa.array(hashes, pa.binary())], names=["key", "id", "place", "hash"])
-
-
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, rest, text) with the text compressed, for the shuffle."""
-    press = zstandard.ZstdCompressor(level=3)
+        sizes = pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for lo, hi in byte_batches(sizes, PACK_BYTES):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(lo, hi - lo)]) for c in b.columns], schema=b.schema))
+            yield pa.RecordBatch.from_arrays([pa.array([pack]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["pack", "body"])
+            pack += 1
+
+
+def _unpack(body: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(body).read_next_batch()
+
+
+def _line_hashes(texts: list[str | None]) -> tuple[list[list[str]], np.ndarray]:
+    """(the lines of each text, the hashes of all lines one after another)."""
+    lines = [t.split("\n") if t else [] for t in texts]
+    n = sum(map(len, lines))
+    return lines, np.fromiter((xxhash.xxh3_64_intdigest(x) for own in lines for x in own), np.uint64, n)
+
+
+def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the buckets, ranges of the upper half of a hash, begin and end among sorted hashes."""
+    return np.searchsorted((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+
+
+def _send(buckets: int):
+    """(pack, body) to (bucket, pack, low): the lower halves of the pack's distinct line hashes of a bucket, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                _, hashes = _line_hashes(_unpack(b.column(1)[i].as_py()).column(2).to_pylist())
+                hashes = np.unique(hashes)
+                at = _cuts(hashes, buckets)
+                used = [k for k in range(buckets) if at[k + 1] > at[k]]
+                low = [hashes[at[k] : at[k + 1]].astype(np.uint32).tobytes() for k in used]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([b.column(0)[i].as_py()] * len(used), pa.int64()), pa.array(low, pa.binary())], names=["bucket", "pack", "low"])
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows that agree in the first column, as they come."""
+    held: list[tuple] = []
     for b in batches:
-        packed = [None if t is None else press.compress(t.encode()) for t in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["key", "rest", "packed"])
+        for i in range(b.num_rows):
+            r = tuple(c[i].as_py() for c in b.columns)
+            if held and held[0][0] != r[0]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
 
+def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _send() by bucket to (pack, bucket, told): a bit for each line, whether another pack has it."""
+    for rows in _runs(batches):
+        low = [np.frombuffer(r[2], np.uint32) for r in rows]
+        every = np.sort(np.concatenate(low))
+        twice = np.append(np.unique(every[1:][every[1:] == every[:-1]]), np.uint32(0xFFFFFFFF))
+        told = [np.packbits(twice[np.searchsorted(twice, x)] == x).tobytes() for x in low]
+        yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array(told, pa.binary())], names=["pack", "bucket", "told"])
 
-def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rest, packed, marks) to (rest, text, n_lines, n_removed_lines, pieces): pieces are the bytes to compare.
 
-    They are compressed, which gives equal bytes for equal texts and for no others.
+def _occurrences(buckets: int, kind: pa.DataType):
+    """Rows (pack, bucket, told, body) by pack to a row for each hash of a span whose lines repeat: (hash, pack, id, row, place, rows, places).
+
+    rows and places name all its occurrences in the pack; id, row and place are those of the first by id.
     """
-    kind = pa.list_(pa.struct([("hash", pa.binary()), ("text", pa.binary())]))
-    press, loose = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-    for b in batches:
-        texts, n, gone, pieces = [], [], [], []
-        for packed, marks in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            text = None if packed is None else loose.decompress(packed).decode()
-            lines, told = (text.split("\n") if text else []), []
-            count = len(lines)
-            if marks:
-                own = [c[:2] for c in chunks(lines)] + windows(lines)
-                out = set()
-                for m in marks:
-                    a, e = (0, count) if m["place"] == WHOLE else own[m["place"]]
-                    told.append({"hash": m["hash"], "text": press.compress("\n".join(lines[a:e]).encode())})
-                    if not m["first"]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches):
+            body = _unpack(next(r[3] for r in group if r[3] is not None))
+            ids = body.column(0).to_pylist()
+            lines, hashes = _line_hashes(body.column(2).to_pylist())
+            known, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
+            cuts, repeated = _cuts(known, buckets), n > 1
+            for _, bucket, told, _ in group:
+                if bucket >= 0:
+                    a, e = cuts[bucket], cuts[bucket + 1]
+                    repeated[a:e] |= np.unpackbits(np.frombuffer(told, np.uint8), count=e - a).astype(bool)
+            again, end = repeated[at] if len(at) else np.zeros(0, bool), 0
+            met: dict[bytes, list[tuple[int, int]]] = {}
+            for i, own in enumerate(lines):
+                end += len(own)
+                flags = again[end - len(own) : end]
+                if not flags.any():
+                    continue
+                words = _words(own)
+                run_of = np.concatenate([[0], np.cumsum(flags)])
+                spans = _spans(own, words)
+                raw: list[bytes] = [x.encode() for x in own]
+                for place, (a, e, may) in enumerate(spans):
+                    if may and run_of[e] - run_of[a] == e - a:
+                        met.setdefault(hashlib.blake2b(b"\n".join(raw[a:e]), digest_size=16).digest(), []).append((i, place))
+                if len(own) > 1 and flags.all() and any(may for *_, may in spans):
+                    met.setdefault(hashlib.blake2b(b"\n".join(raw), digest_size=16, person=b"whole").digest(), []).append((i, WHOLE))
+            first = [min(v, key=lambda x: (ids[x[0]] is not None, ids[x[0]] if ids[x[0]] is not None else 0, x)) for v in met.values()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(met), pa.binary()), pa.array([group[0][0]] * len(met), pa.int64()), pa.array([ids[i] for i, _ in first], kind),
+                    pa.array([i for i, _ in first], pa.int32()), pa.array([p for _, p in first], pa.int32()),
+                    pa.array([[i for i, _ in v] for v in met.values()], pa.list_(pa.int32())), pa.array([[p for _, p in v] for v in met.values()], pa.list_(pa.int32())),
+                ],
+                names=["hash", "pack", "id", "row", "place", "rows", "places"],
+            )
+
+    return run
+
+
+def _rewrite(rest: pa.DataType):
+    """Rows (pack, body, marks) to (rest, text, n_lines, n_removed_lines, pieces): pieces are the bytes to compare, once for a pack."""
+    kind = pa.list_(pa.struct([("hash", pa.binary()), ("bytes", pa.binary())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches):
+            body = _unpack(next(r[1] for r in group if r[1] is not None))
+            texts = body.column(2).to_pylist()
+            n, gone, pieces = [t.count("\n") + 1 if t else 0 for t in texts], [0] * len(texts), [None] * len(texts)
+            at: dict[int, list[tuple]] = {}
+            for m in [m for r in group for m in r[2] or []]:
+                for k, (i, place) in enumerate(zip(m["rows"], m["places"], strict=True)):
+                    here = m["first_row"] == i and m["first_place"] == place
+                    at.setdefault(i, []).append((m["hash"], place, not here, k == 0))
+            for i, marks in at.items():
+                own = texts[i].split("\n")
+                spans, out, told = _spans(own), set(), []
+                for key, place, goes, tells in marks:
+                    a, e = (0, len(own)) if place == WHOLE else spans[place][:2]
+                    if tells:
+                        told.append({"hash": key, "bytes": "\n".join(own[a:e]).encode()})
+                    if goes:
                         out.update(range(a, e))
-                lines = [x for i, x in enumerate(lines) if i not in out]
                 if out:
-                    text = "\n".join(lines)
-            texts.append(text)
-            n.append(count)
-            gone.append(count - len(lines))
-            pieces.append(told)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(pieces, kind)], names=["rest", "text", "n_lines", "n_removed_lines", "pieces"])
+                    gone[i], texts[i] = len(out), "\n".join(x for k, x in enumerate(own) if k not in out)
+                pieces[i] = told
+            yield pa.RecordBatch.from_arrays([body.column(1).cast(rest), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(pieces, kind)], names=["rest", "text", "n_lines", "n_removed_lines", "pieces"])
+
+    return run
 
 
 def line_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,36 +247,40 @@ def line_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
     A text all of whose lines go becomes empty; a null text stays null and has no lines. The first occurrence
     is that of the smallest id (nulls first), then the earliest place; of repeated rows one counts as first. An
-    empty table gives an empty result. df's own columns travel inside row, so no name can clash.
+    empty table gives an empty result. df's own columns travel inside row, so no name can clash. A very long
+    text is a pack by itself. A passage that begins or ends inside a line is found as far as its whole lines go.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "lines")
-    docs = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"), F.struct(*(df[c] for c in df.columns if c != text_col)).alias("rest"))
-    if docs.groupBy("id").count().filter("count > 1 or id is null").limit(1).count():  # ids don't name rows
-        docs = scratch.table(docs.withColumn("key", F.monotonically_increasing_id()), "docs")
-    else:
-        docs = docs.withColumn("key", F.col("id"))
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    found = docs.select("key", "id", "text").mapInArrow(_occurrences, f"key {types['key']}, id {types['id']}, place int, hash binary")
+    docs = df.select(df[id_col].alias("id"), F.struct(*(df[c] for c in df.columns if c != text_col)).alias("rest"), df[text_col].cast("string").alias("text"))
+    kind, rest = (docs.schema[c].dataType for c in ("id", "rest"))
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 + volume // BUCKET_BYTES
+    packs = scratch.table(docs.mapInArrow(_pack, "pack long, body binary"), "packs")
+    told = packs.mapInArrow(_send(buckets), "bucket int, pack long, low binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tell, "pack long, bucket int, told binary")
+    both = packs.withColumn("bucket", F.lit(-1)).unionByName(told, allowMissingColumns=True).select("pack", "bucket", "told", "body")
+    found = both.repartition("pack").sortWithinPartitions("pack").mapInArrow(
+        _occurrences(buckets, to_arrow_type(kind)), f"hash binary, pack long, id {kind.simpleString()}, row int, place int, rows array<int>, places array<int>"
+    )
     found = scratch.table(found, "occurrences")
-    repeated = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "place")).alias("least")).filter("n > 1").select("hash", "least")
-    marked = found.join(repeated, "hash").select("key", F.struct("place", "hash", F.struct("id", "key", "place").eqNullSafe(F.col("least")).alias("first")).alias("mark"))
-    marks = scratch.table(marked.groupBy("key").agg(F.collect_list("mark").alias("marks")), "marks")
-
-    squeezed = docs.select("key", "rest", "text").mapInArrow(_squeeze, f"key {types['key']}, rest {types['rest']}, packed binary")
+    repeated = found.groupBy("hash").agg(F.sum(F.size("rows")).alias("n"), F.min(F.struct("id", "pack", "row", "place")).alias("least")).filter("n > 1").select("hash", "least")
+    here = F.col("pack") == F.col("least.pack")
+    marked = found.join(repeated, "hash").select("pack", F.struct("hash", "rows", "places", F.when(here, F.col("least.row")).alias("first_row"), F.when(here, F.col("least.place")).alias("first_place")).alias("mark"))
+    marked = scratch.table(marked, "marked")
 
-    def rewritten(marks: DataFrame, name: str) -> DataFrame:
-        ready = squeezed.join(marks, "key", "left").select("rest", "packed", "marks")
-        out = ready.mapInArrow(_rewrite, f"rest {types['rest']}, text string, n_lines long, n_removed_lines long, pieces array<struct<hash:binary,text:binary>>")
-        return scratch.table(out, name)
+    def rewritten(marked: DataFrame, name: str) -> DataFrame:
+        marks = marked.groupBy("pack").agg(F.collect_list("mark").alias("marks"))  # as many as a pack has spans, at most
+        ready = packs.unionByName(marks, allowMissingColumns=True).select("pack", "body", "marks").repartition("pack").sortWithinPartitions("pack")
+        return scratch.table(ready.mapInArrow(_rewrite(to_arrow_type(rest)), f"rest {rest.simpleString()}, text string, n_lines long, n_removed_lines long, pieces array<struct<hash:binary,bytes:binary>>"), name)
 
-    out = rewritten(marks, "rewritten")
+    out = rewritten(marked, "rewritten")
     # the comparison of bytes: all chunks of one hash must be one text
-    unequal = out.select(F.explode("pieces").alias("p")).groupBy("p.hash").agg((F.min("p.text") != F.max("p.text")).alias("differ")).filter("differ").select("hash")
+    unequal = out.select(F.explode("pieces").alias("p")).groupBy("p.hash").agg((F.min("p.bytes") != F.max("p.bytes")).alias("differ")).filter("differ").select("hash")
     unequal = scratch.table(unequal, "unequal")
     if unequal.limit(1).count():  # hashes that clash prove nothing: their chunks stay
-        sure = marked.join(unequal, F.col("mark.hash") == F.col("hash"), "left_anti")
-        out = rewritten(sure.groupBy("key").agg(F.collect_list("mark").alias("marks")), "again")
-    scratch.drop("occurrences", "marks", "unequal")
+        out = rewritten(marked.join(unequal, F.col("mark.hash") == F.col("hash"), "left_anti"), "again")
+    scratch.drop("packs", "occurrences", "marked", "unequal")
     return out.select(F.col("rest").alias("row"), "text", "n_lines", "n_removed_lines")
 
 

@@ -7,7 +7,8 @@ import pytest
 
 from sievelight.llm.scratch import Scratch
 from test_joins import brute
-from test_quality_and_lines import base, plain_dedup
+from test_line_runs import plain_dedup
+from test_quality_and_lines import base
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -35,7 +36,7 @@ def test_quality_stage(stages):
 
 
 def test_line_stage(stages):
-    want = {d: t for d, t in plain_dedup(sorted((r.doc_id, r.text) for r in stages[1].collect())).items() if re.search(r"\S", t)}
+    want = {d: t for d, t in plain_dedup(sorted((r.doc_id, r.text) for r in stages[1].collect())).items() if re.search(r"[^\x20\x09-\x0D]", t)}
     got = stages[2].collect()
     assert {r.doc_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
 

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 
 from sievelight.llm import line_dedup, quality_rules, sharding
+from test_line_runs import plain_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -61,28 +62,7 @@ def test_chunks_follow_the_content():
     assert len(whole & moved) >= len(whole) - 2  # only the first chunks change
     spans = line_dedup.chunks(lines)
     assert [a for a, *_ in spans] == [0, *(b for _, b, _ in spans[:-1])] and spans[-1][1] == 40
-    assert line_dedup.chunks(["w " * 60]) == [(0, 1, True)] and line_dedup.chunks(["short"]) == [(0, 1, False)]
-
-
-def plain_dedup(rows):
-    """rows: (order, text); what is left of each."""
-    where = defaultdict(list)
-    for order, text in rows:
-        if text:
-            own = text.split("\n")
-            cut = line_dedup.chunks(own)
-            for k, (a, b, may) in enumerate(cut):
-                if may:
-                    where["\n".join(own[a:b])].append((order, k))
-            if len(cut) > 1 and any(may for *_, may in cut):
-                where["\0" + text].append((order, -1))
-    gone = {x for at in where.values() for x in sorted(at, key=lambda x: (x[0], x[1]))[1:]}
-    out = {}
-    for order, text in rows:
-        own = text.split("\n") if text else []
-        kept = [x for k, (a, b, _) in enumerate(line_dedup.chunks(own)) if (order, k) not in gone and (order, -1) not in gone for x in own[a:b]] if own else []
-        out[order] = text if text is None else "\n".join(kept)
-    return out
+    assert line_dedup.chunks(["w " * 60]) == [(0, 1, False)] and line_dedup.windows(["w " * 60]) == [(0, 1)] and not line_dedup.windows(["w " * 49])
 
 
 def test_line_dedup(unique, docs, empty):

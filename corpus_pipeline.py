@@ -17,13 +17,21 @@ from sievelight.llm.scratch import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; the others go."""
+    """Documents that the quality rules keep; the others go.
+
+    A null or empty text has no words and goes; repeated rows share a verdict; an empty table stays empty;
+    all columns are carried in a struct, so that none can clash.
+    """
     return quality_rules(docs, rows=True).filter("kept").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated chunks of lines; n_chars follows. Those of which nothing is left go."""
-    cleaned = line_dedup(docs).filter("n_removed_lines = 0 or trim(text) <> ''")
+    """Documents without repeated chunks of lines; n_chars follows. Those of which no word is left go.
+
+    A null text stays; repeated rows are copies, of which the first keeps its lines; an empty table stays
+    empty; columns that are named like the operator's own are carried apart from them.
+    """
+    cleaned = line_dedup(docs).filter(r"n_removed_lines = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
     now = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
     return cleaned.select(*(now.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
 
@@ -40,7 +48,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 tokens, neighbours on the curve together."""
+    """Sequences of 1024 tokens, neighbours on the curve together.
+
+    A null text is packed as an empty one, repeated rows one by one; an empty table gives no pieces; columns
+    other than the id and the text aren't read.
+    """
     return pack(docs)
 
 

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,7 +104,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         for lo, hi in byte_batches(sizes, PACK_BYTES):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
                 out.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(lo, hi - lo)]) for c in b.columns], schema=b.schema))
             yield pa.RecordBatch.from_arrays([pa.array([pack]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["pack", "body"])
             pack += 1
@@ -212,10 +213,11 @@ def _occurrences(buckets: int, kind: pa.DataType):
 
 
 def _rewrite(rest: pa.DataType):
-    """Rows (pack, body, marks) to (rest, text, n_lines, n_removed_lines, pieces): pieces are the bytes to compare, once for a pack."""
+    """Rows (pack, body, marks) to (rest, text, n_lines, n_removed_lines, pieces): pieces are the bytes to compare, compressed, once for a pack."""
     kind = pa.list_(pa.struct([("hash", pa.binary()), ("bytes", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
         for group in _runs(batches):
             body = _unpack(next(r[1] for r in group if r[1] is not None))
             texts = body.column(2).to_pylist()
@@ -231,7 +233,7 @@ def _rewrite(rest: pa.DataType):
                 for key, place, goes, tells in marks:
                     a, e = (0, len(own)) if place == WHOLE else spans[place][:2]
                     if tells:
-                        told.append({"hash": key, "bytes": "\n".join(own[a:e]).encode()})
+                        told.append({"hash": key, "bytes": press.compress("\n".join(own[a:e]).encode())})
                     if goes:
                         out.update(range(a, e))
                 if out:
@@ -242,6 +244,19 @@ def _rewrite(rest: pa.DataType):
     return run
 
 
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (hash, bytes) by hash to the hashes whose bytes, decompressed, aren't all equal."""
+    loose, key, first, out = zstandard.ZstdDecompressor(), None, None, set()
+    for b in batches:
+        for i in range(b.num_rows):
+            h, own = b.column(0)[i].as_py(), loose.decompress(b.column(1)[i].as_py())
+            if h != key:
+                key, first = h, own
+            elif own != first:
+                out.add(h)
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(out), pa.binary())], names=["hash"])
+
+
 def line_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: row (a struct of df's columns but the text), text without repeated chunks and runs of lines, n_lines, n_removed_lines.
 
@@ -276,8 +291,8 @@ def line_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
     out = rewritten(marked, "rewritten")
     # the comparison of bytes: all chunks of one hash must be one text
-    unequal = out.select(F.explode("pieces").alias("p")).groupBy("p.hash").agg((F.min("p.bytes") != F.max("p.bytes")).alias("differ")).filter("differ").select("hash")
-    unequal = scratch.table(unequal, "unequal")
+    pieces = out.select(F.explode("pieces").alias("p")).select("p.hash", "p.bytes").repartition("hash").sortWithinPartitions("hash")
+    unequal = scratch.table(pieces.mapInArrow(_differ, "hash binary").distinct(), "unequal")
     if unequal.limit(1).count():  # hashes that clash prove nothing: their chunks stay
         out = rewritten(marked.join(unequal, F.col("mark.hash") == F.col("hash"), "left_anti"), "again")
     scratch.drop("packs", "occurrences", "marked", "unequal")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievelight.functions.text import strip
+
 #: Fixed value: a located diagnostic line.
-ISSUE = r"^([\w./-]+\.\w+):(\d+):\d*(?:\s+\d+:\d+)?\s*(\w+)?\s*:\s*(.*)"
+ISSUE = r"(?U)^([\w./-]+\.\w+):(\d+):\d*(?:\s+\d+:\d+)?\s*(\w+)?\s*:\s*(.*)"
 
 
 def issue(line: Column) -> Column:
@@ -17,18 +19,19 @@ def issue(line: Column) -> Column:
         F.when(hit, part(3)).alias("error_code"),
         F.when(hit, part(1)).alias("file"),
         F.when(hit, part(2).cast("int")).alias("line"),
-        F.when(hit, F.trim(F.regexp_extract(line, ISSUE, 4))).otherwise(line).alias("summary"),
+        F.when(hit, strip(F.regexp_extract(line, ISSUE, 4))).otherwise(line).alias("summary"),
     )
 
 
 def payload(text: Column) -> Column:
     """The output inside a runner's JSON log: its stderr unless blank, else its stdout; any other text is itself."""
     log = F.from_json(text, "stdout string, stderr string")
-    inner = F.when(F.trim(log["stderr"]) != "", log["stderr"]).otherwise(log["stdout"])
-    return F.when(F.ltrim(text).startswith("{") & (F.trim(inner) != ""), inner).otherwise(text)
+    inner = F.when(strip(log["stderr"]) != "", log["stderr"]).otherwise(log["stdout"])
+    return F.when(strip(text).startswith("{") & (strip(inner) != ""), inner).otherwise(text)
 
 
 def error_kind(exit_code: Column, stderr: Column, step_error: Column) -> Column:
+    """The kind of a failed run. The kinds, their order and what speaks for them."""
     low = F.lower(F.coalesce(stderr, F.lit("")))
     step = F.coalesce(step_error, F.lit(""))
     return (
@@ -54,6 +57,7 @@ def scope(path: Column) -> Column:
 def pass_counts(stdout: Column, stderr: Column, exit_code: Column) -> Column:
     """(passed, total): from the first test result, else the number announced, else the exit code."""
     text = F.concat(F.coalesce(stdout, F.lit("")), F.lit("\n"), F.coalesce(stderr, F.lit("")))
+    # fixed values: how test results and their number are announced
     result, announced = r"(?i)test result:\s*(?:ok|FAILED)\.\s*(\d+)\s+passed;\s+(\d+)\s+failed;", r"(?i)running\s+(\d+)\s+tests"
     passed, failed = (F.try_to_number(F.nullif(F.regexp_extract(text, result, i), F.lit("")), F.lit("999999999")).cast("int") for i in (1, 2))
     count = F.try_to_number(F.nullif(F.regexp_extract(text, announced, 1), F.lit("")), F.lit("999999999")).cast("int")

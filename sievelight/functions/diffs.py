@@ -6,15 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sievelight.functions.features import any_of
-from sievelight.functions.text import lines
+from sievelight.functions.text import lines, strip
 
+#: Fixed value: the header of a hunk.
 HUNK = r"^@@\s+-(\d+)(?:,(\d+))?\s+\+(\d+)(?:,(\d+))?\s+@@"
 
 
 def paths(diff: Column) -> Column:
     """Distinct files named by a diff's headers, in order."""
     heads = F.filter(lines(diff), lambda x: x.startswith("--- a/") | x.startswith("+++ b/"))
-    return F.array_distinct(F.filter(F.transform(heads, lambda x: F.trim(F.regexp_replace(x, "^[^/]*/", ""))), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(heads, lambda x: strip(F.regexp_replace(x, "^[^/]*/", ""))), lambda x: x != ""))
 
 
 def only_hunks(diff: Column) -> Column:
@@ -25,13 +26,13 @@ def only_hunks(diff: Column) -> Column:
 
 
 def violation(diff: Column, target: Column, signature: Column, start: Column, end: Column, pairs: int = 20, most: int = 120) -> Column:
-    """The first constraint that a diff breaks, null if none."""
+    """The first constraint that a diff breaks, null if none. The names of the constraints."""
     own = lines(diff)
     header = lambda x: x.startswith("--- a/") | x.startswith("+++ b/")
     changed = F.filter(own, lambda x: ~header(x) & ~x.startswith("@@") & (x.startswith("+") | x.startswith("-")) & ~x.startswith("+++ ") & ~x.startswith("--- "))
     hunks = F.filter(own, lambda x: x.startswith("@@"))
     starts = F.filter(F.transform(hunks, lambda x: F.regexp_extract(x, HUNK, 1)), lambda x: x != "")
-    at, sign, files = F.try_element_at(starts, F.lit(1)).cast("int"), F.trim(signature), paths(diff)
+    at, sign, files = F.try_element_at(starts, F.lit(1)).cast("int"), strip(signature), paths(diff)
     return (
         F.when(F.size(own) > most, "too_large")
         .when((sign != "") & F.exists(changed, lambda x: F.substr(x, F.lit(2)).contains(sign)), "signature_changed")

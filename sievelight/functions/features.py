@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievelight.functions.text import lines, occurrences, ordered_distinct
+from sievelight.functions.text import lines, occurrences, ordered_distinct, strip
 
 #: A tag and the strings of which any gives it, in order.
 RISK_RULES = [
@@ -55,13 +55,13 @@ def _begins(line: Column) -> Column:
 
 def signature(text: Column, first: int = 30) -> Column:
     """The first signature line among the first lines, up to its brace; null if none."""
-    found = F.filter(F.transform(F.slice(lines(text), 1, first), lambda x: F.trim(x)), _begins)
-    return F.trim(F.split_part(F.get(found, F.lit(0)), F.lit("{"), F.lit(1)))
+    found = F.filter(F.transform(F.slice(lines(text), 1, first), strip), _begins)
+    return strip(F.split_part(F.get(found, F.lit(0)), F.lit("{"), F.lit(1)))
 
 
 def calls(text: Column, hits: int = 40, most: int = 20) -> Column:
     """Called names: of the first hits that aren't keywords the distinct ones, the first few."""
-    names = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b([A-Za-z_]\w*)\s*\("), 1)
+    names = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?U)\b([A-Za-z_]\w*)\s*\("), 1)
     named = F.filter(names, lambda n: ~n.isin(*NOT_CALLS))
     return F.slice(ordered_distinct(F.slice(named, 1, hits)), 1, most)
 
@@ -69,11 +69,11 @@ def calls(text: Column, hits: int = 40, most: int = 20) -> Column:
 def risk_score(tags: Column) -> Column:
     """Sum of the tags' weights; a tag that occurs twice counts twice, an unknown one nothing."""
     table = F.create_map(*(F.lit(x) for kv in RISK_WEIGHTS.items() for x in kv))
-    return F.coalesce(F.aggregate(tags, F.lit(0), lambda a, t: a + F.coalesce(F.element_at(table, F.trim(t)), F.lit(0))), F.lit(0))
+    return F.coalesce(F.aggregate(tags, F.lit(0), lambda a, t: a + F.coalesce(F.element_at(table, strip(t)), F.lit(0))), F.lit(0))
 
 
 def evidence_type(kind: Column, explicit: Column) -> Column:
-    return F.when(F.trim(explicit) != "", explicit).when(kind == "rust_function_slice", "code_slice").when(kind.isin(*OWN_TYPES), kind).otherwise("code")
+    return F.when(strip(explicit) != "", explicit).when(kind == "rust_function_slice", "code_slice").when(kind.isin(*OWN_TYPES), kind).otherwise("code")
 
 
 def safety_counts(text: Column) -> dict[str, Column]:
@@ -95,7 +95,7 @@ def boundary(text: Column, reach: int = 8) -> dict[str, Column]:
     """The lines that a patch may touch: around the first risky line, else the first signature, else the first line."""
     own = lines(text)
     risk = F.array_position(F.transform(own, lambda x: contains_any(x, RISK_MARKS)), F.lit(True)).cast("int")
-    sign = F.array_position(F.transform(own, lambda x: _begins(F.trim(x))), F.lit(True)).cast("int")
+    sign = F.array_position(F.transform(own, lambda x: _begins(strip(x))), F.lit(True)).cast("int")
     none = F.lit(0)
     anchor = F.when(risk > none, risk).when(sign > none, sign).otherwise(1)
     return {

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.functions.features import any_of, evidence_type, risk_score
-from sievelight.functions.text import lines
+from sievelight.functions.text import lines, strip
 from sievelight.sources.schemas import META
 
 #: Types of evidence that tell how to repair, by their beginning.
@@ -17,7 +17,7 @@ NAMES = ["symbol", "signature", "strategy_id", "strategy_title"]
 
 def clean_list(values: Column) -> Column:
     """Trimmed strings without blanks; null counts as empty."""
-    return F.coalesce(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(values, strip), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def items(found: DataFrame) -> DataFrame:
@@ -46,8 +46,9 @@ def strategies(evidence: DataFrame, order: str = "idx", by: str | None = None, m
     return own.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).filter(F.col("_n") <= most).drop("_n")
 
 
-def target_first(evidence: DataFrame, files: DataFrame, order: str = "idx") -> DataFrame:
-    """Adds place: the first code item whose file (path) exists comes first, the others keep their order. Of a bounded list."""
+def target_first(evidence: DataFrame, files: DataFrame, order: str = "idx", most: int = 1000) -> DataFrame:
+    """The first items by order with place: the first code item whose file (path) exists comes first, the others keep their order."""
+    evidence = evidence.orderBy(order).limit(most)
     here = evidence.join(files.select(F.col("path").alias("file"), F.lit(True).alias("_here")).distinct(), "file", "left")
     fit = is_code(F.col("evidence_type")) & F.coalesce("_here", F.lit(False)) & (F.col("file") != "")
     picked = F.min(F.when(fit, F.col(order))).over(Window.partitionBy(F.lit(1)))
@@ -76,7 +77,7 @@ def template_diff(path: Column, source: Column, *, edit: bool = False) -> Column
     """A one-line diff of a source: its first line unchanged, or with edit its first line that is no signature, marked."""
     path = F.coalesce(F.nullif(path, F.lit("")), F.lit("file.txt"))
     own = F.when(F.size(lines(source)) == 0, F.array(F.lit("line1"))).otherwise(lines(source))
-    fit = F.array_position(F.transform(own, lambda x: (F.trim(x) != "") & ~x.contains("fn ")), F.lit(True)).cast("int")
+    fit = F.array_position(F.transform(own, lambda x: (strip(x) != "") & ~x.contains("fn ")), F.lit(True)).cast("int")
     at = F.greatest(fit, F.lit(1)) if edit else F.lit(1)
     line, place = F.element_at(own, at), at.cast("string")
     new = F.concat(line, F.lit(" // patched")) if edit else line

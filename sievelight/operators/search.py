@@ -29,8 +29,10 @@ def query_tokens(query: str) -> list[str]:
 
 
 def kind_filter(chunks: DataFrame, kinds: list[str] | None) -> DataFrame:
+    """Chunks of any of the kinds, whose elements are taken as text; no kinds are no limit, one string isn't a list."""
     if isinstance(kinds, str):
         raise TypeError("kinds is a list")
+    kinds = [str(k) for k in kinds or []]
     return chunks.filter(F.col("kind").isin(*kinds)) if kinds else chunks
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelight.functions.text import content_hash
+from sievelight.functions.text import content_hash, strip
 
 #: States of runs and of patches.
 RUN_STATES = ["INIT", "RETRIEVE", "GENERATE", "APPLY", "EXECUTE", "DIAGNOSE", "STOP", "FAILED"]
@@ -58,21 +60,86 @@ def insert_ignore(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
 
 
 def upsert_latest(stored: DataFrame, rows: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
-    """stored with rows in place of those of equal keys; of several rows the one with the largest seq."""
-    if seq:
-        rest = F.struct(*(c for c in rows.columns if c not in keys))
-        rows = rows.groupBy(*keys).agg(F.max_by(rest, F.col(seq)).alias("_r")).select(*keys, "_r.*")
-    return stored.join(rows.select(*keys), keys, "left_anti").unionByName(rows, allowMissingColumns=True)
+    """stored with rows in place of those of equal keys; one row a key.
+
+    With seq the row of the largest seq stays, be it new or stored; of equal ones the new, and one without
+    a seq is the oldest. Without seq a new row replaces a stored one, and of several new ones any stays.
+    """
+    if not seq:
+        rows = rows.dropDuplicates(keys)
+        return stored.join(rows.select(*keys), keys, "left_anti").unionByName(rows, allowMissingColumns=True)
+    both = stored.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    names = [c for c in both.columns if c != "_new"]
+    rest = F.struct(*(c for c in names if c not in keys))
+    return both.groupBy(*keys).agg(F.max_by(rest, F.struct(seq, "_new")).alias("_r")).select(*keys, "_r.*").select(*names)
 
 
 def update(stored: DataFrame, keys: list[str], changes: DataFrame) -> DataFrame:
-    """stored with the columns of changes (keys, columns) where its keys are found."""
+    """stored with the columns of changes (keys, columns) where its keys are found; of several changes of a key any."""
     names = [c for c in changes.columns if c not in keys]
-    new = changes.select(*keys, F.struct(*names).alias("_new"))
+    new = changes.dropDuplicates(keys).select(*keys, F.struct(*names).alias("_new"))
     out = stored.join(new, keys, "left")
     return out.select(*(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in stored.columns))
 
 
+def get_or_create(stored: DataFrame, rows: DataFrame, keys: list[str], id_col: str, *, refresh: tuple[str, ...] = ()) -> DataFrame:
+    """stored with those rows whose natural keys it has not yet, under new ids; where it has them, the refresh columns are updated."""
+    known = update(stored, keys, rows.select(*keys, *refresh)) if refresh else stored
+    new = rows.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    return known.unionByName(with_ids(stored, new, id_col, keys), allowMissingColumns=True)
+
+
+def _of_known_state(rows: DataFrame, states: list[str], runs: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(rows of an allowed state whose run exists, the others with the reason)."""
+    checked = rows.withColumn("reason", F.when(~F.coalesce(F.col("status").isin(*states), F.lit(False)), "status")) if "status" in rows.columns else rows.withColumn("reason", F.lit(None).cast("string"))
+    if runs is not None:
+        known = runs.select(F.col("run_id").alias("_run")).distinct()
+        checked = checked.join(known, F.col("run_id") == F.col("_run"), "left")
+        checked = checked.withColumn("reason", F.coalesce("reason", F.when(F.col("_run").isNull(), "fk"))).drop("_run")
+    return checked.filter("reason is null").drop("reason"), checked.filter("reason is not null")
+
+
+def _stamped(rows: DataFrame, *names: str) -> DataFrame:
+    """rows with the present time in the named columns where they have none."""
+    return rows.withColumns({n: F.coalesce(F.col(n).cast("timestamp"), F.current_timestamp()) if n in rows.columns else F.current_timestamp() for n in names})
+
+
+def create_runs(runs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs with the new ones, refused rows): a run begins as INIT, a state that isn't known or an id that exists is refused."""
+    rows = rows.withColumn("status", F.coalesce("status", F.lit("INIT")) if "status" in rows.columns else F.lit("INIT"))
+    fine, bad = _of_known_state(_stamped(rows, "created_at", "updated_at"), RUN_STATES, None)
+    taken = fine.join(runs.select("run_id"), "run_id", "left_semi").withColumn("reason", F.lit("unique"))
+    return insert_ignore(runs, fine, ["run_id"]), bad.unionByName(taken)
+
+
+def add_steps(steps: DataFrame, runs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(steps with the new ones, refused rows: their run is unknown)."""
+    fine, bad = _of_known_state(_stamped(rows, "created_at"), [], runs)
+    return insert_ignore(steps, fine, ["step_id"]), bad
+
+
+def add_patches(patches: DataFrame, runs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(patches with the new ones, refused rows: their state or run is unknown)."""
+    fine, bad = _of_known_state(_stamped(rows, "created_at"), PATCH_STATES, runs)
+    return insert_ignore(patches, fine, ["patch_id"]), bad
+
+
+def set_status(table: DataFrame, key: str, changes: DataFrame, states: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(table with the states of changes (key, status, …), refused changes of an unknown state); updated_at becomes the present time."""
+    fine, bad = _of_known_state(changes, states, None)
+    return update(table, [key], _stamped(fine, "updated_at") if "updated_at" in table.columns else fine), bad
+
+
+def truncate(*tables: DataFrame) -> list[DataFrame]:
+    """The tables without their rows."""
+    return [t.limit(0) for t in tables]
+
+
+def lock_key(name: str) -> int:
+    """The signed 64-bit number under which a name is locked: the first eight bytes of its sha256, the highest first."""
+    return int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big", signed=True)
+
+
 def cascade_delete(tables: list[tuple[DataFrame, str, str | None]], ids: list) -> list[DataFrame]:
     """Deletes ids from the first table and what refers to them down the chain of (table, key, key of its parent)."""
     out: list[DataFrame] = []
@@ -93,7 +160,7 @@ def insert_projects(projects: DataFrame, rows: DataFrame) -> tuple[DataFrame, Da
 
 def insert_snapshots(snapshots: DataFrame, projects: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(snapshots with the new ones, refused rows: no such project or already there); an empty commit is 'mock'."""
-    rows = rows.withColumn("commit_sha", F.coalesce(F.nullif(F.trim("commit_sha"), F.lit("")), F.lit("mock")))
+    rows = rows.withColumn("commit_sha", F.coalesce(F.nullif(strip(F.col("commit_sha")), F.lit("")), F.lit("mock")))
     bad = orphans(rows, projects, "project_id").withColumn("reason", F.lit("fk"))
     fine = rows.join(projects.select("project_id"), "project_id", "left_semi")
     keys = ["project_id", "commit_sha"]

@@ -160,8 +160,10 @@ def merged_source_measures(files: DataFrame) -> DataFrame:
 def tree_digest(files: DataFrame) -> DataFrame:
     """One digest of a tree of files (path, content as bytes): over the files' own digests, in order of path, without .git.
 
-    Only the digests, 64 characters a file, come together; contents are hashed where they are read.
+    Contents are hashed where they are read; the digests, 64 characters a file, are first put together in
+    4096 parts by a hash of the path, so that no task holds those of all files.
     """
-    own = files.filter(~F.col("path").contains("/.git/")).select("path", F.sha2("content", 256).alias("d"))
+    own = files.filter(~F.col("path").contains("/.git/")).select("path", F.sha2(F.col("content").cast("binary"), 256).alias("d"))
     parts = F.sort_array(F.collect_list(F.struct(F.lower("path").alias("l"), "path", "d")))
-    return own.agg(F.sha2(F.array_join(F.transform(parts, lambda x: F.concat(x["path"], F.lit("\0"), x["d"])), "\0").cast("binary"), 256).alias("digest"))
+    some = own.groupBy(F.substring(F.sha2("path", 256), 1, 3).alias("part")).agg(F.sha2(F.array_join(F.transform(parts, lambda x: F.concat(x["path"], F.lit("\0"), x["d"])), "\0").cast("binary"), 256).alias("d"))
+    return some.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), "\0").cast("binary"), 256).alias("digest"))

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import tomllib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +31,10 @@ def sf_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def source_files(spark: SparkSession, root: str, suffix: str = "*.rs") -> DataFrame:
     """(path, content) of a tree, path relative to root; bytes that aren't UTF-8 become U+FFFD."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/*", "/")
+    base = re.sub("^[a-z]+:/*", "/", root.rstrip("/")) + "/"
     path = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
-    return files.select(F.ltrim(F.replace(path, base, F.lit("")), F.lit("/")).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    own = F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).otherwise(path)
+    return files.select(own.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -95,6 +98,56 @@ def sql_template(spark: SparkSession, text: str, **params) -> DataFrame:
     return spark.sql(text, args=params)
 
 
+def _text(spark: SparkSession, path: str) -> str:
+    """A small file's text; empty where there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+        return ""
+    row = spark.read.text(path, wholetext=True).first()
+    return row[0] if row else ""
+
+
+def plain_yaml(text: str) -> dict:
+    """The top level of a YAML mapping of scalars: numbers, booleans, null and strings; what is nested is left out."""
+    out: dict = {}
+    for line in text.splitlines():
+        m = re.match(r"([A-Za-z_][\w.-]*)\s*:(?:\s+(.*))?$", line)
+        if not m:
+            continue
+        raw = (m[2] or "").strip()
+        raw = raw[1:-1] if len(raw) > 1 and raw[0] == raw[-1] and raw[0] in "'\"" else re.sub(r"(^|\s+)#.*$", "", raw)
+        try:
+            out[m[1]] = {"": None, "~": None, "null": None, "true": True, "false": False}[raw]
+        except KeyError:
+            out[m[1]] = int(raw) if re.fullmatch(r"[-+]?\d+", raw) else float(raw) if re.fullmatch(r"[-+]?\d+\.\d*", raw) else raw
+    return out
+
+
+def toml_section(spark: SparkSession, path: str, *names: str) -> dict:
+    """A section of a TOML file; empty where the file, the section or its syntax fails."""
+    try:
+        found = tomllib.loads(_text(spark, path))
+    except tomllib.TOMLDecodeError:
+        return {}
+    for n in names:
+        found = found.get(n) if isinstance(found, dict) else None
+    return dict(found) if isinstance(found, dict) else {}
+
+
+def series(spark: SparkSession, first: int, last: int, step: int = 1) -> DataFrame:
+    """n from first to last, both included."""
+    return spark.range(first, last + (1 if step > 0 else -1), step).withColumnRenamed("id", "n")
+
+
+def data_root(env: dict[str, str]) -> str:
+    """Where the tables lie: SIEVELIGHT_ROOT, else SIEVELIGHT_HOST and SIEVELIGHT_PATH as one address; none is an error."""
+    if env.get("SIEVELIGHT_ROOT", "").strip():
+        return env["SIEVELIGHT_ROOT"].strip().rstrip("/")
+    if env.get("SIEVELIGHT_HOST", "").strip():
+        return f"hdfs://{env['SIEVELIGHT_HOST'].strip()}/{env.get('SIEVELIGHT_PATH', '').strip('/ ')}".rstrip("/")
+    raise ValueError("no_data_root")
+
+
 @dataclass(frozen=True)
 class LoopConfig:
     """Limits of the repair loop; each is 1 at least."""
@@ -105,7 +158,12 @@ class LoopConfig:
     @classmethod
     def of(cls, values: dict | None) -> LoopConfig:
         values = values or {}
-        return cls(max(1, int(values.get("max_iters", 20))), max(1, int(values.get("no_progress_limit", 5))))
+        return cls(max(1, int(values.get("max_iters") or 20)), max(1, int(values.get("no_progress_limit") or 5)))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, overrides: dict | None = None) -> LoopConfig:
+        """From a YAML file of key: value lines, if there is one; overrides that aren't null win."""
+        return cls.of(plain_yaml(_text(spark, path)) | {k: v for k, v in (overrides or {}).items() if v is not None})
 
     @property
     def digest(self) -> str:

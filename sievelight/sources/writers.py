@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gzip
+import hashlib
+import json
+import uuid
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.functions.text import fixed2
@@ -25,6 +31,56 @@ def iteration_rows(metrics: DataFrame) -> DataFrame:
     return shown.withColumn("file", F.format_string("%04d", F.col("iteration").cast("int"))).withColumn("csv", body).withColumn("sha256", F.sha2(F.col("csv").cast("binary"), 256))
 
 
+def _write(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, in any store that Spark can write to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(place, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def iteration_files(metrics: DataFrame, folder: str) -> list[str]:
+    """The CSV and JSON files of each iteration with their .sha256 neighbours; the names of the files.
+
+    Rows come to the driver one at a time; there are as many as a run has iterations.
+    """
+    spark, out = metrics.sparkSession, []
+    for r in iteration_rows(metrics).select("file", "csv").join(metrics.select(F.format_string("%04d", F.col("iteration").cast("int")).alias("file"), "*"), "file").orderBy("file").toLocalIterator():
+        told = {k: r[k] or "" for k in ("timestamp_utc", "commit", "config_hash")}
+        shown = {"unsafe_blocks": int(r["unsafe_blocks"] or 0), "unsafe_line_pct": round(float(r["unsafe_line_pct"] or 0), 2), "raw_ptr_count": int(r["raw_ptr_count"] or 0), "test_pass_rate": round(float(r["test_pass_rate"] or 0), 2)}
+        body = json.dumps({"meta": told, "iteration": int(r["iteration"]), "metrics": shown}, ensure_ascii=False, indent=2) + "\n"
+        for name, data in ((f"{r['file']}.csv", r["csv"].encode()), (f"{r['file']}.json", body.encode())):
+            _write(spark, f"{folder}/{name}", data)
+            _write(spark, f"{folder}/{name}.sha256", (hashlib.sha256(data).hexdigest() + "\n").encode())
+            out.append(name)
+    return out
+
+
+def stamp(at: Column) -> Column:
+    """A time as the log files' names show it, in UTC."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyyMMdd'T'HHmmss'Z'")
+
+
+def elapsed_ms(start: Column, end: Column) -> Column:
+    """Whole milliseconds from start to end, none below 0."""
+    return F.greatest(F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp")), F.lit(0).cast("long"))
+
+
+def json_rows(rows: DataFrame) -> DataFrame:
+    """Rows as lines of JSON, nulls included, for standard output or a log."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def tool_log(spark: SparkSession, folder: str, manifest_path: str, payload: dict, now: datetime | None = None) -> str:
+    """A tool's run as a gzip JSON log, and the manifest that names it; returns the log's path."""
+    name = f"{(now or datetime.now(timezone.utc)).strftime('%Y%m%dT%H%M%SZ')}_{uuid.uuid4().hex}.json.gz"
+    _write(spark, f"{folder}/{name}", gzip.compress((json.dumps(payload, ensure_ascii=False, default=str) + "\n").encode()))
+    known = {k: payload.get(k, "") for k in ("snapshot_version", "c2rust_version", "rust_workspace_dir")}
+    manifest = {**known, "c_project_path": payload.get("cwd", ""), "c2rust_log_path": f"{folder}/{name}"}
+    _write(spark, manifest_path, (json.dumps(manifest, ensure_ascii=False, indent=2) + "\n").encode())
+    return f"{folder}/{name}"
+
+
 def events_jsonl(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
@@ -45,3 +101,20 @@ def spill(outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def retention(files: DataFrame, now, days: int = 7) -> DataFrame:
     """Files (path, modificationTime) that are older than the days."""
     return files.filter(F.col("modificationTime") < F.lit(now) - F.make_dt_interval(F.lit(days)))
+
+
+def spill_gz(outputs: DataFrame, folder: str) -> DataFrame:
+    """outputs without the large texts, which are appended to gzip JSON files in folder; spilled tells which."""
+    slim, large = spill(outputs)
+    large.write.mode("append").option("compression", "gzip").json(folder)
+    return slim
+
+
+def clean_up(spark: SparkSession, folder: str, now, days: int = 7, pattern: str = "*.gz") -> int:
+    """Deletes the folder's files that are older than the days; how many. Names come to the driver one at a time."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime")
+    n = 0
+    for r in retention(files, now, days).select("path").toLocalIterator():
+        place = spark._jvm.org.apache.hadoop.fs.Path(r["path"])
+        n += bool(place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, False))
+    return n

@@ -122,7 +122,7 @@ def test_spill_and_config(spark):
     out = spark.createDataFrame([("a" * 10240, "e"), ("b", "f")], "stdout string, stderr string")
     slim, large = writers.spill(out)
     assert sorted(r.stderr for r in slim.collect()) == ["", "f"] and large.count() == 1
-    c = readers.LoopConfig.of({"max_iters": 0})
+    c = readers.LoopConfig.of({"max_iters": -1})
     assert (c.max_iters, c.no_progress_limit, len(c.digest)) == (1, 5, 64)
 
 

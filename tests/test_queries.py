@@ -40,13 +40,19 @@ def test_entry_module(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_stream_keeps_latest(spark, tmp_path):
-    from sievelight.streaming.telemetry import appended, keep_latest
+@pytest.mark.parametrize("order", [(0, 1, 2), (1, 0, 2), (2, 1, 0)])
+def test_stream_keeps_latest(spark, tmp_path, order):
+    from sievelight.streaming.telemetry import appended, current, keep_latest
 
     (tmp_path / "in").mkdir()
-    for i, rows in enumerate(['{"k":1,"v":"a","seq":1}\n{"k":2,"v":"b","seq":1}', '{"k":1,"v":"c","seq":2}']):
-        (tmp_path / "in" / f"{i}.json").write_text(rows)
-    stream = appended(spark, str(tmp_path / "in"), "k int, v string, seq int", per_trigger=1)
-    q = keep_latest(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["k"], "seq").trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
-    assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out" / "v1")).collect()) == [(1, "c"), (2, "b")]
+    path, files = str(tmp_path / "out"), ['{"k":1,"v":"a","seq":1}\n{"k":2,"v":"b","seq":1}', '{"k":1,"v":"c","seq":2}', '{"k":3,"v":"e","seq":0}\n{"k":2,"v":"z","seq":0}']
+    assert current(spark, path) is None
+    for i in order:  # a file is a batch
+        (tmp_path / "in" / f"{i}.json").write_text(files[i])
+        stream = appended(spark, str(tmp_path / "in"), "k int, v string, seq int", per_trigger=1)
+        q = keep_latest(stream, path, str(tmp_path / "cp"), ["k"], "seq").trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    assert sorted((r.k, r.v) for r in current(spark, path).collect()) == [(1, "c"), (2, "b"), (3, "e")]
+    again = keep_latest(appended(spark, str(tmp_path / "in"), "k int, v string, seq int"), path, str(tmp_path / "other"), ["k"], "seq").trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="doesn't belong"):  # a new checkpoint over an old table
+        again.awaitTermination(120)

@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Tags whose content is never text of the page.
-SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "head", "title", "select", "textarea", "button", "option"}
+SILENT = {"script", "style", "template", "svg", "iframe", "head", "title", "select", "textarea", "button", "option"}
+#: Tags that can stand in a head; any other ends one that is open.
+HEAD = {"base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 #: Tags that run within a block.
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "math", "annotation", "menclose", "merror", "mfenced", "mfrac", "mi", "mn", "mo", "mover", "mpadded", "mphantom", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "munder", "munderover", "semantics"}
 #: Tags without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: An open tag of the first kind ends where one of the second begins, inside the same container.
@@ -37,8 +39,8 @@ HINTS = {
     "body": ["article", "content", "post", "entry", "story", "main", "body", "text", "prose"],
 }
 _HINT = {w: k for k, ws in HINTS.items() for w in ws}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?=/)[^>]*>", re.S)
-_RAW_END = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(?=/)[^>]*>", re.S)
+_RAW_END = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "iframe", "template")}
 _ATTR = re.compile(r"(class|id|role|aria-label|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -56,40 +58,89 @@ def _hints(attrs: str) -> frozenset:
     return frozenset(found)
 
 
-def blocks(page: str) -> list[tuple[str, tuple, int]]:
-    """Leaf blocks in page order: (text, ancestors as (tag, hints), characters inside links).
+#: Words of notices and of page furniture, for one feature.
+FURNITURE = {"cookie", "cookies", "accept", "consent", "subscribe", "newsletter", "login", "register", "copyright", "reserved", "rights", "privacy", "advertisement", "sponsored", "share", "reply", "comment", "comments", "related", "menu", "search"}
+_TAGS = ["nav", "header", "footer", "aside", "form", "article", "main", "ul", "ol", "li", "table", "p", "h1", "h2", "h3", "blockquote", "pre", "figure", "figcaption", "div", "section", "dl", "address", "menu", "dialog", "details"]
+NAMES = [*(f"in:{t}" for t in _TAGS), *(f"hint:{h}" for h in [*HINTS, "hidden"]), *(f"own:{t}" for t in _TAGS), "short", "middling", "long", "linked", "half linked", "stop", "furniture", "sign", "article in", "article header", "bias"]
+_AT = {n: i for i, n in enumerate(NAMES)}
+
+
+@lru_cache(maxsize=50_000)
+def _inside(above: frozenset, tag: str, hints: frozenset) -> frozenset:
+    """Numbers of the features of a container and all above it. Inside an article its header is part of it."""
+    article = _AT["article in"] in above or tag in ("article", "main")
+    name = "article header" if tag == "header" and article else f"in:{tag}"
+    found = [name, *(f"hint:{h}" for h in hints), *(["hint:notice"] if tag == "noscript" else []), *(["article in"] if article else [])]
+    return above | {_AT[n] for n in found if n in _AT}
+
+
+class _Open:
+    """The open tags of a page. Each knows the features of all tags above it, so that a block costs the same at any depth."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.above: list[tuple[frozenset, str]] = [(frozenset(), "")]  # features of the containers, the nearest one's tag
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of tags that don't run within a block
+        self.silent = self.links = 0
+
+    def push(self, tag: str, hints: frozenset) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag not in INLINE:
+            self.blocks.append(len(self.tags))
+            self.above.append((_inside(self.above[-1][0], tag, hints), tag))
+        else:
+            self.above.append(self.above[-1])
+        self.tags.append(tag)
+        self.silent += tag in SILENT
+        self.links += tag == "a"
+
+    def close(self, depth: int) -> None:
+        """Ends all tags from depth on."""
+        while len(self.tags) > depth:
+            tag = self.tags.pop()
+            self.above.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+            self.silent -= tag in SILENT
+            self.links -= tag == "a"
+
+    def place(self, tag: str) -> int | None:
+        """Where the last open one of a tag stands."""
+        return at[-1] if (at := self.places.get(tag)) else None
+
+
+def blocks(page: str) -> list[tuple[str, frozenset, str, int]]:
+    """Leaf blocks in page order: (text, features of the tags above, the nearest tag, characters inside links).
 
     Tolerates unclosed and stray tags as browsers do; comments and the content of SILENT tags are no text.
+    The time is proportional to the page's length, however deep its tags are nested.
     """
-    out: list[tuple[str, tuple, int]] = []
-    stack: list[tuple[str, frozenset]] = []
+    out: list[tuple[str, frozenset, str, int]] = []
+    open_ = _Open()
     parts: list[str] = []
-    linked, in_link, silent = 0, 0, 0
-    at, end = 0, len(page)
+    linked, at, end = 0, 0, len(page)
 
     def flush():
         nonlocal linked
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append((text, tuple(x for x in stack if x[0] not in INLINE), min(linked, len(text))))
+                out.append((text, *open_.above[-1], min(linked, len(text))))
             parts.clear()
         linked = 0
 
     def add(text: str):
         nonlocal linked
-        if not silent and text:
+        if open_.silent and open_.place("head") == len(open_.tags) - 1 and text.strip():
+            open_.close(len(open_.tags) - 1)  # text ends a head
+        if not open_.silent and text:
             text = html.unescape(text)
             parts.append(text)
-            if in_link:
+            if open_.links:
                 linked += len(text.strip())
 
-    def pop() -> None:
-        nonlocal in_link, silent
-        tag, _ = stack.pop()
-        in_link -= tag == "a"
-        silent -= tag in SILENT
-
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
@@ -109,15 +160,16 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
             continue
         tag = m[3].lower()
         if m[2]:  # an end tag; one that was never opened is passed over
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            depth = open_.place(tag)
             if depth is not None:
-                if tag in INLINE and any(t not in INLINE for t, _ in stack[depth + 1 :]):
-                    continue  # an inline tag doesn't close the blocks within it
                 if tag not in INLINE:
                     flush()
-                while len(stack) > depth:
-                    pop()
+                    open_.close(depth)
+                elif not open_.blocks or open_.blocks[-1] < depth:  # an inline tag doesn't close the blocks within it
+                    open_.close(depth)
             continue
+        if tag not in HEAD and (head := open_.place("head")) is not None:
+            open_.close(head)
         if tag == "br":
             add(" ")
             continue
@@ -125,61 +177,31 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
             flush()
             if tag in P_ENDS or tag in IMPLIED:
                 ends = IMPLIED.get(tag, set()) | ({"p"} if tag in P_ENDS else set())
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
-                        while len(stack) > i:
-                            pop()
+                for i in reversed(open_.blocks):
+                    if open_.tags[i] in ends:
+                        open_.close(i)
                         break
-                    if stack[i][0] not in INLINE and stack[i][0] != "p":
+                    if open_.tags[i] != "p":
                         break
             if tag == "body":
-                while stack and stack[-1][0] != "html":
-                    pop()
+                root = open_.place("html")
+                open_.close(0 if root is None else root + 1)
         if tag in _RAW_END and not m[0].endswith("/>"):
             close = _RAW_END[tag].search(page, at)
             at = close.end() if close else end
             continue
         if tag in VOID or m[0].endswith("/>") and tag not in INLINE | P_ENDS:
             continue
-        stack.append((tag, _hints(m[4]) if m[4] else frozenset()))
-        in_link += tag == "a"
-        silent += tag in SILENT
+        open_.push(tag, _hints(m[4]) if m[4] else frozenset())
     flush()
     return out
 
 
-#: Words of notices and of page furniture, for one feature.
-FURNITURE = {"cookie", "cookies", "accept", "consent", "subscribe", "newsletter", "login", "register", "copyright", "reserved", "rights", "privacy", "advertisement", "sponsored", "share", "reply", "comment", "comments", "related", "menu", "search"}
-_TAGS = ["nav", "header", "footer", "aside", "form", "article", "main", "ul", "ol", "li", "table", "p", "h1", "h2", "h3", "blockquote", "pre", "figure", "figcaption", "div", "section", "dl", "address", "menu", "dialog", "details"]
-NAMES = [*(f"in:{t}" for t in _TAGS), *(f"hint:{h}" for h in [*HINTS, "hidden"]), *(f"own:{t}" for t in _TAGS), "short", "middling", "long", "linked", "half linked", "stop", "furniture", "sign", "article in", "article header", "bias"]
-_AT = {n: i for i, n in enumerate(NAMES)}
-
-
-@lru_cache(maxsize=50_000)
-def _ancestry(ancestors: tuple) -> tuple[int, ...]:
-    """Features of the tags above a block. Inside an article its header is part of it."""
-    found = set()
-    inside = False
-    for tag, hints in ancestors:
-        if tag in ("article", "main"):
-            inside = True
-        if tag == "header" and inside:
-            found.add("article header")
-        elif f"in:{tag}" in _AT:
-            found.add(f"in:{tag}")
-        found |= {f"hint:{h}" for h in hints}
-    if inside:
-        found.add("article in")
-    if ancestors and f"own:{ancestors[-1][0]}" in _AT:
-        found.add(f"own:{ancestors[-1][0]}")
-    return tuple(_AT[n] for n in found)
-
-
-def features(block: tuple[str, tuple, int]) -> list[int]:
+def features(block: tuple[str, frozenset, str, int]) -> list[int]:
     """Numbers of the features that hold for a block."""
-    text, ancestors, linked = block
+    text, above, tag, linked = block
     n = len(text)
-    found = [*_ancestry(ancestors), _AT["bias"], _AT["short" if n < 40 else "middling" if n < 120 else "long"]]
+    found = [*above, *([_AT[f"own:{tag}"]] if f"own:{tag}" in _AT else []), _AT["bias"], _AT["short" if n < 40 else "middling" if n < 120 else "long"]]
     if linked >= 0.9 * n:
         found.append(_AT["linked"])
     elif linked >= 0.5 * n:

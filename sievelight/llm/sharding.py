@@ -16,7 +16,9 @@ from sievelight.llm.scratch import Scratch
 
 SHARDS, OVERHEAD = 24, 8
 #: Hash cells of small groups per shard, and the share of a shard from which a group is an item of its own.
-CELLS_PER_SHARD, LARGE, SPLIT = 256, 1 / 128, 1 / 16
+CELLS_PER_SHARD, LARGE = 256, 1 / 128
+#: A group that is more than a shard's fair share is dealt over items of this share of a shard; any other stays whole.
+SPLIT = 1 / 16
 #: Rows that one bucket of slots holds, about.
 SLOT_ROWS = 100_000
 
@@ -65,7 +67,7 @@ def shard(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shar
     caps = [max(whole[k] or 0, 1) / shards for k in ("size", "tokens", "n")]
     share = F.greatest(*(F.col(k) / F.lit(float(c)) for k, c in zip(("size", "tokens", "n"), caps, strict=True)))
     large = base.groupBy("group_hash").agg(*sums).select("group_hash", share.alias("share")).filter(F.col("share") >= LARGE)
-    parts = [(r["group_hash"], max(1, int(np.ceil(r["share"] / SPLIT)))) for r in large.collect()]  # 3 * shards / LARGE rows at most
+    parts = [(r["group_hash"], int(np.ceil(r["share"] / SPLIT)) if r["share"] > 1 else 1) for r in large.collect()]  # 3 * shards / LARGE rows at most
     big = F.broadcast(spark.createDataFrame(parts, "group_hash long, parts int"))
     part = F.coalesce(F.pmod(F.xxhash64(F.lit(1), "id"), F.col("parts")).cast("int"), F.lit(-1))
     cell = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64(F.lit(2), "group_hash"), F.lit(CELLS_PER_SHARD * shards))).otherwise(F.col("group_hash"))

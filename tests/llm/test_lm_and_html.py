@@ -87,6 +87,31 @@ def test_blocks():
     assert html_extract.blocks("") == [] and html_extract.blocks("no tags <")[0][0] == "no tags <"
 
 
+def test_nothing_of_an_article_is_dropped():
+    w, t = (x.tolist() for x in html_extract.model())
+    start = "<article><p>The energy of a body at rest is "
+    for inner, text in {"<math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math>": "E=mc2", "<object data=x>a picture</object>": "a picture", "<canvas>a drawing</canvas>": "a drawing", "<noscript>no script</noscript>": "no script"}.items():
+        assert html_extract.main_text(f"{start}{inner}, as has long been known.</p></article>", w, t).replace(" ", "") == f"The energy of a body at rest is {text}, as has long been known.".replace(" ", "")
+    headless = "<html><head><title>T</title><meta charset=utf-8><article><p>A page that leaves out the end of its head, and the body.</p></article>"
+    assert html_extract.main_text(headless, w, t) == "A page that leaves out the end of its head, and the body."
+    assert [b[0] for b in html_extract.blocks("<head><title>T</title>text at once<p>x")] == ["text at once", "x"]
+
+
+def test_time_is_linear_in_the_page():
+    import time
+    import tracemalloc
+
+    pages = ["<div>a" * 100_000, "<div>a" * 50_000 + "</p>" * 50_000, "<b>" * 50_000 + "<div>x</div>" * 50_000, "<b><div>" * 50_000 + "</b>" * 50_000, "<li>a" * 100_000, "</div>" * 100_000, "<p>a<b>" * 50_000]
+    for page in pages:
+        tracemalloc.start()
+        start = time.process_time()
+        found = html_extract.blocks(page)
+        [html_extract.features(b) for b in found]
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+        tracemalloc.stop()
+        assert time.process_time() - start < 8, page[:20]  # a good second without the tracing
+
+
 def test_viterbi_against_all_paths():
     import itertools
     import random
@@ -122,5 +147,6 @@ def test_extraction_of_odd_pages(spark):
     rows = [(1, "u", None, "x"), (1, "u", "", "x"), (None, None, "<nav><a href=x>Home</a></nav>", "x"), (3, "u", "<article><p>Long enough text of an article, with a stop.</article>" * 1, "x"), (4, "u", "<" * 2000, "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = html_extract.extract(df).collect()
-    assert [(r.page_id, r.text) for r in got][:4] == [(1, ""), (1, ""), (None, ""), (3, "Long enough text of an article, with a stop.")]
+    assert [(r.page_id, r.text) for r in got[:4]] == [(1, ""), (1, ""), (None, ""), (3, "Long enough text of an article, with a stop.")]
+    assert got[4].page_id == 4 and got[4].text in ("", "<" * 2000)
     assert html_extract.extract(df.limit(0)).count() == 0

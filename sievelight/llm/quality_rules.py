@@ -27,15 +27,18 @@ COMMON = {
 WHITE = " \t\n\x0b\x0c\r"
 #: Character classes besides lower-case and other letters, which are the rest of the words' characters.
 CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "stop": "[.,;:!?'\"()\\-]", "symbol": "[#*$%&|<>]", "wide": "[^\\x00-\\x7F]"}
+#: Parts to which shares are rounded where their median is taken.
+STEPS = 2000
 #: Good documents from which a language's own reference decides alone.
 REFERENCE_LEAST = 5
 #: References (of most documents) among which the nearest is looked for, and those beyond which they aren't broadcast.
 NEAREST_OF, BROADCAST_ROWS = 256, 10_000
 #: Place of "wide" in char_share.
 WIDE = list(CLASSES).index("wide")
-#: Limits of the distances, what 1/sqrt(length) adds, and the least lengths (characters, words).
+#: Limits of the distances, what 1/sqrt(length) adds, and the least lengths (characters, words). Chance alone
+#: puts a text of n words at about 1.5/sqrt(n) from its language, and one of n characters at 1/sqrt(n).
 CHAR_LIMIT, CHAR_SLACK, CHAR_LEAST = 0.085, 3.0, 100
-WORD_LIMIT, WORD_SLACK, WORD_LEAST = 0.35, 3.0, 50
+WORD_LIMIT, WORD_SLACK, WORD_LEAST = 0.15, 1.5, 50
 
 
 def _share(counts: list[Column], total: Column) -> Column:
@@ -44,6 +47,10 @@ def _share(counts: list[Column], total: Column) -> Column:
     return F.transform(F.array(*counts, rest), lambda x: x / F.greatest(total, F.lit(1)).cast("double"))
 
 
+def _is(value: int):
+    return lambda x: x == value
+
+
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two arrays of shares: the root of the divergence in bits."""
     term = F.zip_with(
@@ -83,11 +90,13 @@ def measures(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, rows:
     gaps = F.transform("at", lambda x, j: F.when(j == 0, 3).otherwise(F.least(F.lit(3), x - at[j - 1])))
     out = out.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)).drop("at")
 
-    every = sorted({w for ws in COMMON.values() for w in ws})
-    out = out.withColumn("common", F.filter("words", lambda w: w.isin(*every))).drop("words")
+    every = sorted({v for ws in COMMON.values() for w in ws for v in (w, w.capitalize())})
+    out = out.withColumn("common", F.transform(F.filter("words", lambda w: w.isin(*every)), F.lower)).drop("words")
     own = reduce(lambda a, kv: a.when(F.col("lang") == kv[0], F.array(*map(F.lit, kv[1]))), COMMON.items(), F.when(F.lit(False), F.array().cast("array<string>")))
     out = out.withColumn("own", own)
-    by_slot = [F.size(F.filter("common", lambda w, i=i: w == F.get("own", F.lit(i)))).cast("long") for i in range(12)]
+    places = F.transform("common", lambda w: F.array_position("own", w))
+    out = out.withColumn("places", places)
+    by_slot = [F.size(F.filter("places", _is(i + 1))).cast("long") for i in range(12)]
     n_upper, n_digit, n_stop, n_symbol, n_wide = (F.col(f"n_{c}") for c in CLASSES)
     out = out.withColumn("char_share", _share([n_upper, n_digit, n_stop, n_symbol, F.least(n_wide, F.col("word_chars") - n_upper - n_digit - n_stop - n_symbol)], F.col("word_chars")))
     out = out.withColumn("word_share", F.when(F.col("lang").isin(*COMMON), _share(by_slot, F.col("n_words"))))
@@ -98,13 +107,14 @@ def measures(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, rows:
 def references(measured: DataFrame) -> DataFrame:
     """Typical shares of each language's documents that pass the base rules: lang, n, ref_chars, ref_words (of the four languages).
 
-    The median of each share, then over their sum: a minority of odd documents doesn't shift it. Medians are
-    sketches of a fixed size. One row per language met.
+    The median of each share, then over their sum: a minority of odd documents doesn't shift it. Shares are
+    rounded to STEPS parts before, so that a median is exact, the same in any partitioning, and counts that
+    many values at most. One row per language met.
     """
     good = measured.filter(~F.col("base_failed"))
 
     def typical(col: str, n: int) -> list[Column]:
-        return [F.percentile_approx(F.col(col)[i], 0.5, 2000).alias(f"{col}{i}") for i in range(n)]
+        return [F.percentile(F.round(F.col(col)[i] * STEPS) / STEPS, 0.5).alias(f"{col}{i}") for i in range(n)]
 
     def whole(col: str, n: int) -> Column:
         parts = F.array(*(F.col(f"{col}{i}") for i in range(n)))

@@ -24,8 +24,8 @@ from sievelight.llm.components import components
 from sievelight.llm.scratch import Scratch
 
 LEAST, BLOCK = 0.93, 8
-#: Vectors of a label up to which one, and up to which two coordinates of a block make its grid; three beyond.
-GRID = (20_000, 1_000_000)
+#: Vectors of a label up to which one, two, … coordinates of a block make its grid; one more beyond the last.
+GRID = (20_000, 1_000_000, 50_000_000, 2_500_000_000)
 #: Vectors of a cell that one task compares; fuller cells are dealt as pairs of chunks.
 CELL_ROWS = 3000
 
@@ -194,7 +194,9 @@ def embedding_dedup(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     or more. n_links is the number of other rows linked directly, component_id the smallest id reachable by
     links, itself included, kept whether that is its own. Null or zero vectors and those with null or
     non-finite components link with nothing, and so do rows without a label. Equal vectors are compared
-    once and counted as often as they occur. A null id takes part and is never a smallest id. An empty
+    once and counted as often as they occur. A cell's vectors beyond CELL_ROWS are compared in pairs of chunks,
+    all of them: the work grows with the square of a cell, whose share of a label falls with every coordinate
+    of the grid only about fourfold, which is what blocks of few dimensions can tell apart. A null id takes part and is never a smallest id. An empty
     table gives an empty result; other columns aren't read.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "embeddings")
@@ -204,7 +206,7 @@ def embedding_dedup(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     classes = rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("raw").alias("raw"))
     classes = scratch.table(classes, "classes")
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("m"))
-    grid = F.when(F.col("m") <= GRID[0], 1).when(F.col("m") <= GRID[1], 2).otherwise(3)
+    grid = sum((F.when(F.col("m") > n, 1).otherwise(0) for n in GRID), F.lit(1))
     sized = classes.join(sizes.select("label", "dim", grid.alias("grid")), ["label", "dim"])
     cells = sized.select("label", "dim", "key", "copies", "raw", "grid").mapInArrow(_cells(least), "label string, dim int, key binary, copies long, raw binary, block int, cell string, home boolean")
     cells = scratch.table(cells, "cells")

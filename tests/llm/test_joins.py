@@ -94,6 +94,21 @@ def vectors():
     return rows
 
 
+def test_embedding_dedup_of_many_vectors_of_a_label(spark):
+    r = np.random.default_rng(8)
+    centres = r.standard_normal((400, 64))
+    spread = r.uniform(0.15, 0.35, 400)
+    x = [*(centres[i % 400] + r.standard_normal(64) * spread[i % 400] for i in range(4000)), *r.standard_normal((6000, 64))]
+    x = np.array(x, np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = [np.flatnonzero(unit[i] @ unit.T >= 0.93) for i in range(len(x))]
+    root = groups(len(x), [(i, int(j)) for i, own in enumerate(near) for j in own if j < i])
+    assert sum(map(len, near)) > len(x) + 5000 and embedding_dedup.CELL_ROWS * 3 < len(x)  # many links, cells in chunks
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int").repartition(4)
+    got = {g.vec_id: (g.n_links, g.component_id) for g in embedding_dedup.embedding_dedup(df).collect()}
+    assert got == {i: (len(near[i]) - 1, root[i]) for i in range(len(x))}
+
+
 @pytest.mark.parametrize("settings", [{}, {"GRID": (0, 0), "CELL_ROWS": 3}])
 def test_embedding_dedup(spark, monkeypatch, settings):
     for k, v in settings.items():

@@ -16,7 +16,6 @@ A group over a bound is dealt as pairs of chunks, so no task holds an unbounded
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sievelight.llm.components import components
+from sievelight.llm.packs import cuts, loose, press, runs
 from sievelight.llm.scratch import Scratch
 from sievelight.llm.shingles import set_key, shingle_batches
 
@@ -96,42 +96,10 @@ def overlaps_join(sets: list[np.ndarray], sides: np.ndarray | None, num: int, de
         yield int(order[x]), order[hit]
 
 
-def _press(x: np.ndarray, kind: str = "<u4") -> bytes:
-    return zlib.compress(x.astype(kind).tobytes(), 1)
-
-
-def _loose(b: bytes, kind: str = "<u4") -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), kind)
-
-
-def _cuts(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    """Where the buckets, ranges of the upper half of a shingle, begin and end among sorted shingles."""
-    return np.searchsorted((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
-
-
 def _low(tokens: np.ndarray) -> bytes:
     return tokens.astype(np.uint32).tobytes()
 
 
-def _rows(b: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
-    """Rows as tuples, a few at a time in memory."""
-    for s in range(0, b.num_rows, step):
-        yield from zip(*(c.slice(s, step).to_pylist() for c in b.columns), strict=True)
-
-
-def _runs(batches: Iterator[pa.RecordBatch], width: int = 1) -> Iterator[list[tuple]]:
-    """Rows that agree in the first width columns, as they come."""
-    held: list[tuple] = []
-    for b in batches:
-        for r in _rows(b):
-            if held and held[0][:width] != r[:width]:
-                yield held
-                held = []
-            held.append(r)
-    if held:
-        yield held
-
-
 _SENT = "bucket int, pack long, counts binary, ones binary, more binary, ids array<{kind}>, text_hash array<long>, keys binary, sizes array<long>, set array<int>, shared array<int>"
 _TOLD = "pack long, told binary, ids array<{kind}>, text_hash array<long>, keys binary, sizes array<long>, set array<int>, shared array<int>"
 
@@ -161,17 +129,17 @@ def _send(width: int, buckets: int, kind: pa.DataType):
                 by = np.argsort(token, kind="stable")
                 token, owner = token[by], owner[by]
                 begin = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
-                runs = np.diff(np.append(begin, len(token)))
-                alone = np.repeat(runs == 1, runs)
+                lengths = np.diff(np.append(begin, len(token)))
+                alone = np.repeat(lengths == 1, lengths)
                 shared = np.bincount(owner[~alone], minlength=m)
-                one, of, more = token[alone], owner[alone], token[begin[runs > 1]]
-                at, at_more = _cuts(one, buckets), _cuts(more, buckets)
+                one, of, more = token[alone], owner[alone], token[begin[lengths > 1]]
+                at, at_more = cuts(one, buckets), cuts(more, buckets)
                 out: list[tuple] = []
                 for k in range(buckets):
                     a, e, a2, e2 = at[k], at[k + 1], at_more[k], at_more[k + 1]
                     if e > a or e2 > a2:
                         by = np.argsort(of[a:e], kind="stable")
-                        out.append((k, pack, _press(np.bincount(of[a:e], minlength=m)), _low(one[a:e][by]), _low(more[a2:e2]), *[None] * 6))
+                        out.append((k, pack, press(np.bincount(of[a:e], minlength=m)), _low(one[a:e][by]), _low(more[a2:e2]), *[None] * 6))
                 out.append((pack % buckets, pack, None, None, None, b.column(0).slice(lo, hi - lo).to_pylist(), b.column(1).slice(lo, hi - lo).to_pylist(), b"".join(keys), sizes, own, shared))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
                 pack += 1
@@ -185,17 +153,17 @@ def _tell(kind: pa.DataType):
     types = [pa.int64(), pa.binary(), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches):
+        for rows in runs(batches):
             out = [(r[1], None, *r[5:]) for r in rows if r[2] is None]
             rows = [r for r in rows if r[2] is not None]
             if rows:
                 every = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for r in rows for x in r[3:5]]))
                 twice = np.unique(every[1:][every[1:] == every[:-1]])
                 for r in rows if len(twice) else []:
-                    ones, counts = np.frombuffer(r[3], np.uint32), _loose(r[2])
+                    ones, counts = np.frombuffer(r[3], np.uint32), loose(r[2])
                     met = twice[np.minimum(np.searchsorted(twice, ones), len(twice) - 1)] == ones
                     if met.any():
-                        out.append((r[1], _press(np.bincount(np.repeat(np.arange(len(counts)), counts), met, len(counts))), *[None] * 6))
+                        out.append((r[1], press(np.bincount(np.repeat(np.arange(len(counts)), counts), met, len(counts))), *[None] * 6))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
@@ -206,12 +174,12 @@ def _hear(kind: pa.DataType):
     """Rows of _tell() by batch to (id, text_hash, set_key, n, shared), a row per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches):
+        for rows in runs(batches):
             _, _, ids, hashes, keys, sizes, own, shared = next(r for r in rows if r[1] is None)
             total = np.array(shared, np.int64)
             for r in rows:
                 if r[1] is not None:
-                    total += _loose(r[1])
+                    total += loose(r[1])
             own = np.array(own, np.int64)
             met = np.where(own >= 0, np.append(total, 0)[own], 0)
             keys = [keys[i : i + 16] for i in range(0, len(keys), 16)]
@@ -255,12 +223,12 @@ def _send_counts(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for pack, tokens in _rows(b, 1):
+            for pack, tokens in zip(b.column(0).to_pylist(), (x.as_py() for x in b.column(1)), strict=True):
                 token, n = np.unique(np.frombuffer(tokens, np.uint64), return_counts=True)
-                at = _cuts(token, buckets)
+                at = cuts(token, buckets)
                 used = [k for k in range(buckets) if at[k + 1] > at[k]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(used, pa.int32()), pa.array([pack] * len(used), pa.int64()), pa.array([_low(token[at[k] : at[k + 1]]) for k in used], pa.binary()), pa.array([_press(n[at[k] : at[k + 1]]) for k in used], pa.binary())],
+                    [pa.array(used, pa.int32()), pa.array([pack] * len(used), pa.int64()), pa.array([_low(token[at[k] : at[k + 1]]) for k in used], pa.binary()), pa.array([press(n[at[k] : at[k + 1]]) for k in used], pa.binary())],
                     names=["bucket", "pack", "low", "n"],
                 )
 
@@ -269,14 +237,14 @@ def _send_counts(buckets: int):
 
 def _tell_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _send_counts() by bucket to (pack, bucket, ranks): eight times the logarithm of the number of sets, 0 for one set."""
-    for rows in _runs(batches):
+    for rows in runs(batches):
         every = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
         low, at = np.unique(every, return_inverse=True)
-        n = np.bincount(at, np.concatenate([_loose(r[3]) for r in rows]), len(low))
+        n = np.bincount(at, np.concatenate([loose(r[3]) for r in rows]), len(low))
         rank = np.ceil(np.minimum(8 * np.log2(n), 255)).astype(np.uint8)[at]
         told, a = [], 0
         for r in rows:
-            told.append(_press(rank[a : a + len(r[2]) // 4], "u1"))
+            told.append(press(rank[a : a + len(r[2]) // 4], "u1"))
             a += len(r[2]) // 4
         yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array(told, pa.binary())], names=["pack", "bucket", "ranks"])
 
@@ -288,11 +256,11 @@ def _fronts(num: int, den: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches):
+        for rows in runs(batches):
             _, _, _, keys, sizes, tokens = next(r for r in rows if r[2] is None)
             flat = np.frombuffer(tokens, np.uint64)
             token, at = np.unique(flat, return_inverse=True)
-            rank = np.concatenate([_loose(r[2], "u1") for r in rows if r[2] is not None])[at]
+            rank = np.concatenate([loose(r[2], "u1") for r in rows if r[2] is not None])[at]
             out: list[tuple] = []
             for i, (e, n) in enumerate(zip(np.cumsum(sizes).tolist(), sizes, strict=True)):
                 s, r = flat[e - n : e], rank[e - n : e]
@@ -341,7 +309,7 @@ def _verify(num: int, den: int):
             cols = list(zip(*done, strict=True)) or [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], names=["set_key", "root", "links"])
 
-        for rows in _runs(batches, 3):
+        for rows in runs(batches, 3):
             if len(rows) > 1:
                 done += group(rows)
             if len(done) > 10_000:

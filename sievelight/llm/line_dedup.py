@@ -22,14 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm.bpe import byte_batches
+from sievelight.llm.packs import cuts, pack_rows, runs, unpack
 from sievelight.llm.scratch import Scratch
 
 #: Lines under the rolling hash, one boundary in how many places, least lines of a chunk.
@@ -97,23 +95,6 @@ def _spans(lines: list[str], words: list[int] | None = None) -> list[tuple[int,
     return own + [(a, e, True) for a, e in windows(lines, words) if (a, e) not in known]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, rest, text) to (pack, body): the rows as a compressed Arrow stream."""
-    pack = TaskContext.get().partitionId() << 32
-    for b in batches:
-        sizes = pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for lo, hi in byte_batches(sizes, PACK_BYTES):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
-                out.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(lo, hi - lo)]) for c in b.columns], schema=b.schema))
-            yield pa.RecordBatch.from_arrays([pa.array([pack]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["pack", "body"])
-            pack += 1
-
-
-def _unpack(body: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(body).read_next_batch()
-
-
 def _line_hashes(texts: list[str | None]) -> tuple[list[list[str]], np.ndarray]:
     """(the lines of each text, the hashes of all lines one after another)."""
     lines = [t.split("\n") if t else [] for t in texts]
@@ -121,20 +102,15 @@ def _line_hashes(texts: list[str | None]) -> tuple[list[list[str]], np.ndarray]:
     return lines, np.fromiter((xxhash.xxh3_64_intdigest(x) for own in lines for x in own), np.uint64, n)
 
 
-def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where the buckets, ranges of the upper half of a hash, begin and end among sorted hashes."""
-    return np.searchsorted((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
-
-
 def _send(buckets: int):
     """(pack, body) to (bucket, pack, low): the lower halves of the pack's distinct line hashes of a bucket, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                _, hashes = _line_hashes(_unpack(b.column(1)[i].as_py()).column(2).to_pylist())
+                _, hashes = _line_hashes(unpack(b.column(1)[i].as_py()).column(2).to_pylist())
                 hashes = np.unique(hashes)
-                at = _cuts(hashes, buckets)
+                at = cuts(hashes, buckets)
                 used = [k for k in range(buckets) if at[k + 1] > at[k]]
                 low = [hashes[at[k] : at[k + 1]].astype(np.uint32).tobytes() for k in used]
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([b.column(0)[i].as_py()] * len(used), pa.int64()), pa.array(low, pa.binary())], names=["bucket", "pack", "low"])
@@ -142,23 +118,9 @@ def _send(buckets: int):
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows that agree in the first column, as they come."""
-    held: list[tuple] = []
-    for b in batches:
-        for i in range(b.num_rows):
-            r = tuple(c[i].as_py() for c in b.columns)
-            if held and held[0][0] != r[0]:
-                yield held
-                held = []
-            held.append(r)
-    if held:
-        yield held
-
-
 def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _send() by bucket to (pack, bucket, told): a bit for each line, whether another pack has it."""
-    for rows in _runs(batches):
+    for rows in runs(batches):
         low = [np.frombuffer(r[2], np.uint32) for r in rows]
         every = np.sort(np.concatenate(low))
         twice = np.append(np.unique(every[1:][every[1:] == every[:-1]]), np.uint32(0xFFFFFFFF))
@@ -173,15 +135,15 @@ def _occurrences(buckets: int, kind: pa.DataType):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches):
-            body = _unpack(next(r[3] for r in group if r[3] is not None))
+        for group in runs(batches):
+            body = unpack(next(r[3] for r in group if r[3] is not None))
             ids = body.column(0).to_pylist()
             lines, hashes = _line_hashes(body.column(2).to_pylist())
             known, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
-            cuts, repeated = _cuts(known, buckets), n > 1
+            edges, repeated = cuts(known, buckets), n > 1
             for _, bucket, told, _ in group:
                 if bucket >= 0:
-                    a, e = cuts[bucket], cuts[bucket + 1]
+                    a, e = edges[bucket], edges[bucket + 1]
                     repeated[a:e] |= np.unpackbits(np.frombuffer(told, np.uint8), count=e - a).astype(bool)
             again, end = repeated[at] if len(at) else np.zeros(0, bool), 0
             met: dict[bytes, list[tuple[int, int]]] = {}
@@ -218,8 +180,8 @@ def _rewrite(rest: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for group in _runs(batches):
-            body = _unpack(next(r[1] for r in group if r[1] is not None))
+        for group in runs(batches):
+            body = unpack(next(r[1] for r in group if r[1] is not None))
             texts = body.column(2).to_pylist()
             n, gone, pieces = [t.count("\n") + 1 if t else 0 for t in texts], [0] * len(texts), [None] * len(texts)
             at: dict[int, list[tuple]] = {}
@@ -272,7 +234,7 @@ def line_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     kind, rest = (docs.schema[c].dataType for c in ("id", "rest"))
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + volume // BUCKET_BYTES
-    packs = scratch.table(docs.mapInArrow(_pack, "pack long, body binary"), "packs")
+    packs = scratch.table(docs.mapInArrow(pack_rows(PACK_BYTES), "pack long, body binary"), "packs")
     told = packs.mapInArrow(_send(buckets), "bucket int, pack long, low binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tell, "pack long, bucket int, told binary")
     both = packs.withColumn("bucket", F.lit(-1)).unionByName(told, allowMissingColumns=True).select("pack", "bucket", "told", "body")
     found = both.repartition("pack").sortWithinPartitions("pack").mapInArrow(

@@ -28,57 +28,104 @@ def test_base_score(docs, empty, edge_rows):
     assert lm_scoring.lm_score(empty).count() == 0
 
 
-def fitted(words, counts):
-    own = lm_scoring.Words(words, counts)
-    tables = lm_scoring.count_tables(own)
-    w, seen = lm_scoring.learn(own, tables, None)
+def fitted(words):
+    tables = lm_scoring.count_tables(sorted(words))
+    w, seen = lm_scoring.learn(sorted(words), tables)
     return tables, w, lm_scoring.refinement(seen)
 
 
 def test_probabilities_of_bytes_sum_to_one():
-    words = [b"", b"the", b"then", b"a", b"an"]
-    tables, w, refine = fitted(words, np.array([5, 9, 2, 7, 1]))
-    trie = [b"th" + bytes([b]) for b in range(256) if b != 32] + [b"th"]  # every byte that can follow "th"
-    every = words + [x for x in trie if x not in words]
-    counts = np.array([5, 9, 2, 7, 1] + [0] * (len(every) - 5))
-    own = lm_scoring.Words(every, counts)
-    places = {}
-    for step in own.decisions():
-        rows, _, bit, _, last, _, _ = step
-        x, gate = lm_scoring._inputs(tables, step, None)
-        p = lm_scoring._squash((w[gate] * x).sum(axis=1))
-        p = np.clip((3 * p + refine[last[0] * lm_scoring.BUCKETS + lm_scoring._bucket(p)]) / 4, 1e-7, 1 - 1e-7)
-        for r, q in zip(rows, np.where(bit == 1, p, 1 - p), strict=True):
-            places.setdefault(own.spelt[r], []).append(q)
-    third = {s[2]: math.prod(q[16:24]) for s, q in places.items() if s.startswith(b"th")}
-    assert len(third) == 256 and abs(sum(third.values()) - 1) < 1e-9
-
-
-def test_prefix_counts_from_the_table_are_the_same():
-    words = [b"", b"the", b"then", b"them", b"a", b"an", b"zebra"]
-    counts = np.array([4, 9, 2, 0, 7, 1, 3])
-    own = lm_scoring.Words(words, counts)
-    names = Counter()
-    for w, c in zip(words, counts, strict=True):
-        names[(w + b" " + b"\0\0\0\0")[:3]] += int(c)
-    shallow = (3, list(names), np.array(list(names.values()), float))
-    for a, b in zip(own.decisions(), own.decisions(shallow), strict=True):
-        assert np.array_equal(a[5], b[5]) and np.array_equal(a[6], b[6])
-
-
-def test_seen_words_are_likelier():
-    r = np.random.default_rng(1)
-    parts = [b"ba", b"lo", b"mi", b"ter", b"un"]
-    words = sorted({b"".join(r.choice(parts, r.integers(1, 5))) for _ in range(300)})
-    counts = r.integers(1, 50, len(words))
-    tables, w, refine = fitted(words, counts)
-    new = [b"balomiter", b"xq9zzk"]
-    new[0] = new[0] if new[0] not in words else b"unbalomiterlo"
-    own = lm_scoring.Words([*words, *new], np.append(counts, [0, 0]))
-    got = lm_scoring.score(own, tables, None, w, refine)
-    assert got[:-2].mean() > got[-2] > got[-1]
-    exact = np.log10(counts / counts.sum())
-    assert np.corrcoef(got[:-2], exact)[0, 1] > 0.9
+    model = fitted([b"", b"the", b"then", b"a", b"an"])
+    every = [b"th" + bytes([b]) for b in range(256)]
+    bits = [(np.where(bit == 1, p, 1 - p), start) for bit, p, start in lm_scoring.bit_probabilities(every, *model)]
+    third = [math.prod(q[start[i] + 2] for q, start in bits) for i in range(256)]
+    assert abs(sum(third) - 1) < 1e-9
+    lp = lm_scoring.spell(every, *model)
+    assert np.allclose(lp, [sum(math.log10(q[start[i] + k]) for q, start in bits for k in range(4)) for i in range(256)])
+
+
+def test_tables_count_what_followed():
+    words = [b"ab", b"abc", b"b"]
+    tables, want = lm_scoring.count_tables(words), Counter()
+    for w in words:
+        spelt = w + b" "
+        for i, byte in enumerate(spelt):
+            for k in range(8):
+                want[(spelt[i - 1] if i else 0) << 8 | 1 << k | byte >> (8 - k), byte >> (7 - k) & 1] += 1
+    got = {(int(s), v): int(tables[v, s]) for v in (0, 1) for s in np.flatnonzero(tables[v, : 1 << lm_scoring.TABLE_BITS[0]])}
+    assert got == want and tables.sum() == 4 * sum(want.values())
+
+
+def brute_scores(rows):
+    """Each row's score, by counts of plain pairs and words; spelling and the probability of a case by the module's functions, tested apart."""
+    lm = lm_scoring
+    held = [zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1 for d, _ in rows]
+    texts = [tokens(t) for _, t in rows]
+    place = lambda w: lm.xxhash.xxh3_64_intdigest(w) >> 44  # noqa: E731  the order among equally frequent tokens
+    after = [list(zip([(-2, -1), (-1, t[0])][: len(t)] + list(zip(t, t[1:])), t, strict=False)) for t in texts]
+    words, seen = Counter(), {}
+    for h, t, pairs in zip(held, texts, after, strict=True):
+        if not h:
+            words.update(t)
+            for c, w in pairs:
+                seen.setdefault(c, Counter())[w] += 1
+
+    def state(context, word, own):
+        n = Counter(seen.get(context, {}))
+        n[word] -= own
+        total = sum(n.values())
+        if not total:
+            return 0
+        most = max(n.values())
+        best = [w for w, k in n.items() if k == most]
+        hit = n[word] == most and (best == [word] if own else min(best, key=place) == word) if n[word] > 0 else False
+        size = sum(total >= x for x in (1, 2, 3, 4, 8, 16, 64))
+        return 2 * (1 + (size - 1) * 5 + min(4, 4 * most // total)) + hit
+
+    cases = []
+    for h, pairs in zip(held, after, strict=True):
+        run, own = 0, []
+        for c, w in pairs:
+            s = state(c, w, int(not h))
+            own.append(s // 2 * 12 + 2 * sum(run >= x for x in (1, 2, 4, 8, 16)) + s % 2)
+            run = run + 1 if s % 2 else 0
+        cases.append(own)
+    met = Counter(k for h, own in zip(held, cases, strict=True) if not h for k in own)
+    p = lm.case_probabilities(np.array([met[k] for k in range(lm.STATES * 12)]))
+    known = sorted(words)
+    tables = lm.count_tables(known).astype(np.float32)
+    once = [w for w in known if words[w] == 1]
+    new = sorted((w for w in once if lm.xxhash.xxh3_64_intdigest(w, 1) % lm.LEARN == 0), key=lambda w: lm.xxhash.xxh3_64_intdigest(w, 2))
+    w, adapted = lm.learn(new, tables)
+    unknown = sorted({w for t in texts for w in t} - set(words))
+    spelt = dict(zip(unknown, lm.spell(unknown, tables, w, lm.refinement(adapted)), strict=True))
+    total = sum(words.values())
+    escape = (len(once) + 0.5) / (total + 1)
+    missed = lambda w: math.log10((1 - escape) * words[w] / total) if words[w] else math.log10(escape) + spelt[w]
+    return [sum(p[k] + (0 if k % 2 else missed(w)) for k, w in zip(own, t, strict=True)) for own, t in zip(cases, texts, strict=True)]
+
+
+def test_scores_by_brute_force(docs, edge_rows):
+    rows = [(r[0], r[1]) for r in edge_rows]
+    got = lm_scoring.lm_score(docs).collect()
+    shown = lambda rows: sorted((d is None, d or 0, round(s, 4)) for d, s in rows)
+    assert shown((r.doc_id, r.score) for r in got) == shown((d, s) for (d, _), s in zip(rows, brute_scores(rows), strict=True))
+
+
+def test_scores_do_not_depend_on_partitions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in (2, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append({r.doc_id: r.score for r in lm_scoring.lm_score(docs.repartition(n)).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert found[0].keys() == found[1].keys() and all(abs(s - found[1][d]) < 1e-6 for d, s in found[0].items())
+
+
+def test_states_of_contexts():
+    key = np.array([(c << 20) + w for c, w in ((1, 5), (1, 7), (2, 5), (3, 1), (3, 2))], np.uint64)
+    full, without = lm_scoring.contexts(key, np.array([3, 1, 1, 2, 2]))
+    assert (full % 2).tolist() == [1, 0, 1, 1, 0] and (without % 2).tolist() == [1, 0, 0, 0, 0] and without[2] == 0
 
 
 def test_blocks():

@@ -3,22 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where it is unset and all runs in one process (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="sievelight-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from sievelight.session import shared_folder
 
 
 class Scratch:
@@ -30,7 +19,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.base = f"{shared_dir(spark)}/sievelight/{name}-{uuid.uuid4().hex}"
+        self.base = f"{shared_folder(spark)}/sievelight/{name}-{uuid.uuid4().hex}"
         atexit.register(self.clear)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievelight.functions.features import risk_score
@@ -37,51 +38,96 @@ def kind_filter(chunks: DataFrame, kinds: list[str] | None) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, tok, pos (from 1) of every token; write it sorted by tok to serve as an inverted index."""
+    """chunk_id, tok, pos (from 1) of every token."""
     return chunks.select("chunk_id", F.posexplode(tokens(F.col("content"))).alias("pos", "tok")).select("chunk_id", "tok", (F.col("pos") + 1).alias("pos"))
 
 
-def cover_rank(posts: DataFrame, wanted: list[str]) -> DataFrame:
-    """chunk_id, rank of the chunks that hold all wanted tokens.
+def write_index(chunks: DataFrame, path: str, parts: int = 64) -> None:
+    """The inverted index of chunks: a row per snapshot, token and chunk with its places, in files by a hash of the token, sorted by it.
 
-    rank sums 0.1 / (1 + words in between) over the minimal covers. A cover ends where the earliest of
-    the last places of all tokens moves on; its entries are counted by the same running minimum.
+    A search reads the files of its tokens only, and of these the row groups that hold them.
     """
+    rows = chunks.select("snapshot_id", "chunk_id", F.posexplode(tokens(F.col("content"))).alias("pos", "tok"))
+    lists = rows.groupBy("snapshot_id", "tok", "chunk_id").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("places"))
+    lists = lists.withColumn("part", (F.crc32(F.col("tok").cast("binary")) % parts).cast("int"))
+    lists.repartition("part").sortWithinPartitions("part", "tok", "snapshot_id", "chunk_id").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def indexed_hits(spark: SparkSession, path: str, wanted: list[str], snapshot_id: int | None = None, parts: int = 64) -> DataFrame:
+    """chunk_id, hits of the chunks that hold all wanted tokens, from an index that write_index() made."""
     if not wanted:
-        return posts.select("chunk_id", F.lit(0.0).alias("rank")).limit(0)
-    hits = posts.filter(F.col("tok").isin(*wanted))
-    order = Window.partitionBy("chunk_id").orderBy("pos")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    hits = hits.withColumn("entry", F.row_number().over(order))
-    for i, tok in enumerate(wanted):
-        here = F.col("tok") == tok
-        hits = hits.withColumn(f"p{i}", F.max(F.when(here, F.col("pos"))).over(so_far)).withColumn(f"j{i}", F.max(F.when(here, F.col("entry"))).over(so_far))
-
-    def least(name: str) -> Column:
-        parts = [F.col(f"{name}{i}") for i in range(len(wanted))]
-        return F.least(*parts) if len(parts) > 1 else parts[0]
-
-    whole = reduce(lambda a, b: a & b, [F.col(f"p{i}").isNotNull() for i in range(len(wanted))])
-    ends = hits.filter(whole).select("chunk_id", "pos", "entry", least("p").alias("start"), least("j").alias("first"))
-    before = F.lag("start").over(order)
-    covers = ends.withColumn("before", before).filter(F.col("before").isNull() | (F.col("before") != F.col("start")))
-    noise = (F.col("pos") - F.col("start")) - (F.col("entry") - F.col("first"))
-    return covers.groupBy("chunk_id").agg(F.round(F.sum(F.lit(0.1) / (1 + noise)), DIGITS).alias("rank"))
-
-
-def lexical_search(chunks: DataFrame, query: str, *, snapshot_id: int | None = None, kinds: list[str] | None = None, limit: int = 50, posts: DataFrame | None = None) -> DataFrame:
-    """chunk_id, rank of the best chunks that hold every token; ties go to the lower id. An empty query finds nothing.
+        return spark.createDataFrame([], f"chunk_id long, hits {_HITS}")
+    where = sorted({zlib.crc32(t.encode()) % parts for t in wanted})  # other folders aren't opened
+    store, root = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), spark._jvm.org.apache.hadoop.fs.Path
+    folders = [f for f in (f"{path}/part={k}" for k in where) if store.exists(root(f))]
+    if not folders:
+        return spark.createDataFrame([], f"chunk_id long, hits {_HITS}")
+    own = spark.read.schema("snapshot_id long, tok string, chunk_id long, places array<int>").parquet(*folders).filter(F.col("tok").isin(*wanted))
+    own = own if snapshot_id is None else own.filter(F.col("snapshot_id") == snapshot_id)
+    lists = own.select("chunk_id", F.transform("places", lambda p: F.struct(p.alias("pos"), F.col("tok").alias("tok"))).alias("of"))
+    return lists.groupBy("chunk_id").agg(F.sort_array(F.flatten(F.collect_list("of"))).alias("hits"), F.count("*").alias("n")).filter(F.col("n") == len(wanted)).drop("n")
+
+
+_HITS = "array<struct<pos:int,tok:string>>"
+
+
+def text_hits(chunks: DataFrame, wanted: list[str]) -> DataFrame:
+    """chunk_id, hits of the chunks that hold all wanted tokens, from their texts: only wanted tokens leave a chunk's list of tokens.
 
     The tokens are looked for as plain substrings first, so that only chunks that may match are split.
     """
+    if not wanted:
+        return chunks.select("chunk_id", F.array().cast(_HITS).alias("hits")).limit(0)
+    low = F.lower("content")
+    may = chunks.filter(reduce(lambda a, b: a & b, [low.contains(t) for t in wanted]))
+    placed = F.transform(tokens(F.col("content")), lambda t, i: F.when(t.isin(*wanted), F.struct((i + 1).alias("pos"), t.alias("tok"))))
+    return may.select("chunk_id", F.array_compact(placed).alias("hits"))
+
+
+def cover_rank(hits: Column, wanted: list[str]) -> Column:
+    """The rank of a chunk by its hits (pos, tok) in order; null unless it holds all wanted tokens.
+
+    rank sums 0.1 / (1 + words in between) over the minimal covers. A cover ends where the earliest of the last
+    places of all tokens moves on; its entries are counted by the same running minimum. One fold inside the row.
+    """
+    none = F.lit(None).cast("int")
+    begin = F.struct(*(none.alias(f"{x}{i}") for i in range(len(wanted)) for x in "pj"), F.lit(0).alias("entry"), none.alias("start"), F.lit(0.0).alias("rank"))
+
+    def step(s: Column, x: Column) -> Column:
+        entry = s["entry"] + 1
+        p = [F.when(x["tok"] == t, x["pos"]).otherwise(s[f"p{i}"]) for i, t in enumerate(wanted)]
+        j = [F.when(x["tok"] == t, entry).otherwise(s[f"j{i}"]) for i, t in enumerate(wanted)]
+        whole = reduce(lambda a, b: a & b, [v.isNotNull() for v in p])
+        start, first = (F.least(*v) if len(v) > 1 else v[0] for v in (p, j))
+        moved = whole & (s["start"].isNull() | (s["start"] != start))
+        noise = (x["pos"] - start) - (entry - first)
+        return F.struct(
+            *(v.alias(f"{n}{i}") for i in range(len(wanted)) for n, v in (("p", p[i]), ("j", j[i]))), entry.alias("entry"),
+            F.when(whole, start).otherwise(s["start"]).alias("start"), (s["rank"] + F.when(moved, F.lit(0.1) / (1 + noise)).otherwise(0.0)).alias("rank"),
+        )
+
+    return F.aggregate(hits, begin, step, lambda s: F.when(s["start"].isNotNull(), F.round(s["rank"], DIGITS)))
+
+
+def lexical_search(chunks: DataFrame, query: str, *, snapshot_id: int | None = None, kinds: list[str] | None = None, limit: int = 50, posts: DataFrame | None = None, index: str | None = None) -> DataFrame:
+    """chunk_id, rank of the best chunks that hold every token; ties go to the lower id. An empty query finds nothing.
+
+    posts: the chunks' postings, or index: the path of a stored index of them, read in place of their texts.
+    """
     own = kind_filter(chunks if snapshot_id is None else chunks.filter(F.col("snapshot_id") == snapshot_id), kinds)
     wanted = query_tokens(query)
-    if posts is None:
-        low = F.lower("content")
-        posts = postings(own.filter(reduce(lambda a, b: a & b, [low.contains(t) for t in wanted])) if wanted else own)
+    if not wanted:
+        return own.select("chunk_id", F.lit(0.0).alias("rank")).limit(0)
+    if index is not None:
+        hits = indexed_hits(chunks.sparkSession, index, wanted, snapshot_id)
+        hits = hits.join(own.select("chunk_id"), "chunk_id", "left_semi") if kinds else hits
+    elif posts is not None:
+        found = posts.filter(F.col("tok").isin(*wanted)).join(own.select("chunk_id"), "chunk_id", "left_semi")
+        hits = found.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("hits"))
     else:
-        posts = posts.join(own.select("chunk_id"), "chunk_id", "left_semi")
-    return cover_rank(posts, wanted).orderBy(F.desc("rank"), "chunk_id").limit(limit)
+        hits = text_hits(own, wanted)
+    # chunks without a rank are last, and go after the cut: a filter before it would work the rank out twice
+    return hits.select("chunk_id", cover_rank(F.col("hits"), wanted).alias("rank")).orderBy(F.desc_nulls_last("rank"), "chunk_id").limit(limit).filter("rank is not null")
 
 
 def cosine_distance(vector: Column, query: list[float]) -> Column:
@@ -113,10 +159,12 @@ def ranked(found: DataFrame, *order: Column | str) -> DataFrame:
 def rrf(lexical: DataFrame, vector: DataFrame, fusion: Fusion = Fusion()) -> DataFrame:  # noqa: B008
     """Weighted reciprocal rank fusion of two lists (chunk_id, rank): chunk_id, lexical_rank, vector_rank, rrf.
 
-    An id that stands twice in a list keeps its best rank; one that is missing has a null rank there.
+    An id that stands twice in a list keeps its best rank; one that is missing has a null rank there. A dist
+    in the vector list comes along, of several the largest.
     """
+    dist = [F.max("dist").alias("dist")] if "dist" in vector.columns else []
     a = lexical.groupBy("chunk_id").agg(F.min("rank").alias("lexical_rank"))
-    b = vector.groupBy("chunk_id").agg(F.min("rank").alias("vector_rank"))
+    b = vector.groupBy("chunk_id").agg(F.min("rank").alias("vector_rank"), *dist)
     part = lambda w, r: F.coalesce(F.lit(w) / (F.lit(fusion.k) + F.col(r)), F.lit(0.0))
     return a.join(b, "chunk_id", "full_outer").withColumn("rrf", part(fusion.lexical_weight, "lexical_rank") + part(fusion.vector_weight, "vector_rank"))
 
@@ -133,21 +181,25 @@ def hybrid_retrieve(
     max_dist: float | None = None,
     top_k: int = 50,
     fusion: Fusion = Fusion(),  # noqa: B008
+    index: str | None = None,
 ) -> DataFrame:
     """Evidence items: chunk_id, excerpt, kind, lang, meta, dist, lexical_rank, vector_rank, rrf, risk_score.
 
-    Both lists are bounded by top_k, so only top-k rows meet in joins. Kinds limit the vector list after
+    Both lists are bounded by top_k; the fused one, top_k rows, comes to the driver, and the chunks are fetched
+    by their ids, which the scan skips other pages by. index: as in lexical_search(). Kinds limit the vector list after
     its cut, the lexical one before. Risk orders equal scores within the cut and never decides it. Where a
     chunk has several vectors, its distance is that of the furthest in the list.
     """
     own = chunks if snapshot_id is None else chunks.filter(F.col("snapshot_id") == snapshot_id)
-    lexical = ranked(lexical_search(own, query, kinds=kinds, limit=max(top_k, 50)), F.desc("rank"), F.col("chunk_id")).select("chunk_id", "rank")
+    lexical = ranked(lexical_search(chunks, query, snapshot_id=snapshot_id, kinds=kinds, limit=max(top_k, 50), index=index), F.desc("rank"), F.col("chunk_id")).select("chunk_id", "rank")
     near = vector_search(vectors, query_vector, snapshot_id=snapshot_id, model_id=model_id, limit=max(3 * top_k, 50), max_dist=max_dist)
     if kinds:
         near = near.join(kind_filter(own, kinds).select("chunk_id"), "chunk_id", "left_semi")
     near = ranked(near, "dist", "chunk_id")
-    fused = rrf(lexical, near.select("chunk_id", "rank"), fusion).orderBy(F.desc(F.round("rrf", 12)), "chunk_id").limit(top_k)
-    fused = fused.join(near.groupBy("chunk_id").agg(F.max("dist").alias("dist")), "chunk_id", "left")
+    fused = rrf(lexical, near.select("chunk_id", "rank", "dist"), fusion).orderBy(F.desc(F.round("rrf", 12)), "chunk_id").limit(top_k)
+    rows = fused.collect()
+    fused = chunks.sparkSession.createDataFrame(rows, fused.schema)
+    own = own.filter(F.col("chunk_id").isin(*(r["chunk_id"] for r in rows))) if rows else own.limit(0)
     tags = F.from_json(F.get_json_object("meta", "$.risk_tags"), "array<string>")
     items = own.join(F.broadcast(fused), "chunk_id").select(
         "chunk_id", excerpt(F.col("content")).alias("excerpt"), "kind", "lang", "meta", "dist", "lexical_rank", "vector_rank", F.round("rrf", 12).alias("rrf"), F.coalesce(risk_score(tags), F.lit(0)).alias("risk_score")

@@ -57,7 +57,7 @@ _RISK = "CASE WHEN source = 'src1' THEN 6 WHEN source = 'src2' THEN 5 ELSE 0 END
 
 
 def _lexical(spark, sf_dir, kinds=None):
-    found = search.lexical_search(views.chunks(spark, sf_dir), QUERY, kinds=kinds, limit=50)
+    found = search.lexical_search(views.chunks(spark, sf_dir), QUERY, kinds=kinds, limit=50, index=views.index(spark, sf_dir))
     return search.ranked(found, F.desc("rank"), F.col("chunk_id")).select("chunk_id", F.col("rank"))
 
 
@@ -66,7 +66,7 @@ def _lexical(spark, sf_dir, kinds=None):
  FROM top t JOIN documents d ON d.doc_id = t.chunk_id""")
 def hybrid_rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: lexical and vector lists, fused, cut, and ordered with risk."""
-    out = search.hybrid_retrieve(views.chunks(spark, sf_dir), views.vectors(spark, sf_dir), QUERY, views.query_vector(spark, sf_dir), top_k=20)
+    out = search.hybrid_retrieve(views.chunks(spark, sf_dir), views.vectors(spark, sf_dir), QUERY, views.query_vector(spark, sf_dir), top_k=20, index=views.index(spark, sf_dir))
     return out.select("chunk_id", "excerpt", "kind", "lang", "dist", F.col("lexical_rank").cast("long"), F.col("vector_rank").cast("long"), "rrf", F.col("risk_score").cast("long"))
 
 
@@ -75,6 +75,11 @@ def lexical_search(spark, sf_dir):
     return search.lexical_search(views.chunks(spark, sf_dir), QUERY, limit=50)
 
 
+@query(f"WITH {_hits('true')} SELECT chunk_id, score AS rank FROM scored ORDER BY score DESC, chunk_id LIMIT 50")
+def indexed_search(spark, sf_dir):
+    return search.lexical_search(views.chunks(spark, sf_dir), QUERY, limit=50, index=views.index(spark, sf_dir))
+
+
 @query(r"""WITH toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS a FROM documents), post AS (SELECT doc_id, unnest(a) AS tok FROM toks)
  SELECT tok, count(*) AS n, count(DISTINCT doc_id) AS df FROM post GROUP BY tok""")
 def postings_stats(spark, sf_dir):

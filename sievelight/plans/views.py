@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelight.operators import search
+from sievelight.session import shared_folder
 from sievelight.sources.readers import sf_table
 
 NL = "chr(10)"
@@ -19,6 +23,19 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the chunks' stored index, which a session makes once, as a service has it before any query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        search.write_index(chunks(spark, sf_dir), path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sf_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.pmod("vec_id", F.lit(4)).alias("snapshot_id"), F.lit("m").alias("model_id"), "embedding", "label")
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +23,15 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "6g") -> Spa
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one where it is unset and all runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="sievelight-")
+        atexit.register(shutil.rmtree, found, True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

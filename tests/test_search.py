@@ -60,6 +60,18 @@ def test_prebuilt_postings(spark):
     assert [r.chunk_id for r in search.lexical_search(c, "a b", posts=posts).collect()] == [1, 2]
 
 
+def test_stored_index(spark, tmp_path):
+    import random
+
+    r = random.Random(5)
+    c = chunks(spark, *(" ".join(r.choice(["a", "b", "c", "x", "Ünsafe"]) for _ in range(r.randint(1, 20))) for _ in range(80)), kinds=["k", "l"] * 40)
+    search.write_index(c, str(tmp_path / "index"))
+    for q, kinds in (("a b", None), ("c", ["l"]), ("ünsafe a", ["k"]), ("b nowhere", None), ("", None)):
+        want = [tuple(x) for x in search.lexical_search(c, q, snapshot_id=1, kinds=kinds, limit=9).collect()]
+        assert [tuple(x) for x in search.lexical_search(c, q, snapshot_id=1, kinds=kinds, limit=9, index=str(tmp_path / "index")).collect()] == want
+    assert search.lexical_search(c, "a", snapshot_id=2, index=str(tmp_path / "index")).count() == 0
+
+
 def test_vector_search_zero_and_cap(spark):
     v = spark.createDataFrame([(1, 1, "m", [1.0, 0.0]), (2, 1, "m", [0.0, 0.0]), (3, 2, "m", [1.0, 1.0]), (4, 1, "n", [1.0, 0.0]), (5, 1, "m", [1.0])], "chunk_id long, snapshot_id long, model_id string, embedding array<float>")
     got = search.vector_search(v, [1.0, 0.0], snapshot_id=1).collect()

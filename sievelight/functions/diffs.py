@@ -25,11 +25,15 @@ def only_hunks(diff: Column) -> Column:
     return F.when(text == "", True).otherwise(text.contains("@@ ") & fine)
 
 
+def changed_lines(diff: Column) -> Column:
+    """The lines that a diff adds or removes, with their signs; headers of files and hunks aren't."""
+    header = lambda x: x.startswith("--- a/") | x.startswith("+++ b/")
+    return F.filter(lines(diff), lambda x: ~header(x) & ~x.startswith("@@") & (x.startswith("+") | x.startswith("-")) & ~x.startswith("+++ ") & ~x.startswith("--- "))
+
+
 def violation(diff: Column, target: Column, signature: Column, start: Column, end: Column, pairs: int = 20, most: int = 120) -> Column:
     """The first constraint that a diff breaks, null if none. The names of the constraints."""
-    own = lines(diff)
-    header = lambda x: x.startswith("--- a/") | x.startswith("+++ b/")
-    changed = F.filter(own, lambda x: ~header(x) & ~x.startswith("@@") & (x.startswith("+") | x.startswith("-")) & ~x.startswith("+++ ") & ~x.startswith("--- "))
+    own, changed = lines(diff), changed_lines(diff)
     hunks = F.filter(own, lambda x: x.startswith("@@"))
     starts = F.filter(F.transform(hunks, lambda x: F.regexp_extract(x, HUNK, 1)), lambda x: x != "")
     at, sign, files = F.try_element_at(starts, F.lit(1)).cast("int"), strip(signature), paths(diff)

@@ -11,7 +11,8 @@ from sievelight.functions import diagnostics, diffs, features, text
 from sievelight.operators import chunking, embedding, evidence, search, store, telemetry
 from sievelight.plans import views
 from sievelight.plans.views import CODE_SQL, ITER_SQL, LOGS_SQL, METRICS_SQL, NL, SCORE_SQL, STEPS_SQL
-from sievelight.sources.readers import issues, sf_table
+from sievelight.sources import writers
+from sievelight.sources.readers import issues, series, sf_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,11 +168,18 @@ def calls(spark, sf_dir):
     return views.code(spark, sf_dir).select("path", F.array_join(F.sort_array(found), ",").alias("names"), F.size(found).cast("long").alias("n"))
 
 
-@query(f"""WITH {CODE_SQL} SELECT path, CASE WHEN k % 7 = 0 AND k % 3 = 0 THEN 2 WHEN k % 7 = 0 AND k % 5 = 0 THEN 2 ELSE 1 END::bigint AS anchor_line,
- CASE WHEN k % 7 = 0 AND k % 3 <> 0 AND k % 5 <> 0 THEN 'start' ELSE 'risk' END AS anchor_kind, CASE WHEN k % 7 <> 0 THEN 1 END::bigint AS signature_line FROM code""")
+_RISKY = "unsafe|[*]const|[*]mut|malloc|free|memcpy|memmove|[.]add[(]|[.]offset[(]"
+
+
+@query(f"""WITH {CODE_SQL}, l AS (SELECT path, string_split(content, {NL}) AS a FROM code),
+ m AS (SELECT path, len(a) AS n, list_position(list_transform(a, lambda x: regexp_matches(x, '{_RISKY}')), true) AS risk,
+  list_position(list_transform(a, lambda x: regexp_matches(trim(x), '^(fn |pub fn |pub[(]crate[)] fn |pub[(]crate[)] unsafe fn |unsafe fn )')), true) AS sign FROM l),
+ k AS (SELECT *, CASE WHEN risk > 0 THEN risk WHEN sign > 0 THEN sign ELSE 1 END AS anchor FROM m)
+ SELECT path, greatest(1, anchor - 8)::bigint AS start_line, least(n, anchor + 8)::bigint AS end_line, anchor::bigint AS anchor_line,
+ CASE WHEN risk > 0 THEN 'risk' WHEN sign > 0 THEN 'signature' ELSE 'start' END AS anchor_kind, CASE WHEN sign > 0 THEN sign END::bigint AS signature_line FROM k""")
 def patch_boundary(spark, sf_dir):
     b = features.boundary(F.col("content"))
-    return views.code(spark, sf_dir).select("path", b["anchor_line"].cast("long").alias("anchor_line"), b["anchor_kind"].alias("anchor_kind"), b["signature_line"].cast("long").alias("signature_line"))
+    return views.code(spark, sf_dir).select("path", *(c if n == "anchor_kind" else c.cast("long").alias(n) for n, c in ((n, c.alias(n)) for n, c in b.items())))
 
 
 _COUNT = lambda marks: " + ".join(f"((length(content) - length(replace(content, '{m}', ''))) // {len(m)})" for m in marks)
@@ -201,12 +209,15 @@ def diagnose_parse(spark, sf_dir):
     return found.select("event_id", "error_code", "file", F.col("line").cast("long"), "summary")
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'apply_fail' WHEN event_id % 13 = 0 THEN 'retrieve_empty' WHEN event_id % 4 = 0 THEN 'timeout' WHEN event_id % 5 = 0 THEN 'test_fail' WHEN event_id % 3 <> 0 THEN 'compile_fail' ELSE 'unknown' END AS kind FROM events""")
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 124 WHEN event_id % 3 = 0 THEN 0 ELSE 101 END AS code, lower(CASE WHEN event_id % 5 = 0 THEN 'thread: Assertion failed: x' WHEN event_id % 17 = 0 THEN 'a Timeout' ELSE 'plain' END) AS err,
+  CASE WHEN event_id % 11 = 0 THEN 'patch_apply_failed: x' WHEN event_id % 13 = 0 THEN 'retrieve_no_results' WHEN event_id % 19 = 0 THEN 'patch_constraint_violation:too_large' ELSE '' END AS step FROM events)
+ SELECT event_id, CASE WHEN starts_with(step, 'patch_constraint_violation:') THEN 'patch_constraint_violation' WHEN starts_with(step, 'patch_apply_failed:') THEN 'apply_fail' WHEN step = 'retrieve_no_results' THEN 'retrieve_empty'
+  WHEN code = 124 OR contains(err, 'timeout') THEN 'timeout' WHEN contains(err, 'assertion failed') THEN 'test_fail' WHEN code <> 0 THEN 'compile_fail' ELSE 'unknown' END AS kind FROM e""")
 def error_kind(spark, sf_dir):
     e = F.col("event_id")
     code = F.when(e % 4 == 0, 124).when(e % 3 == 0, 0).otherwise(101)
-    err = F.when(e % 5 == 0, "thread: Assertion failed: x").otherwise("plain")
-    step = F.when(e % 11 == 0, "patch_apply_failed: x").when(e % 13 == 0, "retrieve_no_results")
+    err = F.when(e % 5 == 0, "thread: Assertion failed: x").when(e % 17 == 0, "a Timeout").otherwise("plain")
+    step = F.when(e % 11 == 0, "patch_apply_failed: x").when(e % 13 == 0, "retrieve_no_results").when(e % 19 == 0, "patch_constraint_violation:too_large")
     return sf_table(spark, sf_dir, "events").select("event_id", diagnostics.error_kind(code, err, step).alias("kind"))
 
 
@@ -217,8 +228,9 @@ def error_signature(spark, sf_dir):
     return found.select("event_id", diagnostics.error_signature(F.lit("compile_fail"), F.col("file"), F.col("error_code")).alias("signature"), diagnostics.scope(F.col("file")).alias("scope"))
 
 
-@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id % 7 WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 9 ELSE 0 END ELSE CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END END::bigint AS passed,
- CASE event_id % 3 WHEN 0 THEN event_id % 7 + 2 WHEN 1 THEN 9 ELSE 1 END::bigint AS total FROM events""")
+@query("""WITH e AS (SELECT event_id, event_id % 2 = 0 AS good, CASE event_id % 3 WHEN 0 THEN 'x' || chr(10) || 'Test result: FAILED. ' || event_id % 7 || ' passed; 2 failed; y' WHEN 1 THEN 'running 9 tests' ELSE 'none' END AS t FROM events),
+ f AS (SELECT *, try_cast(regexp_extract(t, '(?i)test result:\\s*(?:ok|FAILED)\\.\\s*(\\d+)\\s+passed;\\s+(\\d+)\\s+failed;', 1) AS int) AS p, try_cast(regexp_extract(t, '(?i)passed;\\s+(\\d+)\\s+failed;', 1) AS int) AS q, try_cast(regexp_extract(t, '(?i)running\\s+(\\d+)\\s+tests', 1) AS int) AS n FROM e)
+ SELECT event_id, CASE WHEN p IS NOT NULL THEN p WHEN n IS NOT NULL THEN CASE WHEN good THEN n ELSE 0 END ELSE good::int END::bigint AS passed, CASE WHEN p IS NOT NULL THEN p + q WHEN n IS NOT NULL THEN n ELSE 1 END::bigint AS total FROM f""")
 def pass_rate(spark, sf_dir):
     e = F.col("event_id")
     out = F.when(e % 3 == 0, F.format_string("x\nTest result: FAILED. %d passed; 2 failed; y", (e % 7).cast("int"))).when(e % 3 == 1, "running 9 tests").otherwise("none")
@@ -268,11 +280,11 @@ def _runs(spark, sf_dir):
 
 
 def _patches(spark, sf_dir):
-    e = sf_table(spark, sf_dir, "events").filter("event_type = 'error' and user_id % 3 = 0")
+    e = sf_table(spark, sf_dir, "events").filter("event_type = 'error'")
     return e.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("file_path"), F.lit("applied").alias("status"))
 
 
-_RUNS = "runs AS (SELECT user_id::varchar AS run_id, max(ts) AS created_at, 'STOP' AS status FROM events GROUP BY 1), patches AS (SELECT user_id::varchar AS run_id, event_id AS seq, 'f' || event_id AS file_path FROM events WHERE event_type = 'error' AND user_id % 3 = 0)"
+_RUNS = "runs AS (SELECT user_id::varchar AS run_id, max(ts) AS created_at, 'STOP' AS status FROM events GROUP BY 1), patches AS (SELECT user_id::varchar AS run_id, event_id AS seq, 'f' || event_id AS file_path FROM events WHERE event_type = 'error')"
 
 
 @query(f"WITH {_RUNS} SELECT run_id, created_at FROM runs ORDER BY created_at DESC, run_id LIMIT 25")
@@ -360,12 +372,12 @@ def unique_violations(spark, sf_dir):
 
 
 @query("""WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey <> 1), c AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT * FROM n)), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT * FROM c))
- SELECT 'nation' AS name, count(*) AS n FROM n UNION ALL SELECT 'customer', count(*) FROM c UNION ALL SELECT 'orders', count(*) FROM o""")
+ SELECT 'nation' AS name, n_nationkey::bigint AS id FROM n UNION ALL SELECT 'customer', c_custkey FROM c UNION ALL SELECT 'orders', o_orderkey FROM o""")
 def cascade_delete(spark, sf_dir):
     t = lambda n: sf_table(spark, sf_dir, n)
     _, nation, customer, orders = store.cascade_delete([(t("region"), "r_regionkey", None), (t("nation"), "n_nationkey", "n_regionkey"), (t("customer"), "c_custkey", "c_nationkey"), (t("orders"), "o_orderkey", "o_custkey")], [1])
-    count = lambda df, name: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
-    return count(nation, "nation").union(count(customer, "customer")).union(count(orders, "orders"))
+    ids = lambda df, name, key: df.select(F.lit(name).alias("name"), F.col(key).cast("long").alias("id"))
+    return ids(nation, "nation", "n_nationkey").union(ids(customer, "customer", "c_custkey")).union(ids(orders, "orders", "o_orderkey"))
 
 
 @query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_id >= 100 GROUP BY 1, 2 UNION ALL SELECT user_id, event_type, event_id, value FROM (SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_id < 100 GROUP BY 1, 2) s WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id >= 100 AND e.user_id = s.user_id AND e.event_type = s.event_type)")
@@ -376,32 +388,105 @@ def upsert_latest(spark, sf_dir):
     return store.upsert_latest(stored, events.filter("event_id >= 100"), keys, "event_id")
 
 
-@query("SELECT c_nationkey::bigint AS k, 'stored' AS origin FROM customer WHERE c_custkey <= 20 GROUP BY 1 UNION ALL SELECT s_nationkey, 'new' FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey <= 20) GROUP BY 1")
+@query("SELECT c_custkey AS k, 'stored' AS origin FROM customer UNION ALL SELECT p_partkey, 'new' FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)")
 def insert_ignore(spark, sf_dir):
-    stored = sf_table(spark, sf_dir, "customer").filter("c_custkey <= 20").select(F.col("c_nationkey").cast("long").alias("k"), F.lit("stored").alias("origin")).distinct()
-    rows = sf_table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("k"), F.lit("new").alias("origin"))
-    return store.insert_ignore(stored, rows, ["k"])
+    stored = sf_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit("stored").alias("origin"))
+    rows = sf_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.lit("new").alias("origin"))
+    return store.insert_ignore(stored, rows.union(rows), ["k"])
+
 
+def _inserted(spark, sf_dir):
+    """All documents offered as chunks; every second one lacks what its metadata need."""
+    rows = views.chunks(spark, sf_dir).select(F.lit(7).cast("long").alias("snapshot_id"), "kind", "lang", "content", F.when(F.col("chunk_id") % 2 == 0, F.col("meta")).otherwise("{}").alias("meta"))
+    stored = rows.limit(0).withColumns({"content_hash": F.lit("").cast("string"), "chunk_id": F.lit(0).cast("long")})
+    return store.insert_chunks(stored, spark.range(7, 8).withColumnRenamed("id", "snapshot_id"), rows)
 
-@query("SELECT doc_id % 2 = 0 AS accepted, count(*) AS n FROM (SELECT min(doc_id) AS doc_id FROM documents WHERE doc_id % 2 = 0 GROUP BY source, lang, sha256(text)) GROUP BY 1 UNION ALL SELECT false, count(*) FROM documents WHERE doc_id % 2 <> 0")
+
+@query("""SELECT source AS kind, lang, sha256(text) AS content_hash, CAST(NULL AS VARCHAR) AS reason FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL
+ UNION ALL SELECT source, lang, sha256(text), 'meta_file' FROM documents WHERE doc_id % 2 <> 0""")
 def insert_chunks(spark, sf_dir):
-    docs = views.chunks(spark, sf_dir).drop("chunk_id").withColumn("even", F.monotonically_increasing_id())
-    ids = views.chunks(spark, sf_dir).select(F.lit(7).cast("long").alias("snapshot_id"), "kind", "lang", "content", F.when(F.col("chunk_id") % 2 == 0, F.col("meta")).otherwise("{}").alias("meta"))
-    stored = ids.limit(0).withColumns({"content_hash": F.lit("").cast("string"), "chunk_id": F.lit(0).cast("long")})
-    new, refused = store.insert_chunks(stored, docs.limit(1).select(F.lit(7).cast("long").alias("snapshot_id")), ids)
-    return new.agg(F.lit(True).alias("accepted"), F.count("*").alias("n")).union(refused.filter("reason = 'meta_file'").agg(F.lit(False), F.count("*")))
+    new, refused = _inserted(spark, sf_dir)
+    names = ["kind", "lang", "content_hash"]
+    return new.select(*names, F.lit(None).cast("string").alias("reason")).union(refused.select(*names, "reason"))
 
 
-# -- diffs
+@query("SELECT count(*) AS n, 1::bigint AS first, count(*) AS last FROM (SELECT 1 FROM documents WHERE doc_id % 2 = 0 GROUP BY source, lang, sha256(text))")
+def insert_ids(spark, sf_dir):
+    return _inserted(spark, sf_dir)[0].agg(F.countDistinct("chunk_id").alias("n"), F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 7")
+def point_lookup(spark, sf_dir):
+    return store.point(sf_table(spark, sf_dir, "orders"), "o_orderkey", 7).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'R' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def update_status(spark, sf_dir):
+    changes = sf_table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.lit("R").alias("o_orderstatus"))
+    return store.update(sf_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], changes)
+
+
+@query("""SELECT n_name AS name, CASE WHEN n_regionkey = 1 THEN 'fresh' ELSE 'old' END AS meta, false AS made FROM nation UNION ALL SELECT DISTINCT c_mktsegment, 'fresh', true FROM customer""")
+def get_or_create(spark, sf_dir):
+    nation = sf_table(spark, sf_dir, "nation")
+    stored = nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.lit("old").alias("meta"))
+    rows = nation.filter("n_regionkey = 1").select(F.col("n_name").alias("name")).union(sf_table(spark, sf_dir, "customer").select("c_mktsegment"))
+    out = store.get_or_create(stored, rows.withColumn("meta", F.lit("fresh")), ["name"], "id", refresh=("meta",))
+    return out.select("name", "meta", (F.col("id") > 24).alias("made"))
+
+
+@query("""WITH r AS (SELECT event_id::varchar AS run_id, CASE event_id % 4 WHEN 0 THEN 'STOP' WHEN 1 THEN 'odd' WHEN 2 THEN 'FAILED' ELSE 'INIT' END AS status FROM events)
+ SELECT run_id, status, CASE WHEN status = 'odd' THEN 'status' WHEN run_id IN (SELECT c_custkey::varchar FROM customer) THEN 'unique' END AS reason FROM r
+ UNION ALL SELECT c_custkey::varchar, 'INIT', NULL FROM customer""")
+def created_runs(spark, sf_dir):
+    e = F.col("event_id")
+    stored = sf_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("run_id"), F.lit("INIT").alias("status"))
+    rows = sf_table(spark, sf_dir, "events").select(e.cast("string").alias("run_id"), F.when(e % 4 == 0, "STOP").when(e % 4 == 1, "odd").when(e % 4 == 2, "FAILED").alias("status"))
+    new, refused = store.create_runs(stored, rows)
+    return new.select("run_id", "status", F.lit(None).cast("string").alias("reason")).union(refused.select("run_id", "status", "reason"))
+
+
+# -- sources and sinks
+
+
+@query("SELECT doc_id AS k, octet_length(encode(text)) >= 10240 AS spilled, CASE WHEN octet_length(encode(text)) >= 10240 THEN 0 ELSE octet_length(encode(text)) END::bigint AS stdout_bytes, CASE WHEN octet_length(encode(text)) >= 10240 THEN '' ELSE lang END AS stderr FROM documents")
+def spilled_output(spark, sf_dir):
+    slim, _ = writers.spill(sf_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.col("text").alias("stdout"), F.col("lang").alias("stderr")))
+    return slim.select("k", "spilled", F.octet_length("stdout").cast("long").alias("stdout_bytes"), "stderr")
+
+
+@query("SELECT event_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def old_files(spark, sf_dir):
+    events = sf_table(spark, sf_dir, "events")
+    return writers.retention(events.withColumn("modificationTime", F.col("ts")), events.agg(F.max("ts")).first()[0]).select("event_id")
 
-_VIOLATION = "CASE c_custkey % 9 WHEN 1 THEN 'missing_file_header' WHEN 2 THEN 'multi_file_patch' WHEN 3 THEN 'target_file_mismatch' WHEN 4 THEN 'multi_hunk' WHEN 5 THEN 'missing_hunk_header' WHEN 6 THEN 'outside_boundary' WHEN 7 THEN 'no_changes' WHEN 8 THEN 'signature_changed' END"
 
+@query("SELECT c_custkey, format('{:.2f}', c_acctbal / 8) AS shown FROM customer")
+def two_decimals(spark, sf_dir):
+    return sf_table(spark, sf_dir, "customer").select("c_custkey", text.fixed2(F.col("c_acctbal") / 8).alias("shown"))
 
-@query(f"SELECT c_custkey AS id, {_VIOLATION} AS violation, true AS only_hunks FROM customer".replace("true AS only_hunks", "c_custkey % 9 <> 5 OR true AS only_hunks"))
+
+@query("SELECT n FROM range(3, 1001, 7) t(n)")
+def number_series(spark, sf_dir):
+    return series(spark, 3, 1000, 7)
+
+
+@query(f"""WITH {views.RUNNER_SQL}, j AS (SELECT event_id, content, CASE WHEN content LIKE '  {{%' THEN json_extract_string(content, '$.stderr') END AS e, CASE WHEN content LIKE '  {{%' THEN json_extract_string(content, '$.stdout') END AS o FROM logs)
+ SELECT event_id, CASE WHEN e IS NULL THEN content WHEN trim(e, ' ' || {NL}) <> '' THEN e ELSE o END AS payload FROM j""")
+def runner_payload(spark, sf_dir):
+    return views.runner_logs(spark, sf_dir).select("event_id", diagnostics.payload(F.col("content")).alias("payload"))
+
+
+# -- diffs
+
+@query(f"""WITH {views.DIFFS_SQL} SELECT id, CASE WHEN len(l) > 120 THEN 'too_large' WHEN len(list_filter(changed, lambda x: contains(x[2:], 'pub fn keep()'))) > 0 THEN 'signature_changed'
+  WHEN len(files) = 0 THEN 'missing_file_header' WHEN len(files) > 1 THEN 'multi_file_patch' WHEN files[1] <> 'f.rs' THEN 'target_file_mismatch' WHEN len(hunks) <> 1 THEN 'multi_hunk'
+  WHEN len(changed) = 0 THEN 'no_changes' WHEN len(changed) > 40 THEN 'too_many_changes' WHEN len(starts) = 0 THEN 'missing_hunk_header' WHEN starts[1]::int NOT BETWEEN 1 AND 20 THEN 'outside_boundary' END AS violation,
+ contains(diff, '@@ ') AND len(list_filter(l, lambda x: x <> '' AND NOT regexp_matches(x, '^(--- |[+][+][+] |@@ |[+]|-| )'))) = 0 AS only_hunks, len(changed) AS n_changed FROM begun""")
 def diff_constraints(spark, sf_dir):
     d = F.col("diff")
     found = diffs.violation(d, F.lit("f.rs"), F.lit("pub fn keep()"), F.lit(1), F.lit(20))
-    return views.diffs(spark, sf_dir).select("id", found.alias("violation"), diffs.only_hunks(d).alias("only_hunks"))
+    return views.diffs(spark, sf_dir).select("id", found.alias("violation"), diffs.only_hunks(d).alias("only_hunks"), F.size(diffs.changed_lines(d)).cast("long").alias("n_changed"))
 
 
 @query(f"""SELECT doc_id AS chunk_id, source || '/' AS file, 'code' AS evidence_type, CASE source WHEN 'src1' THEN 'unsafe,raw_ptr' WHEN 'src2' THEN 'manual_mem,unsafe,other' ELSE '' END AS tags, ({_RISK})::bigint AS risk_score FROM documents""")
@@ -425,14 +510,44 @@ def template_diffs(spark, sf_dir):
     return views.code(spark, sf_dir).select("path", evidence.template_diff(F.col("path"), F.col("content"), edit=True).alias("diff"))
 
 
+_KINDS = "CASE event_id % 5 WHEN 0 THEN 'code_slice' WHEN 1 THEN 'replacement_strategy' WHEN 2 THEN 'rust_rule_snippet_x' ELSE 'note' END"
+
+
+def _evidence(spark, sf_dir):
+    e = F.col("event_id")
+    kind = F.when(e % 5 == 0, "code_slice").when(e % 5 == 1, "replacement_strategy").when(e % 5 == 2, "rust_rule_snippet_x").otherwise("note")
+    return sf_table(spark, sf_dir, "events").select(e.alias("idx"), F.concat(F.lit("f"), (F.col("user_id") % 50).cast("string")).alias("file"), kind.alias("evidence_type"))
+
+
+@query(f"SELECT event_id AS idx, CASE WHEN {_KINDS} LIKE 'code%' THEN 'code' ELSE 'rest' END AS part FROM events")
+def split_evidence(spark, sf_dir):
+    code, rest = evidence.split(_evidence(spark, sf_dir))
+    return code.select("idx", F.lit("code").alias("part")).union(rest.select("idx", F.lit("rest").alias("part")))
+
+
+@query(f"""WITH i AS (SELECT event_id AS idx, 'f' || user_id % 50 AS file, {_KINDS} AS t FROM events ORDER BY event_id LIMIT 1000),
+ p AS (SELECT min(idx) AS picked FROM i WHERE t LIKE 'code%' AND file IN (SELECT 'f' || s_nationkey FROM supplier))
+ SELECT idx, row_number() OVER (ORDER BY CASE WHEN idx = picked THEN 0 ELSE 1 END, idx) AS place FROM i, p""")
+def target_pick(spark, sf_dir):
+    files = sf_table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), F.col("s_nationkey").cast("string")).alias("path"))
+    return evidence.target_first(_evidence(spark, sf_dir), files).select("idx", F.col("place").cast("long").alias("place"))
+
+
+@query("""SELECT c_custkey, 'Repair ' || c_name || ' of {unknown} in ' || c_mktsegment || ', then ' || c_name AS prompt,
+ regexp_matches('Repair ' || c_name || ' of {unknown} in ' || c_mktsegment || ', then ' || c_name, 'Repair.*BUILDING.*then') AS in_order FROM customer""")
+def rendered_prompt(spark, sf_dir):
+    prompt = evidence.render(F.lit("Repair {name} of {unknown} in {segment}, then {name}"), {"name": F.col("c_name"), "segment": F.col("c_mktsegment")})
+    return sf_table(spark, sf_dir, "customer").select("c_custkey", prompt.alias("prompt"), evidence.has_in_order(prompt, ["Repair", "BUILDING", "then"]).alias("in_order"))
+
+
 # -- embedding
 
 
 @query()
 def stub_embedding(spark, sf_dir):
     """Mersenne Twister vectors of the documents: no SQL has them; tested against the generator."""
-    out = embedding.embed(views.chunks(spark, sf_dir), "stub", {"dimension": 16}, model_id="stub-16")
-    return out.select("chunk_id", "model_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+    out = embedding.embed(views.chunks(spark, sf_dir), "stub", {}, model_id="stub")
+    return out.select("chunk_id", "model_id", F.size("embedding").alias("dimension"), F.md5(F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ")).alias("digest"))
 
 
 # -- extensions

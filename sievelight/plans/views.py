@@ -124,10 +124,32 @@ SCORE_SQL = "CASE WHEN failed THEN 1e9 ELSE blocks::double END AS a, CASE WHEN f
 
 
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """customers as diffs (id, diff), one fault in each but every ninth."""
+    """customers as diffs (id, diff), one fault in each but every twelfth."""
     k = F.col("c_custkey")
-    nth = F.pmod(k, F.lit(9))
+    nth = F.pmod(k, F.lit(12))
     head = F.when(nth == 1, "").when(nth == 2, "--- a/f.rs\n+++ b/g.rs\n").when(nth == 3, "--- a/z.rs\n+++ b/z.rs\n").otherwise("--- a/f.rs\n+++ b/f.rs\n")
     hunk = F.when(nth == 4, "@@ -1,2 +1,2 @@\n@@ -5,2 +5,2 @@\n").when(nth == 5, "@@ broken\n").when(nth == 6, "@@ -90,2 +90,2 @@\n").otherwise("@@ -3,2 +3,2 @@\n")
-    body = F.when(nth == 7, " same\n").when(nth == 8, "-pub fn keep()\n+x\n").otherwise("-old\n+new\n")
+    body = F.when(nth == 7, " same\n").when(nth == 8, "-pub fn keep()\n+x\n").when(nth == 9, "-old\n+new\n" * 60).when(nth == 10, "-old\n+new\n" * 21).when(nth == 11, "odd\n-old\n+new\n").otherwise("-old\n+new\n")
     return sf_table(spark, sf_dir, "customer").select(k.alias("id"), F.concat(head, hunk, body).alias("diff"))
+
+
+DIFFS_SQL = f"""diffs AS (SELECT c_custkey AS id, c_custkey % 12 AS nth FROM customer),
+ text AS (SELECT id, CASE nth WHEN 1 THEN '' WHEN 2 THEN '--- a/f.rs|+++ b/g.rs|' WHEN 3 THEN '--- a/z.rs|+++ b/z.rs|' ELSE '--- a/f.rs|+++ b/f.rs|' END
+  || CASE nth WHEN 4 THEN '@@ -1,2 +1,2 @@|@@ -5,2 +5,2 @@|' WHEN 5 THEN '@@ broken|' WHEN 6 THEN '@@ -90,2 +90,2 @@|' ELSE '@@ -3,2 +3,2 @@|' END
+  || CASE nth WHEN 7 THEN ' same|' WHEN 8 THEN '-pub fn keep()|+x|' WHEN 9 THEN repeat('-old|+new|', 60) WHEN 10 THEN repeat('-old|+new|', 21) WHEN 11 THEN 'odd|-old|+new|' ELSE '-old|+new|' END AS t FROM diffs),
+ parts AS (SELECT id, replace(t, '|', {NL}) AS diff, string_split(rtrim(t, '|'), '|') AS l FROM text),
+ told AS (SELECT id, diff, l, list_filter(l, lambda x: starts_with(x, '@@')) AS hunks,
+  list_distinct(list_transform(list_filter(l, lambda x: starts_with(x, '--- a/') OR starts_with(x, '+++ b/')), lambda x: trim(x[7:]))) AS files,
+  list_filter(l, lambda x: (starts_with(x, '+') OR starts_with(x, '-')) AND NOT starts_with(x, '+++ ') AND NOT starts_with(x, '--- ')) AS changed FROM parts),
+ begun AS (SELECT *, list_filter(list_transform(hunks, lambda x: regexp_extract(x, '^@@\\s+-(\\d+)(?:,\\d+)?\\s+\\+\\d+(?:,\\d+)?\\s+@@', 1)), lambda x: x <> '') AS starts FROM told)"""
+
+
+def runner_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as outputs of a runner (event_id, content): JSON with an error, with a blank one, and plain."""
+    e, kind = F.col("event_id"), F.col("event_type")
+    error = F.when(e % 4 == 0, F.concat(F.lit("err "), kind)).when(e % 4 == 1, " \\n").otherwise("")
+    log = F.concat(F.lit('  {"stdout": "out '), kind, F.lit('", "stderr": "'), error, F.lit('"}'))
+    return sf_table(spark, sf_dir, "events").select("event_id", F.when(e % 4 == 3, F.concat(F.lit("plain "), kind)).otherwise(log).alias("content"))
+
+
+RUNNER_SQL = """logs AS (SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'plain ' || event_type ELSE '  {"stdout": "out ' || event_type || '", "stderr": "' || CASE event_id % 4 WHEN 0 THEN 'err ' || event_type WHEN 1 THEN ' \\n' ELSE '' END || '"}' END AS content FROM events)"""

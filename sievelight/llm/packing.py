@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sievelight.llm import bpe
 from sievelight.llm.scratch import Scratch
@@ -169,7 +170,7 @@ def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", token
     ready = ready.select("id", "unit", "tail_base", "head_base", "hilbert_key", "doc_tokens", "heads", "wide", "tail")
     ready = ready.repartitionByRange("unit").sortWithinPartitions("unit", "hilbert_key", "id", "doc_tokens", "tail")
     out = ready.mapInArrow(
-        _cut(length, pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()),
+        _cut(length, to_arrow_type(kind)),
         f"id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, hilbert_key long",
     )
     return out.withColumnRenamed("id", id_col)

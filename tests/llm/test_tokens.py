@@ -33,6 +33,15 @@ def test_long_texts_are_cut_at_safe_places(monkeypatch, edge_rows):
     assert found == [library()(t) for t in texts]
 
 
+def test_packing_with_ids_of_other_types(spark):
+    import datetime
+    from decimal import Decimal
+
+    for kind, ids in {"decimal(10,2)": [Decimal("1.50"), None], "date": [datetime.date(2024, 1, 2)], "double": [0.5], "binary": [bytearray(b"a")], "smallint": [3]}.items():
+        df = spark.createDataFrame([(i, f"text of {i}") for i in ids], f"doc_id {kind}, text string")
+        assert {r.doc_id if kind != "binary" else bytearray(r.doc_id) for r in packing.pack(df).collect()} == set(ids) if kind != "binary" else packing.pack(df).count() == 1
+
+
 def test_every_control_character_and_others_in_every_place():
     path = bpe.tokenizer_path("byte_bpe_50k.json")
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x500 or 0x2000 <= c < 0x2070 or c % 389 == 0)]

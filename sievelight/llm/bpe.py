@@ -19,7 +19,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pre-tokens kept by one Python worker; beyond it the memory is given back and filled anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Bytes of text handled at once.
 BATCH_BYTES = 8 << 20
 #: Texts over this are cut at safe places before they are handled.

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm.components import components
+from sievelight.llm.packs import lean
 from sievelight.llm.scratch import Scratch
 
 LEAST, BLOCK = 0.93, 8
@@ -58,6 +59,7 @@ def _vector(raw: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(raw, "<f4" if len(raw) == 4 * dim else "<f8").astype(np.float64)
 
 
+@lean
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, label, vector) to (id, label, key, dim, raw); key is null where a vector links with nothing."""
     for b in batches:
@@ -84,6 +86,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cells(least: float):
     """Distinct vectors (label, dim, key, copies, raw, grid) to a row per block and cell they are compared in."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = b.to_pydict()
@@ -163,6 +166,7 @@ def _compare(least: float):
         for i in np.flatnonzero(links):
             yield rows[i][7], rows[find(i)][7], int(links[i])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         done: list[tuple] = []

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from sievelight.llm.packs import lean
+
 #: Tags whose content is never text of the page.
 SILENT = {"script", "style", "template", "svg", "iframe", "head", "title", "select", "textarea", "button", "option"}
 #: Tags that can stand in a head; any other ends one that is open.
@@ -374,6 +376,7 @@ def extract(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", htm
     w, t = (x.tolist() for x in model())
     kind, url = df.schema[id_col].dataType.simpleString(), df.schema[url_col].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [main_text(p, w, t) if p else "" for p in b.column(2).to_pylist()]

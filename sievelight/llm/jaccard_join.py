@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sievelight.llm.components import components
-from sievelight.llm.packs import cuts, loose, press, runs
+from sievelight.llm.packs import cuts, lean, loose, press, runs
 from sievelight.llm.scratch import Scratch
 from sievelight.llm.shingles import set_key, shingle_batches
 
@@ -113,6 +113,7 @@ def _send(width: int, buckets: int, kind: pa.DataType):
     names = [c.split()[0] for c in _SENT.split(", ")]
     types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = TaskContext.get().partitionId() << 32
         for b in batches:
@@ -152,6 +153,7 @@ def _tell(kind: pa.DataType):
     names = [c.split()[0] for c in _TOLD.split(", ")]
     types = [pa.int64(), pa.binary(), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches):
             out = [(r[1], None, *r[5:]) for r in rows if r[2] is None]
@@ -173,6 +175,7 @@ def _tell(kind: pa.DataType):
 def _hear(kind: pa.DataType):
     """Rows of _tell() by batch to (id, text_hash, set_key, n, shared), a row per text."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches):
             _, _, ids, hashes, keys, sizes, own, shared = next(r for r in rows if r[1] is None)
@@ -191,6 +194,7 @@ def _hear(kind: pa.DataType):
 def _packs(width: int):
     """(want, text) to packs of the sets wanted: (pack, keys, sizes, tokens)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, held, n = TaskContext.get().partitionId() << 32, [], 0
 
@@ -221,6 +225,7 @@ def _packs(width: int):
 def _send_counts(buckets: int):
     """(pack, tokens) to a row for each bucket: the pack's distinct shingles there, and in how many of its sets each is."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for pack, tokens in zip(b.column(0).to_pylist(), (x.as_py() for x in b.column(1)), strict=True):
@@ -235,6 +240,7 @@ def _send_counts(buckets: int):
     return run
 
 
+@lean
 def _tell_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _send_counts() by bucket to (pack, bucket, ranks): eight times the logarithm of the number of sets, 0 for one set."""
     for rows in runs(batches):
@@ -255,6 +261,7 @@ def _fronts(num: int, den: int):
     front: those of a set's first shingles, rare ones first, that other sets have.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches):
             _, _, _, keys, sizes, tokens = next(r for r in rows if r[2] is None)
@@ -302,6 +309,7 @@ def _verify(num: int, den: int):
             if links[i]:
                 yield r[4], rows[find(i)][4], int(links[i])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
 

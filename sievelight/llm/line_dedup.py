@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm.packs import cuts, pack_rows, runs, unpack
+from sievelight.llm.packs import cuts, lean, pack_rows, runs, unpack
 from sievelight.llm.scratch import Scratch
 
 #: Lines under the rolling hash, one boundary in how many places, least lines of a chunk.
@@ -105,6 +105,7 @@ def _line_hashes(texts: list[str | None]) -> tuple[list[list[str]], np.ndarray]:
 def _send(buckets: int):
     """(pack, body) to (bucket, pack, low): the lower halves of the pack's distinct line hashes of a bucket, in order."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
@@ -118,6 +119,7 @@ def _send(buckets: int):
     return run
 
 
+@lean
 def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _send() by bucket to (pack, bucket, told): a bit for each line, whether another pack has it."""
     for rows in runs(batches):
@@ -134,6 +136,7 @@ def _occurrences(buckets: int, kind: pa.DataType):
     rows and places name all its occurrences in the pack; id, row and place are those of the first by id.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches):
             body = unpack(next(r[3] for r in group if r[3] is not None))
@@ -178,6 +181,7 @@ def _rewrite(rest: pa.DataType):
     """Rows (pack, body, marks) to (rest, text, n_lines, n_removed_lines, pieces): pieces are the bytes to compare, compressed, once for a pack."""
     kind = pa.list_(pa.struct([("hash", pa.binary()), ("bytes", pa.binary())]))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for group in runs(batches):
@@ -206,6 +210,7 @@ def _rewrite(rest: pa.DataType):
     return run
 
 
+@lean
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (hash, bytes) by hash to the hashes whose bytes, decompressed, aren't all equal."""
     loose, key, first, out = zstandard.ZstdDecompressor(), None, None, set()

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sievelight.llm import bpe
+from sievelight.llm.packs import lean
 from sievelight.llm.scratch import Scratch
 
 TOKENIZER, LENGTH, END_ID = "byte_bpe_50k.json", 1024, 0
@@ -70,6 +71,7 @@ def document_keys(ids: np.ndarray, n: np.ndarray, seed: int = 17) -> np.ndarray:
 
 
 def _tokenize(path: str, length: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, ids, n in bpe.encode_texts(path, b.column(1)):
@@ -92,6 +94,7 @@ def _tokenize(path: str, length: int):
 def _cut(length: int, kind: pa.DataType):
     """Pieces of documents that come sorted by unit; run_tail and run_heads go on from document to document."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, at, head = None, 0, 0
         for b in batches:

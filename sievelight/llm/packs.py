@@ -6,8 +6,10 @@ hashes to the bucket of their value and get an answer in the same order; bodies
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,25 @@ from pyspark import TaskContext
 from sievelight.llm.bpe import byte_batches
 
 
+def lean(run: Callable) -> Callable:
+    """An Arrow function that gives freed memory back when its task ends: a Python worker stays for the tasks to come."""
+
+    @functools.wraps(run)
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return own
+
+
 def pack_rows(limit: int):
     """Rows, whose third column is the text, to (pack, body): about limit bytes of texts as a compressed Arrow stream."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = TaskContext.get().partitionId() << 32
         for b in batches:

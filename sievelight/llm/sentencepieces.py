@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+
+from sievelight.llm.packs import lean
 from pyspark.sql import functions as F
 
 from sievelight.llm.bpe import byte_batches, gather, tokenizer_path
@@ -229,6 +231,7 @@ def encode(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mod
     path = model or tokenizer_path(MODEL)
     kind = df.schema[id_col].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             enc = encoder(path)
@@ -253,6 +256,7 @@ def decode(df: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", model
     path = model or tokenizer_path(MODEL)
     kind = df.schema[id_col].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             enc = encoder(path)

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from sievelight.llm import bpe
+from sievelight.llm.packs import lean
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 1024
 
@@ -27,6 +28,7 @@ def token_counts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     path = tokenizer or bpe.tokenizer_path(TOKENIZER)
     kind = df.schema[id_col].dataType.simpleString()
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1)

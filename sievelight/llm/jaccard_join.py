@@ -33,7 +33,7 @@ from sievelight.llm.shingles import set_key, shingle_batches
 #: Shingles that a bucket gets, about, and the bytes of text that give one.
 BUCKET_TOKENS, TOKEN_BYTES = 2_000_000, 5
 #: Shingles of the sets that are counted together.
-PACK_TOKENS = 250_000
+PACK_TOKENS = 50_000
 #: Sets and shingles of a chunk; a task takes two of them.
 GROUP_SETS, GROUP_TOKENS = 600, 400_000
 #: Parts of a shingle's list, and of a group, that are joined apart.

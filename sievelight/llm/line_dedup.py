@@ -34,8 +34,9 @@ from sievelight.llm.scratch import Scratch
 WINDOW, EVERY, LEAST_LINES = 2, 4, 2
 #: Words from which a run of equal lines is a repeated passage, wherever it lies.
 RUN = 50
-#: Bytes of texts of a pack, and of texts whose lines share a bucket.
-PACK_BYTES, BUCKET_BYTES = 4 << 20, 64 << 20
+#: Bytes of texts of a pack (compressed it stays below half a megabyte, beyond which the JVM's collector treats an
+#: array as humongous), and of texts whose lines share a bucket.
+PACK_BYTES, BUCKET_BYTES = 1 << 20, 512 << 20
 WHOLE = -1
 _MASK = (1 << 64) - 1
 

@@ -251,6 +251,7 @@ def line_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     here = F.col("pack") == F.col("least.pack")
     marked = found.join(repeated, "hash").select("pack", F.struct("hash", "rows", "places", F.when(here, F.col("least.row")).alias("first_row"), F.when(here, F.col("least.place")).alias("first_place")).alias("mark"))
     marked = scratch.table(marked, "marked")
+    scratch.drop("occurrences")
 
     def rewritten(marked: DataFrame, name: str) -> DataFrame:
         marks = marked.groupBy("pack").agg(F.collect_list("mark").alias("marks"))  # as many as a pack has spans, at most
@@ -263,7 +264,7 @@ def line_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     unequal = scratch.table(pieces.mapInArrow(_differ, "hash binary").distinct(), "unequal")
     if unequal.limit(1).count():  # hashes that clash prove nothing: their chunks stay
         out = rewritten(marked.join(unequal, F.col("mark.hash") == F.col("hash"), "left_anti"), "again")
-    scratch.drop("packs", "occurrences", "marked", "unequal")
+    scratch.drop("packs", "marked", "unequal")
     return out.select(F.col("rest").alias("row"), "text", "n_lines", "n_removed_lines")
 
 

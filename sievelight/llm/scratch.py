@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from sievelight.session import shared_folder
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Writes a DataFrame as Parquet and reads it again, which cuts its lineage.
 
@@ -24,7 +27,12 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        kept = self.spark.conf.get(CLEAN_UP, None)
+        self.spark.conf.set(CLEAN_UP, "true")  # once the table is written, nothing reads the shuffles that made it
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEAN_UP) if kept is None else self.spark.conf.set(CLEAN_UP, kept)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

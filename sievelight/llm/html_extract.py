@@ -41,8 +41,10 @@ HINTS = {
     "body": ["article", "content", "post", "entry", "story", "main", "body", "text", "prose"],
 }
 _HINT = {w: k for k, ws in HINTS.items() for w in ws}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(?=/)[^>]*>", re.S)
-_RAW_END = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "iframe", "template")}
+#: Whatever follows a "<" that begins a tag or a comment is matched up to its end or the page's, so that nothing is read
+#: twice: a quote counts only behind "=", and one that is never closed goes to the page's end, as in browsers.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*+)(?:>|\Z)|<(?=/)[^>]*(?:>|\Z)", re.S)
+_RAW_END = {t: re.compile(rf"</{t}[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title", "iframe", "template")}
 _ATTR = re.compile(r"(class|id|role|aria-label|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -117,7 +119,7 @@ def blocks(page: str) -> list[tuple[str, frozenset, str, int]]:
     """Leaf blocks in page order: (text, features of the tags above, the nearest tag, characters inside links).
 
     Tolerates unclosed and stray tags as browsers do; comments and the content of SILENT tags are no text.
-    The time is proportional to the page's length, however deep its tags are nested.
+    The time is proportional to the page's length, however deep its tags are nested and whatever is left unclosed.
     """
     out: list[tuple[str, frozenset, str, int]] = []
     open_ = _Open()

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from sievelight.functions.text import strip
 
 #: Fixed value: a located diagnostic line.
-ISSUE = r"(?U)^([\w./-]+\.\w+):(\d+):\d*(?:\s+\d+:\d+)?\s*(\w+)?\s*:\s*(.*)"
+ISSUE = r"(?U)^([\w./-]+\.\w+):([0-9]+):\d*(?:\s+\d+:\d+)?\s*(\w+)?\s*:\s*(.*)"
 
 
 def issue(line: Column) -> Column:
-    """A line as (error_code, file, line, summary); one without a place is all summary."""
+    """A line as (error_code, file, line, summary); one without a place is all summary. A line number beyond 64 bits is null."""
     hit = line.rlike(ISSUE)
     part = lambda i: F.nullif(F.regexp_extract(line, ISSUE, i), F.lit(""))
     return F.struct(
         F.when(hit, part(3)).alias("error_code"),
         F.when(hit, part(1)).alias("file"),
-        F.when(hit, part(2).cast("int")).alias("line"),
+        F.when(hit, part(2).try_cast("bigint")).alias("line"),
         F.when(hit, strip(F.regexp_extract(line, ISSUE, 4))).otherwise(line).alias("summary"),
     )
 
@@ -59,13 +59,13 @@ def pass_counts(stdout: Column, stderr: Column, exit_code: Column) -> Column:
     text = F.concat(F.coalesce(stdout, F.lit("")), F.lit("\n"), F.coalesce(stderr, F.lit("")))
     # fixed values: how test results and their number are announced
     result, announced = r"(?i)test result:\s*(?:ok|FAILED)\.\s*(\d+)\s+passed;\s+(\d+)\s+failed;", r"(?i)running\s+(\d+)\s+tests"
-    passed, failed = (F.try_to_number(F.nullif(F.regexp_extract(text, result, i), F.lit("")), F.lit("999999999")).cast("int") for i in (1, 2))
-    count = F.try_to_number(F.nullif(F.regexp_extract(text, announced, 1), F.lit("")), F.lit("999999999")).cast("int")
+    passed, failed = (F.regexp_extract(text, result, i).try_cast("bigint") for i in (1, 2))
+    count = F.regexp_extract(text, announced, 1).try_cast("bigint")
     good = exit_code == 0
     return (
-        F.when(passed.isNotNull(), F.struct(passed.alias("passed"), (passed + failed).alias("total")))
-        .when(count.isNotNull(), F.struct(F.when(good, count).otherwise(0).alias("passed"), count.alias("total")))
-        .otherwise(F.struct(F.when(good, 1).otherwise(0).alias("passed"), F.lit(1).alias("total")))
+        F.when(passed.isNotNull(), F.struct(passed.alias("passed"), F.try_add(passed, failed).alias("total")))
+        .when(count.isNotNull(), F.struct(F.when(good, count).otherwise(F.lit(0).cast("long")).alias("passed"), count.alias("total")))
+        .otherwise(F.struct(F.when(good, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")).alias("passed"), F.lit(1).cast("long").alias("total")))
     )
 
 

@@ -36,7 +36,9 @@ def violation(diff: Column, target: Column, signature: Column, start: Column, en
     own, changed = lines(diff), changed_lines(diff)
     hunks = F.filter(own, lambda x: x.startswith("@@"))
     starts = F.filter(F.transform(hunks, lambda x: F.regexp_extract(x, HUNK, 1)), lambda x: x != "")
-    at, sign, files = F.try_element_at(starts, F.lit(1)).cast("int"), strip(signature), paths(diff)
+    first = F.try_element_at(starts, F.lit(1))
+    at = F.coalesce(first.try_cast("bigint"), F.when(first.isNotNull(), F.lit((1 << 63) - 1)))  # a start beyond 64 bits is outside of any file
+    sign, files = strip(signature), paths(diff)
     return (
         F.when(F.size(own) > most, "too_large")
         .when((sign != "") & F.exists(changed, lambda x: F.substr(x, F.lit(2)).contains(sign)), "signature_changed")

@@ -15,16 +15,18 @@ from sievelight.operators.store import upsert_latest
 #: A provider embeds a list of texts.
 Provider = Callable[[list[str]], list[list[float]]]
 BATCH = 128
+#: Fixed value: the seed of the stub where its configuration has none.
+SEED = 1337
 
 
-def stub_vector(text: str, dim: int, seed: int = 0) -> list[float]:
+def stub_vector(text: str, dim: int, seed: int = SEED) -> list[float]:
     """A vector that depends on nothing but the text: a Mersenne Twister seeded by its digest, seven significant digits."""
     r = random.Random(seed ^ int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "little"))
     return [float(f"{r.uniform(-1.0, 1.0):.7g}") for _ in range(dim)]
 
 
 def stub(config: dict) -> Provider:
-    dim, seed = int(config.get("dimension", 1536)), int(config.get("seed", 0))
+    dim, seed = int(config.get("dimension", 1536)), int(config.get("seed", SEED))
     return lambda texts: [stub_vector(t, dim, seed) for t in texts]
 
 

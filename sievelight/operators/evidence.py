@@ -11,6 +11,8 @@ from sievelight.sources.schemas import META
 
 #: Types of evidence that tell how to repair, by their beginning.
 STRATEGY_TYPES = ["replacement_strategy", "rust_rule_snippet", "interface_constraint", "behavior_constraint"]
+#: Ranges in which rows are numbered.
+RANGES = 256
 LISTS = ["risk_tags", "constraint_tags", "api_tags", "calls", "applies_to_risk"]
 NAMES = ["symbol", "signature", "strategy_id", "strategy_title"]
 
@@ -46,14 +48,29 @@ def strategies(evidence: DataFrame, order: str = "idx", by: str | None = None, m
     return own.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).filter(F.col("_n") <= most).drop("_n")
 
 
-def target_first(evidence: DataFrame, files: DataFrame, order: str = "idx", most: int = 1000) -> DataFrame:
-    """The first items by order with place: the first code item whose file (path) exists comes first, the others keep their order."""
-    evidence = evidence.orderBy(order).limit(most)
-    here = evidence.join(files.select(F.col("path").alias("file"), F.lit(True).alias("_here")).distinct(), "file", "left")
-    fit = is_code(F.col("evidence_type")) & F.coalesce("_here", F.lit(False)) & (F.col("file") != "")
-    picked = F.min(F.when(fit, F.col(order))).over(Window.partitionBy(F.lit(1)))
-    rank = F.row_number().over(Window.orderBy(F.when(F.col(order) == F.col("_picked"), 0).otherwise(1), order))
-    return here.withColumn("_picked", picked).withColumn("place", rank).drop("_here", "_picked")
+def numbered(rows: DataFrame, order: str, name: str = "place") -> DataFrame:
+    """Rows with their number by a numeric column, from 1; its values are distinct, a null comes first.
+
+    Quantiles of the column cut the rows into ranges of about equal size, which are numbered by themselves and
+    shifted by the sizes of those before, so no task sorts all rows.
+    """
+    cuts = rows.agg(F.coalesce(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 10_000), F.array()).alias("_cuts"))
+    own = rows.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")  # cuts is one row
+    own = own.withColumn("_range", F.coalesce("_range", F.lit(0)))
+    sizes = own.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row a range
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return own.withColumn("_at", at).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
+
+def target_first(evidence: DataFrame, files: DataFrame, order: str = "idx") -> DataFrame:
+    """The items with place: the first code item whose file (path) exists comes first, the others keep their order."""
+    here = files.select(F.col("path").alias("file")).distinct()
+    code = evidence.filter(is_code(F.col("evidence_type")) & (F.col("file") != ""))
+    picked = code.join(here, "file", "left_semi").agg(F.min(order).alias("_picked"))
+    own = numbered(evidence, order).crossJoin(F.broadcast(picked))  # picked is one row
+    moved = F.when(F.col(order) == F.col("_picked"), F.lit(1)).when(F.col(order) < F.col("_picked"), F.col("place") + 1).otherwise(F.col("place"))
+    return own.withColumn("place", moved.cast("long")).drop("_picked")
 
 
 def render(template: Column, values: dict[str, Column]) -> Column:

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.functions.features import risk_score
 from sievelight.functions.text import excerpt, tokens
+from sievelight.operators import text_index
 
 #: Digits kept of a score before it orders rows, so that equal scores stay equal on every engine.
 DIGITS = 9
@@ -42,32 +42,6 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.posexplode(tokens(F.col("content"))).alias("pos", "tok")).select("chunk_id", "tok", (F.col("pos") + 1).alias("pos"))
 
 
-def write_index(chunks: DataFrame, path: str, parts: int = 64) -> None:
-    """The inverted index of chunks: a row per snapshot, token and chunk with its places, in files by a hash of the token, sorted by it.
-
-    A search reads the files of its tokens only, and of these the row groups that hold them.
-    """
-    rows = chunks.select("snapshot_id", "chunk_id", F.posexplode(tokens(F.col("content"))).alias("pos", "tok"))
-    lists = rows.groupBy("snapshot_id", "tok", "chunk_id").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("places"))
-    lists = lists.withColumn("part", (F.crc32(F.col("tok").cast("binary")) % parts).cast("int"))
-    lists.repartition("part").sortWithinPartitions("part", "tok", "snapshot_id", "chunk_id").write.mode("overwrite").partitionBy("part").parquet(path)
-
-
-def indexed_hits(spark: SparkSession, path: str, wanted: list[str], snapshot_id: int | None = None, parts: int = 64) -> DataFrame:
-    """chunk_id, hits of the chunks that hold all wanted tokens, from an index that write_index() made."""
-    if not wanted:
-        return spark.createDataFrame([], f"chunk_id long, hits {_HITS}")
-    where = sorted({zlib.crc32(t.encode()) % parts for t in wanted})  # other folders aren't opened
-    store, root = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), spark._jvm.org.apache.hadoop.fs.Path
-    folders = [f for f in (f"{path}/part={k}" for k in where) if store.exists(root(f))]
-    if not folders:
-        return spark.createDataFrame([], f"chunk_id long, hits {_HITS}")
-    own = spark.read.schema("snapshot_id long, tok string, chunk_id long, places array<int>").parquet(*folders).filter(F.col("tok").isin(*wanted))
-    own = own if snapshot_id is None else own.filter(F.col("snapshot_id") == snapshot_id)
-    lists = own.select("chunk_id", F.transform("places", lambda p: F.struct(p.alias("pos"), F.col("tok").alias("tok"))).alias("of"))
-    return lists.groupBy("chunk_id").agg(F.sort_array(F.flatten(F.collect_list("of"))).alias("hits"), F.count("*").alias("n")).filter(F.col("n") == len(wanted)).drop("n")
-
-
 _HITS = "array<struct<pos:int,tok:string>>"
 
 
@@ -112,15 +86,15 @@ def cover_rank(hits: Column, wanted: list[str]) -> Column:
 def lexical_search(chunks: DataFrame, query: str, *, snapshot_id: int | None = None, kinds: list[str] | None = None, limit: int = 50, posts: DataFrame | None = None, index: str | None = None) -> DataFrame:
     """chunk_id, rank of the best chunks that hold every token; ties go to the lower id. An empty query finds nothing.
 
-    posts: the chunks' postings, or index: the path of a stored index of them, read in place of their texts.
+    posts: the chunks' postings, or index: the path of a stored text_index, read in place of their texts. What it has of
+    chunks that aren't among these is passed over; changed content is found once the index has been told.
     """
     own = kind_filter(chunks if snapshot_id is None else chunks.filter(F.col("snapshot_id") == snapshot_id), kinds)
     wanted = query_tokens(query)
     if not wanted:
         return own.select("chunk_id", F.lit(0.0).alias("rank")).limit(0)
     if index is not None:
-        hits = indexed_hits(chunks.sparkSession, index, wanted, snapshot_id)
-        hits = hits.join(own.select("chunk_id"), "chunk_id", "left_semi") if kinds else hits
+        return text_index.search(chunks.sparkSession, index, query, snapshot_id=snapshot_id, among=own, limit=limit).rows
     elif posts is not None:
         found = posts.filter(F.col("tok").isin(*wanted)).join(own.select("chunk_id"), "chunk_id", "left_semi")
         hits = found.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("hits"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,9 +54,20 @@ def with_ids(stored: DataFrame, rows: DataFrame, id_col: str, order: list[str])
     return out.withColumn(id_col, F.col("top") + F.col("_before") + F.col("_at")).drop("_bucket", "_at", "_before", "top")
 
 
+def _met(keys: list[str]):
+    """Equality of keys with columns _k0, _k1, …, in which nulls are equal."""
+    return reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+
+
+def _without(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys, nulls included, others have not."""
+    others = others.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
+    return rows.join(others, _met(keys), "left_anti")
+
+
 def insert_ignore(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """stored with those rows whose keys it has not yet; of rows with equal keys one."""
-    new = rows.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    """stored with those rows whose keys it has not yet; of rows with equal keys one. Null keys are equal to each other."""
+    new = _without(rows.dropDuplicates(keys), stored, keys)
     return stored.unionByName(new, allowMissingColumns=True)
 
 
@@ -67,7 +79,7 @@ def upsert_latest(stored: DataFrame, rows: DataFrame, keys: list[str], seq: str
     """
     if not seq:
         rows = rows.dropDuplicates(keys)
-        return stored.join(rows.select(*keys), keys, "left_anti").unionByName(rows, allowMissingColumns=True)
+        return _without(stored, rows, keys).unionByName(rows, allowMissingColumns=True)
     both = stored.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     names = [c for c in both.columns if c != "_new"]
     rest = F.struct(*(c for c in names if c not in keys))
@@ -77,15 +89,15 @@ def upsert_latest(stored: DataFrame, rows: DataFrame, keys: list[str], seq: str
 def update(stored: DataFrame, keys: list[str], changes: DataFrame) -> DataFrame:
     """stored with the columns of changes (keys, columns) where its keys are found; of several changes of a key any."""
     names = [c for c in changes.columns if c not in keys]
-    new = changes.dropDuplicates(keys).select(*keys, F.struct(*names).alias("_new"))
-    out = stored.join(new, keys, "left")
+    new = changes.dropDuplicates(keys).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.struct(*names).alias("_new"))
+    out = stored.join(new, _met(keys), "left")
     return out.select(*(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in stored.columns))
 
 
 def get_or_create(stored: DataFrame, rows: DataFrame, keys: list[str], id_col: str, *, refresh: tuple[str, ...] = ()) -> DataFrame:
     """stored with those rows whose natural keys it has not yet, under new ids; where it has them, the refresh columns are updated."""
     known = update(stored, keys, rows.select(*keys, *refresh)) if refresh else stored
-    new = rows.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    new = _without(rows.dropDuplicates(keys), stored, keys)
     return known.unionByName(with_ids(stored, new, id_col, keys), allowMissingColumns=True)
 
 

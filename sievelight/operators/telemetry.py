@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.functions.diagnostics import correctness
+from sievelight.functions.text import strip
 
 #: Metric keys of the report, in its order.
 REPORT_METRICS = ["final_status", "diagnose_issue_count", "iteration_count", "rollback_count", "total_ms", "retrieve_ms", "generate_ms", "execute_ms", "primary_error_kind", "final_stop_reason"]
@@ -58,7 +59,7 @@ def step_flags(steps: DataFrame, names: list[str]) -> DataFrame:
 def tag_counts(items: DataFrame) -> DataFrame:
     """(run_id, tag, n) over the code evidence of items (run_id, evidence_type, risk_tags)."""
     code = items.filter(F.col("evidence_type").startswith("code"))
-    return code.select("run_id", F.explode("risk_tags").alias("tag")).filter(F.trim("tag") != "").groupBy("run_id", F.trim("tag").alias("tag")).agg(F.count("*").alias("n"))
+    return code.select("run_id", F.explode("risk_tags").alias("tag")).withColumn("tag", strip(F.col("tag"))).filter("tag <> ''").groupBy("run_id", "tag").agg(F.count("*").alias("n"))
 
 
 def recent_runs(runs: DataFrame, limit: int = 200) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.functions import diagnostics, diffs, features, text
-from sievelight.operators import chunking, embedding, evidence, search, store, telemetry
+from sievelight.operators import chunking, embedding, evidence, search, store, telemetry, text_index, vector_index
 from sievelight.plans import views
 from sievelight.plans.views import CODE_SQL, ITER_SQL, LOGS_SQL, METRICS_SQL, NL, SCORE_SQL, STEPS_SQL
 from sievelight.sources import writers
@@ -81,6 +81,35 @@ def indexed_search(spark, sf_dir):
     return search.lexical_search(views.chunks(spark, sf_dir), QUERY, limit=50, index=views.index(spark, sf_dir))
 
 
+@query(f"WITH {_hits('true')} SELECT chunk_id, score AS rank FROM scored ORDER BY score DESC, chunk_id LIMIT 5")
+def pruned_search(spark, sf_dir):
+    """The best five by one range of ids first, and then those ranges whose bounds reach its fifth rank."""
+    return text_index.search(spark, views.index(spark, sf_dir), QUERY, limit=5, first=1).rows
+
+
+@query(f"WITH {views.CHANGED_SQL}, {_hits('true').replace('FROM documents', 'FROM docs')} SELECT chunk_id, score AS rank FROM scored ORDER BY score DESC, chunk_id LIMIT 50")
+def index_after_changes(spark, sf_dir):
+    """An index after inserts, changes, deletes and a merge."""
+    return text_index.search(spark, views.changed_index(spark, sf_dir), QUERY, limit=50).rows
+
+
+@query(r"""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM benchmark), qt AS (SELECT item_id, len(w) AS m, unnest(w) AS tok FROM q),
+ d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS a FROM documents), post AS (SELECT doc_id, unnest(a) AS tok, generate_subscripts(a, 1) AS pos FROM d),
+ hit AS MATERIALIZED (SELECT item_id, m, doc_id, post.tok, pos FROM post JOIN qt ON post.tok = qt.tok),
+ full_ AS (SELECT item_id, doc_id FROM hit GROUP BY item_id, doc_id, m HAVING count(DISTINCT tok) = m),
+ h AS MATERIALIZED (SELECT hit.*, row_number() OVER (PARTITION BY hit.item_id, hit.doc_id ORDER BY pos) AS j FROM hit JOIN full_ ON hit.item_id = full_.item_id AND hit.doc_id = full_.doc_id),
+ run AS (SELECT h.item_id, h.doc_id, h.pos, h.j, max(CASE WHEN h.tok = qt.tok THEN h.pos END) OVER w AS p, max(CASE WHEN h.tok = qt.tok THEN h.j END) OVER w AS pj
+  FROM h JOIN qt ON qt.item_id = h.item_id WINDOW w AS (PARTITION BY h.item_id, h.doc_id, qt.tok ORDER BY h.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ fin AS (SELECT item_id, doc_id, pos, j, min(p) AS s, min(pj) AS sj FROM run GROUP BY 1, 2, 3, 4 HAVING count(p) = count(*)),
+ cov AS (SELECT *, lag(s) OVER (PARTITION BY item_id, doc_id ORDER BY pos) AS b FROM fin),
+ scored AS (SELECT item_id, doc_id, round(sum(0.1::double / (1 + (pos - s) - (j - sj))), 9) AS rank FROM cov WHERE b IS NULL OR b <> s GROUP BY 1, 2)
+ SELECT item_id AS query_id, doc_id AS chunk_id, rank FROM scored QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rank DESC, doc_id) <= 50""")
+def batch_retrieval(spark, sf_dir):
+    """All benchmark texts as queries against all documents."""
+    asked = sf_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return text_index.search_all(spark, views.index(spark, sf_dir), asked, limit=50)
+
+
 @query(r"""WITH toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS a FROM documents), post AS (SELECT doc_id, unnest(a) AS tok FROM toks)
  SELECT tok, count(*) AS n, count(DISTINCT doc_id) AS df FROM post GROUP BY tok""")
 def postings_stats(spark, sf_dir):
@@ -92,6 +121,34 @@ def vector_topk(spark, sf_dir):
     return search.vector_search(views.vectors(spark, sf_dir), views.query_vector(spark, sf_dir), limit=50)
 
 
+@query(f"WITH {_NEAR.format(limit=50)} SELECT chunk_id, dist FROM near")
+def ivf_search(spark, sf_dir):
+    """The approximate index with all its lists probed, which makes it exact."""
+    return vector_index.search(spark, views.vector_lists(spark, sf_dir), views.query_vector(spark, sf_dir), probes=vector_index.LISTS, limit=50)
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::double[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+ near AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_cosine_distance(v.e, q.e), 9) AS dist FROM q, v)
+ SELECT query_id, chunk_id, dist FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, chunk_id) <= 10""")
+def ivf_batch(spark, sf_dir):
+    """Every vector whose id is divisible by 100 as a query, against all lists."""
+    return vector_index.search_all(spark, views.vector_lists(spark, sf_dir), _vector_queries(spark, sf_dir), probes=vector_index.LISTS, limit=10)
+
+
+def _vector_queries(spark, sf_dir):
+    own = sf_table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0")
+    return own.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+@query("SELECT count(*) AS n_queries, TRUE AS recall_reached, TRUE AS lists_left_out FROM embeddings WHERE vec_id % 100 = 0")
+def ivf_recall(spark, sf_dir):
+    """Whether the fewest probes that were found to do so reach a recall of 0.9, and leave lists out."""
+    path, asked = views.vector_lists(spark, sf_dir), _vector_queries(spark, sf_dir)
+    probes = vector_index.enough_probes(spark, path, asked)
+    reached = vector_index.recall(spark, path, asked, probes=probes) >= 0.9
+    return asked.agg(F.count("*").alias("n_queries")).withColumns({"recall_reached": F.lit(reached), "lists_left_out": F.lit(probes < vector_index.LISTS)})
+
+
 @query(f"WITH {_NEAR.format(limit=50)} SELECT chunk_id, dist FROM dist WHERE snapshot_id = 1 AND dist <= 0.95 ORDER BY dist, chunk_id LIMIT 50")
 def vector_snapshot_maxdist(spark, sf_dir):
     return search.vector_search(views.vectors(spark, sf_dir), views.query_vector(spark, sf_dir), snapshot_id=1, model_id="m", max_dist=0.95, limit=50)
@@ -202,7 +259,7 @@ def source_metrics(spark, sf_dir):
 
 
 @query(f"""WITH {LOGS_SQL} SELECT event_id, CASE WHEN event_id % 3 = 0 THEN regexp_extract(line, ' (E\\d+): ', 1) END AS error_code,
- CASE WHEN event_id % 3 < 2 THEN split_part(line, ':', 1) END AS file, CASE WHEN event_id % 3 < 2 THEN event_id END::bigint AS line,
+ CASE WHEN event_id % 3 < 2 THEN split_part(line, ':', 1) END AS file, CASE WHEN event_id % 3 < 2 THEN event_id * CASE WHEN event_id % 3 = 1 AND event_id % 97 = 0 THEN 100000000000 ELSE 1 END END::bigint AS line,
  CASE event_id % 3 WHEN 0 THEN regexp_extract(line, '(value is .*)', 1) WHEN 1 THEN regexp_extract(line, ':1: (.*)', 1) ELSE line END AS summary FROM logs""")
 def diagnose_parse(spark, sf_dir):
     found = issues(views.logs(spark, sf_dir), "line")
@@ -481,7 +538,7 @@ def runner_payload(spark, sf_dir):
 
 @query(f"""WITH {views.DIFFS_SQL} SELECT id, CASE WHEN len(l) > 120 THEN 'too_large' WHEN len(list_filter(changed, lambda x: contains(x[2:], 'pub fn keep()'))) > 0 THEN 'signature_changed'
   WHEN len(files) = 0 THEN 'missing_file_header' WHEN len(files) > 1 THEN 'multi_file_patch' WHEN files[1] <> 'f.rs' THEN 'target_file_mismatch' WHEN len(hunks) <> 1 THEN 'multi_hunk'
-  WHEN len(changed) = 0 THEN 'no_changes' WHEN len(changed) > 40 THEN 'too_many_changes' WHEN len(starts) = 0 THEN 'missing_hunk_header' WHEN starts[1]::int NOT BETWEEN 1 AND 20 THEN 'outside_boundary' END AS violation,
+  WHEN len(changed) = 0 THEN 'no_changes' WHEN len(changed) > 40 THEN 'too_many_changes' WHEN len(starts) = 0 THEN 'missing_hunk_header' WHEN starts[1]::bigint NOT BETWEEN 1 AND 20 THEN 'outside_boundary' END AS violation,
  contains(diff, '@@ ') AND len(list_filter(l, lambda x: x <> '' AND NOT regexp_matches(x, '^(--- |[+][+][+] |@@ |[+]|-| )'))) = 0 AS only_hunks, len(changed) AS n_changed FROM begun""")
 def diff_constraints(spark, sf_dir):
     d = F.col("diff")
@@ -525,7 +582,7 @@ def split_evidence(spark, sf_dir):
     return code.select("idx", F.lit("code").alias("part")).union(rest.select("idx", F.lit("rest").alias("part")))
 
 
-@query(f"""WITH i AS (SELECT event_id AS idx, 'f' || user_id % 50 AS file, {_KINDS} AS t FROM events ORDER BY event_id LIMIT 1000),
+@query(f"""WITH i AS (SELECT event_id AS idx, 'f' || user_id % 50 AS file, {_KINDS} AS t FROM events),
  p AS (SELECT min(idx) AS picked FROM i WHERE t LIKE 'code%' AND file IN (SELECT 'f' || s_nationkey FROM supplier))
  SELECT idx, row_number() OVER (ORDER BY CASE WHEN idx = picked THEN 0 ELSE 1 END, idx) AS place FROM i, p""")
 def target_pick(spark, sf_dir):

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.operators import search
+from sievelight.operators import text_index, vector_index
 from sievelight.session import shared_folder
 from sievelight.sources.readers import sf_table
 
@@ -23,17 +23,49 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_MADE: dict[tuple, str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, table: str, kind: str, make) -> str:
+    """The path of a stored index, which a session makes once for a table's files, as a service has it before any query."""
+    key = (spark.sparkContext.applicationId, kind, *sorted(sf_table(spark, sf_dir, table).inputFiles()))
+    if key not in _MADE:
+        path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+        make(path)
+        _MADE[key] = path
+    return _MADE[key]
 
 
 def index(spark: SparkSession, sf_dir: str) -> str:
-    """The path of the chunks' stored index, which a session makes once, as a service has it before any query."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
-        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        search.write_index(chunks(spark, sf_dir), path)
-        _INDEXES[key] = path
-    return _INDEXES[key]
+    """The inverted index of the chunks."""
+    return _once(spark, sf_dir, "documents", "index", lambda path: text_index.build(chunks(spark, sf_dir), path))
+
+
+def changed_index(spark: SparkSession, sf_dir: str) -> str:
+    """An inverted index that followed changes: every seventh chunk's content is longer, every fifth is gone, copies
+    of some came and half of these went; then it was merged, and every thirteenth chunk is gone, too."""
+    own, k = chunks(spark, sf_dir), F.col("chunk_id")
+
+    def make(path: str) -> None:
+        text_index.build(own, path)
+        longer = own.filter(k % 7 == 1).withColumn("content", F.concat("content", F.lit(" the of the")))
+        text_index.apply_changes(path, longer, own.filter(k % 5 == 0))
+        copies = own.filter(k % 11 == 3).withColumn("chunk_id", k + 1_000_000_000)
+        text_index.apply_changes(path, copies)
+        text_index.apply_changes(path, own.limit(0), copies.filter((k - 1_000_000_000) % 22 == 3))
+        text_index.merge(spark, path)
+        text_index.apply_changes(path, own.limit(0), own.filter((k % 13 == 0) & (k % 7 != 1)))
+
+    return _once(spark, sf_dir, "documents", "changed-index", make)
+
+
+CHANGED_SQL = """docs AS (SELECT doc_id, source, CASE WHEN doc_id % 7 = 1 THEN text || ' the of the' ELSE text END AS text FROM documents WHERE doc_id % 7 = 1 OR (doc_id % 5 <> 0 AND doc_id % 13 <> 0)
+ UNION ALL SELECT doc_id + 1000000000, source, text FROM documents WHERE doc_id % 11 = 3 AND doc_id % 22 <> 3)"""
+
+
+def vector_lists(spark: SparkSession, sf_dir: str) -> str:
+    """The approximate index of the vectors."""
+    return _once(spark, sf_dir, "embeddings", "lists", lambda path: vector_index.build(vectors(spark, sf_dir), path))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,12 +100,12 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as log lines (event_id, line): located with a code, located without, and plain."""
     e = F.col("event_id")
     text = F.when(e % 3 == 0, F.format_string("src/u%d/main.rs:%d:7 %d:%d E%04d: value is %s", "user_id", e, e, e, e, "event_type"))
-    text = text.when(e % 3 == 1, F.format_string("lib.rs:%d:1: %s happened", e, "event_type")).otherwise(F.concat(F.lit("note: "), F.col("event_type")))
+    text = text.when(e % 3 == 1, F.format_string("lib.rs:%d:1: %s happened", F.when(e % 97 == 0, e * 100_000_000_000).otherwise(e), "event_type")).otherwise(F.concat(F.lit("note: "), F.col("event_type")))
     return sf_table(spark, sf_dir, "events").select("event_id", text.alias("line"))
 
 
 LOGS_SQL = """logs AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'src/u' || user_id || '/main.rs:' || event_id || ':7 ' || event_id || ':' || event_id || ' E' || lpad(event_id::varchar, greatest(4, length(event_id::varchar))::integer, '0') || ': value is ' || event_type
- WHEN event_id % 3 = 1 THEN 'lib.rs:' || event_id || ':1: ' || event_type || ' happened' ELSE 'note: ' || event_type END AS line FROM events)"""
+ WHEN event_id % 3 = 1 THEN 'lib.rs:' || event_id || CASE WHEN event_id % 97 = 0 AND event_id > 0 THEN repeat('0', 11) ELSE '' END || ':1: ' || event_type || ' happened' ELSE 'note: ' || event_type END AS line FROM events)"""
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,14 +160,14 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     nth = F.pmod(k, F.lit(12))
     head = F.when(nth == 1, "").when(nth == 2, "--- a/f.rs\n+++ b/g.rs\n").when(nth == 3, "--- a/z.rs\n+++ b/z.rs\n").otherwise("--- a/f.rs\n+++ b/f.rs\n")
-    hunk = F.when(nth == 4, "@@ -1,2 +1,2 @@\n@@ -5,2 +5,2 @@\n").when(nth == 5, "@@ broken\n").when(nth == 6, "@@ -90,2 +90,2 @@\n").otherwise("@@ -3,2 +3,2 @@\n")
+    hunk = F.when(nth == 4, "@@ -1,2 +1,2 @@\n@@ -5,2 +5,2 @@\n").when(nth == 5, "@@ broken\n").when((nth == 6) & (k % 5 == 0), "@@ -99999999999,2 +90,2 @@\n").when(nth == 6, "@@ -90,2 +90,2 @@\n").otherwise("@@ -3,2 +3,2 @@\n")
     body = F.when(nth == 7, " same\n").when(nth == 8, "-pub fn keep()\n+x\n").when(nth == 9, "-old\n+new\n" * 60).when(nth == 10, "-old\n+new\n" * 21).when(nth == 11, "odd\n-old\n+new\n").otherwise("-old\n+new\n")
     return sf_table(spark, sf_dir, "customer").select(k.alias("id"), F.concat(head, hunk, body).alias("diff"))
 
 
 DIFFS_SQL = f"""diffs AS (SELECT c_custkey AS id, c_custkey % 12 AS nth FROM customer),
  text AS (SELECT id, CASE nth WHEN 1 THEN '' WHEN 2 THEN '--- a/f.rs|+++ b/g.rs|' WHEN 3 THEN '--- a/z.rs|+++ b/z.rs|' ELSE '--- a/f.rs|+++ b/f.rs|' END
-  || CASE nth WHEN 4 THEN '@@ -1,2 +1,2 @@|@@ -5,2 +5,2 @@|' WHEN 5 THEN '@@ broken|' WHEN 6 THEN '@@ -90,2 +90,2 @@|' ELSE '@@ -3,2 +3,2 @@|' END
+  || CASE nth WHEN 4 THEN '@@ -1,2 +1,2 @@|@@ -5,2 +5,2 @@|' WHEN 5 THEN '@@ broken|' WHEN 6 THEN CASE WHEN id % 5 = 0 THEN '@@ -99999999999,2 +90,2 @@|' ELSE '@@ -90,2 +90,2 @@|' END ELSE '@@ -3,2 +3,2 @@|' END
   || CASE nth WHEN 7 THEN ' same|' WHEN 8 THEN '-pub fn keep()|+x|' WHEN 9 THEN repeat('-old|+new|', 60) WHEN 10 THEN repeat('-old|+new|', 21) WHEN 11 THEN 'odd|-old|+new|' ELSE '-old|+new|' END AS t FROM diffs),
  parts AS (SELECT id, replace(t, '|', {NL}) AS diff, string_split(rtrim(t, '|'), '|') AS l FROM text),
  told AS (SELECT id, diff, l, list_filter(l, lambda x: starts_with(x, '@@')) AS hunks,

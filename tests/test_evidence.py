@@ -15,6 +15,10 @@ def test_target_comes_first(spark):
     rows = spark.createDataFrame([(0, "rule", "a"), (1, "code", "gone"), (2, "code_slice", "b"), (3, "code", "a")], "idx int, evidence_type string, file string")
     files = spark.createDataFrame([("a",), ("b",), ("b",)], "path string")
     assert [r.idx for r in evidence.target_first(rows, files).orderBy("place").collect()] == [2, 0, 1, 3]
+    many = spark.range(5000).select(F.col("id").alias("idx"), F.when(F.col("id") >= 4000, "code").otherwise("rule").alias("evidence_type"), F.lit("a").alias("file"))
+    got = [r.idx for r in evidence.target_first(many, files).orderBy("place").collect()]
+    assert got == [4000, *range(4000), *range(4001, 5000)]  # none is left out
+    assert [r.idx for r in evidence.target_first(many.filter("idx < 4000"), files).orderBy("place").collect()] == list(range(4000))
     code, rest = evidence.split(rows)
     assert code.count() == 3 and [r.idx for r in rest.collect()] == [0]
     assert evidence.strategies(rows).count() == 0
@@ -39,3 +43,11 @@ def test_models(spark):
     assert embedding.model(models, "m")["dimension"] == 8
     with pytest.raises(ValueError, match="model_not_found"):
         embedding.model(models, "x")
+
+
+def test_stub_of_the_default_seed():
+    import hashlib
+    import random
+
+    first = random.Random(1337 ^ int.from_bytes(hashlib.sha256(b"aaa").digest()[:8], "little")).uniform(-1, 1)
+    assert embedding.stub({"dimension": 3})(["aaa"])[0][0] == float(f"{first:.7g}")

@@ -132,3 +132,18 @@ def test_source_tree(spark, tmp_path):
     (tmp_path / "b.txt").write_text("no")
     got = readers.source_files(spark, str(tmp_path)).collect()
     assert [(r.path, r.content) for r in got] == [("s/a.rs", "fn a() {}�")]
+
+
+def test_numbers_of_any_size(spark):
+    """No line, hunk or count is too large for the job."""
+    from sievelight.functions import diagnostics, diffs
+
+    logs = spark.createDataFrame([("src/a.rs:99999999999:1: boom",), ("a.rs:" + "9" * 30 + ":1: x",), ("a.rs:7:1: E1: y",), ("a.rs:\u0663:1: z",)], "l string")
+    got = [tuple(r[0]) for r in logs.select(diagnostics.issue(F.col("l"))).collect()]
+    assert got[0] == (None, "src/a.rs", 99999999999, "boom") and got[1][1:3] == ("a.rs", None) and got[2][2] == 7 and got[3] == (None, None, None, "a.rs:\u0663:1: z")
+    tests = spark.createDataFrame([("test result: ok. 99999999999 passed; 1 failed;",), ("test result: ok. " + "9" * 30 + " passed; 1 failed;",)], "o string")
+    counts = [tuple(r[0]) for r in tests.select(diagnostics.pass_counts(F.col("o"), F.lit(""), F.lit(0))).collect()]
+    assert counts == [(99999999999, 100000000000), (1, 1)]
+    for start in ("99999999999", "9" * 30):
+        d = spark.createDataFrame([(f"--- a/f\n+++ b/f\n@@ -{start},1 +1,1 @@\n-a\n+b\n",)], "d string")
+        assert d.select(diffs.violation(F.col("d"), F.lit("f"), F.lit(""), F.lit(1), F.lit(9))).first()[0] == "outside_boundary"

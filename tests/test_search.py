@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from sievelight.operators import search
+from sievelight.operators import search, text_index, vector_index
 
 CHUNKS = "chunk_id long, snapshot_id long, kind string, lang string, content string, meta string"
 
@@ -65,7 +65,7 @@ def test_stored_index(spark, tmp_path):
 
     r = random.Random(5)
     c = chunks(spark, *(" ".join(r.choice(["a", "b", "c", "x", "Ünsafe"]) for _ in range(r.randint(1, 20))) for _ in range(80)), kinds=["k", "l"] * 40)
-    search.write_index(c, str(tmp_path / "index"))
+    text_index.build(c, str(tmp_path / "index"))
     for q, kinds in (("a b", None), ("c", ["l"]), ("ünsafe a", ["k"]), ("b nowhere", None), ("", None)):
         want = [tuple(x) for x in search.lexical_search(c, q, snapshot_id=1, kinds=kinds, limit=9).collect()]
         assert [tuple(x) for x in search.lexical_search(c, q, snapshot_id=1, kinds=kinds, limit=9, index=str(tmp_path / "index")).collect()] == want
@@ -107,3 +107,137 @@ def test_top_k_plan_takes_ordered(spark, sf):
     plan = search.vector_search(views.vectors(spark, sf), [0.1] * 64, limit=5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "label" not in plan.split("ReadSchema")[1]
     assert F.col("x") is not None
+
+
+WORDS = ["a", "b", "c", "x", "y", "Ünsafe", "z"]
+
+
+def said(r, most=20):
+    return " ".join(r.choice(WORDS) for _ in range(r.randint(0, most)))
+
+
+def test_index_follows_any_changes(spark, tmp_path):
+    """After each of many changes, merges among them, the index finds what a scan of the chunks finds."""
+    import random
+
+    r, path = random.Random(7), str(tmp_path / "i")
+    now = {i: said(r) for i in range(40)}
+    frame = lambda d: spark.createDataFrame([(i, 1 + i % 2, "k", "l", t, "{}") for i, t in d.items()], CHUNKS)
+    text_index.build(frame(now), path)
+    for round_ in range(4):
+        gone = r.sample(sorted(now), 6)
+        new = {i: said(r) for i in [*r.sample(sorted(now), 5), 100 + round_, *gone[:2]]}  # two of the removed come again
+        text_index.apply_changes(path, frame(new), spark.createDataFrame([(i,) for i in gone], "chunk_id long"))
+        now = {i: t for i, t in now.items() if i not in gone} | new
+        if round_ == 2:
+            text_index.merge(spark, path)
+            assert text_index.state(spark, path).segments == (0,)
+        for q, snapshot in (("a b", None), ("c", 1), ("ünsafe a x", None)):
+            want = [tuple(x) for x in search.lexical_search(frame(now), q, snapshot_id=snapshot, limit=12).collect()]
+            assert [tuple(x) for x in text_index.search(spark, path, q, snapshot_id=snapshot, limit=12).rows.collect()] == want, (round_, q)
+
+
+def test_failed_change_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "i")
+    text_index.build(chunks(spark, "a b", "a c"), path)
+    bad = chunks(spark, "a a a").withColumn("content", F.raise_error(F.lit("stop")).cast("string"))
+    with pytest.raises(Exception, match="stop"):
+        text_index.apply_changes(path, bad)
+    assert [r.chunk_id for r in text_index.search(spark, path, "a").rows.collect()] == [1, 2]
+    (tmp_path / "i" / "generation=0" / "postings" / "segment=1").mkdir(parents=True, exist_ok=True)  # a half-written one
+    text_index.apply_changes(path, chunks(spark, "b").limit(0), chunks(spark, "x").select("chunk_id"))
+    assert [r.chunk_id for r in text_index.search(spark, path, "a").rows.collect()] == [2]
+
+
+def test_deleted_chunks_of_a_stale_index(spark, tmp_path):
+    c = chunks(spark, "a b", "a c")
+    text_index.build(c, str(tmp_path / "i"))
+    assert [r.chunk_id for r in search.lexical_search(c.filter("chunk_id > 1"), "a", index=str(tmp_path / "i")).collect()] == [2]
+
+
+@pytest.mark.parametrize("limit", [1, 3, 1000])
+def test_hopeless_blocks_are_not_read(spark, tmp_path, monkeypatch, limit):
+    import random
+
+    monkeypatch.setattr(text_index, "SPAN", 4)
+    r = random.Random(limit)
+    texts = [" ".join([*(r.choice("xyz") for _ in range(10)), *["a b"] * (30 if i in (17, 90) else r.randint(0, 2))]) for i in range(160)]
+    c = chunks(spark, *texts)
+    text_index.build(c, str(tmp_path / "i"))
+    for q in ("a b", "a", "a b x"):
+        got = text_index.search(spark, str(tmp_path / "i"), q, limit=limit, first=3)
+        assert [tuple(x) for x in got.rows.collect()] == [tuple(x) for x in search.lexical_search(c, q, limit=limit).collect()]
+        assert got.ranges > 30
+        if limit == 1 and "x" not in q:  # two chunks have thirty places and the others two at most
+            assert got.ranges_read <= 2
+        if limit == 1000:
+            assert got.ranges_read == got.ranges
+
+
+def test_bound_holds(spark):
+    """No rank is over the bound of its chunk's own counts, and one comes near it."""
+    import random
+
+    r = random.Random(2)
+    for m in (1, 2, 3, 4):
+        tight = 0
+        for _ in range(400):
+            t = [r.choice("abcdefg"[: m + r.randint(0, 1)]) for _ in range(r.randint(1, 24))]
+            places = {w: [p for p, x in enumerate(t) if x == w] for w in "abcd"[:m]}
+            if all(places.values()):
+                bound = 0.1 * m * min(map(len, places.values()))
+                assert covers(places) <= bound + 1e-9
+                tight = max(tight, covers(places) / bound)
+        assert tight > 0.5
+
+
+def test_many_queries_at_once(spark, tmp_path):
+    import random
+
+    r = random.Random(11)
+    c = chunks(spark, *(said(r) for _ in range(60)))
+    text_index.build(c, str(tmp_path / "i"))
+    asked = ["a b", "ünsafe", "c a x y", "nowhere a", "", None, "a a b"]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    got = sorted(tuple(x) for x in text_index.search_all(spark, str(tmp_path / "i"), q, limit=7).collect())
+    assert got == sorted((i, x.chunk_id, x["rank"]) for i, t in enumerate(asked) for x in search.lexical_search(c, t or "", limit=7).collect())
+
+
+def vectors_around(spark, n, dim=16, groups=12):
+    import random
+
+    r = random.Random(4)
+    middle = [[r.gauss(0, 1) for _ in range(dim)] for _ in range(groups)]
+    rows = [(i, i % 3, "m", [m + r.gauss(0, 0.5) for m in middle[i % groups]]) for i in range(n)]
+    rows += [(n, 1, "m", [0.0] * dim), (n + 1, 1, "m", None), (n + 2, 1, "m", [float("nan")] * dim), (n + 3, 1, "m", [1.0])]
+    return spark.createDataFrame(rows, "chunk_id long, snapshot_id long, model_id string, embedding array<float>"), rows
+
+
+def test_inverted_lists(spark, tmp_path):
+    v, rows = vectors_around(spark, 900)
+    path = str(tmp_path / "v")
+    vector_index.build(v, path, lists=16)
+    q = rows[5][3]
+    exact = [tuple(x) for x in search.vector_search(v, q, limit=20).filter("not isnan(dist)").collect()]
+    assert [tuple(x) for x in vector_index.search(spark, path, q, probes=16, limit=20).collect()] == exact
+    few = vector_index.search(spark, path, q, probes=2, limit=20, snapshot_id=1, model_id="m", max_dist=0.9)
+    assert {x.chunk_id % 3 for x in few.collect()} == {1}
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list" in plan.replace("isnotnull(list", "list").replace("[list#", "[list#") and "TakeOrderedAndProject" in plan
+    asked = v.filter("chunk_id % 30 = 0 and chunk_id < 900").select(F.col("chunk_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    probes = vector_index.enough_probes(spark, path, asked)
+    assert probes < 16 and vector_index.recall(spark, path, asked, probes=probes) >= 0.9
+    want = [(x.query_id, y.chunk_id, y.dist) for x in asked.collect() for y in search.vector_search(v, x.vector, limit=10).collect()]
+    assert sorted(tuple(x) for x in vector_index.search_all(spark, path, asked, probes=16, limit=10).collect()) == sorted(want)
+    vector_index.add(path, spark.createDataFrame([(5000, 1, "m", [2 * x for x in q])], v.schema))
+    assert {x.chunk_id for x in vector_index.search(spark, path, q, probes=1, limit=2).collect()} == {5, 5000}
+
+
+def test_inverted_lists_of_awkward_tables(spark, tmp_path):
+    v, _ = vectors_around(spark, 1)
+    vector_index.build(v.filter("chunk_id = 2"), str(tmp_path / "none"))
+    assert vector_index.search(spark, str(tmp_path / "none"), [1.0] * 16).count() == 0
+    vector_index.build(v, str(tmp_path / "one"), lists=4)
+    assert vector_index.search(spark, str(tmp_path / "one"), [1.0] * 16).count() == 1
+    assert vector_index.search(spark, str(tmp_path / "one"), [0.0] * 16).count() == 0
+    assert vector_index.search(spark, str(tmp_path / "one"), [1.0]).count() == 0

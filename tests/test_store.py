@@ -42,6 +42,16 @@ def test_upsert_update_and_cascade(spark):
     assert [r.c for r in store.orphans(child, left, "k").collect()] == [10]
 
 
+def test_null_keys_are_equal(spark):
+    old = spark.createDataFrame([(None, "a", 1), (1, "b", 1)], "k int, v string, seq int")
+    new = spark.createDataFrame([(None, "c", 2), (2, "d", 2)], "k int, v string, seq int")
+    assert sorted((r.k or 0, r.v) for r in store.insert_ignore(old, new, ["k"]).collect()) == [(0, "a"), (1, "b"), (2, "d")]
+    assert store.insert_ignore(store.insert_ignore(old, new, ["k"]), new, ["k"]).count() == 3
+    for seq in (None, "seq"):
+        assert sorted((r.k or 0, r.v) for r in store.upsert_latest(old, new, ["k"], seq).collect()) == [(0, "c"), (1, "b"), (2, "d")]
+    assert sorted((r.k or 0, r.v) for r in store.update(old, ["k"], new.select("k", "v")).collect()) == [(0, "c"), (1, "b")]
+
+
 def test_states_are_checked(spark):
     runs = spark.createDataFrame([("a", "INIT", None, None)], "run_id string, status string, created_at timestamp, updated_at timestamp")
     new, bad = store.create_runs(runs, spark.createDataFrame([("a", "INIT"), ("b", None), ("c", "WHAT")], "run_id string, status string"))

@@ -40,7 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near duplicates (five words, 0.8), that of the smallest id; those without a word stay."""
     joined = Scratch(spark, "near").table(jaccard_join(docs, width=5, num=80, den=100), "joined")
     alone = joined.filter("group_key is null").select("doc_id", "text_hash")
-    first = joined.filter("group_key is not null").groupBy("group_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("of")).select("of.*")
+    nameless = F.col("doc_id").isNull().alias("nameless")  # an id comes before none
+    first = joined.filter("group_key is not null").groupBy("group_key").agg(F.min(F.struct(nameless, "doc_id", "text_hash")).alias("of")).select("of.doc_id", "of.text_hash")
     kept = alone.unionByName(first).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.xxhash64(docs["text"]) == kept["kept_hash"]), "left_semi")
     repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()

@@ -31,8 +31,8 @@ CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "stop": "[.,;:!?'\"()\\-]", "symb
 STEPS = 2000
 #: Good documents from which a language's own reference decides alone.
 REFERENCE_LEAST = 5
-#: References (of most documents) among which the nearest is looked for, and those beyond which they aren't broadcast.
-NEAREST_OF, BROADCAST_ROWS = 256, 10_000
+#: References that are compared as one array, and those beyond which they aren't broadcast.
+BLOCK, BROADCAST_ROWS = 256, 10_000
 #: Place of "wide" in char_share.
 WIDE = list(CLASSES).index("wide")
 #: Limits of the distances, what 1/sqrt(length) adds, and the least lengths (characters, words). Chance alone
@@ -131,6 +131,25 @@ def _ascii(share: Column) -> Column:
     return F.transform(F.filter(share, lambda _, i: i != WIDE), lambda x: x / F.greatest(1 - share[WIDE], F.lit(1e-9)))
 
 
+def _nearest(out: DataFrame, refs: DataFrame) -> DataFrame:
+    """Adds near_distance, from the nearest of refs, to the rows that are alone.
+
+    One block of references is an array that stands beside every row. More blocks meet the distinct shares of the
+    rows that are alone, which are a stated set, and the least distance comes back to them.
+    """
+    shares = refs.select("lang", _ascii(F.col("ref_chars")).alias("share"))
+    blocks = -(-refs.count() // BLOCK)
+    if blocks <= 1:
+        every = F.broadcast(shares.agg(F.collect_list("share").alias("every")))  # one row
+        near = F.array_min(F.transform("every", lambda r: js_distance(F.col("plain"), r)))
+        return out.crossJoin(every).withColumn("near_distance", F.when(F.col("alone"), near))
+    every = shares.groupBy(F.pmod(F.xxhash64("lang"), F.lit(blocks)).alias("block")).agg(F.collect_list("share").alias("every")).select("every")
+    every = F.broadcast(every) if blocks * BLOCK <= BROADCAST_ROWS else every
+    near = F.array_min(F.transform("every", lambda r: js_distance(F.col("asked"), r)))
+    least = out.filter("alone").select(F.col("plain").alias("asked")).distinct().crossJoin(every).groupBy("asked").agg(F.min(near).alias("near_distance"))
+    return out.join(least, F.col("alone") & (F.col("plain") == F.col("asked")), "left").drop("asked")
+
+
 def quality_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: bool = False) -> DataFrame:
     """One row per row of df: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
 
@@ -149,15 +168,12 @@ def quality_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     own = refs.select(F.col("lang").alias("of"), "n", "ref_chars", "ref_words")
     if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         own = F.broadcast(own)
-    most = refs.filter(F.col("n") >= REFERENCE_LEAST).orderBy(F.desc("n"), "lang").limit(NEAREST_OF)
-    every = F.broadcast(most.agg(F.collect_list(_ascii(F.col("ref_chars"))).alias("every")))  # one row
-    out = measured.join(own, measured["lang"] == F.col("of"), "left").crossJoin(every)
+    out = measured.join(own, measured["lang"] == F.col("of"), "left")
     wide = F.col("char_share")[WIDE]
     settled = F.coalesce(F.col("n") >= REFERENCE_LEAST, F.lit(False))
     out = out.withColumn("settled", settled).withColumn("n_ascii", F.col("word_chars") * (1 - wide)).withColumn("plain", _ascii(F.col("char_share")))
     out = out.withColumn("own_distance", F.when(F.col("ref_chars").isNotNull() & (F.col("word_chars") >= CHAR_LEAST), js_distance(F.col("char_share"), F.col("ref_chars"))))
-    near = F.array_min(F.transform("every", lambda r: js_distance(F.col("plain"), r)))
-    out = out.withColumn("near_distance", F.when(~F.col("settled") & (wide <= 0.5) & (F.col("n_ascii") >= CHAR_LEAST), near))
+    out = _nearest(out.withColumn("alone", ~F.col("settled") & (wide <= 0.5) & (F.col("n_ascii") >= CHAR_LEAST)), refs.filter(F.col("n") >= REFERENCE_LEAST))
     out = out.withColumn("word_distance", F.when(F.col("ref_words")[0].isNotNull() & F.col("settled") & (F.col("n_words") >= WORD_LEAST), js_distance(F.col("word_share"), F.col("ref_words"))))
 
     def over(distance: str, length: str, limit: float, slack: float) -> Column:

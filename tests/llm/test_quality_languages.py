@@ -26,3 +26,19 @@ def test_clean_documents_of_any_language_stay(spark):
     got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert not any(r.base_failed for r in got.values())
     assert {i for i, r in got.items() if not r.kept} == {200, 201}
+
+
+def test_blocks_of_references_change_nothing(spark, monkeypatch):
+    """With more references than a block holds, verdicts and distances are the same."""
+    rows = []
+    for k, lang in enumerate(["it", "pl", "cs", "ru", "bg", "zh", "fi"]):
+        letters = [LATIN, LATIN, ACCENTED, CYRILLIC, CYRILLIC, CJK, LATIN[:12]][k]
+        rows += [(100 * k + i, prose(letters), lang) for i in range(7)]
+    rows += [(1000 + i, prose(R.choice([LATIN, ACCENTED, CJK, "#*$%&ab0123"])), R.choice([None, "xx", "yy"])) for i in range(25)]
+    rows += [(2000, None, None), (2001, "", "it"), rows[-1]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = sorted(map(repr, quality_rules.quality_rules(df).collect()))
+    for block in (1, 3):
+        monkeypatch.setattr(quality_rules, "BLOCK", block)
+        assert sorted(map(repr, quality_rules.quality_rules(df).collect())) == want
+    assert sum("char_distance=None" not in r for r in want) > 60

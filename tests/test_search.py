@@ -220,8 +220,8 @@ def test_inverted_lists(spark, tmp_path):
     q = rows[5][3]
     exact = [tuple(x) for x in search.vector_search(v, q, limit=20).filter("not isnan(dist)").collect()]
     assert [tuple(x) for x in vector_index.search(spark, path, q, probes=16, limit=20).collect()] == exact
-    few = vector_index.search(spark, path, q, probes=2, limit=20, snapshot_id=1, model_id="m", max_dist=0.9)
-    assert {x.chunk_id % 3 for x in few.collect()} == {1}
+    few = vector_index.search(spark, path, q, probes=2, limit=20, snapshot_id=2, model_id="m", max_dist=0.9)
+    assert {x.chunk_id % 3 for x in few.collect()} == {2}
     plan = few._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [list" in plan.replace("isnotnull(list", "list").replace("[list#", "[list#") and "TakeOrderedAndProject" in plan
     asked = v.filter("chunk_id % 30 = 0 and chunk_id < 900").select(F.col("chunk_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))

@@ -147,7 +147,7 @@ def search_all(spark: SparkSession, path: str, queries: DataFrame, *, probes: in
         norms, ids = own["norm"].to_numpy(), own["chunk_id"].to_numpy()
         for query_id, vector in zip(asked["query_id"], asked["vector"], strict=True) if len(own) else []:
             q = np.asarray(vector, float)
-            dist = np.round(1 - v @ q / (norms * np.sqrt(q @ q)), DIGITS)
+            dist = np.round(1 - v @ q / (norms * np.sqrt(q @ q)), DIGITS) + 0.0  # no negative zero
             at = np.lexsort((ids, dist))[:limit]
             out.append(pd.DataFrame({"query_id": query_id, "chunk_id": ids[at], "dist": dist[at]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "dist": []})

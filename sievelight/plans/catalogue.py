@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.functions import diagnostics, diffs, features, text
-from sievelight.operators import chunking, embedding, evidence, search, store, telemetry, text_index, vector_index
+from sievelight.operators import chunking, embedding, evidence, search, sql_functions, store, telemetry, text_index, vector_index
 from sievelight.plans import views
 from sievelight.plans.views import CODE_SQL, ITER_SQL, LOGS_SQL, METRICS_SQL, NL, SCORE_SQL, STEPS_SQL
 from sievelight.sources import writers
@@ -110,6 +110,30 @@ def batch_retrieval(spark, sf_dir):
     return text_index.search_all(spark, views.index(spark, sf_dir), asked, limit=50)
 
 
+def _sql(spark, sf_dir, text: str) -> DataFrame:
+    sql_functions.register(spark, views.chunks(spark, sf_dir), views.vectors(spark, sf_dir))
+    return spark.sql(text)
+
+
+@query(f"WITH {_hits('true')} SELECT chunk_id, score AS rank FROM scored ORDER BY score DESC, chunk_id LIMIT 50")
+def sql_lexical_search(spark, sf_dir):
+    return _sql(spark, sf_dir, f"SELECT * FROM lexical_search(NULL, '{QUERY}', NULL, 50)")
+
+
+@query(f"WITH {_NEAR.format(limit=50)} SELECT chunk_id, dist FROM dist WHERE snapshot_id = 1 AND dist <= 0.95 ORDER BY dist, chunk_id LIMIT 50")
+def sql_vector_search(spark, sf_dir):
+    vector = ", ".join(f"{x!r}D" for x in views.query_vector(spark, sf_dir))
+    return _sql(spark, sf_dir, f"SELECT * FROM vector_search(1, 'm', array({vector}), 0.95, 50)")
+
+
+@query(f"""WITH {_hits("source IN ('src1', 'src2')")}, {_NEAR.format(limit=60)},
+ sub AS (SELECT n.chunk_id, n.dist, row_number() OVER (ORDER BY n.dist, n.chunk_id) AS rank FROM near n JOIN documents d ON d.doc_id = n.chunk_id WHERE d.source IN ('src1', 'src2')),
+ {_FUSED.format(near="sub")} SELECT chunk_id, dist, lexical_rank::bigint AS lexical_rank, vector_rank::bigint AS vector_rank, round(rrf, 12) AS rrf FROM fused ORDER BY round(rrf, 12) DESC, chunk_id LIMIT 20""")
+def sql_hybrid_retrieve(spark, sf_dir):
+    vector = ", ".join(f"{x!r}D" for x in views.query_vector(spark, sf_dir))
+    return _sql(spark, sf_dir, f"SELECT chunk_id, dist, lexical_rank, vector_rank, rrf FROM hybrid_retrieve(NULL, '{QUERY}', array({vector}), array('src1', 'src2'), NULL, 20)")
+
+
 @query(r"""WITH toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS a FROM documents), post AS (SELECT doc_id, unnest(a) AS tok FROM toks)
  SELECT tok, count(*) AS n, count(DISTINCT doc_id) AS df FROM post GROUP BY tok""")
 def postings_stats(spark, sf_dir):
@@ -128,7 +152,7 @@ def ivf_search(spark, sf_dir):
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::double[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 100 = 0),
- near AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_cosine_distance(v.e, q.e), 9) AS dist FROM q, v)
+ near AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_cosine_distance(v.e, q.e), 9) + 0.0 AS dist FROM q, v)
  SELECT query_id, chunk_id, dist FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, chunk_id) <= 10""")
 def ivf_batch(spark, sf_dir):
     """Every vector whose id is divisible by 100 as a query, against all lists."""

@@ -241,3 +241,27 @@ def test_inverted_lists_of_awkward_tables(spark, tmp_path):
     assert vector_index.search(spark, str(tmp_path / "one"), [1.0] * 16).count() == 1
     assert vector_index.search(spark, str(tmp_path / "one"), [0.0] * 16).count() == 0
     assert vector_index.search(spark, str(tmp_path / "one"), [1.0]).count() == 0
+
+
+def test_sql_table_functions(spark):
+    from sievelight.operators import sql_functions
+
+    rows = [(1, 1, "k", "r", "a b c", '{"file":"f"}'), (2, 1, "l", "r", "b a", '{"file":"f"}'), (3, 2, "k", "r", "a x b", '{"file":"f"}'), (4, 1, "k", "r", None, '{"file":"f"}')]
+    c = spark.createDataFrame(rows, CHUNKS)
+    v = spark.createDataFrame([(1, 1, "m", [1.0, 0.0]), (2, 1, "m", [0.0, 0.0]), (3, 2, "n", [1.0, 1.0]), (4, 1, "m", [0.5])], "chunk_id long, snapshot_id long, model_id string, embedding array<float>")
+    sql_functions.register(spark, c, v)
+    told = lambda text: sorted(tuple(r) for r in spark.sql(text).collect())
+    for q, snapshot, kinds, limit in (("a b", None, None, 9), ("A b", 1, ["k"], 9), ("", None, None, 9), ("a b", None, [], 1), ("b a c", 1, None, 9)):
+        want = sorted(tuple(r) for r in search.lexical_search(c, q, snapshot_id=snapshot, kinds=kinds, limit=limit).collect())
+        listed = "NULL" if kinds is None else "CAST(array() AS ARRAY<STRING>)" if not kinds else f"array('{kinds[0]}')"
+        assert told(f"SELECT * FROM lexical_search({snapshot or 'NULL'}, '{q}', {listed}, {limit})") == want, q
+    want = [tuple(r) for r in search.vector_search(v, [1.0, 0.0], max_dist=0.9).collect()]
+    assert told("SELECT * FROM vector_search(NULL, NULL, array(1.0D, 0.0D), 0.9, 5)") == sorted(want)
+    assert [r[0] for r in told("SELECT * FROM vector_search(1, 'm', array(1.0D, 0.0D), NULL, 5)")] == [1, 2]
+    for kinds, listed in ((None, "NULL"), (["k"], "array('k')")):
+        want = {r.chunk_id: (r.excerpt, r.lexical_rank, r.vector_rank, r.rrf) for r in search.hybrid_retrieve(c, v, "a b", [1.0, 0.0], kinds=kinds, top_k=3).collect()}
+        got = spark.sql(f"SELECT * FROM hybrid_retrieve(NULL, 'a b', array(1.0D, 0.0D), {listed}, NULL, 3)")
+        assert {r.chunk_id: (r.excerpt, r.lexical_rank, r.vector_rank, r.rrf) for r in got.collect()} == want
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    plan = spark.sql("SELECT * FROM lexical_search(1, 'a b', NULL, 5)")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan

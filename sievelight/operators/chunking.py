@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -59,27 +60,94 @@ def function_chunks(files: DataFrame, parser: Parser, size: int = 200, most_byte
     return sliced.unionByName(windows)
 
 
-def braces_parser(text: str) -> list[tuple[str, int, int]]:
-    """A plain parser for languages with `fn name(…) {…}`: outermost functions by counting braces."""
-    import re
-
-    found, row, own = [], 0, text.splitlines()
-    while row < len(own):
-        m = re.match(r"\s*(?:pub(?:\([a-z]+\))?\s+)?(?:unsafe\s+)?fn\s+(\w+)", own[row])
-        if not m:
+#: One token after another: what isn't code, names, and the marks that open and close. Comments nest, so only their
+#: beginning is matched; a quote before a name that no quote follows is a lifetime.
+_TOKEN = re.compile(
+    r"""(?P<line>//[^\n]*)|(?P<comment>/\*)|(?P<raw>\b[bc]?r(?P<hashes>\#*)")|(?P<string>\b[bc]?"|")"""
+    r"""|(?P<char>\bb?'(?:\\(?:x[0-9A-Fa-f]{2}|u\{[0-9A-Fa-f_]*\}|[^\n])|[^\\'\n])'|'(?:\\(?:x[0-9A-Fa-f]{2}|u\{[0-9A-Fa-f_]*\}|[^\n])|[^\\'\n])')|(?P<lifetime>'\w+)"""
+    r"""|(?P<name>r\#\w+|\w+)|(?P<mark>[{}()\[\];])|(?P<row>\n)""",
+    re.X,
+)
+_NESTED, _STRING_END = re.compile(r"/\*|\*/"), re.compile(r'(?:[^"\\]|\\.)*+"', re.S)
+#: What may stand before the name of a function's kind.
+_BEFORE = {"pub", "default", "const", "async", "unsafe", "safe", "extern"}
+
+
+def _tokens(text: str) -> Iterator[tuple[str, str, int]]:
+    """(kind, token, row) of a source; strings come as one token of kind string. An end that is missing is an error."""
+    at, row = 0, 0
+    while m := _TOKEN.search(text, at):
+        at, kind = m.end(), m.lastgroup if m.lastgroup != "hashes" else "raw"
+        if kind == "row":
             row += 1
             continue
-        depth, at, opened = 0, row, False
-        while at < len(own):
-            depth += own[at].count("{") - own[at].count("}")
-            opened |= "{" in own[at]
-            at += 1
-            if opened and depth <= 0:
-                break
-        if not opened or depth > 0:
-            raise ValueError("unbalanced braces")
-        found.append((m[1], row, at))
-        row = at
+        if kind == "comment":
+            depth = 1
+            while depth:
+                n = _NESTED.search(text, at)
+                if not n:
+                    raise ValueError("a comment doesn't end")
+                depth += 1 if n[0] == "/*" else -1
+                row += text.count("\n", at, n.end())
+                at = n.end()
+        elif kind in ("raw", "string"):
+            begin = at
+            if kind == "raw":
+                end = text.find('"' + m["hashes"], at)
+                at = end + 1 + len(m["hashes"]) if end >= 0 else -1
+            else:
+                n = _STRING_END.match(text, at)
+                at = n.end() if n else -1
+            if at < 0:
+                raise ValueError("a string doesn't end")
+            yield "string", text[begin:at], row
+            row += text.count("\n", begin, at)
+        elif kind not in ("line", "char", "lifetime"):
+            yield kind, m[0], row
+
+
+def rust_parser(text: str) -> list[tuple[str, int, int]]:
+    """Outermost functions with a body, those of modules, traits and impls included: (symbol, first row, row after the last).
+
+    Reads tokens, so braces and names in strings, raw strings, characters and nested comments don't count, and
+    lifetimes are no characters. A function begins at its visibility and qualifiers. Brackets that don't match, and
+    strings and comments without an end, are errors. Rows are parted by line feeds.
+    """
+    closing, found = {"}": "{", ")": "(", "]": "["}, []
+    open_: list[str] = []
+    own: tuple[str, int, int] | None = None  # the function that is being read: symbol, first row, brackets open before it
+    body = False
+    first: int | None = None  # the row where qualifiers began
+    named = visible = False  # after "fn"; right after "pub", which brackets may follow
+    for kind, token, row in _tokens(text):
+        if kind == "mark" and token in "{([":
+            if own and not body and token == "{" and len(open_) == own[2]:
+                body = True
+            open_.append(token)
+        elif kind == "mark" and token in closing:
+            if not open_ or open_.pop() != closing[token]:
+                raise ValueError("brackets don't match")
+            if own and body and token == "}" and len(open_) == own[2]:
+                found.append((own[0], own[1], row + 1))
+                own, body = None, False
+        elif token == ";" and own and not body and len(open_) == own[2]:
+            own = None  # a declaration
+        if own:
+            first, named = None, False
+            continue
+        if named:
+            if kind == "name":
+                own = (token.removeprefix("r#"), first, len(open_))
+            named, first = False, None
+        elif token == "fn" and kind == "name":
+            named, first = True, row if first is None else first
+        elif kind == "name" and token in _BEFORE:
+            first = row if first is None else first
+        elif not (first is not None and (kind == "string" or visible and kind in ("name", "mark") and token not in "{};")):
+            first = None
+        visible = first is not None and (token == "pub" or visible and not (kind == "mark" and token == ")"))
+    if open_ or own:
+        raise ValueError("brackets don't match")
     return found
 
 

@@ -279,6 +279,16 @@ def source_metrics(spark, sf_dir):
     return telemetry.merged_source_measures(views.code(spark, sf_dir)).withColumn("unsafe_line_pct", F.round("unsafe_line_pct", 9))
 
 
+@query("""WITH c AS (SELECT 'src/m' || (o_orderkey % 10) || '/f' || o_orderkey || '.rs' AS path, o_orderkey AS k, 2 + CASE WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 5 = 0 THEN 3 ELSE 2 END AS n FROM orders)
+ SELECT path, 0::bigint AS chunk_index, 0::bigint AS start_row, n::bigint AS end_row, CAST(NULL AS VARCHAR) AS degrade_reason FROM c WHERE k % 7 <> 0
+ UNION ALL SELECT path, 1, n + 3, n + 8, NULL FROM c WHERE k % 7 <> 0
+ UNION ALL SELECT path, 0, 0, n + 10, 'tree_sitter_error_nodes' FROM c WHERE k % 7 = 0""")
+def function_slices(spark, sf_dir):
+    """Function slices of source texts by tokens; texts whose brackets don't match are windows."""
+    out = chunking.function_chunks(views.tricky_code(spark, sf_dir), chunking.rust_parser)
+    return out.select("path", *(F.col(c).cast("long") for c in ("chunk_index", "start_row", "end_row")), "degrade_reason")
+
+
 # -- diagnostics
 
 

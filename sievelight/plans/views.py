@@ -89,6 +89,24 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sf_table(spark, sf_dir, "orders").select(F.concat(F.lit("src/m"), (k % 10).cast("string"), F.lit("/f"), k.cast("string"), F.lit(".rs")).alias("path"), F.concat(head, F.lit("\n"), body, F.lit("\n}")).alias("content"), k.alias("k"))
 
 
+#: Ten lines with a function that only a reader of tokens finds: rows 3 to 8.
+TRICKY = r"""/* fn no() { /* nested { */ */
+impl<'a> T<'a> {
+    // fn commented() {
+    pub(crate) unsafe fn tricky<'b>(c: char) -> &'b str {
+        let s = "}\"{"; let r = r#"fn x() { " "#; let q = '\''; let o = '{';
+        fn inner() { "{" }
+        s
+    }
+    fn declared(&self);
+}"""
+
+
+def tricky_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source texts with strings, characters, comments and lifetimes that mislead a count of braces."""
+    return code(spark, sf_dir).withColumn("content", F.concat("content", F.lit("\n" + TRICKY)))
+
+
 CODE_SQL = f"""code AS (SELECT 'src/m' || (o_orderkey % 10) || '/f' || o_orderkey || '.rs' AS path, o_orderkey AS k,
  (CASE WHEN o_orderkey % 7 = 0 THEN '// nothing' ELSE 'pub fn f' || o_orderkey || '(a: *const u8) {{' END) || {NL} ||
  (CASE WHEN o_orderkey % 3 = 0 THEN '  unsafe {{ free(a); }} // ' || o_orderpriority

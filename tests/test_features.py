@@ -1,6 +1,7 @@
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from sievelight.functions import diagnostics, diffs, features, text
@@ -23,13 +24,33 @@ def test_lines_and_windows(spark):
 def test_function_slices_and_reasons(spark):
     code = "use x;\npub fn a() {\n  fn inner() {}\n}\nunsafe fn b() { 1 }\n"
     files = spark.createDataFrame([("f", code), ("g", "no functions"), ("h", "fn c() {"), ("i", "x" * 50)], "path string, content string")
-    got = chunking.function_chunks(files, chunking.braces_parser, 200, 1000).collect()
+    got = chunking.function_chunks(files, chunking.rust_parser, 200, 1000).collect()
     assert sorted((r.path, r.start_row, r.end_row, r.degrade_reason) for r in got if r.path == "f") == [("f", 1, 4, None), ("f", 4, 5, None)]
     assert {r.path: r.degrade_reason for r in got if r.path != "f"} == {"g": "no_functions_found", "h": "tree_sitter_error_nodes", "i": "no_functions_found"}
-    big = chunking.function_chunks(files.filter("path = 'i'"), chunking.braces_parser, 200, 10).first()
+    big = chunking.function_chunks(files.filter("path = 'i'"), chunking.rust_parser, 200, 10).first()
     assert big.degrade_reason == "file_too_large"
 
 
+def test_functions_by_tokens():
+    cases = {
+        'fn a() { let s = "{"; }\nfn b() {}': [("a", 0, 1), ("b", 1, 2)],
+        'fn a() {\n let s = r#"}" fn x() {"#;\n}': [("a", 0, 3)],
+        'fn a() { br##""#}"##; b"\\"{"; c"}"; "\n{" }\nfn b() {}': [("a", 0, 2), ("b", 2, 3)],
+        "fn a<'x>(c: &'x str) -> char { match c { _ => '{', } ; '\\''; b'}'; '\\u{7d}' }": [("a", 0, 1)],
+        "/* fn no() { /* } */ fn no2() {} */\n// fn no3() {\nfn a() { /* { */ } // }": [("a", 2, 3)],
+        "impl T for S {\n  fn a(&self);\n  pub(crate)\n  unsafe extern \"C\" fn b() {\n    fn inner() {}\n  }\n}": [("b", 2, 6)],
+        "mod m { pub struct P(i32); const fn a() {} trait U { fn d() -> [u8; 3]; fn e(x: fn(u8) -> u8) {} } }": [("a", 0, 1), ("e", 0, 1)],
+        "fn r#fn() {}\nlet f: fn(i32) = g; macro! { x } ": [("fn", 0, 1)],
+        "fn a() -> [u8; 2]\nwhere T: X {\n}": [("a", 0, 3)],
+        "": [],
+    }
+    for text, want in cases.items():
+        assert chunking.rust_parser(text) == want, text
+    for bad in ("fn a() {", "}", "fn a() { ) }", '"', "/* /* */", 'r#"x"', "fn a("):
+        with pytest.raises(ValueError, match="match|end"):
+            chunking.rust_parser(bad)
+
+
 def test_ingest_is_idempotent(spark):
     files = spark.createDataFrame([("b.rs", "unsafe { free(p) }"), ("A.rs", "unsafe { free(p) }")], "path string, content string")
     rows = chunking.ingest(files, 3).collect()

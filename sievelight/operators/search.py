@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -45,7 +46,7 @@ def postings(chunks: DataFrame) -> DataFrame:
 _HITS = "array<struct<pos:int,tok:string>>"
 
 
-def text_hits(chunks: DataFrame, wanted: list[str]) -> DataFrame:
+def text_hits(chunks: DataFrame, wanted: list[str], words: Callable[[Column], Column] = tokens) -> DataFrame:
     """chunk_id, hits of the chunks that hold all wanted tokens, from their texts: only wanted tokens leave a chunk's list of tokens.
 
     The tokens are looked for as plain substrings first, so that only chunks that may match are split.
@@ -54,7 +55,7 @@ def text_hits(chunks: DataFrame, wanted: list[str]) -> DataFrame:
         return chunks.select("chunk_id", F.array().cast(_HITS).alias("hits")).limit(0)
     low = F.lower("content")
     may = chunks.filter(reduce(lambda a, b: a & b, [low.contains(t) for t in wanted]))
-    placed = F.transform(tokens(F.col("content")), lambda t, i: F.when(t.isin(*wanted), F.struct((i + 1).alias("pos"), t.alias("tok"))))
+    placed = F.transform(words(F.col("content")), lambda t, i: F.when(t.isin(*wanted), F.struct((i + 1).alias("pos"), t.alias("tok"))))
     return may.select("chunk_id", F.array_compact(placed).alias("hits"))
 
 
@@ -83,14 +84,15 @@ def cover_rank(hits: Column, wanted: list[str]) -> Column:
     return F.aggregate(hits, begin, step, lambda s: F.when(s["start"].isNotNull(), F.round(s["rank"], DIGITS)))
 
 
-def lexical_search(chunks: DataFrame, query: str, *, snapshot_id: int | None = None, kinds: list[str] | None = None, limit: int = 50, posts: DataFrame | None = None, index: str | None = None) -> DataFrame:
+def lexical_search(chunks: DataFrame, query: str, *, snapshot_id: int | None = None, kinds: list[str] | None = None, limit: int = 50, posts: DataFrame | None = None, index: str | None = None, words: Callable[[Column], Column] = tokens) -> DataFrame:
     """chunk_id, rank of the best chunks that hold every token; ties go to the lower id. An empty query finds nothing.
 
     posts: the chunks' postings, or index: the path of a stored text_index, read in place of their texts. What it has of
-    chunks that aren't among these is passed over; changed content is found once the index has been told.
+    chunks that aren't among these is passed over; changed content is found once the index has been told. words: the
+    rule by which a text has tokens, such as functions.classes.plain; postings and indexes have their own.
     """
     own = kind_filter(chunks if snapshot_id is None else chunks.filter(F.col("snapshot_id") == snapshot_id), kinds)
-    wanted = query_tokens(query)
+    wanted = query_tokens(query) if words is tokens else list(dict.fromkeys(chunks.sparkSession.range(1).select(words(F.lit(query))).first()[0]))
     if not wanted:
         return own.select("chunk_id", F.lit(0.0).alias("rank")).limit(0)
     if index is not None:
@@ -99,7 +101,7 @@ def lexical_search(chunks: DataFrame, query: str, *, snapshot_id: int | None = N
         found = posts.filter(F.col("tok").isin(*wanted)).join(own.select("chunk_id"), "chunk_id", "left_semi")
         hits = found.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("hits"))
     else:
-        hits = text_hits(own, wanted)
+        hits = text_hits(own, wanted, words)
     # chunks without a rank are last, and go after the cut: a filter before it would work the rank out twice
     return hits.select("chunk_id", cover_rank(F.col("hits"), wanted).alias("rank")).orderBy(F.desc_nulls_last("rank"), "chunk_id").limit(limit).filter("rank is not null")
 

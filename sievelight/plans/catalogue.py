@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.functions import diagnostics, diffs, features, text
+from sievelight.functions import classes, diagnostics, diffs, features, text
 from sievelight.operators import chunking, embedding, evidence, search, sql_functions, store, telemetry, text_index, vector_index
 from sievelight.plans import views
 from sievelight.plans.views import CODE_SQL, ITER_SQL, LOGS_SQL, METRICS_SQL, NL, SCORE_SQL, STEPS_SQL
@@ -289,6 +290,33 @@ def function_slices(spark, sf_dir):
     return out.select("path", *(F.col(c).cast("long") for c in ("chunk_index", "start_row", "end_row")), "degrade_reason")
 
 
+def _classed_sql(source: str) -> str:
+    """The scan and the classes in SQL: rows (id, class, token) of source (id, text). Its engine allows no nested bounds of lengths, which no token here reaches."""
+    q = lambda p: re.sub(r"\{1,\d+\}", "+", re.sub(r"\{0,\d+\}", "*", p)).replace("'", "''")
+    hits = " ".join(f"WHEN regexp_full_match(t, '{q(p)}') THEN '{n}'" for n, p in classes.PATTERNS.items() if n != "word")
+    kind = lambda c, a, b, d: f"CASE WHEN regexp_full_match({c}, '[A-Za-z-]+') THEN '{a}' WHEN regexp_matches({c}, '\\p{{N}}') THEN '{b}' ELSE '{d}' END"
+    return f"""scanned AS (SELECT id, unnest(regexp_extract_all(text, '{q(classes.SCAN)}')) AS t FROM {source}),
+ kinds AS MATERIALIZED (SELECT id, t, CASE {hits} ELSE 'word' END AS k FROM scanned),
+ classed AS (SELECT id, CASE k WHEN 'hword' THEN {kind('t', 'asciihword', 'numhword', 'hword')} WHEN 'word' THEN CASE WHEN regexp_full_match(t, '[0-9]+') THEN 'uint' ELSE {kind('t', 'asciiword', 'numword', 'word')} END ELSE k END AS class, lower(t) AS token
+   FROM kinds WHERE k NOT IN ('tag', 'entity', 'protocol')
+  UNION ALL SELECT id, 'host', lower(split_part(t, '/', 1)) FROM kinds WHERE k = 'url' UNION ALL SELECT id, 'url_path', lower(regexp_extract(t, '/.*$')) FROM kinds WHERE k = 'url'
+  UNION ALL SELECT id, {kind('p', 'hword_asciipart', 'hword_numpart', 'hword_part')}, lower(p) FROM (SELECT id, unnest(string_split(t, '-')) AS p FROM kinds WHERE k = 'hword'))"""
+
+
+@query(f"WITH texts AS (SELECT page_id AS id, url || ' ' || html AS text FROM pages), {_classed_sql('texts')} SELECT id AS page_id, class, count(*) AS n, count(DISTINCT token) AS n_distinct, min(token) AS first, max(token) AS last FROM classed GROUP BY ALL")
+def classed_pages(spark, sf_dir):
+    """Tokens by class of every page's address and source."""
+    own = sf_table(spark, sf_dir, "pages").select("page_id", F.explode(classes.classed_tokens(F.concat("url", F.lit(" "), "html"))).alias("t"))
+    return own.groupBy("page_id", F.col("t.class").alias("class")).agg(F.count("*").alias("n"), F.countDistinct("t.token").alias("n_distinct"), F.min("t.token").alias("first"), F.max("t.token").alias("last"))
+
+
+@query(f"WITH texts AS (SELECT doc_id AS id, text FROM documents), {_classed_sql('texts')} SELECT class, token, count(*) AS n, count(DISTINCT id) AS df FROM classed GROUP BY ALL")
+def classed_words(spark, sf_dir):
+    """Tokens by class of all documents."""
+    own = sf_table(spark, sf_dir, "documents").select("doc_id", F.explode(classes.classed_tokens(F.col("text"))).alias("t"))
+    return own.groupBy(F.col("t.class").alias("class"), F.col("t.token").alias("token")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("df"))
+
+
 # -- diagnostics
 
 

@@ -168,3 +168,33 @@ def test_numbers_of_any_size(spark):
     for start in ("99999999999", "9" * 30):
         d = spark.createDataFrame([(f"--- a/f\n+++ b/f\n@@ -{start},1 +1,1 @@\n-a\n+b\n",)], "d string")
         assert d.select(diffs.violation(F.col("d"), F.lit("f"), F.lit(""), F.lit(1), F.lit(9))).first()[0] == "outside_boundary"
+
+
+CLASSED = {
+    "Foo bar_baz": "asciiword:foo asciiword:bar asciiword:baz",
+    "Été x1 42": "word:été numword:x1 uint:42",
+    "main.rs example.com:80": "host:main.rs host:example.com:80",
+    "src/lib/main.rs /usr/x": "file:src/lib/main.rs file:/usr/x",
+    "see https://Example.com/a/b?q=1 now": "asciiword:see url:example.com/a/b?q=1 host:example.com url_path:/a/b?q=1 asciiword:now",
+    "me.you@mail.example.org": "email:me.you@mail.example.org",
+    "well-known a-1b élan-vital": "asciihword:well-known hword_asciipart:well hword_asciipart:known numhword:a-1b hword_asciipart:a hword_numpart:1b hword:élan-vital hword_part:élan hword_asciipart:vital",
+    "-5 +7 10-20 3.14 -2.5e10 1.2.3": "int:-5 int:+7 uint:10 int:-20 float:3.14 sfloat:-2.5e10 version:1.2.3",
+    "<b class='x'>y</b> &amp; &#39; <!-- z -->": "asciiword:y",
+    "": "",
+}
+
+
+def test_token_classes(spark):
+    from sievelight.functions import classes
+    from sievelight.operators import search
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*CLASSED, None])], "chunk_id long, content string")
+    got = {r.chunk_id: " ".join(f"{x['class']}:{x['token']}" for x in r.c) for r in df.select("chunk_id", classes.classed_tokens(F.col("content")).alias("c")).collect()}
+    assert [got[i] for i in range(len(got))] == [*CLASSED.values(), ""]
+    long = spark.createDataFrame([(1, "a " * 400 + "b " * 17000 + "c"), (2, "a_" * 50_000), (3, "/x" * 20_000 + "a-" * 20_000)], "chunk_id long, content string")
+    places = {r.tok: (r.n, r.most) for r in classes.classed_postings(long.filter("chunk_id = 1")).groupBy("tok").agg(F.count("*").alias("n"), F.max("pos").alias("most")).collect()}
+    assert places == {"a": (256, 256), "b": (256, 656), "c": (1, 16383)}
+    assert long.select(F.sum(F.size(classes.plain(F.col("content"))))).first()[0] > 60_000  # any length is scanned
+    chunks = spark.createDataFrame([(1, 1, "k", "l", "open src/main.rs"), (2, 1, "k", "l", "src main rs")], "chunk_id long, snapshot_id long, kind string, lang string, content string")
+    found = lambda q: [r.chunk_id for r in search.lexical_search(chunks, q, words=classes.plain).collect()]
+    assert found("src/main.rs") == [1] and found("main rs") == [2] and found("open src/main.rs") == [1] and found("<b>") == []

@@ -96,7 +96,7 @@ def brute_scores(rows):
     known = sorted(words)
     tables = lm.count_tables(known).astype(np.float32)
     once = [w for w in known if words[w] == 1]
-    new = sorted((w for w in once if lm.xxhash.xxh3_64_intdigest(w, 1) % lm.LEARN == 0), key=lambda w: lm.xxhash.xxh3_64_intdigest(w, 2))
+    new = sorted(once, key=lambda w: lm.xxhash.xxh3_64_intdigest(w, 2))
     w, adapted = lm.learn(new, tables)
     unknown = sorted({w for t in texts for w in t} - set(words))
     spelt = dict(zip(unknown, lm.spell(unknown, tables, w, lm.refinement(adapted)), strict=True))

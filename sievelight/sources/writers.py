@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import gzip
-import hashlib
 import json
-import uuid
-from datetime import datetime, timezone
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.functions.text import fixed2
+from sievelight.sources import digested
 from sievelight.sources.schemas import ITERATION_COLUMNS
 
 #: Fixed value: bytes of an output from which both outputs of a run are moved out.
@@ -31,29 +31,26 @@ def iteration_rows(metrics: DataFrame) -> DataFrame:
     return shown.withColumn("file", F.format_string("%04d", F.col("iteration").cast("int"))).withColumn("csv", body).withColumn("sha256", F.sha2(F.col("csv").cast("binary"), 256))
 
 
-def _write(spark: SparkSession, path: str, data: bytes) -> None:
-    """A small file, in any store that Spark can write to."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(place, True)
-    out.write(bytearray(data))
-    out.close()
+def _iteration_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The CSV and the JSON file of each row."""
+    for b in batches:
+        out = []
+        for r in b.to_dict("records"):
+            r = {k: None if v is None or v != v else v for k, v in r.items()}
+            told = {k: r[k] or "" for k in ("timestamp_utc", "commit", "config_hash")}
+            shown = {"unsafe_blocks": int(r["unsafe_blocks"] or 0), "unsafe_line_pct": round(float(r["unsafe_line_pct"] or 0), 2), "raw_ptr_count": int(r["raw_ptr_count"] or 0), "test_pass_rate": round(float(r["test_pass_rate"] or 0), 2)}
+            body = json.dumps({"meta": told, "iteration": int(r["iteration"]), "metrics": shown}, ensure_ascii=False, indent=2) + "\n"
+            out += [(f"{r['file']}.csv", r["csv"].encode()), (f"{r['file']}.json", body.encode())]
+        yield pd.DataFrame(out, columns=["file", "content"])
 
 
-def iteration_files(metrics: DataFrame, folder: str) -> list[str]:
-    """The CSV and JSON files of each iteration with their .sha256 neighbours; the names of the files.
-
-    Rows come to the driver one at a time; there are as many as a run has iterations.
-    """
-    spark, out = metrics.sparkSession, []
-    for r in iteration_rows(metrics).select("file", "csv").join(metrics.select(F.format_string("%04d", F.col("iteration").cast("int")).alias("file"), "*"), "file").orderBy("file").toLocalIterator():
-        told = {k: r[k] or "" for k in ("timestamp_utc", "commit", "config_hash")}
-        shown = {"unsafe_blocks": int(r["unsafe_blocks"] or 0), "unsafe_line_pct": round(float(r["unsafe_line_pct"] or 0), 2), "raw_ptr_count": int(r["raw_ptr_count"] or 0), "test_pass_rate": round(float(r["test_pass_rate"] or 0), 2)}
-        body = json.dumps({"meta": told, "iteration": int(r["iteration"]), "metrics": shown}, ensure_ascii=False, indent=2) + "\n"
-        for name, data in ((f"{r['file']}.csv", r["csv"].encode()), (f"{r['file']}.json", body.encode())):
-            _write(spark, f"{folder}/{name}", data)
-            _write(spark, f"{folder}/{name}.sha256", (hashlib.sha256(data).hexdigest() + "\n").encode())
-            out.append(name)
-    return out
+def iteration_files(metrics: DataFrame, folder: str) -> None:
+    """The CSV and JSON files of each iteration with their .sha256 neighbours, written by executors, all or none."""
+    shown = [fixed2(F.col(c)) if c in ("unsafe_line_pct", "test_pass_rate") else F.col(c).cast("string") for c in ITERATION_COLUMNS]
+    line = F.concat_ws(",", *(F.coalesce(c, F.lit("")) for c in shown))
+    body = F.concat(F.lit(",".join(ITERATION_COLUMNS) + "\n"), line, F.lit("\n"))
+    rows = metrics.select("iteration", *(c for c in ITERATION_COLUMNS if c != "iteration"), F.format_string("%04d", F.col("iteration").cast("int")).alias("file"), body.alias("csv"))
+    digested.write(rows.mapInPandas(_iteration_texts, "file string, content binary"), folder)
 
 
 def stamp(at: Column) -> Column:
@@ -71,14 +68,24 @@ def json_rows(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("line"))
 
 
-def tool_log(spark: SparkSession, folder: str, manifest_path: str, payload: dict, now: datetime | None = None) -> str:
-    """A tool's run as a gzip JSON log, and the manifest that names it; returns the log's path."""
-    name = f"{(now or datetime.now(timezone.utc)).strftime('%Y%m%dT%H%M%SZ')}_{uuid.uuid4().hex}.json.gz"
-    _write(spark, f"{folder}/{name}", gzip.compress((json.dumps(payload, ensure_ascii=False, default=str) + "\n").encode()))
-    known = {k: payload.get(k, "") for k in ("snapshot_version", "c2rust_version", "rust_workspace_dir")}
-    manifest = {**known, "c_project_path": payload.get("cwd", ""), "c2rust_log_path": f"{folder}/{name}"}
-    _write(spark, manifest_path, (json.dumps(manifest, ensure_ascii=False, indent=2) + "\n").encode())
-    return f"{folder}/{name}"
+def _tool_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The gzip JSON log of each run and the manifest that names it."""
+    for b in batches:
+        out = []
+        for name, folder, payload in zip(b["name"], b["folder"], b["payload"], strict=True):
+            told = json.loads(payload)
+            known = {k: told.get(k, "") for k in ("snapshot_version", "c2rust_version", "rust_workspace_dir")}
+            manifest = {**known, "c_project_path": told.get("cwd", ""), "c2rust_log_path": f"{folder}/{name}.json.gz"}
+            out.append((f"{name}.json.gz", gzip.compress((json.dumps(told, ensure_ascii=False) + "\n").encode(), mtime=0)))
+            out.append((f"{name}.manifest.json", (json.dumps(manifest, ensure_ascii=False, indent=2) + "\n").encode()))
+        yield pd.DataFrame(out, columns=["file", "content"])
+
+
+def tool_logs(runs: DataFrame, folder: str) -> None:
+    """Runs of tools (run_id, at, payload as a JSON object) as gzip JSON logs, each with a manifest that names it; written by executors, all or none."""
+    name = F.concat(stamp(F.col("at")), F.lit("_"), F.col("run_id"))
+    rows = runs.select(name.alias("name"), F.lit(folder).alias("folder"), F.col("payload"))
+    digested.write(rows.mapInPandas(_tool_texts, "file string, content binary"), folder)
 
 
 def events_jsonl(events: DataFrame, path: str) -> None:

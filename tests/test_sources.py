@@ -61,7 +61,8 @@ def test_configuration(spark, tmp_path):
 def test_iteration_files(spark, tmp_path):
     rows = [(1, 3, 12.3456, 2, 88.888, "t", "c", "h"), (2, 0, 0.125, 0, 100.0, "t", "c", "h")]
     metrics = spark.createDataFrame(rows, "iteration int, unsafe_blocks int, unsafe_line_pct double, raw_ptr_count int, test_pass_rate double, timestamp_utc string, commit string, config_hash string")
-    assert writers.iteration_files(metrics, str(tmp_path)) == ["0001.csv", "0001.json", "0002.csv", "0002.json"]
+    writers.iteration_files(metrics, str(tmp_path))
+    assert sorted(f.name for f in tmp_path.iterdir() if f.suffix != ".sha256" and f.suffix != ".crc") == ["0001.csv", "0001.json", "0002.csv", "0002.json"]
     assert (tmp_path / "0001.csv").read_text().splitlines()[1] == "1,3,12.35,2,88.89,t,c,h"
     assert json.loads((tmp_path / "0002.json").read_text())["metrics"] == {"unsafe_blocks": 0, "unsafe_line_pct": round(0.125, 2), "raw_ptr_count": 0, "test_pass_rate": 100.0}
     assert all(r.ok for r in readers.digest_check(spark, str(tmp_path), "*").collect())
@@ -81,13 +82,13 @@ def test_spilled_output_and_clean_up(spark, tmp_path):
 
 
 def test_tool_log_and_lines(spark, tmp_path):
-    path = writers.tool_log(spark, str(tmp_path / "l"), str(tmp_path / "m.json"), {"cmd": "x", "cwd": "/c", "snapshot_version": "v1"}, datetime(2024, 2, 3, 4, 5, 6, tzinfo=timezone.utc))
-    assert json.loads(gzip.open(path, "rt").read())["cmd"] == "x" and path.split("/")[-1].startswith("20240203T040506Z_")
-    assert [(r.snapshot_version, r.tool_version) for r in readers.manifest(spark, str(tmp_path / "m.json")).collect()] == [("v1", None)]
-    assert json.loads((tmp_path / "m.json").read_text())["c2rust_log_path"] == path
-    assert [r.line for r in writers.json_rows(spark.createDataFrame([(1, None)], "a int, b string")).collect()] == ['{"a":1,"b":null}']
-    times = spark.createDataFrame([(datetime(2024, 1, 2, 3, 4, 5), datetime(2024, 1, 2, 3, 4, 6, 500000))], "a timestamp, b timestamp")
-    assert tuple(times.select(writers.stamp(F.col("a")), writers.elapsed_ms(F.col("a"), F.col("b")), writers.elapsed_ms(F.col("b"), F.col("a"))).first()) == ("20240102T030405Z", 1500, 0)
+    runs = spark.createDataFrame([("r1", datetime(2024, 2, 3, 4, 5, 6, tzinfo=timezone.utc), json.dumps({"cmd": "x", "cwd": "/c", "snapshot_version": "v1"}))], "run_id string, at timestamp, payload string")
+    writers.tool_logs(runs, str(tmp_path / "l"))
+    path = str(tmp_path / "l" / "20240203T040506Z_r1.json.gz")
+    assert json.loads(gzip.open(path).read())["cwd"] == "/c"
+    assert json.loads((tmp_path / "l" / "20240203T040506Z_r1.manifest.json").read_text())["c2rust_log_path"] == path
+    assert [(r.snapshot_version, r.tool_version) for r in readers.manifest(spark, str(tmp_path / "l" / "*.manifest.json")).collect()] == [("v1", None)]
+
 
 
 def test_tree_digest_depends_on_names_and_contents(spark):
@@ -95,3 +96,33 @@ def test_tree_digest_depends_on_names_and_contents(spark):
     of = lambda rows: telemetry.tree_digest(spark.createDataFrame(rows, "path string, content binary")).first()[0]
     assert of(files) == of(files[::-1]) == of(files[:2]) != of([("B.rs", b"1"), ("a.rs", b"3")])
     assert of([("a", b""), ("b", b"")]) != of([("a", b""), ("c", b"")])
+
+
+def test_digested_files(spark, tmp_path):
+    from sievelight.sources import digested
+
+    folder = str(tmp_path / "d")
+    rows = spark.range(450).select(F.format_string("f%03d.txt", "id").alias("file"), F.repeat(F.lit("x"), F.col("id").cast("int")).cast("binary").alias("content")).repartition(5)
+    digested.write(rows, folder)
+    got = digested.read(spark, folder)
+    assert got.rdd.getNumPartitions() == 3 and got.filter("ok").count() == 450
+    assert sorted((r.file, bytes(r.content)) for r in got.collect()) == sorted((r.file, bytes(r.content)) for r in rows.collect())
+    assert not [f for f in (tmp_path / "d").iterdir() if f.name.startswith("_staging")]
+    (tmp_path / "d" / "f001.txt").write_text("changed")
+    (tmp_path / "d" / "f002.txt.sha256").unlink()
+    assert sorted((r.file, r.ok) for r in digested.read(spark, folder).filter("ok is null or not ok").collect()) == [("f001.txt", False), ("f002.txt", None)]
+    assert digested.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_failed_tasks_leave_no_file(spark, tmp_path):
+    from sievelight.sources import digested
+
+    folder = tmp_path / "d"
+    good = spark.range(40).select(F.concat(F.lit("f"), "id").alias("file"), F.lit("x").cast("binary").alias("content"))
+    odd = {"a name": F.when(F.col("file") == "f39", "../up").otherwise(F.col("file")), "no name": F.when(F.col("file") == "f7", None).otherwise(F.col("file")), "twice": F.when(F.col("file") == "f39", "f0").otherwise(F.col("file"))}
+    for name in odd.values():
+        with pytest.raises(Exception, match="not a file|same file|Python"):
+            digested.write(good.withColumn("file", name).repartition(4), str(folder))
+        assert not folder.exists() or list(folder.iterdir()) == []
+    digested.write(good, str(folder))
+    assert digested.read(spark, str(folder)).filter("ok").count() == 40

@@ -92,16 +92,18 @@ def run_summary(runs: DataFrame, steps: DataFrame, metrics: DataFrame, patches:
 
     A value of 0 or "" gives way to the next source, as counts and names fall back on each other.
     """
-    last = last_steps(steps)
-    out_of = lambda name, path: F.max(F.when(F.col("step_name") == name, F.get_json_object("output_json", path)))
-    size_of = lambda name, path: F.json_array_length(out_of(name, path))
-    seen = last.groupBy("run_id").agg(
-        size_of("RETRIEVE", "$.evidence.items").alias("items"),
-        out_of("GENERATE", "$.target_file").alias("target"),
-        out_of("GENERATE", "$.constraint_violation.code").alias("constraint_violation"),
-        F.expr("try_cast(max(case when step_name = 'EXECUTE' then get_json_object(output_json, '$.runner.exit_code') end) as int)").alias("execute_exit_code"),
-        size_of("DIAGNOSE", "$.issues").alias("issues"),
-    )
+    # the output of a step is parsed once, into a variant; what is missing, of another kind or no JSON is null
+    last = last_steps(steps).select("run_id", "step_name", F.try_parse_json("output_json").alias("out"))
+    got = lambda path, kind: F.try_variant_get("out", path, kind)
+    told = last.select(
+        "run_id", "step_name", F.size(got("$.evidence.items", "array<variant>")).alias("items"), got("$.target_file", "string").alias("target"),
+        got("$.constraint_violation.code", "string").alias("violation"), got("$.runner.exit_code", "string").alias("exit_code"), F.size(got("$.issues", "array<variant>")).alias("issues"),
+    )
+    of = lambda name, col: F.max(F.when((F.col("step_name") == name) & (F.col(col).isNotNull() if col not in ("items", "issues") else F.col(col) >= 0), F.col(col)))
+    seen = told.groupBy("run_id").agg(
+        of("RETRIEVE", "items").alias("items"), of("GENERATE", "target").alias("target"), of("GENERATE", "violation").alias("constraint_violation"),
+        of("EXECUTE", "exit_code").try_cast("int").alias("execute_exit_code"), of("DIAGNOSE", "issues").alias("issues"),
+    )
     n_steps = steps.groupBy("run_id").agg(F.count("*").alias("n_steps"))
     patch = patches.groupBy("run_id").agg(F.min_by(F.struct("file_path", "status"), "seq").alias("p"), F.count("*").alias("n_patches"))
     wide = metrics_pivot(metrics, ["retrieve_count", "diagnose_issue_count", "final_status", *SUMMARY_METRICS])

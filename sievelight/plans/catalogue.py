@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.functions import classes, diagnostics, diffs, features, text
-from sievelight.operators import chunking, embedding, evidence, search, sql_functions, store, telemetry, text_index, vector_index
+from sievelight.operators import buckets, chunking, embedding, evidence, search, sql_functions, store, telemetry, text_index, vector_index
 from sievelight.plans import views
 from sievelight.plans.views import CODE_SQL, ITER_SQL, LOGS_SQL, METRICS_SQL, NL, SCORE_SQL, STEPS_SQL
-from sievelight.sources import writers
-from sievelight.sources.readers import issues, series, sf_table
+from sievelight.session import shared_folder
+from sievelight.sources import digested, writers
+from sievelight.sources.readers import issues, logs, series, sf_table
+from sievelight.streaming import counters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -669,6 +672,118 @@ def stub_embedding(spark, sf_dir):
     return out.select("chunk_id", "model_id", F.size("embedding").alias("dimension"), F.md5(F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ")).alias("digest"))
 
 
+# -- what goes through files
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(ORACLE_SQL["upsert_latest"])
+def bucketed_upsert(spark, sf_dir):
+    """The same upsert on a keyed table, of which it rewrites the parts that it touches."""
+    events = sf_table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    keys = ["user_id", "event_type"]
+    first = store.upsert_latest(events.limit(0), events.filter("event_id < 100"), keys, "event_id")
+    stored = buckets.create(first, f"latest_{uuid.uuid4().hex}", _folder(spark, "latest"), keys, parts=16)
+    stored.upsert(events.filter("event_id >= 100"), "event_id")
+    return stored.rows().select("user_id", "event_type", "event_id", "value")
+
+
+@query("""WITH gone AS (SELECT c_custkey FROM customer WHERE c_nationkey % 5 = 1) SELECT 'customer' AS name, c_custkey AS id FROM customer WHERE c_nationkey % 5 <> 1
+ UNION ALL SELECT 'orders', o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM gone)""")
+def bucketed_cascade(spark, sf_dir):
+    """Customers of some nations go from a keyed table, and their orders from another."""
+    t = lambda n: sf_table(spark, sf_dir, n)
+    customers = buckets.create(t("customer").select("c_custkey", "c_nationkey"), f"customer_{uuid.uuid4().hex}", _folder(spark, "customer"), ["c_custkey"], parts=16)
+    orders = buckets.create(t("orders").select("o_orderkey", "o_custkey"), f"orders_{uuid.uuid4().hex}", _folder(spark, "orders"), ["o_orderkey"], parts=16)
+    gone = t("customer").filter("c_nationkey % 5 = 1").select("c_custkey")
+    orders.remove(orders.rows().join(gone, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey"))
+    customers.remove(gone)
+    return customers.rows().select(F.lit("customer").alias("name"), F.col("c_custkey").alias("id")).union(orders.rows().select(F.lit("orders"), "o_orderkey"))
+
+
+@query(f"""WITH r AS (SELECT s_suppkey AS i, s_nationkey AS u, abs(floor(s_acctbal))::bigint % 100 AS p FROM supplier),
+ t AS (SELECT i, printf('%04d', i) || '.csv' AS file, 'iteration,unsafe_blocks,unsafe_line_pct,raw_ptr_count,test_pass_rate,timestamp_utc,commit,config_hash' || {NL} || i || ',' || u || ',' || p || '.00,1,100.00,t,c,h' || {NL} AS body FROM r
+  UNION ALL SELECT i, printf('%04d', i) || '.json', '{{' || {NL} || '  "meta": {{' || {NL} || '    "timestamp_utc": "t",' || {NL} || '    "commit": "c",' || {NL} || '    "config_hash": "h"' || {NL} || '  }},' || {NL} || '  "iteration": ' || i || ',' || {NL} || '  "metrics": {{' || {NL} || '    "unsafe_blocks": ' || u || ',' || {NL} || '    "unsafe_line_pct": ' || p || '.0,' || {NL} || '    "raw_ptr_count": 1,' || {NL} || '    "test_pass_rate": 100.0' || {NL} || '  }}' || {NL} || '}}' || {NL} FROM r)
+ SELECT file, strlen(body)::bigint AS size, sha256(body) AS told, true AS ok FROM t""")
+def digested_iterations(spark, sf_dir):
+    """Suppliers as iterations, written by executors with their digests and read again."""
+    own = sf_table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("int").alias("iteration"), F.col("s_nationkey").alias("unsafe_blocks"), (F.abs(F.floor("s_acctbal")) % 100).cast("double").alias("unsafe_line_pct"),
+        F.lit(1).alias("raw_ptr_count"), F.lit(100.0).alias("test_pass_rate"), F.lit("t").alias("timestamp_utc"), F.lit("c").alias("commit"), F.lit("h").alias("config_hash"),
+    )
+    folder = _folder(spark, "iterations")
+    writers.iteration_files(own, folder)
+    return digested.read(spark, folder).select("file", F.octet_length("content").cast("long").alias("size"), "told", "ok")
+
+
+@query("SELECT 'v' || s_nationkey AS snapshot_version, '' AS c2rust_version, s_name AS c_project_path FROM supplier")
+def tool_manifests(spark, sf_dir):
+    """Suppliers as runs of a tool: gzip logs with manifests that name them, written by executors; each manifest with its log."""
+    payload = F.to_json(F.struct(F.col("s_name").alias("cwd"), F.concat(F.lit("v"), F.col("s_nationkey").cast("string")).alias("snapshot_version")))
+    runs = sf_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("run_id"), F.lit("2024-02-03 04:05:06").cast("timestamp").alias("at"), payload.alias("payload"))
+    folder = _folder(spark, "tools")
+    writers.tool_logs(runs, folder)
+    told = spark.read.schema("snapshot_version string, c2rust_version string, c_project_path string, c2rust_log_path string").json(f"{folder}/*.manifest.json", multiLine=True)
+    logs = spark.read.schema("cwd string").json(f"{folder}/*.json.gz").select(F.col("cwd").alias("c_project_path"))
+    return told.join(logs, "c_project_path", "left_semi").select("snapshot_version", "c2rust_version", "c_project_path")
+
+
+@query(ORACLE_SQL["diagnose_parse"].replace("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN regexp_extract", "SELECT CASE WHEN event_id % 3 = 0 THEN regexp_extract"))
+def log_files(spark, sf_dir):
+    """The log lines as gzip files, read and parsed."""
+    folder = _folder(spark, "logs")
+    views.logs(spark, sf_dir).select("line").write.option("compression", "gzip").text(folder)
+    return logs(spark, folder).select("error_code", "file", "line", "summary")
+
+
+@query(f"""WITH {ITER_SQL}, s AS (SELECT run_id, iter, l_linestatus AS key, {SCORE_SQL} FROM it), o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY a, b, c, d, iter) AS place, lag(key) OVER w IS NOT DISTINCT FROM key AND lag(iter) OVER w IS NOT NULL AS same FROM s WINDOW w AS (PARTITION BY run_id ORDER BY iter)),
+ m AS (SELECT *, min(place) OVER (PARTITION BY run_id ORDER BY iter ROWS UNBOUNDED PRECEDING) AS best, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY iter ROWS UNBOUNDED PRECEDING) AS island FROM o)
+ SELECT m.run_id, m.iter::bigint AS iter, row_number() OVER (PARTITION BY m.run_id, m.island ORDER BY m.iter) - 1 AS streak, b.iter::bigint AS best_iter, (m.iter - b.iter)::bigint AS stale FROM m JOIN o b ON b.run_id = m.run_id AND b.place = m.best""")
+def streamed_counters(spark, sf_dir):
+    """The streak and the running best of all iterations by a stream that stops and goes on."""
+    folder = _folder(spark, "counters")
+    rows = _scored(spark, sf_dir).select("run_id", "iter", F.col("l_linestatus").alias("key"), "score")
+    for early in (True, False):
+        own = rows.filter(F.col("iter") <= 3 if early else F.col("iter") > 3)
+        own.write.mode("append").json(f"{folder}/in")
+        stream = counters.counted(spark.readStream.schema(rows.schema).json(f"{folder}/in"))
+        started = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        started.awaitTermination()
+    return spark.read.schema(counters.OUT).parquet(f"{folder}/out")
+
+
+@query("""SELECT name, max(project_id) > 4 AS new, count(*) AS n FROM (SELECT r_name AS name, r_regionkey AS project_id FROM region UNION ALL SELECT DISTINCT n_name, 100 FROM nation WHERE n_name NOT IN (SELECT r_name FROM region)) GROUP BY name""")
+def created_projects(spark, sf_dir):
+    """Regions as stored projects, to which nations come; names that exist are refused."""
+    stored = sf_table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("project_id"), F.col("r_name").alias("name"))
+    new, _ = store.insert_projects(stored, sf_table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).unionByName(stored.select("name")))
+    return new.groupBy("name").agg((F.max("project_id") > 4).alias("new"), F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT c_nationkey + 5 AS project_id, CASE WHEN c_custkey % 10 = 0 THEN 'mock' ELSE c_mktsegment END AS commit_sha FROM customer), p AS (SELECT n_nationkey AS project_id FROM nation)
+ SELECT project_id::bigint AS project_id, commit_sha, NULL AS reason, count(DISTINCT commit_sha) AS n FROM c WHERE project_id IN (SELECT project_id FROM p) GROUP BY 1, 2
+ UNION ALL SELECT project_id::bigint, commit_sha, 'fk', count(*) FROM c WHERE project_id NOT IN (SELECT project_id FROM p) GROUP BY 1, 2""")
+def created_snapshots(spark, sf_dir):
+    """Customers as new snapshots: an empty commit is mock, equal ones are stored once, those without a project are refused."""
+    projects = sf_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("project_id"))
+    sha = F.when(F.col("c_custkey") % 10 == 0, " ").otherwise(F.col("c_mktsegment"))
+    rows = sf_table(spark, sf_dir, "customer").select((F.col("c_nationkey") + 5).cast("long").alias("project_id"), sha.alias("commit_sha"))
+    new, bad = store.insert_snapshots(spark.createDataFrame([], "snapshot_id long, project_id long, commit_sha string"), projects, rows)
+    both = new.select("project_id", "commit_sha", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("project_id", "commit_sha", "reason"))
+    return both.groupBy("project_id", "commit_sha", "reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%dT%H%M%SZ') AS stamp, greatest(floor(value)::bigint, 0) AS ms FROM events")
+def log_times(spark, sf_dir):
+    """Events' times as log files' names show them, and the milliseconds to their ends."""
+    ms = F.floor("value").cast("long")
+    end = F.col("ts").cast("timestamp") + F.make_dt_interval(secs=(ms / 1000).cast("decimal(18,6)"))
+    return sf_table(spark, sf_dir, "events").select("event_id", writers.stamp(F.col("ts").cast("timestamp")).alias("stamp"), writers.elapsed_ms(F.col("ts"), end).alias("ms"))
+
+
 # -- extensions
 
 

@@ -10,24 +10,28 @@ from sievelight.functions.text import strip
 #: Fixed value: a located diagnostic line.
 ISSUE = r"(?U)^([\w./-]+\.\w+):([0-9]+):\d*(?:\s+\d+:\d+)?\s*(\w+)?\s*:\s*(.*)"
 
+_MARK = "\x01"
+
 
 def issue(line: Column) -> Column:
     """A line as (error_code, file, line, summary); one without a place is all summary. A line number beyond 64 bits is null."""
-    hit = line.rlike(ISSUE)
-    part = lambda i: F.nullif(F.regexp_extract(line, ISSUE, i), F.lit(""))
+    # one match a line: its groups come in place of it, between marks that no located line begins with
+    parts = F.split(F.regexp_replace(line, ISSUE + r"[\s\S]*", f"{_MARK}$3{_MARK}$1{_MARK}$2{_MARK}$4"), _MARK, 5)
+    hit = (F.size(parts) == 5) & (F.get(parts, F.lit(0)) == "") & ~line.startswith(_MARK)
+    part = lambda i: F.nullif(F.get(parts, F.lit(i)), F.lit(""))
     return F.struct(
-        F.when(hit, part(3)).alias("error_code"),
-        F.when(hit, part(1)).alias("file"),
-        F.when(hit, part(2).try_cast("bigint")).alias("line"),
-        F.when(hit, strip(F.regexp_extract(line, ISSUE, 4))).otherwise(line).alias("summary"),
+        F.when(hit, part(1)).alias("error_code"),
+        F.when(hit, part(2)).alias("file"),
+        F.when(hit, part(3).try_cast("bigint")).alias("line"),
+        F.when(hit, strip(F.get(parts, F.lit(4)))).otherwise(line).alias("summary"),
     )
 
 
 def payload(text: Column) -> Column:
     """The output inside a runner's JSON log: its stderr unless blank, else its stdout; any other text is itself."""
-    log = F.from_json(text, "stdout string, stderr string")
+    log = F.when(strip(text).startswith("{"), F.from_json(text, "stdout string, stderr string"))
     inner = F.when(strip(log["stderr"]) != "", log["stderr"]).otherwise(log["stdout"])
-    return F.when(strip(text).startswith("{") & (strip(inner) != ""), inner).otherwise(text)
+    return F.when(strip(inner) != "", inner).otherwise(text)
 
 
 def error_kind(exit_code: Column, stderr: Column, step_error: Column) -> Column:

@@ -26,8 +26,9 @@ from sievelight.functions.text import tokens
 PARTS = 64
 #: Ids in a block's range, and chunks for which a folder has one more file.
 SPAN, SLICE_CHUNKS = 256, 1_000_000
-#: Ranges that a search looks at first, and those beyond which they are joined and not listed in a filter.
-FIRST, LISTED = 16, 5_000
+#: Ranges that a search looks at first, those up to which it reads all at once, and those beyond which they are joined
+#: and not listed in a filter.
+FIRST, WHOLE, LISTED = 16, 64, 5_000
 _BLOCK = "snapshot_id long, tok string, span long, most int, hits array<struct<chunk_id:bigint,pos:int>>, segment int, part int"
 
 
@@ -176,12 +177,12 @@ class Found:
     ranges_read: int
 
 
-def search(spark: SparkSession, path: str, query: str, *, snapshot_id: int | None = None, among: DataFrame | None = None, limit: int = 50, first: int = FIRST) -> Found:
+def search(spark: SparkSession, path: str, query: str, *, snapshot_id: int | None = None, among: DataFrame | None = None, limit: int = 50, first: int = FIRST, whole: int = WHOLE) -> Found:
     """The best chunks that hold every token, as lexical_search() has them; among (chunk_id) limits them before the cut.
 
     The ranges of ids are looked at by their bounds first, which need no places. The first ones, of the highest
-    bounds, give a rank that limit chunks reach; of the rest only those whose bound reaches it are read. The
-    driver sees the first ranges' numbers and one rank.
+    bounds, give a rank that limit chunks reach; of the rest only those whose bound reaches it are read. Up to
+    whole ranges are read at once. The driver sees LISTED ranges' bounds at most, and one rank.
     """
     from sievelight.operators.search import cover_rank, query_tokens
 
@@ -200,19 +201,19 @@ def search(spark: SparkSession, path: str, query: str, *, snapshot_id: int | Non
 
     heads = blocks.groupBy("span").agg(*(F.max(F.when(F.col("tok") == t, F.col("most"))).alias(f"m{i}") for i, t in enumerate(wanted)))
     heads = heads.select("span", _bound([F.col(f"m{i}") for i in range(len(wanted))]).alias("bound")).filter("bound is not null")
-    best = heads.orderBy(F.desc("bound"), "span").limit(first + 1).collect()
-    spans = [r["span"] for r in best[:first]]
-    if len(best) <= first:
-        return Found(ranks(blocks.filter(F.col("span").isin(*spans))) if spans else empty, len(spans), len(spans))
-    reached = ranks(blocks.filter(F.col("span").isin(*spans))).agg(F.count("*").alias("n"), F.min("rank").alias("least")).first()
+    best = heads.orderBy(F.desc("bound"), "span").limit(LISTED + 1).collect()
+    spans = [r["span"] for r in best]
+    listed = lambda own: blocks.filter(F.col("span").isin(*own))  # noqa: E731  reaches the scan
+    if len(best) <= max(first, whole):
+        return Found(ranks(listed(spans)) if spans else empty, len(spans), len(spans))
+    reached = ranks(listed(spans[:first])).agg(F.count("*").alias("n"), F.min("rank").alias("least")).first()
     least = reached["least"] - 1e-8 if reached["n"] == limit else 0.0  # ranks are rounded to nine digits
+    worth = [r["span"] for r in best if r["bound"] >= least]
+    if len(worth) <= LISTED:
+        total = len(best) if len(best) <= LISTED else heads.count()
+        return Found(ranks(listed(worth)), total, len(worth))
     total, reach = heads.agg(F.count("*"), F.count_if(F.col("bound") >= least)).first()
-    worth = heads.filter(F.col("bound") >= least).select("span")
-    if reach <= LISTED:
-        own = blocks.filter(F.col("span").isin(*(r["span"] for r in worth.collect())))  # reaches the scan
-    else:
-        own = blocks.join(worth, "span", "left_semi")
-    return Found(ranks(own), total, reach)
+    return Found(ranks(blocks.join(heads.filter(F.col("bound") >= least).select("span"), "span", "left_semi")), total, reach)
 
 
 def search_all(spark: SparkSession, path: str, queries: DataFrame, *, limit: int = 50) -> DataFrame:

@@ -232,5 +232,19 @@ def embedding_dedup(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def linked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings with two jittered rows of each, chains whose neighbours link and whose ends may not: the table itself has few links or none."""
+    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    shift = lambda k: F.transform("embedding", lambda x, i: x + (k * 0.005 + (F.col("vec_id") % 7) * 0.004) * ((i * (7 + k) + F.col("vec_id")) % 5 - 2))
+    renamed = lambda df: df.withColumn("vec_id", F.col("vec_id") + 1_000_000)  # noqa: E731  after the shift, which the old id decides
+    moved = renamed(own.withColumn("embedding", shift(1)))
+    again = renamed(moved.withColumn("embedding", shift(2)))
+    return own.unionByName(moved).unionByName(again)
+
+
+def linked_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(linked_vectors(spark, sf_dir))
+
+
 def op6_subspace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sievelight.llm.decontamination import op13_benchmark_index
-from sievelight.llm.embedding_dedup import op6_subspace_dedup
+from sievelight.llm.embedding_dedup import linked_dedup, op6_subspace_dedup
 from sievelight.llm.html_extract import op8_crf_extraction
 from sievelight.llm.jaccard_join import op10_jaccard_join
 from sievelight.llm.line_dedup import op2_line_chunks
@@ -30,6 +30,7 @@ QUERIES = {
     "op11_periodic_runs": op11_periodic_runs,
     "op12_vector_codes": op12_vector_codes,
     "op13_benchmark_index": op13_benchmark_index,
+    "linked_dedup": linked_dedup,
 }
 
 #: The smallest id that links reach from every node: minima spread along links until nothing changes.
@@ -40,6 +41,35 @@ _REACH = """reach(id, least) AS (
 )"""
 
 
+def _links_sql(source: str) -> str:
+    """Links and components of a table of vectors; moved is embeddings with two jittered rows of each."""
+    shift = lambda k: f"list_transform(embedding, lambda x, i: x + ({k} * 0.005 + (vec_id % 7) * 0.004::DOUBLE) * (((i - 1) * {7 + k} + vec_id) % 5 - 2))"
+    moved = f"""own AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding, label FROM embeddings),
+once AS (SELECT vec_id + 1000000 AS vec_id, {shift(1)} AS embedding, label FROM own),
+again AS (SELECT vec_id + 1000000 AS vec_id, {shift(2)} AS embedding, label FROM once),
+moved AS (SELECT * FROM own UNION ALL SELECT * FROM once UNION ALL SELECT * FROM again),
+""" if source == "moved" else ""
+    return f"""
+WITH RECURSIVE {moved}node AS MATERIALIZED (
+    SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v,
+           label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+           AND list_count(embedding) = len(embedding)
+           AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS sound
+    FROM {source}
+),
+link AS MATERIALIZED (
+    SELECT p.id AS a, q.id AS b
+    FROM node p JOIN node q ON p.label = q.label AND p.id <> q.id AND len(p.v) = len(q.v)
+    WHERE p.sound AND q.sound AND list_cosine_similarity(p.v, q.v) >= 0.93
+),
+{_REACH}
+SELECT node.id AS vec_id, (SELECT count(*) FROM link WHERE link.a = node.id) AS n_links, min(reach.least) AS component_id,
+       node.id = min(reach.least) AS kept
+FROM node JOIN reach ON reach.id = node.id GROUP BY node.id
+"""
+
+
 def _code_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
     """Rounds of assignment and of floors of means, one after another, as tables of parts and of codebook entries."""
     told = [
@@ -75,25 +105,8 @@ SELECT id AS vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS B
 
 
 ORACLE_SQL: dict[str, str] = {
-    "op6_subspace_dedup": f"""
-WITH RECURSIVE node AS MATERIALIZED (
-    SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v,
-           label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-           AND list_count(embedding) = len(embedding)
-           AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
-           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS sound
-    FROM embeddings
-),
-link AS MATERIALIZED (
-    SELECT p.id AS a, q.id AS b
-    FROM node p JOIN node q ON p.label = q.label AND p.id <> q.id AND len(p.v) = len(q.v)
-    WHERE p.sound AND q.sound AND list_cosine_similarity(p.v, q.v) >= 0.93
-),
-{_REACH}
-SELECT node.id AS vec_id, (SELECT count(*) FROM link WHERE link.a = node.id) AS n_links, min(reach.least) AS component_id,
-       node.id = min(reach.least) AS kept
-FROM node JOIN reach ON reach.id = node.id GROUP BY node.id
-""",
+    "op6_subspace_dedup": _links_sql("embeddings"),
+    "linked_dedup": _links_sql("moved"),
     "op10_jaccard_join": f"""
 WITH RECURSIVE words AS (
     SELECT doc_id AS id, list_filter(

@@ -130,6 +130,17 @@ def sql_vector_search(spark, sf_dir):
     return _sql(spark, sf_dir, f"SELECT * FROM vector_search(1, 'm', array({vector}), 0.95, 50)")
 
 
+@query(f"""WITH {_hits("true")}, {_NEAR.format(limit=60)}, twice AS (SELECT chunk_id, rank, dist FROM near UNION ALL SELECT chunk_id, rank + 7, dist + 1 FROM near WHERE rank % 3 = 0),
+ best AS (SELECT chunk_id, min(rank) AS rank, max(dist) AS dist FROM twice GROUP BY 1), {_FUSED.format(near="best")}
+ SELECT chunk_id, lexical_rank::bigint AS lexical_rank, vector_rank::bigint AS vector_rank, dist, round(rrf, 12) AS rrf FROM fused""")
+def rrf_repeated(spark, sf_dir):
+    """Fusion where every third id of the vector list stands there twice: the best rank counts, and the largest distance."""
+    near = search.ranked(search.vector_search(views.vectors(spark, sf_dir), views.query_vector(spark, sf_dir), limit=60), "dist", "chunk_id").select("chunk_id", "rank", "dist")
+    twice = near.unionByName(near.filter("rank % 3 = 0").select("chunk_id", (F.col("rank") + 7).alias("rank"), (F.col("dist") + 1).alias("dist")))
+    out = search.rrf(_lexical(spark, sf_dir), twice)
+    return out.select("chunk_id", F.col("lexical_rank").cast("long"), F.col("vector_rank").cast("long"), "dist", F.round("rrf", 12).alias("rrf"))
+
+
 @query(f"""WITH {_hits("source IN ('src1', 'src2')")}, {_NEAR.format(limit=60)},
  sub AS (SELECT n.chunk_id, n.dist, row_number() OVER (ORDER BY n.dist, n.chunk_id) AS rank FROM near n JOIN documents d ON d.doc_id = n.chunk_id WHERE d.source IN ('src1', 'src2')),
  {_FUSED.format(near="sub")} SELECT chunk_id, dist, lexical_rank::bigint AS lexical_rank, vector_rank::bigint AS vector_rank, round(rrf, 12) AS rrf FROM fused ORDER BY round(rrf, 12) DESC, chunk_id LIMIT 20""")
@@ -246,11 +257,11 @@ def signature(spark, sf_dir):
     return views.code(spark, sf_dir).select("path", features.signature(F.col("content")).alias("signature"))
 
 
-@query(f"""WITH {CODE_SQL}, c AS (SELECT path, list_distinct(l) AS x, l FROM (SELECT path, list_filter(regexp_extract_all(content, '\\b([A-Za-z_]\\w*)\\s*\\(', 1), lambda n: n NOT IN ('if', 'fn', 'unsafe', 'let', 'pub')) AS l FROM code))
- SELECT path, array_to_string(list_sort(x), ',') AS names, len(x)::bigint AS n FROM c""")
+@query(f"""WITH {CODE_SQL}, c AS (SELECT path, list_filter(l, lambda n, i: list_position(l, n) = i) AS x FROM (SELECT path, list_filter(regexp_extract_all(content, '\\b([A-Za-z_]\\w*)\\s*\\(', 1), lambda n: n NOT IN ('if', 'fn', 'unsafe', 'let', 'pub')) AS l FROM code))
+ SELECT path, array_to_string(x, ',') AS names, len(x)::bigint AS n FROM c""")
 def calls(spark, sf_dir):
     found = features.calls(F.col("content"))
-    return views.code(spark, sf_dir).select("path", F.array_join(F.sort_array(found), ",").alias("names"), F.size(found).cast("long").alias("n"))
+    return views.code(spark, sf_dir).select("path", F.array_join(found, ",").alias("names"), F.size(found).cast("long").alias("n"))
 
 
 _RISKY = "unsafe|[*]const|[*]mut|malloc|free|memcpy|memmove|[.]add[(]|[.]offset[(]"
@@ -580,7 +591,7 @@ def spilled_output(spark, sf_dir):
 @query("SELECT event_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
 def old_files(spark, sf_dir):
     events = sf_table(spark, sf_dir, "events")
-    return writers.retention(events.withColumn("modificationTime", F.col("ts")), events.agg(F.max("ts")).first()[0]).select("event_id")
+    return writers.retention(events.withColumn("modificationTime", F.col("ts")), events.agg(F.max("ts")).scalar()).select("event_id")
 
 
 @query("SELECT c_custkey, format('{:.2f}', c_acctbal / 8) AS shown FROM customer")

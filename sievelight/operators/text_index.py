@@ -29,6 +29,8 @@ SPAN, SLICE_CHUNKS = 256, 1_000_000
 #: Ranges that a search looks at first, those up to which it reads all at once, and those beyond which they are joined
 #: and not listed in a filter.
 FIRST, WHOLE, LISTED = 16, 64, 5_000
+#: Bytes of the files of a query's tokens up to which they are read without a look at the bounds.
+SHORT_BYTES = 64 << 20
 _BLOCK = "snapshot_id long, tok string, span long, most int, hits array<struct<chunk_id:bigint,pos:int>>, segment int, part int"
 
 
@@ -132,13 +134,23 @@ def merge(spark: SparkSession, path: str) -> None:
             store.delete(p, True)
 
 
+def _folders(spark: SparkSession, at: State, wanted: list[str]) -> list[str]:
+    """The folders of these tokens, in all segments."""
+    where = sorted({zlib.crc32(t.encode()) % PARTS for t in wanted})
+    return [f for s in at.segments for k in where if _exists(spark, f := f"{at.folder}/postings/segment={s}/part={k}")]
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    store, p = _store(spark, path)
+    return store.getContentSummary(p).getLength()
+
+
 def _live_blocks(spark: SparkSession, at: State, wanted: list[str] | None, snapshot_id: int | None) -> DataFrame:
     """The blocks of the wanted tokens; folders of others aren't opened."""
     if wanted is None:
         found = [f"{at.folder}/postings/segment={s}" for s in at.segments]
     else:
-        where = sorted({zlib.crc32(t.encode()) % PARTS for t in wanted})
-        found = [f for s in at.segments for k in where if _exists(spark, f := f"{at.folder}/postings/segment={s}/part={k}")]
+        found = _folders(spark, at, wanted)
     if not found:
         return spark.createDataFrame([], _BLOCK)
     own = spark.read.schema(_BLOCK).option("basePath", f"{at.folder}/postings").parquet(*found)
@@ -170,19 +182,20 @@ def _bound(counts: list[Column]) -> Column:
 
 @dataclass
 class Found:
-    """rows: chunk_id, rank, in order; of ranges that hold all tokens, those that were read."""
+    """rows: chunk_id, rank, in order; of ranges that hold all tokens, those that were read, None if it wasn't asked."""
 
     rows: DataFrame
-    ranges: int
-    ranges_read: int
+    ranges: int | None
+    ranges_read: int | None
 
 
-def search(spark: SparkSession, path: str, query: str, *, snapshot_id: int | None = None, among: DataFrame | None = None, limit: int = 50, first: int = FIRST, whole: int = WHOLE) -> Found:
+def search(spark: SparkSession, path: str, query: str, *, snapshot_id: int | None = None, among: DataFrame | None = None, limit: int = 50, first: int = FIRST, whole: int = WHOLE, short: int = SHORT_BYTES) -> Found:
     """The best chunks that hold every token, as lexical_search() has them; among (chunk_id) limits them before the cut.
 
     The ranges of ids are looked at by their bounds first, which need no places. The first ones, of the highest
     bounds, give a rank that limit chunks reach; of the rest only those whose bound reaches it are read. Up to
-    whole ranges are read at once. The driver sees LISTED ranges' bounds at most, and one rank.
+    whole ranges, and files up to short bytes, are read at once. The driver sees LISTED ranges' bounds at most, and
+    one rank.
     """
     from sievelight.operators.search import cover_rank, query_tokens
 
@@ -199,6 +212,8 @@ def search(spark: SparkSession, path: str, query: str, *, snapshot_id: int | Non
         hits = places.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("hits"))
         return hits.select("chunk_id", cover_rank(F.col("hits"), wanted).alias("rank")).orderBy(F.desc_nulls_last("rank"), "chunk_id").limit(limit).filter("rank is not null")
 
+    if sum(_bytes(spark, f) for f in _folders(spark, at, wanted)) <= short:
+        return Found(ranks(blocks), None, None)
     heads = blocks.groupBy("span").agg(*(F.max(F.when(F.col("tok") == t, F.col("most"))).alias(f"m{i}") for i, t in enumerate(wanted)))
     heads = heads.select("span", _bound([F.col(f"m{i}") for i in range(len(wanted))]).alias("bound")).filter("bound is not null")
     best = heads.orderBy(F.desc("bound"), "span").limit(LISTED + 1).collect()

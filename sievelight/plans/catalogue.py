@@ -88,7 +88,7 @@ def indexed_search(spark, sf_dir):
 @query(f"WITH {_hits('true')} SELECT chunk_id, score AS rank FROM scored ORDER BY score DESC, chunk_id LIMIT 5")
 def pruned_search(spark, sf_dir):
     """The best five by one range of ids first, and then those ranges whose bounds reach its fifth rank."""
-    return text_index.search(spark, views.index(spark, sf_dir), QUERY, limit=5, first=1, whole=1).rows
+    return text_index.search(spark, views.index(spark, sf_dir), QUERY, limit=5, first=1, whole=1, short=0).rows
 
 
 @query(f"WITH {views.CHANGED_SQL}, {_hits('true').replace('FROM documents', 'FROM docs')} SELECT chunk_id, score AS rank FROM scored ORDER BY score DESC, chunk_id LIMIT 50")

@@ -165,7 +165,7 @@ def test_hopeless_blocks_are_not_read(spark, tmp_path, monkeypatch, limit):
     c = chunks(spark, *texts)
     text_index.build(c, str(tmp_path / "i"))
     for q in ("a b", "a", "a b x"):
-        got = text_index.search(spark, str(tmp_path / "i"), q, limit=limit, first=3, whole=3)
+        got = text_index.search(spark, str(tmp_path / "i"), q, limit=limit, first=3, whole=3, short=0)
         assert [tuple(x) for x in got.rows.collect()] == [tuple(x) for x in search.lexical_search(c, q, limit=limit).collect()]
         assert got.ranges > 30
         if limit == 1 and "x" not in q:  # two chunks have thirty places and the others two at most
@@ -173,7 +173,7 @@ def test_hopeless_blocks_are_not_read(spark, tmp_path, monkeypatch, limit):
         if limit == 1000:
             assert got.ranges_read == got.ranges
         monkeypatch.setattr(text_index, "LISTED", 5)  # more ranges than are listed: they are joined
-        many = text_index.search(spark, str(tmp_path / "i"), q, limit=limit, first=3, whole=3)
+        many = text_index.search(spark, str(tmp_path / "i"), q, limit=limit, first=3, whole=3, short=0)
         assert (many.ranges, many.ranges_read, [tuple(x) for x in many.rows.collect()]) == (got.ranges, got.ranges_read, [tuple(x) for x in got.rows.collect()])
         monkeypatch.setattr(text_index, "LISTED", 5000)
 

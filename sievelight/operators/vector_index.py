@@ -159,18 +159,24 @@ def search_all(spark: SparkSession, path: str, queries: DataFrame, *, probes: in
     return found.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
 
 
+def _share(whole: DataFrame, part: DataFrame) -> float:
+    found = whole.join(part.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0]
+    return float(found) if found is not None else 1.0
+
+
 def recall(spark: SparkSession, path: str, queries: DataFrame, *, probes: int = PROBES, limit: int = 10) -> float:
     """The share of the exact limit nearest vectors of the queries that the index finds."""
     whole = search_all(spark, path, queries, probes=len(_unit(spark, path)), limit=limit)
-    part = search_all(spark, path, queries, probes=probes, limit=limit)
-    found = whole.join(part.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0]
-    return float(found) if found is not None else 1.0
+    return _share(whole, search_all(spark, path, queries, probes=probes, limit=limit))
 
 
 def enough_probes(spark: SparkSession, path: str, queries: DataFrame, *, least: float = 0.9, limit: int = 10) -> int:
     """The fewest probes, of 1, 2, 4, … and all lists, with which the index reaches a recall of least for these queries."""
-    lists = len(_unit(spark, path))
-    probes = 1
-    while probes < lists and recall(spark, path, queries, probes=probes, limit=limit) < least:
-        probes *= 2
+    lists, probes = len(_unit(spark, path)), 1
+    whole = search_all(spark, path, queries, probes=lists, limit=limit).persist()  # limit rows a query
+    try:
+        while probes < lists and _share(whole, search_all(spark, path, queries, probes=probes, limit=limit)) < least:
+            probes *= 2
+    finally:
+        whole.unpersist()
     return min(probes, lists)

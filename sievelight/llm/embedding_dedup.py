@@ -3,9 +3,12 @@
 Unit vectors with cosine >= c are at a squared distance of 2(1-c) at most. A fixed rotation is split into
 blocks of few dimensions; if every block of a pair were further apart than its share of that budget, in
 proportion to its dimensions, the pair would be too. So each linked pair is near in some block, and a
-range join of every block, by a grid over its first coordinates whose cells are as wide as the block's
-reach, finds it. Candidates are checked by their cosine in double precision, in the first block in
+range join of every block, along its first coordinate or by a grid over some whose cells are as wide as the
+block's reach, finds it. Candidates are checked by their cosine in double precision, in the first block in
 which they are near, and nowhere else.
+
+A label's vectors are dealt as pairs of chunks, and a task joins its two chunks block by block: each vector
+travels once for each chunk of its label, whatever the number of blocks.
 """
 
 from __future__ import annotations
@@ -25,10 +28,17 @@ from sievelight.llm.packs import lean
 from sievelight.llm.scratch import Scratch
 
 LEAST, BLOCK = 0.93, 8
-#: Vectors of a label up to which one, two, … coordinates of a block make its grid; one more beyond the last.
-GRID = (20_000, 1_000_000, 50_000_000, 2_500_000_000)
-#: Vectors of a cell that one task compares; fuller cells are dealt as pairs of chunks.
-CELL_ROWS = 3000
+#: Vectors of a label beyond which one more coordinate of a block makes a grid of cells; up to the first, a label is one
+#: cell of all blocks. A cell is about as wide as a coordinate's deviation, so a grid sends each vector many times over and
+#: only spares comparisons, which one coordinate in order spares as well.
+GRID = (5_000_000, 5_000_000, 5_000_000, 2_500_000_000)
+#: Vectors of a cell that one task compares; fuller cells are dealt as pairs of chunks, which grow from here up to
+#: CHUNK_MOST vectors once there are CHUNKS of them.
+CELL_ROWS, CHUNKS, CHUNK_MOST = 3000, 4, 20_000
+#: Rows and columns of distances at a time, and what rounding to single precision may add to one (of unit vectors).
+TILE, TILE_MOST, SLACK = 256, 4096, 1e-5
+#: The block of a cell that is compared in all of them.
+ALL = -1
 
 
 @lru_cache(maxsize=8)
@@ -92,10 +102,12 @@ def _cells(least: float):
             cols = b.to_pydict()
             for dim in sorted(set(cols["dim"])):
                 rows = [i for i, d in enumerate(cols["dim"]) if d == dim]
-                turned = rotated(np.array([_vector(cols["raw"][i], dim) for i in rows]))
+                at = [i for i in rows if not cols["grid"][i]]
+                block, cell, home = [ALL] * len(at), [""] * len(at), [True] * len(at)
+                rows = [i for i in rows if cols["grid"][i]]
+                turned = rotated(np.array([_vector(cols["raw"][i], dim) for i in rows]).reshape(len(rows), dim))
                 blocks, reach = budgets(dim, least)
-                at, block, cell, home = [], [], [], []
-                for k, cut in enumerate(blocks):
+                for k, cut in enumerate(blocks if rows else []):
                     width = np.sqrt(reach[k])
                     spot = np.floor(turned[:, cut] / width).astype(np.int64)
                     for r, i in enumerate(rows):
@@ -114,32 +126,47 @@ def _cells(least: float):
     return run
 
 
+def _tiles(y: np.ndarray, reach: float, sides: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows at a squared distance of reach or less, and a few just beyond; with sides, only pairs across them.
+
+    Rows are put in order of the first coordinate, and only those that are near by it are looked at.
+    """
+    order, width = np.argsort(y[:, 0], kind="stable"), np.sqrt(reach) + SLACK
+    left = order if sides is None else order[~sides[order]]
+    right = order if sides is None else order[sides[order]]
+    norm, one = (y * y).sum(axis=1)[:, None], np.ones((len(y), 1))
+    a, b = np.hstack([-2 * y, norm, one]).astype("<f4")[left], np.hstack([y, one, norm]).astype("<f4")[right]
+    x0, x1 = y[left, 0], y[right, 0]
+    for lo in range(0, len(left), TILE):
+        part = slice(lo, min(lo + TILE, len(left)))
+        begin = lo if sides is None else np.searchsorted(x1, x0[lo] - width)
+        end = np.searchsorted(x1, x0[part.stop - 1] + width, side="right")
+        for at in range(begin, end, TILE_MOST):
+            own = b[at : min(at + TILE_MOST, end)]
+            i, j = np.divmod(np.flatnonzero(a[part] @ own.T <= reach + SLACK), len(own))
+            i, j = i + lo, j + at
+            if sides is None:
+                i, j = i[j > i], j[j > i]
+            if len(i):
+                yield left[i], right[j]
+
+
 def near_pairs(x: np.ndarray, home: np.ndarray, sides: np.ndarray | None, block: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of linked vectors of a cell that are near in this block and in none before it; with sides, only pairs across them."""
+    """Index pairs of linked vectors of a cell that are near in this block (or in any, by turns) and in none before it; with sides, only pairs across them."""
     turned, (blocks, reach) = rotated(x), budgets(x.shape[1], least)
-    y = turned[:, blocks[block]]
-    norm, length = (y * y).sum(axis=1), np.sqrt((x * x).sum(axis=1))
-    order = np.arange(len(x))
-    for lo in range(0, len(x), 512):
-        part = slice(lo, lo + 512)
-        d = norm[part, None] + norm[None, :] - 2 * (y[part] @ y.T)
-        i, j = np.nonzero(d <= reach[block] + 1e-9)
-        i = i + lo
-        ok = (order[j] > i) & (home[i] | home[j])
-        if sides is not None:
-            ok &= sides[i] != sides[j]
-        i, j = i[ok], j[ok]
-        for s in range(0, len(i), 65536):
-            a, b = i[s : s + 65536], j[s : s + 65536]
-            apart = (turned[a] - turned[b]) ** 2
-            first = np.ones(len(a), bool)
-            for k in range(block + 1):
-                near = apart[:, blocks[k]].sum(axis=1) <= reach[k]
-                first &= near if k == block else ~near
-            a, b = a[first], b[first]
-            cos = (x[a] * x[b]).sum(axis=1) / (length[a] * length[b])
-            linked = cos >= least
-            yield a[linked], b[linked]
+    length = np.sqrt((x * x).sum(axis=1))
+    for own in range(len(blocks)) if block == ALL else [block]:
+        for i, j in _tiles(turned[:, blocks[own]], reach[own], sides):
+            ok = home[i] | home[j]
+            i, j = i[ok], j[ok]
+            for s in range(0, len(i), 16384):
+                a, b = i[s : s + 16384], j[s : s + 16384]
+                for k in [own, *range(own)]:  # most that are near by rounding only, or by an earlier block, go here
+                    near = ((turned[a, blocks[k]] - turned[b, blocks[k]]) ** 2).sum(axis=1) <= reach[k]
+                    a, b = (a[near], b[near]) if k == own else (a[~near], b[~near])
+                cos = (x[a] * x[b]).sum(axis=1) / (length[a] * length[b])
+                linked = cos >= least
+                yield a[linked], b[linked]
 
 
 def _compare(least: float):
@@ -147,24 +174,19 @@ def _compare(least: float):
 
     def group(rows: list[tuple]) -> Iterator[tuple]:
         (_, dim, block, _, left, right), x = rows[0][:6], np.array([_vector(r[9], r[1]) for r in rows])
-        sides = None if left == right else np.array([r[6] for r in rows])
+        sides = None if left == right else np.array([r[6] == right for r in rows])
         home, copies = np.array([r[10] for r in rows]), np.array([r[8] for r in rows])
-        root, links = list(range(len(rows))), np.zeros(len(rows), np.int64)
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = i = root[root[i]]
-            return i
-
+        root, links = np.arange(len(rows)), np.zeros(len(rows), np.int64)
         for a, b in near_pairs(x, home, sides, block, least):
             np.add.at(links, a, copies[b])
             np.add.at(links, b, copies[a])
-            for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                i, j = find(i), find(j)
-                if i != j:
-                    root[max(i, j)] = min(i, j)
+            while len(apart := np.flatnonzero(root[a] != root[b])):  # roots are hung on smaller ones until all links are inside
+                a, b = a[apart], b[apart]
+                np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+                while (root[root] != root).any():
+                    root = root[root]
         for i in np.flatnonzero(links):
-            yield rows[i][7], rows[find(i)][7], int(links[i])
+            yield rows[i][7], rows[root[i]][7], int(links[i])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,10 +220,9 @@ def embedding_dedup(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     or more. n_links is the number of other rows linked directly, component_id the smallest id reachable by
     links, itself included, kept whether that is its own. Null or zero vectors and those with null or
     non-finite components link with nothing, and so do rows without a label. Equal vectors are compared
-    once and counted as often as they occur. A cell's vectors beyond CELL_ROWS are compared in pairs of chunks,
-    all of them: the work grows with the square of a cell, whose share of a label falls with every coordinate
-    of the grid only about fourfold, which is what blocks of few dimensions can tell apart. A null id takes part and is never a smallest id. An empty
-    table gives an empty result; other columns aren't read.
+    once and counted as often as they occur. A label's vectors beyond CELL_ROWS are compared in pairs of chunks,
+    all of them: the work grows with the square of a label, and what is sent with its number of chunks. A null id
+    takes part and is never a smallest id. An empty table gives an empty result; other columns aren't read.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "embeddings")
     kind = df.schema[id_col].dataType.simpleString()
@@ -210,13 +231,13 @@ def embedding_dedup(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     classes = rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("raw").alias("raw"))
     classes = scratch.table(classes, "classes")
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("m"))
-    grid = sum((F.when(F.col("m") > n, 1).otherwise(0) for n in GRID), F.lit(1))
+    grid = sum((F.when(F.col("m") > n, 1).otherwise(0) for n in GRID), F.lit(0))
     sized = classes.join(sizes.select("label", "dim", grid.alias("grid")), ["label", "dim"])
     cells = sized.select("label", "dim", "key", "copies", "raw", "grid").mapInArrow(_cells(least), "label string, dim int, key binary, copies long, raw binary, block int, cell string, home boolean")
     cells = scratch.table(cells, "cells")
     # cells without two vectors to compare have no task; full ones are dealt as pairs of chunks
     full = cells.groupBy("label", "dim", "block", "cell").agg(F.count("*").alias("m"), F.count_if("home").alias("homes")).filter("m > 1 and homes > 0")
-    full = full.select("label", "dim", "block", "cell", F.ceil(F.col("m") / CELL_ROWS).cast("int").alias("k"))
+    full = full.select("label", "dim", "block", "cell", F.least(F.ceil(F.col("m") / CELL_ROWS), F.greatest(F.lit(CHUNKS), F.ceil(F.col("m") / CHUNK_MOST))).cast("int").alias("k"))
     dealt = cells.join(full, ["label", "dim", "block", "cell"])
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select("label", "dim", "block", "cell", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "chunk", "key", "copies", "raw", "home")

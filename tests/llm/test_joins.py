@@ -136,3 +136,19 @@ def test_embedding_dedup(spark, monkeypatch, settings):
     assert sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, r.component_id) for r in got) == want
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
+
+
+def test_embedding_dedup_sends_a_vector_once_a_chunk(spark, monkeypatch):
+    """Blocks are compared inside a task: a label's vectors aren't sent once for each block and cell."""
+    sizes, table = {}, embedding_dedup.Scratch.table
+
+    def kept(self, df, name):
+        out = table(self, df, name)
+        sizes[name] = out.count() if name == "cells" else None
+        return out
+
+    monkeypatch.setattr(embedding_dedup.Scratch, "table", kept)
+    x = np.random.default_rng(3).standard_normal((50, 64)).tolist()
+    df = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate([*x, *x])], "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.embedding_dedup(df).collect()
+    assert sizes["cells"] == 50 and sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, 1, i % 50) for i in range(100)]

@@ -1,8 +1,9 @@
 """Tokens with classes, as a full-text parser has them: files, urls, hosts, signed numbers, hyphenated words.
 
 One pattern of ordered alternatives scans a text, which runs inside the JVM; urls and hyphenated words also give
-their parts, behind themselves. Lengths in the pattern are bounded, so its time is linear in any text; what is
-longer is split at the bound.
+their parts, behind themselves. Runs of one kind of character that can't fail behind themselves, such as words, paths and
+digits, have any length. What may be scanned in vain again and again, such as an open tag or a row of labels of a host,
+is bounded, so the pattern's time is linear in any text; what is longer than such a bound is split at it.
 """
 
 from __future__ import annotations
@@ -10,23 +11,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_HOST = r"(?:[A-Za-z0-9][A-Za-z0-9_-]{0,62}\.){1,8}[A-Za-z][A-Za-z0-9-]{0,62}(?::[0-9]{1,5})?"
-_PATH = r"/[^\x00-\x20<>\x22]{0,999}"
+#: Bounds: of what can be of any length, of comments, of what may be scanned in vain, of parts and of labels of a host in a row.
+_ANY, _COMMENT, _LONG, _PARTS, _LABELS = 999_999_999, 1_999, 255, 32, 16
+_HOST = rf"(?:[A-Za-z0-9][A-Za-z0-9_-]{{0,{_LONG}}}\.){{1,{_LABELS}}}[A-Za-z][A-Za-z0-9-]{{0,{_ANY}}}(?::[0-9]{{1,{_ANY}}})?"
+_PATH = rf"/[^\x00-\x20<>\x22]{{0,{_ANY}}}"
+_DIGITS = rf"[0-9]{{1,{_ANY}}}"
 #: The classes and what their tokens look like, first come, first served.
 PATTERNS = {
-    "tag": r"<(?:!--[^>]{0,999}|[/!?]?[A-Za-z][^<>]{0,999})>",
-    "entity": r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{0,30});",
-    "protocol": r"[A-Za-z][A-Za-z0-9+]{0,30}://",
-    "email": rf"[A-Za-z0-9][A-Za-z0-9._+-]{{0,63}}@{_HOST}",
+    "tag": rf"<(?:!--[^>]{{0,{_COMMENT}}}|[/!?]?[A-Za-z][^<>]{{0,{_ANY}}})>",
+    "entity": rf"&(?:#{_DIGITS}|#[xX][0-9A-Fa-f]{{1,{_ANY}}}|[A-Za-z][A-Za-z0-9]{{0,{_ANY}}});",
+    "protocol": rf"[A-Za-z][A-Za-z0-9+]{{0,{_LONG}}}://",
+    "email": rf"[A-Za-z0-9][A-Za-z0-9._+-]{{0,{_LONG}}}@{_HOST}",
     "url": _HOST + _PATH,
     "host": _HOST,
-    "file": r"(?:[A-Za-z0-9_~.][A-Za-z0-9_.-]{0,63})?(?:/[A-Za-z0-9_.-]{1,64}){1,16}/?",
-    "version": r"[0-9]{1,18}\.[0-9]{1,18}(?:\.[0-9]{1,18}){1,8}",
-    "sfloat": r"[-+]?[0-9]{1,18}(?:\.[0-9]{1,18})?[eE][-+]?[0-9]{1,4}",
-    "float": r"[-+]?[0-9]{1,18}\.[0-9]{1,18}",
-    "hword": r"\p{L}[\p{L}\p{N}]{0,99}(?:-[\p{L}\p{N}]{1,99}){1,16}",
-    "int": r"[-+][0-9]{1,18}",
-    "word": r"[\p{L}\p{N}]{1,999}",
+    "file": rf"(?:[A-Za-z0-9_~.][A-Za-z0-9_.-]{{0,{_LONG}}})?(?:/[A-Za-z0-9_.-]{{1,{_ANY}}}){{1,{_PARTS}}}/?",
+    "version": rf"{_DIGITS}\.{_DIGITS}(?:\.{_DIGITS}){{1,{_PARTS}}}",
+    "sfloat": rf"[-+]?{_DIGITS}(?:\.{_DIGITS})?[eE][-+]?{_DIGITS}",
+    "float": rf"[-+]?{_DIGITS}\.{_DIGITS}",
+    "hword": rf"\p{{L}}[\p{{L}}\p{{N}}]{{0,{_ANY}}}(?:-[\p{{L}}\p{{N}}]{{1,{_ANY}}}){{1,{_PARTS}}}",
+    "int": rf"[-+]{_DIGITS}",
+    "word": rf"[\p{{L}}\p{{N}}]{{1,{_ANY}}}",
 }
 #: Classes of which nothing is kept.
 UNKEPT = ["tag", "entity", "protocol"]
@@ -43,7 +47,7 @@ def _told(token: Column) -> Column:
     """A scanned token as (class, token), with its parts behind it."""
     pair = lambda c, t: F.struct(c.alias("class"), t.alias("token"))
     one = lambda c, t=token: F.array(pair(F.lit(c) if isinstance(c, str) else c, t))
-    path = F.regexp_extract(token, "/.*$", 0)
+    path = F.substr(token, F.instr(token, "/"))
     parts = F.transform(F.split(token, "-"), lambda p: pair(_word_class(p, "hword_asciipart", "hword_numpart", "hword_part"), p))
     # whether a token is of a class is asked in the order of the scan
     kinds = F.when(F.lit(False), one("tag"))

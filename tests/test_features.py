@@ -198,3 +198,17 @@ def test_token_classes(spark):
     chunks = spark.createDataFrame([(1, 1, "k", "l", "open src/main.rs"), (2, 1, "k", "l", "src main rs")], "chunk_id long, snapshot_id long, kind string, lang string, content string")
     found = lambda q: [r.chunk_id for r in search.lexical_search(chunks, q, words=classes.plain).collect()]
     assert found("src/main.rs") == [1] and found("main rs") == [2] and found("open src/main.rs") == [1] and found("<b>") == []
+
+
+def test_class_tokens_of_any_length(spark):
+    """Long exponents, digits, words and tags are one token each, as in the SQL, whose engine has no bounds."""
+    from sievelight.functions import classes
+
+    n = "1234567890" * 3
+    cases = {
+        "x 5567e50916673 y": ["asciiword:x", "sfloat:5567e50916673", "asciiword:y"], "379e003298": ["sfloat:379e003298"], f"{n}.{n}": [f"float:{n}.{n}"], "b" * 3000: ["asciiword:" + "b" * 3000],
+        f"<a href='{'x' * 4000}'>z</a>": ["asciiword:z"], f"a.com/{'p' * 3000}": [f"url:a.com/{'p' * 3000}", "host:a.com", f"url_path:/{'p' * 3000}"],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    got = {r.i: [f"{x['class']}:{x['token']}" for x in r.c] for r in df.select("i", classes.classed_tokens(F.col("t")).alias("c")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())

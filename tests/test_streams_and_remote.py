@@ -31,6 +31,27 @@ def test_counters_equal_the_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_counters_of_many_runs_at_once():
+    """A bucket's runs are counted in one go, over any number of batches; run 0 and the run without an id are two."""
+    import pandas as pd
+
+    r = random.Random(3)
+    kept, got, want, runs = None, [], [], {}
+    for batch in range(4):
+        rows = [(k == 9, 0 if k == 9 else k, i, r.choice(["x", "y", None]), *(float(r.randint(0, 1)) for _ in "abcd")) for k in range(10) for i in r.sample(range(batch * 3, batch * 3 + 5), 4)]
+        r.shuffle(rows)
+        found, kept = counters.follow(kept, pd.DataFrame(rows, columns=["none", "run_id", "iter", "key", *"abcd"]))
+        got += [tuple(None if pd.isna(x) else int(x) for x in t) for t in found.itertuples(index=False)]
+        for none, run, i, key, *score in sorted(rows, key=lambda x: x[:3]):
+            last, same, streak, best, at = runs.get((none, run), (-1, ..., 0, None, None))
+            if i > last:
+                streak = streak + 1 if key == same else 0
+                best, at = (score, i) if best is None or score < best else (best, at)
+                runs[none, run] = (i, key, streak, best, at)
+                want.append((None if none else run, i, streak, at, i - at))
+    assert sorted(got, key=str) == sorted(want, key=str) and len(kept) == 10
+
+
 def test_step_output_is_parsed_once(spark):
     out = {"target_file": "f", "constraint_violation": {"code": "too_large"}, "runner": {"exit_code": 101}, "issues": [1, {"a": 2}], "evidence": {"items": [1, "x", None]}}
     odd = ["{bad", None, "[]", '{"runner":{"exit_code":"7"},"issues":5,"evidence":{"items":{}},"target_file":null}']

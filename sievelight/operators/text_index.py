@@ -10,14 +10,21 @@ Under a path there are generations, in each the tables postings/segment=<s>/part
 * merge() writes the live blocks as one segment of a new generation, which counts on the same terms.
 
 Searches read the folders of their tokens only.
+
+Tasks put the tokens of many chunks together to pieces of blocks, in five bytes a place, before anything is shuffled;
+pieces are shuffled once, to the folder and file of their block, and put together there in the order of the file.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +33,11 @@ from sievelight.functions.text import tokens
 PARTS = 64
 #: Ids in a block's range, and chunks for which a folder has one more file.
 SPAN, SLICE_CHUNKS = 256, 1_000_000
+#: Tokens, or places, that a task handles at a time.
+TOKENS_AT_ONCE = 1 << 20
+#: A place in a piece of a block: the chunk's number in the range, which has 256 at most, and the token's in the chunk.
+_PLACE = np.dtype([("of", "u1"), ("pos", "<i4")])
+_PIECE = "snapshot_id long, tok string, span long, body binary"
 #: Ranges that a search looks at first, those up to which it reads all at once, and those beyond which they are joined
 #: and not listed in a filter.
 FIRST, WHOLE, LISTED = 16, 64, 5_000
@@ -75,28 +87,156 @@ def _hash(tok: Column, parts: int = PARTS) -> Column:
     return (F.crc32(tok.cast("binary")) % parts).cast("int")
 
 
-def _most(hits: Column) -> Column:
-    """The most places that one chunk has in hits, which are in order of chunks."""
-    begin = F.struct(F.lit(None).cast("long").alias("of"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+def _bodies(places: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Places, cut at the edges, as binaries."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * _PLACE.itemsize).astype(np.int32)), pa.py_buffer(places)])
+
+
+def _places_in(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all places of an array of binaries, places in each)."""
+    n = pc.binary_length(bodies).to_numpy(zero_copy_only=False).astype(np.int64) // _PLACE.itemsize
+    begin = np.frombuffer(bodies.buffers()[1], np.int32, len(bodies) + 1 + bodies.offset)[bodies.offset] if len(bodies) else 0
+    return np.frombuffer(bodies.buffers()[2] or b"", _PLACE, int(n.sum()), int(begin)) if n.sum() else np.zeros(0, _PLACE), n
+
+
+def _cut(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, number) of rows of TOKENS_AT_ONCE together, or one that has more."""
+    lo, ends = 0, np.cumsum(sizes)
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TOKENS_AT_ONCE, side="right")))
+        yield lo, hi - lo
+        lo = hi
+
+
+def _as_pieces(span: int):
+    """(snapshot_id, chunk_id, tokens) to pieces: what a token has in a range of a snapshot, of the chunks that come together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, n in _cut(sizes):
+                snapshot, ids, lists = (c.slice(lo, n) for c in b.columns)
+                chunk, snap = ids.to_numpy(zero_copy_only=False), pc.dictionary_encode(snapshot, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                order = np.lexsort([chunk, chunk // span, snap])
+                lists, chunk, snap, size = lists.take(pa.array(order)), chunk[order], snap[order], sizes[lo : lo + n][order]
+                range_ = np.cumsum(np.append(0, (snap[1:] != snap[:-1]) | (chunk[1:] // span != chunk[:-1] // span)))
+                words = lists.flatten().dictionary_encode()
+                code, row = words.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(n), size)
+                if not len(code):
+                    continue
+                places = np.empty(len(code), _PLACE)
+                places["of"], places["pos"] = (chunk % span)[row], np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + 1
+                by = np.argsort(code, kind="stable")
+                code, row = code[by], row[by]
+                begin = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (range_[row][1:] != range_[row][:-1])))
+                first = row[begin]
+                yield pa.RecordBatch.from_arrays(
+                    [snapshot.take(pa.array(order[first])).cast(pa.int64()), words.dictionary.take(pa.array(code[begin])), pa.array(chunk[first] // span), _bodies(places[by], np.append(begin, len(code)))], names=["snapshot_id", "tok", "span", "body"]
+                )
+
+    return run
+
+
+def _as_blocks(span: int):
+    """Pieces (snapshot_id, tok, span, body, part), sorted, to blocks."""
+    whole = pa.schema([("snapshot_id", pa.int64()), ("tok", pa.string()), ("span", pa.int64()), ("body", pa.binary()), ("part", pa.int32())])
+
+    def starts(t: pa.RecordBatch) -> np.ndarray:
+        """Whether a row begins a block."""
+        new = np.zeros(max(t.num_rows - 1, 0), bool)
+        for c in (t.column(1), t.column(2), pc.is_null(t.column(0)), pc.fill_null(t.column(0), 0)):
+            new |= pc.not_equal(c.slice(1), c.slice(0, len(new))).to_numpy(zero_copy_only=False)
+        return np.append(True, new)
+
+    def blocks(t: pa.RecordBatch) -> pa.RecordBatch:
+        places, n = _places_in(t.column(3))
+        begin = np.flatnonzero(starts(t))
+        block = np.repeat(np.repeat(np.arange(len(begin)), np.diff(np.append(begin, t.num_rows))), n)
+        of, pos = places["of"].astype(np.int64), places["pos"]
+        if ((block[1:] == block[:-1]) & (of[1:] < of[:-1])).any():
+            by = np.lexsort([pos, of, block])
+            of, pos = of[by], pos[by]
+        chunk = t.column(2).to_numpy(zero_copy_only=False)[begin][block] * span + of
+        new = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (of[1:] != of[:-1])))  # each chunk's places
+        most = np.maximum.reduceat(np.diff(np.append(new, len(block))), np.flatnonzero(np.append(True, block[new][1:] != block[new][:-1])))
+        edges = pa.array(np.searchsorted(block, np.arange(len(begin) + 1)), pa.int32())
+        hits = pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays([pa.array(chunk), pa.array(pos, pa.int32())], names=["chunk_id", "pos"]))
+        own = t.take(pa.array(begin))
+        return pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(most, pa.int32()), hits, own.column(4)], names=["snapshot_id", "tok", "span", "most", "hits", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # pieces of the block that isn't at its end, perhaps
+        for b in batches:
+            for lo, n in _cut(pc.binary_length(b.column(3)).to_numpy(zero_copy_only=False) // _PLACE.itemsize):
+                t = pa.Table.from_batches([*held, pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.slice(lo, n).columns, whole, strict=True)], schema=whole)]).combine_chunks().to_batches()[0]
+                last = int(np.flatnonzero(starts(t))[-1])
+                if last:
+                    yield blocks(t.slice(0, last))
+                held = [t.slice(last)]
+        if held:
+            yield blocks(held[0])
+
+    return run
+
+
+def _write(pieces: DataFrame, folder: str, segment: int, gone: DataFrame, slices: int) -> None:
+    """A segment of pieces; gone has the chunk ids that it hides in older ones."""
+    conf, name = pieces.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    dealt = pieces.withColumn("part", _hash(F.col("tok"))).repartition("part", F.pmod("span", F.lit(slices))).sortWithinPartitions("part", "tok", "snapshot_id", "span")
+    rows = dealt.mapInArrow(_as_blocks(SPAN), "snapshot_id long, tok string, span long, most int, hits array<struct<chunk_id:bigint,pos:int>>, part int")
+    kept = conf.get(name, None)
+    conf.set(name, str(PARTS))  # rows come in order, which the writer doesn't know and would sort again
+    try:
+        rows.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings/segment={segment}")
+    finally:
+        conf.unset(name) if kept is None else conf.set(name, kept)
+    gone.select(F.col("chunk_id").cast("long")).distinct().write.mode("overwrite").parquet(f"{folder}/removed/segment={segment}")
 
-    def step(s: Column, h: Column) -> Column:
-        n = F.when(s["of"] == h["chunk_id"], s["n"] + 1).otherwise(1)
-        return F.struct(h["chunk_id"].alias("of"), n.alias("n"), F.greatest(s["most"], n).alias("most"))
 
-    return F.aggregate(hits, begin, step, lambda s: s["most"])
+def _pieces(chunks: DataFrame) -> DataFrame:
+    own = chunks.select(F.col("snapshot_id").cast("long"), F.col("chunk_id").cast("long"), tokens(F.col("content")).alias("toks"))
+    return own.filter("chunk_id is not null").mapInArrow(_as_pieces(SPAN), _PIECE)
 
 
-def _write(places: DataFrame, folder: str, segment: int, gone: DataFrame, slices: int) -> None:
-    """A segment of places (snapshot_id, chunk_id, tok, pos); gone has the chunk ids that it hides in older ones."""
-    lists = places.groupBy("snapshot_id", "tok", F.floor(F.col("chunk_id") / SPAN).alias("span")).agg(F.sort_array(F.collect_list(F.struct("chunk_id", "pos"))).alias("hits"))
-    rows = lists.select("snapshot_id", "tok", "span", _most(F.col("hits")).alias("most"), "hits", _hash(F.col("tok")).alias("part"))
-    dealt = rows.repartition("part", F.pmod("span", F.lit(slices)))
-    dealt.sortWithinPartitions("part", "tok", "snapshot_id", "span").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings/segment={segment}")
-    gone.select(F.col("chunk_id").cast("long")).distinct().write.mode("overwrite").parquet(f"{folder}/removed/segment={segment}")
+def _packed(span: int):
+    """Blocks (snapshot_id, tok, span, hits, segment) with their places in five bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, flat = pc.list_value_length(b.column(3)).to_numpy(zero_copy_only=False).astype(np.int64), b.column(3).flatten()
+            places = np.empty(len(flat), _PLACE)
+            places["of"], places["pos"] = flat.field(0).to_numpy(zero_copy_only=False) % span, flat.field(1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], _bodies(places, np.append(0, np.cumsum(n))), b.column(4)], names=["snapshot_id", "tok", "span", "body", "segment"])
+
+    return run
+
 
+def _unhidden(span: int):
+    """Pieces (snapshot_id, tok, span, body, segment, gone) without the places in chunks that a later segment hides."""
 
-def _places(chunks: DataFrame) -> DataFrame:
-    return chunks.select("snapshot_id", "chunk_id", F.posexplode(tokens(F.col("content"))).alias("pos", "tok")).withColumn("pos", F.col("pos") + 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 2048):
+                t = b.slice(lo, 2048)
+                places, n = _places_in(t.column(3))
+                since, gone = np.full((t.num_rows, span), -1, np.int64), t.column(5)
+                of = np.repeat(np.arange(t.num_rows), pc.fill_null(pc.list_value_length(gone), 0).to_numpy(zero_copy_only=False))
+                flat = gone.flatten()
+                since[of, flat.field(0).to_numpy(zero_copy_only=False) % span] = flat.field(1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(t.num_rows), n)
+                live = since[row, places["of"]] <= t.column(4).to_numpy(zero_copy_only=False)[row]
+                left = np.bincount(row[live], minlength=t.num_rows)
+                out = pa.RecordBatch.from_arrays([*t.columns[:3], _bodies(places[live], np.append(0, np.cumsum(left)))], names=["snapshot_id", "tok", "span", "body"])
+                yield out.filter(pa.array(left > 0))
+
+    return run
+
+
+def _live_pieces(spark: SparkSession, at: State) -> DataFrame:
+    """What counts of all blocks, as pieces; the hidden ids come by ranges."""
+    packed = _live_blocks(spark, at, None, None).select("snapshot_id", "tok", "span", "hits", "segment").mapInArrow(_packed(SPAN), _PIECE + ", segment int")
+    gone = _gone(spark, at).groupBy(F.floor(F.col("chunk_id") / SPAN).alias("span")).agg(F.collect_list(F.struct("chunk_id", "since")).alias("gone"))
+    return packed.join(gone, "span", "left").select("snapshot_id", "tok", "span", "body", "segment", "gone").mapInArrow(_unhidden(SPAN), _PIECE)
 
 
 def _slices(chunks: DataFrame) -> int:
@@ -107,7 +247,7 @@ def build(chunks: DataFrame, path: str) -> None:
     """The index of chunks (chunk_id, snapshot_id, content), in place of any at that path. A null content has no tokens."""
     spark = chunks.sparkSession
     new = max(_numbers(spark, path, "generation"), default=-1) + 1
-    _write(_places(chunks), f"{path}/generation={new}", 0, chunks.select("chunk_id").limit(0), _slices(chunks))
+    _write(_pieces(chunks), f"{path}/generation={new}", 0, chunks.select("chunk_id").limit(0), _slices(chunks))
 
 
 def apply_changes(path: str, changed: DataFrame, removed: DataFrame | None = None) -> None:
@@ -119,15 +259,14 @@ def apply_changes(path: str, changed: DataFrame, removed: DataFrame | None = Non
     at = state(spark, path)
     new = max([*at.segments, *_numbers(spark, f"{at.folder}/postings", "segment")]) + 1
     gone = changed.select("chunk_id")
-    _write(_places(changed), at.folder, new, gone if removed is None else gone.unionByName(removed.select("chunk_id")), _slices(changed))
+    _write(_pieces(changed), at.folder, new, gone if removed is None else gone.unionByName(removed.select("chunk_id")), _slices(changed))
 
 
 def merge(spark: SparkSession, path: str) -> None:
     """All segments as one of a new generation, without what is hidden; older generations go."""
     at = state(spark, path)
-    live = _places_of(spark, _live_blocks(spark, at, None, None), at)
-    n = live.select(F.count_distinct("chunk_id")).first()[0]
-    _write(live.select("snapshot_id", "chunk_id", "tok", "pos"), f"{path}/generation={at.generation + 1}", 0, live.select("chunk_id").limit(0), 1 + n // SLICE_CHUNKS)
+    n = SPAN * _live_blocks(spark, at, None, None).select(F.count_distinct("span")).first()[0]
+    _write(_live_pieces(spark, at), f"{path}/generation={at.generation + 1}", 0, _gone(spark, at).limit(0), 1 + n // SLICE_CHUNKS)
     for g in _numbers(spark, path, "generation"):
         if g <= at.generation:
             store, p = _store(spark, f"{path}/generation={g}")
@@ -163,10 +302,14 @@ def _places_of(spark: SparkSession, blocks: DataFrame, at: State) -> DataFrame:
     own = blocks.select("snapshot_id", "tok", "segment", F.explode("hits").alias("h")).select("snapshot_id", "h.chunk_id", "tok", "h.pos", "segment")
     if len(at.segments) == 1:
         return own
+    return own.join(_gone(spark, at), "chunk_id", "left").filter("since is null or segment >= since").drop("since")
+
+
+def _gone(spark: SparkSession, at: State) -> DataFrame:
+    """chunk_id, since: the ids that segments hide, with the last one that does."""
     later = [f"{at.folder}/removed/segment={s}" for s in at.segments]
     gone = spark.read.schema("chunk_id long, segment int").option("basePath", f"{at.folder}/removed").parquet(*later)
-    gone = gone.groupBy("chunk_id").agg(F.max("segment").alias("since"))
-    return own.join(gone, "chunk_id", "left").filter("since is null or segment >= since").drop("since")
+    return gone.groupBy("chunk_id").agg(F.max("segment").alias("since"))
 
 
 def _bound(counts: list[Column]) -> Column:
@@ -207,9 +350,8 @@ def search(spark: SparkSession, path: str, query: str, *, snapshot_id: int | Non
     blocks = _live_blocks(spark, at, wanted, snapshot_id)
 
     def ranks(own: DataFrame) -> DataFrame:
-        places = _places_of(spark, own, at)
-        places = places if among is None else places.join(among.select("chunk_id"), "chunk_id", "left_semi")
-        hits = places.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("hits"))
+        hits = _places_of(spark, own, at).groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("hits"))
+        hits = hits if among is None else hits.join(among.select("chunk_id"), "chunk_id", "left_semi")
         return hits.select("chunk_id", cover_rank(F.col("hits"), wanted).alias("rank")).orderBy(F.desc_nulls_last("rank"), "chunk_id").limit(limit).filter("rank is not null")
 
     if sum(_bytes(spark, f) for f in _folders(spark, at, wanted)) <= short:

@@ -137,6 +137,30 @@ def test_index_follows_any_changes(spark, tmp_path):
             assert [tuple(x) for x in text_index.search(spark, path, q, snapshot_id=snapshot, limit=12).rows.collect()] == want, (round_, q)
 
 
+def test_tokens_travel_as_pieces_of_blocks(spark, monkeypatch):
+    """What is shuffled is a row for each token of a range of chunks, not for each place; pieces in any cut make whole blocks."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(6)
+    c = chunks(spark, *(said(r) for _ in range(64)), *[None, ""]).coalesce(1)
+    kinds = {(x.snapshot_id, w) for x in c.collect() for w in (x.content or "").lower().split()}
+    assert text_index._pieces(c).count() == len(kinds)  # one range, one task
+    monkeypatch.setattr(text_index, "TOKENS_AT_ONCE", 5)
+    rows = [(r.choice([1, 2, None]), i - 20, [r.choice("abc") for _ in range(r.randint(0, 7))] or None) for i in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 20], strict=True), (pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], names=["s", "c", "t"]) for k in (40, 0, 20)]
+    pieces = [x | {"part": 0} for b in text_index._as_pieces(16)(batches) for x in b.to_pylist()]
+    pieces.sort(key=lambda x: (x["tok"], x["snapshot_id"] or 0, x["span"]))
+    cut = [pa.RecordBatch.from_pylist(pieces[k : k + 7]) for k in range(0, len(pieces), 7)]
+    got = [x for b in text_index._as_blocks(16)(cut) for x in b.to_pylist()]
+    assert len({(x["snapshot_id"], x["tok"], x["span"]) for x in got}) == len(got) < len(pieces)
+    assert all(x["most"] == max(sum(h["chunk_id"] == g["chunk_id"] for h in x["hits"]) for g in x["hits"]) for x in got)
+    want = sorted(((s or 0, w, i // 16, i, p + 1) for s, i, t in rows for p, w in enumerate(t or [])), key=str)
+    assert sorted(((x["snapshot_id"] or 0, x["tok"], x["span"], h["chunk_id"], h["pos"]) for x in got for h in x["hits"]), key=str) == want
+    assert all(x["hits"] == sorted(x["hits"], key=lambda h: (h["chunk_id"], h["pos"])) for x in got)
+
+
 def test_failed_change_leaves_nothing(spark, tmp_path):
     path = str(tmp_path / "i")
     text_index.build(chunks(spark, "a b", "a c"), path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,30 +34,37 @@ def window_chunks(files: DataFrame, size: int = 200, reason: str = "tree_sitter_
 
 
 def function_chunks(files: DataFrame, parser: Parser, size: int = 200, most_bytes: int = 1 << 20) -> DataFrame:
-    """Slices of functions by a parser, else windows with the reason why: too large, an error, no function."""
+    """Slices of functions by a parser, else windows with the reason why: too large, an error, no function.
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A file is parsed once: its slices, or the windows, are places in its array of lines; nothing is shuffled.
+    """
+    n, kind = max(1, size), pa.list_(pa.struct([("start_row", pa.int32()), ("end_row", pa.int32())]))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for path, text in zip(b["path"], b["content"], strict=True):
-                reason, found = None, []
+            reasons, found = [], []
+            for text in b.column(1).to_pylist():
+                reason, own = None, []
                 if len((text or "").encode()) > most_bytes:
                     reason = "file_too_large"
                 else:
                     try:
-                        found = parser(text or "")
-                        reason = None if found else "no_functions_found"
+                        own = parser(text or "")
+                        reason = None if own else "no_functions_found"
                     except ValueError:
                         reason = "tree_sitter_error_nodes"
-                rows.append((path, text, reason, [{"symbol": s, "start_row": a, "end_row": e} for s, a, e in found]))
-            yield pd.DataFrame(rows, columns=["path", "content", "reason", "found"])
-
-    parsed = files.select("path", "content").mapInPandas(cut, "path string, content string, reason string, found array<struct<symbol:string,start_row:int,end_row:int>>")
-    good = parsed.filter("reason is null").select("path", lines(F.col("content")).alias("own"), F.posexplode("found").alias("chunk_index", "f"))
-    sliced = good.select("path", "chunk_index", "f.start_row", "f.end_row", F.array_join(F.slice("own", F.col("f.start_row") + 1, F.col("f.end_row") - F.col("f.start_row")), "\n").alias("content"), F.lit(None).cast("string").alias("degrade_reason"))
-    rest = parsed.filter("reason is not null")
-    windows = window_chunks(rest, size).drop("degrade_reason").join(rest.select("path", F.col("reason").alias("degrade_reason")), "path")
-    return sliced.unionByName(windows)
+                reasons.append(reason)
+                found.append([{"start_row": a, "end_row": e} for _, a, e in own])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(reasons, pa.string()), pa.array(found, kind)], names=["path", "content", "reason", "found"])
+
+    parsed = files.select(F.col("path").cast("string"), F.col("content").cast("string")).mapInArrow(cut, "path string, content string, reason string, found array<struct<start_row:int,end_row:int>>")
+    parsed = parsed.select("path", lines(F.col("content")).alias("own"), "reason", "found")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("own") - 1, F.lit(0)), F.lit(n))
+    windows = F.transform(starts, lambda s: F.struct(s.alias("start_row"), F.least(s + n, F.size("own")).alias("end_row")))
+    parts = parsed.select("path", "own", "reason", F.posexplode(F.when(F.col("reason").isNull(), F.col("found")).otherwise(windows)).alias("chunk_index", "f"))
+    content = F.array_join(F.slice("own", F.col("f.start_row") + 1, F.col("f.end_row") - F.col("f.start_row")), "\n")
+    out = parts.select("path", "chunk_index", "f.start_row", "f.end_row", content.alias("content"), F.col("reason").alias("degrade_reason"))
+    return out.filter(F.col("degrade_reason").isNull() | F.col("content").rlike(r"\S"))
 
 
 #: One token after another: what isn't code, names, and the marks that open and close. Comments nest, so only their

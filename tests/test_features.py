@@ -212,3 +212,12 @@ def test_class_tokens_of_any_length(spark):
     df = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
     got = {r.i: [f"{x['class']}:{x['token']}" for x in r.c] for r in df.select("i", classes.classed_tokens(F.col("t")).alias("c")).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_files_are_parsed_once(spark):
+    """Slices and windows come from one pass of the parser, and equal paths don't multiply."""
+    files = spark.createDataFrame([("a", "fn f() {\n}\n"), ("b", "x\n\n\ny"), ("b", "z"), ("c", None)], "path string, content string")
+    out = chunking.function_chunks(files, chunking.rust_parser, 2)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    none = "no_functions_found"
+    assert sorted(map(tuple, out.collect())) == [("a", 0, 0, 2, "fn f() {\n}", None), ("b", 0, 0, 1, "z", none), ("b", 0, 0, 2, "x\n", none), ("b", 1, 2, 4, "\ny", none)]

@@ -152,3 +152,28 @@ def test_embedding_dedup_sends_a_vector_once_a_chunk(spark, monkeypatch):
     df = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate([*x, *x])], "vec_id long, embedding array<double>, label int")
     got = embedding_dedup.embedding_dedup(df).collect()
     assert sizes["cells"] == 50 and sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, 1, i % 50) for i in range(100)]
+
+
+def test_embedding_dedup_decides_pairs_at_the_limit_exactly(spark, monkeypatch):
+    """A vector is sent in two bytes a component and lies on disk once; cosines within its rounding of the limit are decided by the exact vectors."""
+    kept, table = {}, embedding_dedup.Scratch.table
+
+    def seen(self, df, name):
+        out = table(self, df, name)
+        kept[name] = sum(len(r.raw) for r in out.select("raw").collect()) if "raw" in out.columns else [tuple(r)[2:] for r in out.collect()] if name == "linked" else 0
+        return out
+
+    monkeypatch.setattr(embedding_dedup.Scratch, "table", seen)
+    r, rows = np.random.default_rng(6), []
+    for i in range(60):
+        x, y = r.standard_normal((2, 64))
+        x, y = x / np.sqrt(x @ x), y - y @ x * x / (x @ x)
+        cos = 0.93 + [-1e-3, -1e-5, -1e-7, 1e-7, 1e-5, 1e-3][i % 6]
+        rows += [(2 * i, x.tolist(), i), (2 * i + 1, (3 * (cos * x + np.sqrt(1 - cos**2) * y / np.sqrt(y @ y))).tolist(), i)]
+    rows += [(200 + i, rows[6 + i][1], rows[6 + i][2]) for i in range(2)]  # copies of a pair at the limit
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {g.vec_id: (g.n_links, g.component_id) for g in embedding_dedup.embedding_dedup(df).collect()}
+    unit = np.array([np.array(v) / np.sqrt(np.dot(v, v)) for _, v, _ in rows])
+    near = [[rows[j][0] for j in range(len(rows)) if rows[j][2] == rows[i][2] and unit[i] @ unit[j] >= 0.93] for i in range(len(rows))]
+    assert got == {row[0]: (len(own) - 1, min(own)) for row, own in zip(rows, near, strict=True)}
+    assert kept["rows"] == 0 and kept["cells"] == 120 * 64 * 2 and sum(not sure for _, sure in kept["linked"]) >= 30

@@ -214,3 +214,21 @@ def test_extraction_of_odd_pages(spark):
     assert [(r.page_id, r.text) for r in got[:4]] == [(1, ""), (1, ""), (None, ""), (3, "Long enough text of an article, with a stop.")]
     assert got[4].page_id == 4 and got[4].text in ("", "<" * 2000)
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_known_words_are_decided_bit_by_bit(spark, sf):
+    """Probabilities of classes and of the bits of hashes sum to one; held-out known words cost less than by their plain share; the query has these scores."""
+    lm, r = lm_scoring, np.random.default_rng(3)
+    p = 10 ** lm.class_probabilities(np.floor(r.pareto(1, lm.CLASSES**3)))[0]
+    assert np.allclose(p.sum(axis=-1), 1)
+    h, c = np.sort(r.integers(0, 1 << 63, 500, dtype=np.uint64)), np.ceil(r.pareto(1, 500)).astype(np.int64)  # one half: the first bit is none
+    full, without = lm.path(h, c, c * (c > 1), np.ones(500, np.int64), 1, 64)
+    assert abs((10**full).sum() - 1) < 1e-9 and (without <= full + 1e-3).mean() > 0.9
+    again = lm.path(h[::2], c[::2] * 0 + 1, c[::2] * 0, np.ones(250, np.int64), 1, 64)[0]
+    assert abs((10**again).sum() - 1) < 1e-9
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plain, mixed, moved = ({x.doc_id: x for x in lm.lm_score(d, mixed_words=m).collect()} for d, m in ((docs, False), (docs, True), (docs.repartition(7), True)))
+    held = [d for d, x in plain.items() if x.held_out]
+    assert sum(mixed[d].score for d in held) > sum(plain[d].score for d in held)
+    assert any(abs(mixed[d].score - plain[d].score) > 1 for d in held) and all(abs(x.score - moved[d].score) < 1e-6 for d, x in mixed.items())
+    assert all(abs(x.score - mixed[x.doc_id].score) < 1e-6 for x in lm.op7_context_mixing(spark, sf).collect())

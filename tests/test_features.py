@@ -221,3 +221,12 @@ def test_files_are_parsed_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     none = "no_functions_found"
     assert sorted(map(tuple, out.collect())) == [("a", 0, 0, 2, "fn f() {\n}", None), ("b", 0, 0, 1, "z", none), ("b", 0, 0, 2, "x\n", none), ("b", 1, 2, 4, "\ny", none)]
+
+
+def test_diff_checks_cut_lines_once(spark, sf):
+    """Each check cuts a diff's lines once, and a small file's rows are dealt to all cores."""
+    from sievelight.plans import catalogue
+
+    q = catalogue.QUERIES["diff_constraints"](spark, sf)
+    assert q._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 3
+    assert q.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
